@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricerank.llm import mixing
+from pricerank.llm import decontaminate, mixing, substring
 from pricerank.llm.common import read
 
 
@@ -38,5 +38,58 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(epochs * size + least(greatest(CAST(floor(target - epochs * source_size) AS BIGINT) - before, 0), size) AS BIGINT) AS taken FROM p
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix_sources": op1_mix_sources}
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL}
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(read(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS ws FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)
+), late AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY ws ORDER BY doc_id, i) AS k FROM win) WHERE k > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM late
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP8_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), bw AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, w[i : i + least(10, len(w)) - 1] AS ws, least(10, len(w)) AS n FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM bw WHERE len(w) > 0)
+), occ AS (
+  SELECT DISTINCT d.doc_id, d.i, win.n, win.item_id FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i, m.n FROM dw, (SELECT DISTINCT n FROM win) m) d JOIN win ON win.n = d.n AND d.i + d.n - 1 <= len(d.w) AND d.w[d.i : d.i + d.n - 1] = win.ws
+), hits AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM occ) GROUP BY doc_id
+), its AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM occ) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op8_decontaminate": op8_decontaminate,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": OP1_SQL,
+    "op3_substring_dedup": OP3_SQL,
+    "op8_decontaminate": OP8_SQL,
+}
