@@ -213,7 +213,8 @@ def spans(docs: DataFrame, n: int = 20) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    repeated = texts.mapInArrow(_fragments(n, False), "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    # stored, so that the join below has exchanges of its own on both sides, and Spark may split a hot anchor's rows
+    repeated = stored(texts.mapInArrow(_fragments(n, False), "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))
     every = texts.mapInArrow(_fragments(n, True), f"doc_id {kind}, start int, n int, anchor long, content long")
     several = stored(every.join(repeated, "anchor"))
     references = stored(several.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "start")).alias("first"), F.first("n").alias("n")))
