@@ -1,15 +1,51 @@
-"""The corpus pipeline: STAGES in order, each over all rows that the one before kept."""
+"""The corpus pipeline: STAGES in order, each over all rows that the one before kept.
+
+toxicity: documents that the classifier rejects go. near_dup: one document of each group of near copies stays (five-word shingles, similarity 0.8). substring_dedup: word windows that occur earlier are
+cut out of the texts. decontamination: benchmark passages are cut out of the texts. mixing: each source is taken to its target; one row per document and epoch, with the columns
+of documents, size, source_size, target, epoch and taken.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from pricerank.llm import decontaminate, mixing, near_dup, substring, toxicity
+from pricerank.llm.common import read, stored
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean(docs, read(spark, sf_dir, "labels"))
+
+
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.dedup(docs)
+
+
+def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring.clean(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_texts(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_dup", near_dup_stage),
+    ("substring_dedup", substring_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over documents, each written as Parquet and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricerank.llm import decontaminate, mixing, substring
+from pricerank.llm import decontaminate, grid_join, lm_score, mixing, near_dup, preference, quality, substring, token_counts, toxicity
 from pricerank.llm.common import read
 
 
@@ -39,6 +39,10 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 """
 
 
+def op2_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(read(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(read(spark, sf_dir, "documents"))
 
@@ -61,6 +65,84 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 """
 
 
+def op4_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.report(read(spark, sf_dir, "conversations"))
+
+
+OP4_SQL = r"""
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), ends AS (
+  SELECT conv_id, max(turn) AS e FROM t WHERE role = 'assistant' GROUP BY conv_id
+), replies AS (
+  SELECT t.conv_id, e, max(text) AS reply FROM t JOIN ends ON t.conv_id = ends.conv_id AND turn = e AND role = 'assistant' GROUP BY t.conv_id, e
+), p AS (
+  SELECT a.conv_id AS pair_id, a.e, b.reply AS other FROM replies a JOIN replies b ON b.conv_id = xor(a.conv_id, 1)
+), c AS (
+  SELECT pair_id, turn, role, text, CASE WHEN turn = e AND role = 'assistant' THEN other ELSE text END AS rtext FROM t JOIN p ON conv_id = pair_id WHERE turn <= e
+), d AS (
+  SELECT pair_id, min(turn) FILTER (WHERE text <> rtext) AS d FROM c GROUP BY pair_id
+), m AS (
+  SELECT c.*, d IS NULL OR turn < d AS common, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS said, '<|' || role || '|>' || chr(10) || rtext || '<|end|>' || chr(10) AS rsaid FROM c JOIN d USING (pair_id)
+)
+SELECT pair_id, CAST(floor(turn / 512) AS BIGINT) AS chunk, count(*) FILTER (WHERE common) AS n_prompt_turns,
+  sha256(coalesce(string_agg(said, '' ORDER BY turn, role, text) FILTER (WHERE common), '')) AS prompt_sha256,
+  sha256(coalesce(string_agg(said, '' ORDER BY turn, role, text) FILTER (WHERE NOT common), '')) AS chosen_sha256,
+  sha256(coalesce(string_agg(rsaid, '' ORDER BY turn, role, rtext) FILTER (WHERE NOT common), '')) AS rejected_sha256,
+  CAST(coalesce(sum(length(text) + 8) FILTER (WHERE NOT common AND role = 'assistant'), 0) AS BIGINT) AS chosen_trained,
+  CAST(coalesce(sum(length(rtext) + 8) FILTER (WHERE NOT common AND role = 'assistant'), 0) AS BIGINT) AS rejected_trained
+FROM m GROUP BY pair_id, floor(turn / 512)
+"""
+
+
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.components(read(spark, sf_dir, "documents"), n=2)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, w[i] || ' ' || w[i + 1] AS sh FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w) UNION ALL SELECT doc_id, w[1] FROM w WHERE len(w) = 1)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), l AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY ALL) JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE 100 * k >= 80 * (p.n + q.n - k)
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM documents JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
+def op6_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.components(read(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL
+), f AS (
+  SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS norm FROM e WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM f x JOIN f y ON x.label = y.label AND x.vec_id <> y.vec_id WHERE list_dot_product(x.v, y.v) / (x.norm * y.norm) >= 0.93
+), r AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a
+), n AS (
+  SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -83,13 +165,31 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+def op9_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.suffix_sums(token_counts.histogram(read(spark, sf_dir, "documents")))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_hmm_score": op2_hmm_score,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_preference_pairs": op4_preference_pairs,
+    "op5_near_dup": op5_near_dup,
+    "op6_embedding_near_dup": op6_embedding_near_dup,
+    "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
+    "op9_token_lengths": op9_token_lengths,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": OP1_SQL,
     "op3_substring_dedup": OP3_SQL,
+    "op4_preference_pairs": OP4_SQL,
+    "op5_near_dup": OP5_SQL,
+    "op6_embedding_near_dup": OP6_SQL,
     "op8_decontaminate": OP8_SQL,
 }
