@@ -56,7 +56,7 @@ def byte_lists(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None
 class WordHashes(dict):
     """word -> 64-bit hash, computed once; emptied when it holds too many words."""
 
-    def __init__(self, most: int = 500_000, seed: int = 0):
+    def __init__(self, most: int = 200_000, seed: int = 0):
         self.most, self.seed = most, seed
 
     def __missing__(self, word: bytes) -> int:

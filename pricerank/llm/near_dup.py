@@ -5,8 +5,10 @@ BITS bits (the odd sketch), an estimate of each candidate pair's similarity: the
 differ. Candidates whose sketches differ in more bits than links at the threshold ever do are dropped; the others are confirmed on their full sets.
 
 Equal sets become one class first. Inside a bucket of a band, members are paired with the bucket's least id only, not with each other; the links found give
-components, and members of one bucket that are still in different components are then paired too. So every proposed pair is either
-confirmed, refuted, or inside one component already. A pair at similarity 0.8 shares no band with a chance of (1 - 0.8^6)^46 = 8e-7.
+components. What is left are pairs of one bucket in different components. In buckets of up to SMALL members they are listed; in larger ones, tasks compare
+the members outside the bucket's main component with all others, block by block, and return links only. So every proposed pair is either
+confirmed, refuted, or inside one component already, and the pairs written out grow with the documents, not with the square of a group. A pair
+at similarity 0.8 shares no band with a chance of (1 - 0.8^6)^46 = 8e-7.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +29,8 @@ BANDS, ROWS, BITS = 46, 6, 1024
 HASHES = BANDS * ROWS
 #: Ids broadcast at most (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Members of a bucket whose pairs are listed, and of a block of a larger one.
+SMALL, BLOCK = 16, 256
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(5)
 FACTORS = _random.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -77,7 +82,7 @@ def most_differing_bits(similarity: float, deviations: float = 5) -> int:
 def _signatures(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in pieces(batches, 1_000):
+        for batch in pieces(batches, 500):
             sets = [shingle_set(known.of((t or b"").lower().split()), n) for t in byte_lists(batch)]
             least = np.stack([minima(s) for s in sets])
             sums = np.array([[s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix64(s + ROLL)) if len(s) else 0] for s in sets], np.uint64).view(np.int64)
@@ -131,6 +136,69 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, n: int, threshold: float) ->
     return both.where(F.lit(100).cast("long") * shared >= F.lit(hundredths) * union).select("a", "b")
 
 
+def _crowded(texts: DataFrame, placed: DataFrame, split: DataFrame, sketches: DataFrame, n: int, threshold: float, most: int) -> DataFrame:
+    """Links between components inside large buckets: blocks of members outside the main component against blocks of all members."""
+    members = placed.join(split.select("band", "main", "members", (F.col("members") - F.col("most")).alias("others")), "band")
+    pick = lambda total: F.pmod(F.xxhash64("rep"), F.ceil(F.col(total) / BLOCK))
+    every = lambda total: F.explode(F.sequence(F.lit(0), F.ceil(F.col(total) / BLOCK) - 1))
+    outside = members.where("component != main").select("band", "rep", "component", F.lit(True).alias("outside"), pick("others").alias("i"), every("members").alias("j"))
+    inside = members.select("band", "rep", "component", F.lit(False).alias("outside"), every("others").alias("i"), pick("members").alias("j"))
+    dealt = stored(outside.union(inside))
+    ids = stored(dealt.select(F.col("rep").alias("id")).distinct())
+    kind = ids.schema["id"].dataType.simpleString()
+    sets = stored(restricted(texts, ids).mapInArrow(_sets(n), f"id {kind}, set array<long>").dropDuplicates(["id"]).join(sketches, "id"))
+    return stored(dealt.join(sets, F.col("rep") == F.col("id")).groupBy("band", "i", "j").applyInPandas(_linked(threshold, most), f"a {kind}, b {kind}"))
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the sets a with the sets b, by products of their incidence matrices, some columns at a time."""
+    values = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    total = np.zeros((len(a), len(b)), np.float32)
+    where = []
+    for sets in (a, b):
+        flat = np.concatenate(sets)
+        column = np.minimum(np.searchsorted(values, flat), max(0, len(values) - 1))
+        hit = values[column] == flat if len(values) else np.zeros(len(flat), bool)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[hit]
+        order = np.argsort(column[hit], kind="stable")
+        where.append((row[order], column[hit][order]))
+    for at in range(0, len(values), 4096):
+        blocks = []
+        for (row, column), sets in zip(where, (a, b)):
+            low, high = np.searchsorted(column, [at, at + 4096])
+            block = np.zeros((len(sets), 4096), np.float32)
+            block[row[low:high], column[low:high] - at] = 1
+            blocks.append(block)
+        total += blocks[0] @ blocks[1].T
+    return total.astype(np.int64)
+
+
+def _linked(threshold: float, most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """One link for each outside member and component it is linked with."""
+    hundredths = round(threshold * 100)
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        x, y = block[block["outside"]], block[~block["outside"]]
+        nothing = pd.DataFrame({"a": block["rep"].iloc[:0], "b": block["rep"].iloc[:0]})
+        if not len(x) or not len(y):
+            return nothing
+        sketch = [np.stack(p["sketch"].to_numpy()).view(np.uint64) for p in (x, y)]
+        differing = sum(np.bitwise_count(sketch[0][:, k, None] ^ sketch[1][None, :, k]).astype(np.int32) for k in range(BITS // 64))
+        component = [p["component"].to_numpy() for p in (x, y)]
+        open_ = (differing <= most) & (component[0][:, None] != component[1][None, :])
+        rows, columns = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+        if not len(rows):
+            return nothing
+        sets = [[s for s in p["set"].to_numpy()[k]] for p, k in ((x, rows), (y, columns))]
+        shared = shared_counts(*sets)
+        union = np.array([len(s) for s in sets[0]])[:, None] + np.array([len(s) for s in sets[1]])[None, :] - shared
+        i, j = np.nonzero((100 * shared >= hundredths * union) & open_[np.ix_(rows, columns)])
+        links = pd.DataFrame({"a": x["rep"].to_numpy()[rows[i]], "b": y["rep"].to_numpy()[columns[j]], "component": component[1][columns[j]]})
+        return links.drop_duplicates(["a", "component"])[["a", "b"]]
+
+    return run
+
+
 def components(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row per document: doc_id, n_shingles (size of its set), component_id (least doc_id reachable by links, itself included), kept (doc_id = component_id).
 
@@ -141,7 +209,7 @@ def components(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame
     texts = docs.select("doc_id", "text")
     signed = stored(texts.mapInArrow(_signatures(n), f"doc_id {kind}, n_shingles long, sum long, xor long, bands array<long>, sketch array<long>"))
     linkable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = linkable.groupBy("n_shingles", "sum", "xor").agg(F.min("doc_id").alias("rep"))
+    classes = stored(linkable.groupBy("n_shingles", "sum", "xor").agg(F.min("doc_id").alias("rep")))
     classed = stored(linkable.select("doc_id", "n_shingles", "sum", "xor").join(classes, ["n_shingles", "sum", "xor"]).select("doc_id", "rep"))
     reps = classed.where("doc_id = rep").select("rep").distinct()
     banded = linkable.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
@@ -154,13 +222,13 @@ def components(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame
     led = members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     links = stored(_confirmed(texts, led.join(b, "b").join(a, "a").where(near).select("a", "b"), n, threshold))
     component = connected_components(links)
-    placed = members.join(component, members["rep"] == component["node"], "left").select("band", "leader", "rep", F.coalesce("component", "rep").alias("component"))
-    split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low != high AND members > 2").select("band")
-    apart = placed.where("rep != leader").join(split, "band").join(sketches, F.col("rep") == F.col("id")).select("band", "rep", "component", "sketch")
-    apart = stored(apart)
-    x, y = apart.select("band", F.col("rep").alias("a"), F.col("component").alias("component_a"), F.col("sketch").alias("sketch_a")), apart.select("band", F.col("rep").alias("b"), F.col("component").alias("component_b"), F.col("sketch").alias("sketch_b"))
+    placed = stored(members.where("rep != leader").join(component, members["rep"] == component["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("component")))
+    parts = placed.groupBy("band", "component").agg(F.count("*").alias("part"))
+    split = stored(parts.groupBy("band").agg(F.max_by("component", F.struct("part", "component")).alias("main"), F.max("part").alias("most"), F.sum("part").alias("members")).where("most < members"))
+    few = placed.join(split.where(F.col("members") <= SMALL).select("band"), "band").join(sketches, F.col("rep") == F.col("id")).select("band", "rep", "component", "sketch")
+    x, y = few.select("band", F.col("rep").alias("a"), F.col("component").alias("component_a"), F.col("sketch").alias("sketch_a")), few.select("band", F.col("rep").alias("b"), F.col("component").alias("component_b"), F.col("sketch").alias("sketch_b"))
     crossing = x.join(y, (x["band"] == y["band"]) & (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & near).select("a", "b").distinct()
-    more = stored(_confirmed(texts, crossing, n, threshold))
+    more = stored(_confirmed(texts, crossing, n, threshold)).union(_crowded(texts, placed, split.where(F.col("members") > SMALL), sketches, n, threshold, most))
     component = connected_components(links.union(more))
     found = classed.join(component, classed["rep"] == component["node"], "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component")).dropDuplicates(["id"])
     out = signed.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("id"), "left")

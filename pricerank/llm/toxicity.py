@@ -22,6 +22,8 @@ BUCKETS, DIMENSIONS, GRAMS = 1 << 20, 8, (3, 4, 5)
 #: The training sample's bounds.
 MOST_ROWS, MOST_BYTES = 5_000, 200_000
 EPOCHS, BATCH, RATE, SCALE, DOUBT = 8, 32, 0.2, 50.0, 2.0
+#: Words whose numbers a task keeps.
+KNOWN_WORDS = 150_000
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -118,13 +120,14 @@ def _scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, float] = {}
         value, bias = model.value
-        for batch in pieces(batches, 1_000):
+        for batch in pieces(batches, 300):
             each = [(t or b"").lower().split() for t in byte_lists(batch)]
-            if len(known) > 500_000:
+            if len(known) > KNOWN_WORDS:
                 known.clear()
-            if new := list(set().union(*each).difference(known)):
-                ids, count = subwords(new)
-                known.update(zip(new, (np.add.reduceat(value[ids], np.cumsum(count) - count) / count).tolist()))
+            new = list(set().union(*each).difference(known))
+            for at in range(0, len(new), 20_000):
+                ids, count = subwords(part := new[at : at + 20_000])
+                known.update(zip(part, (np.add.reduceat(value[ids], np.cumsum(count) - count) / count).tolist()))
             margin = np.array([bias + (np.fromiter(map(known.__getitem__, w), np.float64, len(w)).mean() if w else 0.0) for w in each])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(margin, -500, 500))))], names=[*batch.schema.names[:-1], "score"])
 
