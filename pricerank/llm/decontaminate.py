@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricerank.llm.common import byte_lists, pieces, stored
+from pricerank.llm.common import byte_lists, numbered, pieces, stored
 
 #: Words: runs of ASCII letters and digits and of all characters beyond ASCII; A-Z in lower case.
 KEPT_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -289,10 +289,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 500):
             at, spans = names.index("text"), batch.column("spans").to_pylist()
-            new = [cut_spans(t, s) if s else t for t, s in zip(byte_lists(batch), spans)]
+            new = [cut_spans(t, s) if s else t for t, s in zip(byte_lists(batch, f"c{at}"), spans)]
             columns = batch.columns[: len(names)]
             columns[at] = pa.array([x.decode() if isinstance(x, bytes) else x for x in new], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = find_spans(docs, benchmark, n, keep=tuple(names)).select(*names, "spans").mapInArrow(cut, docs.schema)
+    own = numbered(docs, "text")
+    out = find_spans(own, benchmark, n, keep=tuple(own.columns[:-1])).drop("n_words", "items").mapInArrow(cut, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

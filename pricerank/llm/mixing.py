@@ -40,16 +40,16 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
     return s.withColumn("target", F.when(capped, F.col("_cap")).otherwise(F.col("_first._level") * F.col("_w"))).drop("_w", "_cap", "_ratio", "_level", "_at", "_first")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.0, max_repeats: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, epochs, taken and the columns named in `keep`.
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.0, max_repeats: int = 3, with_row: bool = False) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, epochs, taken and, with_row, the whole document as the struct column row.
 
     `size` counts the words of `text` (null: 0); `taken` is what the mix takes of the document: `epochs` whole passes over its source and,
     where the source's remaining budget ends inside or after it, that many words more. A source's taken words
     add up to its target rounded down, so reruns agree. Documents are ordered by the md5 of their id, ties by id and size, so
     repeated rows are taken one after another. A null source is a source of its own; a null id counts as the empty text. Empty
-    tables give no rows. Columns beyond doc_id, text, source and `keep` are not read.
+    tables give no rows. Other columns are not read, unless with_row.
     """
-    size = docs.select("doc_id", F.col("source"), n_words(F.col("text")).alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    size = docs.select("doc_id", F.col("source"), n_words(F.col("text")).alias("size"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if with_row else []))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     d = size.withColumn("_s", _non_null(F.col("source"))).withColumn("_key", key).withColumn("_range", F.substring("_key", 1, RANGE_DIGITS))
     ranges = d.groupBy("_s", "_range").agg(F.sum("size").alias("_range_size"), F.first("source").alias("source"))
@@ -63,23 +63,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     d = d.withColumn("epochs", epochs)
     rest = F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
     more = F.least(F.greatest(rest - F.col("_before") - F.col("_running"), F.lit(0).cast("long")), F.col("size"))
-    return d.select("doc_id", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + more).alias("taken"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
+    return d.select("doc_id", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + more).alias("taken"), *(["row"] if with_row else []))
 
 
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: one row for each epoch in which a document is taken, with the columns of documents, size, source_size, target, epoch (from 1)
     and taken (words of this row). The text is cut after `taken` words where the budget ends inside it, else it is whole.
-    Documents of which nothing is taken go; so do those without words."""
-    d = mix(docs, keep=tuple(c for c in docs.columns if c != "doc_id"), **options)
+    Documents of which nothing is taken go; so do those without words. Columns of documents with one of the five new names give way to them."""
+    d = mix(docs, with_row=True, **options)
     passes = F.col("epochs") + F.when(F.col("taken") > F.col("epochs") * F.col("size"), 1).otherwise(0)
     d = d.where("taken > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), passes)))
     part = F.least(F.col("taken") - (F.col("epoch") - 1) * F.col("size"), F.col("size"))
-    words = F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), part.cast("int"))
-    text = F.when(part < F.col("size"), F.concat_ws(" ", words)).otherwise(F.col("text"))
-    n_chars = [F.char_length("_text").cast(docs.schema["n_chars"].dataType).alias("n_chars")] if "n_chars" in docs.columns else []
-    d = d.withColumn("_text", text).withColumn("_part", part)
-    rest = [F.col(c) for c in docs.columns if c not in ("text", "n_chars")]
-    return d.select(*rest, F.col("_text").alias("text"), *n_chars, "size", "source_size", "target", "epoch", F.col("_part").alias("taken"))
+    words = F.slice(F.filter(F.split("row.text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), part.cast("int"))
+    text = F.when(part < F.col("size"), F.concat_ws(" ", words)).otherwise(F.col("row.text"))
+    new = {"text": text, "n_chars": F.char_length(text)}
+    value = lambda c: new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"row.`{c}`")
+    added = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "epoch": F.col("epoch"), "taken": part}
+    return d.select(*[value(c).alias(c) for c in docs.columns if c not in added], *[x.alias(c) for c, x in added.items()])
 
 
 def _non_null(source: Column) -> Column:

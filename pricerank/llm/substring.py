@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricerank.llm.common import WordHashes, byte_lists, mix64, pieces, stored
+from pricerank.llm.common import WordHashes, byte_lists, mix64, numbered, pieces, stored
 
 #: Words of an anchor; fragments of one anchor, and of a shard, that an automaton takes.
 K, ANCHOR_MOST, SHARD_FRAGMENTS = 8, 1_000, 4_000
@@ -170,7 +170,7 @@ def _matched(n: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """A shard: references in order, each streamed past the automaton of those before it."""
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["doc_id", "start"], kind="stable")
+        shard = shard.drop_duplicates(["doc_id", "start", "anchor"]).sort_values(["doc_id", "start"], kind="stable")
         left = shard.groupby("anchor")["start"].count().to_dict()
         automaton, seen, out = SuffixAutomaton(), set(), []
         for r in shard.itertuples():
@@ -234,7 +234,8 @@ def spans(docs: DataFrame, n: int = 20) -> DataFrame:
 
 def _with_spans(docs: DataFrame, n: int) -> DataFrame:
     ranges = spans(docs, n).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    return docs.join(ranges, docs.doc_id == F.col("_id"), "left").drop("_id")
+    own = numbered(docs)
+    return own.join(ranges, own[f"c{docs.columns.index('doc_id')}"] == F.col("_id"), "left").drop("_id")
 
 
 def _kept(text: bytes | None, ranges: list[dict] | None) -> tuple[list[bytes], int]:
@@ -253,7 +254,7 @@ def report(docs: DataFrame, n: int = 20) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 500):
-            each = [_kept(t, r) for t, r in zip(byte_lists(batch), batch.column(2).to_pylist())]
+            each = [_kept(t, r) for t, r in zip(byte_lists(batch, "c1"), batch.column(2).to_pylist())]
             sums = [hashlib.sha256(b" ".join(w)).hexdigest() for w, _ in each]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m for _, m in each], pa.int64()), pa.array([m - len(w) for w, m in each], pa.int64()), pa.array(sums, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
@@ -268,7 +269,7 @@ def clean(docs: DataFrame, n: int = 20) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 500):
             at, ranges = names.index("text"), batch.column(len(names)).to_pylist()
-            new = [b" ".join(_kept(t, r)[0]) if r else t for t, r in zip(byte_lists(batch), ranges)]
+            new = [b" ".join(_kept(t, r)[0]) if r else t for t, r in zip(byte_lists(batch, f"c{at}"), ranges)]
             columns = batch.columns[: len(names)]
             columns[at] = pa.array([None if t is None else t.decode() for t in new], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricerank.llm.common import byte_lists, mix64, pieces, remainder
+from pricerank.llm.common import byte_lists, mix64, numbered, pieces, remainder
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 20, 8, (3, 4, 5)
 #: The training sample's bounds.
@@ -144,17 +144,20 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> tuple[np.ndarray,
     return train([texts[i] for i in order], rows["toxic"].to_numpy()[order].astype(np.int64))
 
 
-def scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), folds: int = 5) -> DataFrame:
-    """The columns `keep` of each document and score (0 to 1, of its whole text).
+def _scores(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+    """All columns but the last, which is the text, and score."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema[:-1])
+    return docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model)), f"{kinds}, score double")
+
+
+def scores(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
+    """Per document: doc_id and score (0 to 1, of its whole text).
 
     Labels, ids and all columns but the text are no inputs of a score. Null and empty texts get the score of the bias. Labels other than 0 and 1 or
     without an id are not learned from; without labels of both classes all scores are 0 (or 1, if all labels are toxic). Empty
     tables give no rows, repeated rows equal scores.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, folds))
-    part = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], "text")
-    kinds = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    return part.mapInArrow(_scorer(model), f"{kinds}, score double").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "score")
+    return _scores(docs.select("doc_id", "text"), fit(docs, labels, folds))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -164,4 +167,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents with a score below the threshold, with their columns."""
-    return scores(docs, labels, keep=tuple(docs.columns)).where(F.col("score") < threshold).select(*docs.columns)
+    kept = _scores(numbered(docs, "text"), fit(docs, labels)).where(F.col("score") < threshold)
+    return kept.drop("score").toDF(*docs.columns)
