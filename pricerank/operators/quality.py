@@ -42,6 +42,12 @@ def table_rules(table: str) -> dict[str, Column]:
     return {name: F.coalesce(broken, F.lit(False)) for name, broken in rules.items()}
 
 
+def rules_of(df: DataFrame, table: str) -> dict[str, Column]:
+    """The table's rules over those of its columns that the frame has."""
+    here = lambda name: {"latitud", "longitud"} <= set(df.columns) if name == "check:coordinates" else name.split(":")[1] in df.columns
+    return {name: broken for name, broken in table_rules(table).items() if here(name)}
+
+
 def broken_rules(rules: Mapping[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()]), lambda name: name.isNotNull())
 
@@ -53,8 +59,7 @@ def split_valid(df: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame,
 
 
 def row_violations(df: DataFrame, table: str) -> DataFrame:
-    rules = {name: broken for name, broken in table_rules(table).items() if name.split(":")[-1] in df.columns or name == "check:coordinates"}
-    found = df.select(F.col("id").cast("string").alias("row_key"), F.explode(broken_rules(rules)).alias("rule"))
+    found = df.select(F.col("id").cast("string").alias("row_key"), F.explode(broken_rules(rules_of(df, table))).alias("rule"))
     return found.select(F.lit(table).alias("table"), "row_key", "rule", F.lit(None).cast("string").alias("detail"))
 
 

@@ -93,13 +93,13 @@ def mark_prices(base: DataFrame, ids: DataFrame, available: bool | None = None,
 def ingest(tables: Mapping[str, DataFrame], listings: DataFrame, prices: DataFrame, seq: str = "seq") -> tuple[dict[str, DataFrame], DataFrame]:
     """Listings, then prices, upserted with defaults after the checks; (new tables, rejected rows with their rule). A price whose listing
     is rejected is rejected too, as its reference fails."""
-    from pricerank.operators.quality import split_valid, table_rules, violations
+    from pricerank.operators.quality import rules_of, split_valid, violations
 
     out, rejected = dict(tables), None
     for table, rows in (("producto_fuente", listings), ("precio", prices)):
         full = with_defaults(rows, table)
         full = full.select(*[F.col(c) if c in full.columns else F.lit(None).cast(tables[table].schema[c].dataType).alias(c) for c in tables[table].columns], seq)
-        good, bad = split_valid(full, table_rules(table))
+        good, bad = split_valid(full, rules_of(full, table))
         trial = {**out, table: good.drop(seq)}
         broken = violations(trial, [table], families=("reference",)).select(F.col("row_key").alias("_key"), "rule").distinct()
         orphans = good.join(broken, good["id"].cast("string") == F.col("_key"))

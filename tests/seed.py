@@ -34,6 +34,7 @@ def tables(spark):
         "marca": rows(spark, "marca", [{"id": "S", "nombre": "Sancor", "activo": True}]),
         "producto": rows(spark, "producto", [{"id": k, "categoria_id": "B" if k == "COCA-225" else None, "nombre_normalizado": n, "codigo_interno": k, "activo": True} for k, n in PRODUCTS.items()]),
     }
+    t = {name: conform(with_defaults(df, name), name) for name, df in t.items()}
     products = t["producto"].select("id", F.col("nombre_normalizado").alias("normalized_name"), F.col("id").alias("source_suffix"), F.create_map(F.lit("Carrefour"), F.lit("Gaseosa Coca Cola 2,25 L")).alias("source_names"))
     products = products.withColumn("source_names", F.when(F.col("id") == "COCA-225", F.col("source_names")))
     listings = expand_listings(products, t["supermercado"].withColumn("prefix", F.col("id"))).withColumn("id", F.col("codigo_externo"))
