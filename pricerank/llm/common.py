@@ -38,9 +38,9 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame, *also: str) -> DataFrame:
-    """The columns as c0, c1, ..., so that no name of theirs can clash, and copies of those in `also` under their own names."""
-    return docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], *also)
+def numbered(docs: DataFrame) -> DataFrame:
+    """The columns as c0, c1, ..., so that no name of theirs can clash."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
 
 
 def n_words(text: Column) -> Column:

@@ -201,16 +201,16 @@ def _parts(owner: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(owner[a]), slice(int(a), int(b))
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """Batches cut where their texts exceed a shard; a longer text is a shard of its own."""
     for batch in pieces(batches, 2_000):
-        size = np.cumsum([len(t or b"") // 6 for t in byte_lists(batch)])
+        size = np.cumsum([len(t or b"") // 6 for t in byte_lists(batch, text)])
         edge = [0, *(np.flatnonzero(np.diff(size // (4 * SHARD))) + 1).tolist(), batch.num_rows]
         for a, b in zip(edge[:-1], edge[1:]):
             yield batch.slice(a, b - a)
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def find_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns `keep` of each document with n_words, spans (merged, of hit words: start, end) and items (distinct ids as text).
 
     A window is n consecutive words of an item, or a shorter item's whole sequence. Null and empty texts have no words, as documents and as items; a
@@ -222,31 +222,33 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: tuple[s
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text"))
     total = items.agg(F.sum(F.octet_length("text") / 4)).first()[0] or 0
     slices = int(total // SLICE_WORDS) + 1
-    state = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(SPANS).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    own = text in keep  # then the text is carried on anyway, else up to the last pass
+    place = f"k{keep.index(text)}" if own else "text"
+    state = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], *([] if own else [F.col(text).alias("text")]), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(SPANS).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
     for k in range(slices):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k)
         windows = spark.sparkContext.broadcast(Windows([(r.item, r.text.encode() if r.text is not None else None) for r in part.collect()], n))
         last = k == slices - 1
         out = state.drop("text") if last else state
-        state = state.mapInArrow(_finder(windows, len(keep), last), out.schema)
+        state = state.mapInArrow(_finder(windows, place, out.columns[:-3]), out.schema)
         if not last:
             state = stored(state)
     return state.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "spans", "items")
 
 
-def _finder(windows, keep: int, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _finder(windows, text: str, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _shards(batches):
-            counts, spans, items = search_shard(byte_lists(batch), windows.value)
+        for batch in _shards(batches, text):
+            counts, spans, items = search_shard(byte_lists(batch, text), windows.value)
             names = windows.value.items
             old = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist())
             spans = [[{"start": int(a), "end": int(b)} for a, b in s] for s in spans]
             items = [[str(x) for x in names[i]] for i in items]
             both = [(_merged(p + s) if p else s, sorted({*q, *i}) if q else i) for s, i, (p, q) in zip(spans, items, old)]
-            columns = [*batch.columns[:keep], *([] if last else [batch.column("text")]), pa.array(counts), pa.array([s for s, _ in both], kind), pa.array([i for _, i in both], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[x for x in batch.schema.names if x != "text" or not last])
+            found = [pa.array(counts), pa.array([s for s, _ in both], kind), pa.array([i for _, i in both], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *found], names=[*keep, "n_words", "spans", "items"])
 
     return run
 
@@ -294,6 +296,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
             columns[at] = pa.array([x.decode() if isinstance(x, bytes) else x for x in new], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    own = numbered(docs, "text")
-    out = find_spans(own, benchmark, n, keep=tuple(own.columns[:-1])).drop("n_words", "items").mapInArrow(cut, docs.schema)
+    own = numbered(docs)
+    out = find_spans(own, benchmark, n, keep=tuple(own.columns), text=f"c{names.index('text')}").drop("n_words", "items").mapInArrow(cut, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

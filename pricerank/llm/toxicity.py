@@ -116,12 +116,12 @@ def _summed(owner: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(owner, rows[:, d], n) for d in range(rows.shape[1])], 1).astype(np.float32)
 
 
-def _scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scorer(model, text: str, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, float] = {}
         value, bias = model.value
         for batch in pieces(batches, 300):
-            each = [(t or b"").lower().split() for t in byte_lists(batch)]
+            each = [(t or b"").lower().split() for t in byte_lists(batch, text)]
             if len(known) > KNOWN_WORDS:
                 known.clear()
             new = list(set().union(*each).difference(known))
@@ -129,7 +129,7 @@ def _scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
                 ids, count = subwords(part := new[at : at + 20_000])
                 known.update(zip(part, (np.add.reduceat(value[ids], np.cumsum(count) - count) / count).tolist()))
             margin = np.array([bias + (np.fromiter(map(known.__getitem__, w), np.float64, len(w)).mean() if w else 0.0) for w in each])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(margin, -500, 500))))], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(1 / (1 + np.exp(-np.clip(margin, -500, 500))))], names=[*keep, "score"])
 
     return run
 
@@ -144,10 +144,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> tuple[np.ndarray,
     return train([texts[i] for i in order], rows["toxic"].to_numpy()[order].astype(np.int64))
 
 
-def _scores(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """All columns but the last, which is the text, and score."""
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema[:-1])
-    return docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model)), f"{kinds}, score double")
+def _scores(docs: DataFrame, text: str, keep: list[str], model: tuple[np.ndarray, float]) -> DataFrame:
+    """The columns `keep` and score."""
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), text, keep), f"{kinds}, score double")
 
 
 def scores(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
@@ -157,7 +157,7 @@ def scores(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     without an id are not learned from; without labels of both classes all scores are 0 (or 1, if all labels are toxic). Empty
     tables give no rows, repeated rows equal scores.
     """
-    return _scores(docs.select("doc_id", "text"), fit(docs, labels, folds))
+    return _scores(docs.select("doc_id", "text"), "text", ["doc_id"], fit(docs, labels, folds))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -167,5 +167,6 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents with a score below the threshold, with their columns."""
-    kept = _scores(numbered(docs, "text"), fit(docs, labels)).where(F.col("score") < threshold)
+    own = numbered(docs)
+    kept = _scores(own, f"c{docs.columns.index('text')}", own.columns, fit(docs, labels)).where(F.col("score") < threshold)
     return kept.drop("score").toDF(*docs.columns)
