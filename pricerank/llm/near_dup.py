@@ -5,8 +5,8 @@ BITS bits (the odd sketch), an estimate of each candidate pair's similarity: the
 differ. Candidates whose sketches differ in more bits than links at the threshold ever do are dropped; the others are confirmed on their full sets.
 
 Equal sets become one class first. Inside a bucket of a band, members are paired with the bucket's least id only, not with each other; the links found give
-components. What is left are pairs of one bucket in different components. In buckets of up to SMALL members they are listed; in larger ones, tasks compare
-the members outside the bucket's main component with all others, block by block, and return links only. So every proposed pair is either
+components. What is left are pairs of one bucket in different components. In buckets of up to SMALL members they are listed; for larger ones, tasks compare
+the members outside the bucket's main component with all members, block by block, and return links only. So every proposed pair is either
 confirmed, refuted, or inside one component already, and the pairs written out grow with the documents, not with the square of a group. A pair
 at similarity 0.8 shares no band with a chance of (1 - 0.8^6)^46 = 8e-7.
 """
@@ -128,7 +128,7 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, n: int, threshold: float) ->
     pairs = stored(pairs)
     ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     kind = ids.schema["id"].dataType.simpleString()
-    sets = restricted(texts, ids).mapInArrow(_sets(n), f"id {kind}, set array<long>").dropDuplicates(["id"])
+    sets = stored(restricted(texts, ids).mapInArrow(_sets(n), f"id {kind}, set array<long>").dropDuplicates(["id"]))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - shared
@@ -137,17 +137,21 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, n: int, threshold: float) ->
 
 
 def _crowded(texts: DataFrame, placed: DataFrame, split: DataFrame, sketches: DataFrame, n: int, threshold: float, most: int) -> DataFrame:
-    """Links between components inside large buckets: blocks of members outside the main component against blocks of all members."""
-    members = placed.join(split.select("band", "main", "members", (F.col("members") - F.col("most")).alias("others")), "band")
+    """Links between components inside large buckets. All large buckets with the same main component are taken together: blocks of their
+    members outside it against blocks of all their members, so that a group is sent once and not once a band."""
+    members = placed.join(split.select("band", "main"), "band").select("main", "rep", "component").distinct()
+    members = stored(members.withColumn("outside", F.col("component") != F.col("main")))
+    counts = members.groupBy("main").agg(F.count("*").alias("members"), F.count_if("outside").alias("others"))
+    members = members.join(counts, "main")
     pick = lambda total: F.pmod(F.xxhash64("rep"), F.ceil(F.col(total) / BLOCK))
     every = lambda total: F.explode(F.sequence(F.lit(0), F.ceil(F.col(total) / BLOCK) - 1))
-    outside = members.where("component != main").select("band", "rep", "component", F.lit(True).alias("outside"), pick("others").alias("i"), every("members").alias("j"))
-    inside = members.select("band", "rep", "component", F.lit(False).alias("outside"), every("others").alias("i"), pick("members").alias("j"))
+    outside = members.where("outside").select("main", "rep", "component", "outside", pick("others").alias("i"), every("members").alias("j"))
+    inside = members.select("main", "rep", "component", F.lit(False).alias("outside"), every("others").alias("i"), pick("members").alias("j"))
     dealt = stored(outside.union(inside))
     ids = stored(dealt.select(F.col("rep").alias("id")).distinct())
     kind = ids.schema["id"].dataType.simpleString()
     sets = stored(restricted(texts, ids).mapInArrow(_sets(n), f"id {kind}, set array<long>").dropDuplicates(["id"]).join(sketches, "id"))
-    return stored(dealt.join(sets, F.col("rep") == F.col("id")).groupBy("band", "i", "j").applyInPandas(_linked(threshold, most), f"a {kind}, b {kind}"))
+    return stored(dealt.join(sets, F.col("rep") == F.col("id")).groupBy("main", "i", "j").applyInPandas(_linked(threshold, most), f"a {kind}, b {kind}"))
 
 
 def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
