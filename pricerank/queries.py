@@ -67,17 +67,17 @@ def _(t):
     return out
 
 
-@query("s2_batch_lookup", f"SELECT {PRICE} FROM precio WHERE id IN (SELECT id FROM precio WHERE promocion AND sucursal_id = 3)", "precio", money=("precio",))
+@query("s2_batch_lookup", f"SELECT {PRICE} FROM precio WHERE id IN (SELECT id FROM precio WHERE promocion)", "precio", money=("precio",))
 def _(t):
-    return rows.lookup(t["precio"], t["precio"].where("promocion AND sucursal_id = 3").select("id")).select(PRICE_COLUMNS)
+    return rows.lookup(t["precio"], t["precio"].where("promocion").select("id")).select(PRICE_COLUMNS)
 
 
-UPDATES = "SELECT id, producto_fuente_id, sucursal_id, CAST(precio + 1 AS DECIMAL(14,2)) AS precio, CAST(NULL AS STRING) AS moneda, fecha_relevamiento, disponible, promocion, CAST(NULL AS TIMESTAMP) AS created_at FROM precio WHERE promocion UNION ALL SELECT concat('N-', id), producto_fuente_id, sucursal_id, precio, moneda, fecha_relevamiento, disponible, promocion, created_at FROM precio WHERE sucursal_id = 5"
+UPDATES = "SELECT id, producto_fuente_id, sucursal_id, CAST(precio + 1 AS DECIMAL(14,2)) AS precio, CAST(NULL AS STRING) AS moneda, fecha_relevamiento, disponible, promocion, CAST(NULL AS TIMESTAMP) AS created_at FROM precio WHERE promocion UNION ALL SELECT concat('N-', id), producto_fuente_id, sucursal_id, precio, moneda, fecha_relevamiento, disponible, promocion, created_at FROM precio WHERE NOT disponible"
 
 
 def _updates(p: DataFrame) -> DataFrame:
     changed = p.where("promocion").withColumns({"precio": (F.col("precio") + 1).cast("decimal(14,2)"), "moneda": F.lit(None).cast("string"), "created_at": F.lit(None).cast("timestamp")})
-    return changed.unionByName(p.where("sucursal_id = 5").withColumn("id", F.concat(F.lit("N-"), "id")))
+    return changed.unionByName(p.where("NOT disponible").withColumn("id", F.concat(F.lit("N-"), "id")))
 
 
 UPSERTED = "SELECT coalesce(u.id, b.id) AS id, CASE WHEN u.id IS NULL THEN b.precio ELSE u.precio END AS precio, CASE WHEN u.id IS NULL THEN b.moneda ELSE u.moneda END AS moneda, strftime(coalesce(u.created_at, b.created_at), '%Y-%m-%d') AS created FROM precio b FULL JOIN ({u}) u ON b.id = u.id"
@@ -97,10 +97,10 @@ def _(t):
     return out.select("id", "precio", "moneda", F.date_format("created_at", "yyyy-MM-dd").alias("created"))
 
 
-@query("s5_ingest", "SELECT sucursal_id, count(*) AS n, sum(precio) AS total FROM (SELECT sucursal_id, precio FROM precio UNION ALL SELECT sucursal_id, precio FROM precio WHERE sucursal_id <= 3 AND precio >= 1000) GROUP BY sucursal_id", "precio", "producto_fuente", "producto", "supermercado", "sucursal", "ciudad", money=("total",))
+@query("s5_ingest", "SELECT sucursal_id, count(*) AS n, sum(precio) AS total FROM (SELECT sucursal_id, precio FROM precio UNION ALL SELECT sucursal_id, precio FROM precio WHERE promocion AND precio >= 1000) GROUP BY sucursal_id", "precio", "producto_fuente", "producto", "supermercado", "sucursal", "ciudad", money=("total",))
 def _(t):
-    p = t["precio"].where("sucursal_id <= 3").withColumns({"id": F.concat(F.lit("I-"), "id"), "seq": F.lit(1), "precio": F.when(F.col("precio") < 1000, F.lit(-1)).otherwise(F.col("precio")).cast("decimal(14,2)")})
-    listings = t["producto_fuente"].where("supermercado_id = 1").withColumn("seq", F.lit(1))
+    p = t["precio"].where("promocion").withColumns({"id": F.concat(F.lit("I-"), "id"), "seq": F.lit(1), "precio": F.when(F.col("precio") < 1000, F.lit(-1)).otherwise(F.col("precio")).cast("decimal(14,2)")})
+    listings = t["producto_fuente"].withColumn("seq", F.lit(1))
     out, _rejected = upsert.ingest(t, listings, p)
     return out["precio"].groupBy("sucursal_id").agg(F.count("*").alias("n"), F.sum("precio").alias("total"))
 
@@ -138,11 +138,10 @@ def _(t):
     return _expanded(t)
 
 
-@query("s7_expand_prices", f"SELECT s.id AS sucursal_id, e.codigo_externo, CAST(p.contenido_neto + s.id AS DECIMAL(14,2)) AS precio FROM sucursal s JOIN ({EXPANDED}) e ON e.supermercado_id = s.supermercado_id JOIN producto p ON p.id = e.producto_id WHERE p.id <= 20", "producto", "supermercado", "sucursal", money=("precio",))
+@query("s7_expand_prices", f"SELECT s.id AS sucursal_id, e.codigo_externo, CAST(p.contenido_neto + s.id AS DECIMAL(14,2)) AS precio FROM sucursal s JOIN ({EXPANDED}) e ON e.supermercado_id = s.supermercado_id JOIN producto p ON p.id = e.producto_id", "producto", "supermercado", "sucursal", money=("precio",))
 def _(t):
-    few = t["producto"].where("id <= 20")  # the price matrix of a survey: 20 products at every branch
-    entry = F.struct(F.col("p.id").alias("key"), (F.col("p.contenido_neto") + F.col("s.id")).cast("decimal(14,2)").alias("value"))
-    matrix = few.alias("p").crossJoin(t["sucursal"].alias("s")).groupBy(F.col("s.id").alias("sucursal_id")).agg(F.map_from_entries(F.collect_list(entry)).alias("prices"))
+    price = (F.col("p.contenido_neto") + F.col("s.id")).cast("decimal(14,2)")
+    matrix = t["producto"].alias("p").join(F.broadcast(t["sucursal"].alias("s"))).select(F.col("s.id").alias("sucursal_id"), F.create_map("p.id", price).alias("prices"))
     listings = _expanded(t).withColumn("id", F.col("codigo_externo"))
     return upsert.expand_prices(matrix, listings, t["sucursal"]).select("sucursal_id", F.col("producto_fuente_id").alias("codigo_externo"), "precio")
 
@@ -176,9 +175,9 @@ def _(t):
     return rows.where_given(t["precio"], sucursal_id=4, promocion=True, moneda=None).select(PRICE_COLUMNS)
 
 
-@query("f4_membership", f"SELECT {PRICE} FROM precio WHERE producto_fuente_id IN (SELECT id FROM producto_fuente WHERE producto_id <= 50) AND sucursal_id IN (1, 2, 7)", "precio", "producto_fuente", money=("precio",))
+@query("f4_membership", f"SELECT {PRICE} FROM precio WHERE producto_fuente_id IN (SELECT id FROM producto_fuente WHERE supermercado_id = 1) AND sucursal_id IN (1, 2, 7)", "precio", "producto_fuente", money=("precio",))
 def _(t):
-    keys = t["producto_fuente"].where("producto_id <= 50").select("id")
+    keys = t["producto_fuente"].where("supermercado_id = 1").select("id")
     return rows.restrict(rows.restrict(rows.restrict(t["precio"], "producto_fuente_id", keys), "sucursal_id", [1, 2, 7]), "moneda", None).select(PRICE_COLUMNS)
 
 
@@ -339,9 +338,9 @@ def _(t):
     return rows.listing(rows.active(t["producto"]), 100, 50, "nombre_normalizado").select("id")
 
 
-@query("l4_recency_order", f"SELECT {PRICE} FROM precio WHERE producto_fuente_id % 4 = 1 AND disponible AND sucursal_id = 5", "precio", "producto_fuente", money=("precio",))
+@query("l4_recency_order", f"SELECT {PRICE} FROM precio WHERE disponible AND sucursal_id = 5", "precio", "producto_fuente", money=("precio",))
 def _(t):
-    return prices.available_prices(t["precio"].where("producto_fuente_id % 4 = 1"), t["producto_fuente"], branch=5).select(PRICE_COLUMNS)
+    return prices.available_prices(t["precio"], t["producto_fuente"], branch=5).select(PRICE_COLUMNS)
 
 
 @query("l5_incomplete_order", f"SELECT basket_id, sucursal_id, row_number() OVER (PARTITION BY basket_id ORDER BY n, supermercado, sucursal, sucursal_id) AS pos FROM (SELECT basket_id, sucursal_id, count(*) AS n FROM ({LACKING}) GROUP BY ALL) JOIN ab USING (sucursal_id)")
@@ -407,18 +406,18 @@ def _(t):
 
 
 # change sets
-@query("m1_activate", "SELECT id, CASE WHEN id % 3 = 0 THEN NOT activo ELSE activo END AS activo FROM producto", "producto")
+@query("m1_activate", "SELECT id, CASE WHEN marca_id IS NULL THEN NOT activo ELSE activo END AS activo FROM producto", "producto")
 def _(t):
-    changed = t["producto"].where("id % 3 = 0").select("id", F.lit(2).alias("seq"), (~F.col("activo")).alias("activo"))
+    changed = t["producto"].where("marca_id IS NULL").select("id", F.lit(2).alias("seq"), (~F.col("activo")).alias("activo"))
     earlier = changed.withColumns({"seq": F.lit(1), "activo": ~F.col("activo")})
     return upsert.apply_changes(t["producto"], changed.unionByName(earlier)).select("id", "activo")
 
 
-@query("m2_price_flags", "SELECT id, CASE WHEN sucursal_id = 1 THEN false ELSE disponible END AS disponible, CASE WHEN sucursal_id IN (1, 2) THEN true ELSE promocion END AS promocion FROM precio", "precio")
+@query("m2_price_flags", "SELECT id, CASE WHEN promocion THEN false ELSE disponible END AS disponible, promocion OR NOT disponible AS promocion FROM precio", "precio")
 def _(t):
     p = t["precio"]
-    marked = upsert.mark_prices(p, p.where("sucursal_id = 1"), available=False, promotion=True)
-    return upsert.mark_prices(marked, p.where("sucursal_id = 2"), promotion=True).select("id", "disponible", "promocion")
+    marked = upsert.mark_prices(p, p.where("promocion"), available=False, promotion=True)
+    return upsert.mark_prices(marked, p.where("NOT disponible"), promotion=True).select("id", "disponible", "promocion")
 
 
 # quality
@@ -428,15 +427,16 @@ def _(t):
     return quality.row_violations(broken, "precio").select("table", "row_key", "rule")
 
 
-@query("q2_unique", "SELECT 'producto_fuente' AS \"table\", concat(CAST(supermercado_id AS STRING), '|', codigo_externo) AS row_key, 'unique:supermercado_id,codigo_externo' AS rule, CAST(count(*) AS VARCHAR) AS detail FROM (SELECT supermercado_id, codigo_externo FROM producto_fuente UNION ALL SELECT supermercado_id, codigo_externo FROM producto_fuente WHERE producto_id % 7 = 0) GROUP BY ALL HAVING count(*) > 1", "producto_fuente")
+@query("q2_unique", "SELECT 'producto_fuente' AS \"table\", concat(CAST(supermercado_id AS STRING), '|', codigo_externo) AS row_key, 'unique:supermercado_id,codigo_externo' AS rule, CAST(count(*) AS VARCHAR) AS detail FROM (SELECT supermercado_id, codigo_externo FROM producto_fuente UNION ALL SELECT supermercado_id, codigo_externo FROM producto_fuente WHERE supermercado_id = 2) GROUP BY ALL HAVING count(*) > 1", "producto_fuente")
 def _(t):
-    again = t["producto_fuente"].where("producto_id % 7 = 0").withColumn("id", -F.col("id") - 1)
+    again = t["producto_fuente"].where("supermercado_id = 2").withColumn("id", -F.col("id") - 1)
     return quality.unique_violations(t["producto_fuente"].unionByName(again), "producto_fuente").where("rule <> 'unique:id'")
 
 
-@query("q3_references", "SELECT id AS row_key, 'reference:producto_fuente_id' AS rule FROM precio WHERE producto_fuente_id NOT IN (SELECT id FROM producto_fuente WHERE producto_id % 11 <> 0)", "precio", "producto_fuente", "sucursal")
+@query("q3_references", "SELECT id AS row_key, 'reference:producto_fuente_id' AS rule FROM precio WHERE producto_fuente_id NOT IN (SELECT id FROM producto_fuente WHERE producto_id IN (SELECT id FROM producto WHERE activo))", "precio", "producto_fuente", "producto", "sucursal")
 def _(t):
-    fewer = {**t, "producto_fuente": t["producto_fuente"].where("producto_id % 11 <> 0")}
+    kept = rows.active(t["producto"]).select(F.col("id").alias("producto_id"))
+    fewer = {**t, "producto_fuente": t["producto_fuente"].join(kept, "producto_id", "left_semi")}
     return quality.reference_violations(fewer, "precio").select("row_key", "rule")
 
 
@@ -457,9 +457,9 @@ def _(t):
     return quality.result_violations(ranked.withColumn("saving", -F.col("saving")))  # all other promises hold
 
 
-@query("q8_chain_mismatch", "SELECT p.id, f.supermercado_id AS listing_chain, s.supermercado_id AS branch_chain FROM precio p JOIN producto_fuente f ON p.producto_fuente_id = f.id JOIN (SELECT id, CASE WHEN id % 6 = 0 THEN (supermercado_id + 1) % 4 ELSE supermercado_id END AS supermercado_id FROM sucursal) s ON p.sucursal_id = s.id WHERE f.supermercado_id <> s.supermercado_id", "precio", "producto_fuente", "sucursal")
+@query("q8_chain_mismatch", "SELECT p.id, f.supermercado_id AS listing_chain, s.supermercado_id AS branch_chain FROM precio p JOIN producto_fuente f ON p.producto_fuente_id = f.id JOIN (SELECT id, CASE WHEN NOT activo THEN (supermercado_id + 1) % 4 ELSE supermercado_id END AS supermercado_id FROM sucursal) s ON p.sucursal_id = s.id WHERE f.supermercado_id <> s.supermercado_id", "precio", "producto_fuente", "sucursal")
 def _(t):
-    moved = t["sucursal"].withColumn("supermercado_id", F.when(F.col("id") % 6 == 0, (F.col("supermercado_id") + 1) % 4).otherwise(F.col("supermercado_id")))
+    moved = t["sucursal"].withColumn("supermercado_id", F.when(~F.col("activo"), (F.col("supermercado_id") + 1) % 4).otherwise(F.col("supermercado_id")))
     return quality.chain_mismatches(t["precio"], t["producto_fuente"], moved)
 
 
@@ -516,10 +516,10 @@ def _(t):
     return prices.available_prices(t["precio"], t["producto_fuente"], branch=2).select(PRICE_COLUMNS)
 
 
-@query("k10_prices_for_basket", f"SELECT {PRICE} FROM precio WHERE disponible AND sucursal_id IN (1, 2, 3) AND producto_fuente_id IN (SELECT id FROM producto_fuente WHERE producto_id IN (SELECT product_id FROM basket_lines WHERE basket_id <= 100))", "precio", "producto_fuente", "basket_lines", money=("precio",))
+@query("k10_prices_for_basket", f"SELECT {PRICE} FROM precio WHERE disponible AND sucursal_id IN (SELECT id FROM sucursal WHERE activo) AND producto_fuente_id IN (SELECT id FROM producto_fuente WHERE producto_id IN (SELECT product_id FROM basket_lines))", "precio", "producto_fuente", "basket_lines", "sucursal", money=("precio",))
 def _(t):
-    wanted = t["basket_lines"].where("basket_id <= 100").select("product_id").distinct()
-    return prices.prices_for_basket(t["precio"], t["producto_fuente"], wanted, [1, 2, 3]).select(PRICE_COLUMNS)
+    wanted = t["basket_lines"].select("product_id").distinct()
+    return prices.prices_for_basket(t["precio"], t["producto_fuente"], wanted, rows.active(t["sucursal"]).select("id")).select(PRICE_COLUMNS)
 
 
 @query("k11_price_history", f"SELECT {PRICE} FROM precio WHERE producto_fuente_id = 41", "precio", money=("precio",))
