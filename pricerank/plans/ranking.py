@@ -97,7 +97,8 @@ def candidates(tables: Tables, baskets: DataFrame, lines: DataFrame) -> DataFram
     ok = basket_status(tables, baskets, lines).where("status = 'OK'")
     costs = basket_costs(matched_lines(tables, ok, lines))
     places = small(tables["ciudad"].select(F.col("id").alias("city_id"), F.col("latitud").alias("_lat"), F.col("longitud").alias("_lon")))
-    complete = costs.join(ok.select("basket_id", "city_id", "n_lines", "w_price", "w_distance", "w_saving"), "basket_id").where("n_matched = n_lines")
+    complete = costs.join(ok.select("basket_id", "city_id", "n_lines", "w_price", "w_distance", "w_saving"), "basket_id")
+    complete = complete.where("n_matched >= n_lines")  # as equality it would become a join key and undo the dealing by basket
     located = complete.join(small(active_branches(tables)), "sucursal_id").join(places, "city_id")
     over = Window.partitionBy("basket_id")
     rows = located.withColumn("distance_km", haversine_km(F.col("_lat"), F.col("_lon"), F.col("latitud"), F.col("longitud")))
