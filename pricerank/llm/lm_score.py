@@ -1,50 +1,47 @@
 """LM scoring with a hidden Markov language model.
 
-Words are counted over all training documents. The model emits symbols: each of the most frequent words (at most MODEL_WORDS, cut at a
-count) is one, and all others fall into CLASSES by their last two bytes, where a word has probability (count + 1) / (total of the class's counts and words + 1).
-Baum-Welch runs over all training documents: each task adds up the expected counts of its segments, a grouped sum adds the tasks', and the model,
-bounded by the symbols, goes back out by broadcast. Scoring multiplies scaled transfer matrices of segments, which is the forward
-recursion of the whole text, exactly. Words too rare for the broadcast count table (at most TABLE_WORDS) get their counts by a join.
+Words are counted over all training documents, and each of them is a symbol of the model with emissions of its own. Words that training lacks share the
+smoothing alone. Emissions of the most frequent words (at most MODEL_WORDS and TABLE_WORDS) go out by broadcast; those of all others are a stored table keyed by
+word, joined to the documents for each iteration, so that the bound is one of memory and not of the model.
+Baum-Welch runs over all training documents: each task adds up the expected counts of its segments, a grouped sum adds the tasks'.
+Scoring multiplies scaled transfer matrices of segments, which is the forward recursion of the whole text, exactly.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricerank.llm.common import WordHashes, byte_lists, pieces, remainder, stored
+from pricerank.llm.common import WordHashes, byte_lists, discard, mix64, pieces, remainder, stored
 
 STATES, ITERATIONS, SEGMENT = 6, 6, 128
-MODEL_WORDS, TABLE_WORDS, CLASSES = 30_000, 400_000, 64
+#: Words whose emissions and counts are broadcast, at most; where the two are cut changes no result.
+MODEL_WORDS, TABLE_WORDS = 400_000, 400_000
+#: Added to a word's expected emissions in each state.
+SMOOTH = 0.05
+#: Training tokens of a task, about: each task sends a row for each of its words.
+TASK_TOKENS = 8_000_000
 #: Bins of a power of two of the count, by which the tables are cut.
 BINS = 16
 COUNTED_AT_ONCE = 3_000_000
+WEIGHTS = [f"s{k}" for k in range(STATES)]
 
 
-class WordIds(WordHashes):
-    """word -> 58 bits of hash and 6 of its class. The end is the empty word, which no text has."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = (xxhash.xxh3_64_intdigest(word) << 6 & 0xFFFFFFFFFFFFFFFF) | zlib.crc32(word[-2:]) % CLASSES
-        return value
-
-
-def token_ids(texts: list[bytes | None], known: WordIds) -> tuple[np.ndarray, np.ndarray]:
-    """All tokens of the texts (words, then an end each) and where each text begins."""
+def token_ids(texts: list[bytes | None], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens of the texts (words, then an end each: the empty word, which no text has) and where each text begins."""
     each = [known.of([*(t or b"").lower().split(), b""]) for t in texts]
     size = np.array([len(x) for x in each], np.int64)
     return (np.concatenate(each) if each else np.zeros(0, np.uint64)), np.cumsum(size) - size
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, held, size = WordIds(), [], 0
+    known, held, size = WordHashes(), [], 0
 
     def out() -> pa.RecordBatch:
         word, n = np.unique(np.concatenate(held), return_counts=True)
@@ -63,31 +60,34 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Counts:
-    """What one broadcast holds of the counts: words with a count above a bound, and the classes' totals."""
+    """What one broadcast holds of the counts: words with a count above a bound, by their number; `rest` is the table of all others."""
 
     def __init__(self, counts: DataFrame):
         bin_of = F.floor(F.log2("n") * BINS).cast("int")
         bins = sorted(((r.bin, r.words) for r in counts.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("words")).collect()), reverse=True)
-        table, model = _lowest(bins, TABLE_WORDS), _lowest(bins, MODEL_WORDS)
-        rows = counts.where(bin_of >= table).select("word", "n", (bin_of >= model).alias("own")).toArrow()
+        low = _lowest(bins, min(MODEL_WORDS, TABLE_WORDS))
+        rows = counts.where(bin_of >= low).select("word", "n").toArrow()
         word = rows["word"].to_numpy().view(np.uint64)
         order = np.argsort(word)
-        self.word, self.n, own = word[order], rows["n"].to_numpy()[order], rows["own"].to_numpy(zero_copy_only=False)[order].astype(bool)
-        self.own = int(own.sum())
-        self.symbol = np.where(own, np.cumsum(own) - 1, self.own + (self.word & np.uint64(CLASSES - 1)).astype(np.int64)).astype(np.uint16)
-        self.symbols = self.own + CLASSES
-        self.class_total, self.class_n = np.ones(CLASSES), np.zeros(CLASSES)
-        rest = counts.where(bin_of < model).groupBy(F.col("word").bitwiseAND(F.lit(CLASSES - 1)).alias("class"))
-        for r in rest.agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
-            self.class_total[r["class"]] += r.n + r.words
-            self.class_n[r["class"]] = r.n
+        self.word, self.n = word[order], rows["n"].to_numpy()[order]
+        self.often = np.argsort(-self.n, kind="stable")  # the symbols' words: small numbers are frequent ones, which compress well
+        self.symbol = np.empty(len(word), np.int32)
+        self.symbol[self.often] = np.arange(len(word), dtype=np.int32)
         totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("words")).first()
         self.total, self.words = totals.n, totals.words
+        self.rest = counts.where(bin_of < low)
+
+    def __getstate__(self) -> dict:
+        return {"word": self.word, "n": self.n, "symbol": self.symbol}
+
 
-    def share(self) -> np.ndarray:
-        """Each symbol's share of the training tokens, smoothed."""
-        n = np.concatenate([self.n[self.symbol < self.own], self.class_n]) + 0.5
-        return n / n.sum()
+def _planes(symbols: np.ndarray) -> bytes:
+    """The symbols' first bytes, then their second ones, and so on, as the last are mostly 0."""
+    return symbols.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _symbols(planes: bytes) -> np.ndarray:
+    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
 
 
 def _lowest(bins: list[tuple[int, int]], most: int) -> int:
@@ -102,19 +102,16 @@ def _lowest(bins: list[tuple[int, int]], most: int) -> int:
 
 def _encoded(counts) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, known = counts.value, WordIds()
+        c, known = counts.value, WordHashes()
         for batch in pieces(batches, 1_000):
             ids, start = token_ids(byte_lists(batch), known)
-            class_of = (ids & np.uint64(CLASSES - 1)).astype(np.int64)
             at = np.minimum(np.searchsorted(c.word, ids), max(0, len(c.word) - 1))
             found = c.word[at] == ids if len(c.word) else np.zeros(len(ids), bool)
             n = np.where(found, c.n[at], 0) if len(c.word) else np.zeros(len(ids), np.int64)
-            symbol = np.where(found, c.symbol[at], c.own + class_of) if len(c.word) else c.own + class_of
-            inner = np.where(found & (symbol >= c.own), np.log10((n + 1) / c.class_total[class_of]), 0.0)
+            symbol = np.where(found, c.symbol[at], len(c.word)).astype(np.int32) if len(c.word) else np.zeros(len(ids), np.int32)
             size = np.diff(np.append(start, len(ids)))
             rare = np.add.reduceat((~found).astype(np.int64), start)
             ends = np.cumsum(size)
-            symbol = symbol.astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -122,19 +119,21 @@ def _encoded(counts) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                     pa.array(size),
                     pa.array(np.add.reduceat(found.astype(np.int64), start)),
                     pa.array(np.add.reduceat(np.where(found, np.log10(n + 1), 0.0), start)),
-                    pa.array(np.add.reduceat(inner, start)),
-                    pa.array([symbol[a:b].tobytes() for a, b in zip(start, ends)], pa.binary()),
+                    pa.array([_planes(symbol[a:b]) for a, b in zip(start, ends)], pa.binary()),
                     pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(rare)]).astype(np.int32), ids[~found].view(np.int64)),
                 ],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "inner", "symbols", "rare"],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "symbols", "rare"],
             )
 
     return run
 
 
-def _segments(symbols: list[bytes], pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of SEGMENT symbols, filled up with `pad`; each row's text and length."""
-    each = [np.frombuffer(s, np.uint16) for s in symbols]
+Texts = list[bytes] | list[np.ndarray]
+
+
+def _segments(symbols: Texts, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of SEGMENT symbols (arrays, or bytes of uint16), filled up with `pad`; each row's text and length."""
+    each = [np.frombuffer(s, np.uint16) if isinstance(s, bytes) else s for s in symbols]
     size = np.array([len(x) for x in each], np.int64)
     rows = -(-size // SEGMENT)
     out = np.full(rows.sum() * SEGMENT, pad, np.int32)
@@ -145,27 +144,47 @@ def _segments(symbols: list[bytes], pad: int) -> tuple[np.ndarray, np.ndarray, n
     return out.reshape(-1, SEGMENT), text, np.minimum(size[text] - rank * SEGMENT, SEGMENT)
 
 
+def noise(words: np.ndarray) -> np.ndarray:
+    """Log-normal factors (words x STATES) by which the states differ at first, from the words alone."""
+    bits = [mix64(words.astype(np.uint64)[:, None] ^ mix64(np.arange(at, at + STATES, dtype=np.uint64))) for at in (1, 1 + STATES)]
+    u, v = ((x >> np.uint64(11)).astype(np.float64) + 0.5 for x in bits)
+    return np.exp(np.sqrt(-2 * np.log(u / 2**53)) * np.cos(2 * np.pi * v / 2**53))
+
+
 class Model:
-    """start (STATES), move (STATES x STATES), emit (symbols + 1 for padding, STATES), use: how often each state is in use."""
+    """start (STATES), move (STATES x STATES), emit (symbols + 1 for padding, STATES), use: how often each state is in use.
+
+    The symbols are the words of the broadcast. `total` is what the weights of all words add up to, so that emissions of others follow from theirs (extra).
+    """
 
-    def __init__(self, share: np.ndarray, seed: int = 2):
-        noise = np.exp(np.random.default_rng(seed).normal(0, 1, (len(share), STATES)))
+    def __init__(self, share: np.ndarray, words: np.ndarray | None = None, rest: np.ndarray | float = 0.0):
+        """share: the symbols' counts, of any scale; words: their hashes; rest: the sum of the other words' first weights."""
         self.start = self.use = np.full(STATES, 1 / STATES)
         self.move = np.full((STATES, STATES), 0.05 / (STATES - 1)) + np.eye(STATES) * (0.95 - 0.05 / (STATES - 1))
-        self._emit(share[:, None] * noise)
+        self._emit(share[:, None] * noise(np.arange(len(share)) if words is None else words), rest, 0, 0.0)
 
-    def _emit(self, weight: np.ndarray) -> None:
-        self.emit = np.vstack([weight / weight.sum(axis=0), np.ones(STATES)])
+    def _emit(self, weight: np.ndarray, rest: np.ndarray | float, others: int, smooth: float) -> None:
+        self.smooth, self.total = smooth, weight.sum(axis=0) + rest + smooth * (len(weight) + others)
+        self.emit = np.vstack([(weight + smooth) / self.total, np.ones(STATES)])
 
-    def expected(self, symbols: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected emissions (symbols x STATES), moves and starts of the texts. Segments after a text's first start from the mean use of states."""
-        pad = len(self.emit) - 1
+    def extra(self, weight: np.ndarray) -> np.ndarray:
+        """Emissions of words outside the broadcast by their weights, which are 0 for words that training lacks."""
+        return (weight + self.smooth) / self.total
+
+    def _with(self, extra: np.ndarray | None) -> np.ndarray:
+        return self.emit if extra is None or not len(extra) else np.vstack([self.emit[:-1], extra, self.emit[-1:]])
+
+    def expected(self, symbols: Texts, extra: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected emissions (symbols x STATES), moves and starts of the texts. Segments after a text's first start from the mean use of states.
+        Symbols beyond the broadcast's have their emissions in `extra`."""
+        emit = self._with(extra)
+        pad = len(emit) - 1
         rows, text, _ = _segments(symbols, pad)
         emissions, moves, starts = np.zeros((pad + 1, STATES)), np.zeros((STATES, STATES)), np.zeros(STATES)
         first = np.concatenate([[True], np.diff(text) != 0])
         for at in range(0, len(rows), 2048):
             part, begin = rows[at : at + 2048].T, first[at : at + 2048]
-            b = self.emit[part]
+            b = emit[part]
             forward, scale = np.empty_like(b), np.empty(part.shape)
             for t in range(SEGMENT):
                 a = (forward[t - 1] @ self.move if t else np.where(begin[:, None], self.start, self.use)) * b[t]
@@ -184,24 +203,27 @@ class Model:
                 emissions[:, k] += np.bincount(part.ravel(), forward[:, :, k].ravel(), pad + 1)
         return emissions[:pad], moves * self.move, starts
 
-    def learn(self, emissions: np.ndarray, moves: np.ndarray, starts: np.ndarray) -> None:
-        self._emit(emissions + 0.05)
+    def learn(self, emissions: np.ndarray, moves: np.ndarray, starts: np.ndarray, rest: np.ndarray | float = 0.0, others: int = 0) -> None:
+        """rest: the sum of the expected emissions of other words; others: how many more words are smoothed."""
+        self._emit(emissions, rest, others, SMOOTH)
         self.move = (moves + 0.5) / (moves + 0.5).sum(axis=1, keepdims=True)
         self.start = (starts + 0.5) / (starts + 0.5).sum()
-        self.use = (emissions.sum(axis=0) + 0.5) / (emissions.sum(axis=0) + 0.5).sum()
+        use = emissions.sum(axis=0) + rest + 0.5
+        self.use = use / use.sum()
 
-    def log10(self, symbols: list[bytes]) -> np.ndarray:
+    def log10(self, symbols: Texts, extra: np.ndarray | None = None) -> np.ndarray:
         """The texts' log10 probabilities: each segment's transfer matrix, all segments side by side, then the product along each text."""
-        rows, text, size = _segments(symbols, len(self.emit) - 1)
+        emit = self._with(extra)
+        rows, text, size = _segments(symbols, len(emit) - 1)
         first = np.concatenate([[True], np.diff(text) != 0])
         matrix, logs = np.empty((len(rows), STATES, STATES)), np.zeros(len(rows))
         order = np.argsort(-size, kind="stable")
         for at in range(0, len(rows), 2048):
             some = order[at : at + 2048]
-            m = np.where(first[some][:, None, None], np.eye(STATES), self.move) * self.emit[rows[some, 0]][:, None, :]
+            m = np.where(first[some][:, None, None], np.eye(STATES), self.move) * emit[rows[some, 0]][:, None, :]
             for t in range(1, int(size[some[0]])):
                 live = int(np.searchsorted(-size[some], -t, side="left"))
-                m[:live] = (m[:live].reshape(-1, STATES) @ self.move).reshape(-1, STATES, STATES) * self.emit[rows[some[:live], t]][:, None, :]
+                m[:live] = (m[:live].reshape(-1, STATES) @ self.move).reshape(-1, STATES, STATES) * emit[rows[some[:live], t]][:, None, :]
                 scale = m[:live].sum(axis=(1, 2))
                 m[:live] /= scale[:, None, None]
                 logs[some[:live]] += np.log(scale)
@@ -219,45 +241,124 @@ class Model:
         return total / math.log(10)
 
 
+def _local(model: Model, batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The texts' symbols, in which the words outside the broadcast are numbered after its own; these words and their emissions."""
+    n = len(model.emit) - 1
+    flat = [_symbols(x) for x in batch.column("symbols").to_pylist()]
+    ends = np.cumsum([len(x) for x in flat])
+    flat = np.concatenate(flat)
+    rare = batch.column("rare").flatten().to_numpy(zero_copy_only=False)
+    words, number = np.unique(rare, return_inverse=True)
+    flat[flat == n] = n + number
+    weight, found = np.zeros((len(words), STATES)), batch.column("found").flatten()
+    at = np.searchsorted(words, found.field("word").to_numpy(zero_copy_only=False))
+    weight[at] = np.frombuffer(b"".join(found.field("w").to_pylist()), np.float32).reshape(-1, STATES)
+    return np.split(flat, ends[:-1]), words, model.extra(weight)
+
+
+def _rows(own: bool, key: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), own)), pa.array(key.astype(np.int64)), *[pa.array(rows[:, k]) for k in range(STATES)]], names=["own", "word", *WEIGHTS])
+
+
 def _expected(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sums over the task: a row for each symbol, and with the numbers below 0 for the moves and the start."""
+    """Sums over the task: a row for each symbol (own), and with the numbers below 0 for the moves, the start and the sum of the other words; a batch's sums for each of these (not own)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in pieces(batches, 2_000):
-            found = model.value.expected(batch.column(0).to_pylist())
-            total = found if total is None else [x + y for x, y in zip(total, found)]
+        m, total = model.value, None
+        n = len(m.emit) - 1
+        for batch in pieces(batches, 1_000):
+            symbols, words, extra = _local(m, batch)
+            emissions, *others = m.expected(symbols, extra)
+            if len(words):
+                yield _rows(False, words, emissions[n:])
+            found = [emissions[:n], *others, emissions[n:].sum(axis=0)]
+            if total is None:
+                total = found
+            else:
+                for x, y in zip(total, found):
+                    x += y
         if total is not None:
-            emissions, moves, starts = total
+            emissions, moves, starts, rest = total
             some = np.flatnonzero(emissions.any(axis=1))
-            rows = np.vstack([emissions[some], moves, starts[None, :]])
-            key = np.concatenate([some, -1 - np.arange(STATES + 1)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(rows[:, k]) for k in range(STATES)]], names=["key", *[f"s{k}" for k in range(STATES)]])
+            yield _rows(True, np.concatenate([some, -1 - np.arange(STATES + 2)]), np.vstack([emissions[some], moves, starts[None, :], rest[None, :]]))
 
     return run
 
 
 def _scored(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 2_000):
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.value.log10(batch.column(batch.num_columns - 1).to_pylist()))], names=[*batch.schema.names[:-1], "model"])
+        for batch in pieces(batches, 1_000):
+            symbols, _, extra = _local(model.value, batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(model.value.log10(symbols, extra))], names=[*batch.schema.names[:-3], "model"])
 
     return run
 
 
-def train(encoded: DataFrame, counts: Counts) -> Model:
-    """Baum-Welch over all training rows; what returns to the driver is bounded by the model's symbols."""
-    model, context = Model(counts.share()), encoded.sparkSession.sparkContext
-    kinds = ", ".join(["key int", *[f"s{k} double" for k in range(STATES)]])
+def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        weight = batch.column(1).to_numpy()[:, None] * noise(batch.column(0).to_numpy().view(np.uint64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(weight[:, k]) for k in range(STATES)]], names=["word", *WEIGHTS])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weights as one binary column: doubles where own, else floats, as these are most of the disk."""
+    for batch in batches:
+        own = batch.column("own").to_numpy(zero_copy_only=False)
+        rows = np.stack([batch.column(w).to_numpy(zero_copy_only=False) for w in WEIGHTS], 1)
+        packed = [r.tobytes() if o else f.tobytes() for o, r, f in zip(own, rows, rows.astype(np.float32))]
+        yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("word"), pa.array(packed, pa.binary())], names=["own", "word", "w"])
+
+
+PACKED = "own boolean, word long, w binary"
+
+
+def _with_weights(docs: DataFrame, rest: DataFrame) -> DataFrame:
+    """The documents with `found`: the words outside the broadcast with their weights, as far as training has them."""
+    need = docs.select("row", F.explode(F.array_distinct("rare")).alias("word"))
+    found = need.join(rest, "word").groupBy("row").agg(F.collect_list(F.struct("word", "w")).alias("found"))
+    columns = [c for c in docs.columns if c not in ("symbols", "rare")]
+    return docs.join(found, "row", "left").select(*columns, "symbols", "rare", F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
+
+
+@contextmanager
+def _short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go at the end of the query that wrote them: an iteration's are as many as the words of its tasks."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def train(docs: DataFrame, counts: Counts) -> tuple[Model, DataFrame]:
+    """Baum-Welch over all training rows: the model and the table of the weights of words outside its broadcast. What returns to the driver is bounded by the broadcast's words."""
+    spark = docs.sparkSession
+    if not counts.words:
+        model = Model(np.ones(1))
+        model.learn(np.zeros((0, STATES)), np.zeros((STATES, STATES)), np.zeros(STATES), others=1)
+        return model, counts.rest.select("word", F.lit(b"").alias("w"))
+    weights = ", ".join(f"{w} double" for w in WEIGHTS)
+    start = counts.rest.mapInArrow(_first, f"word long, {weights}")
+    first = start.agg(*[F.coalesce(F.sum(w), F.lit(0.0)).alias(w) for w in WEIGHTS]).first()
+    rest = stored(start.select(F.lit(False).alias("own"), "*").mapInArrow(_packed, PACKED).drop("own"))
+    model = Model(counts.n[counts.often], counts.word[counts.often], np.array([first[w] for w in WEIGHTS]))
+    tasks = max(spark.sparkContext.defaultParallelism, counts.total // TASK_TOKENS)
+    training = docs.where("NOT held_out").select("row", "symbols", "rare")
     for _ in range(ITERATIONS):
-        sums = encoded.where("NOT held_out").select("symbols").mapInArrow(_expected(context.broadcast(model)), kinds).groupBy("key").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES)]).toArrow()
-        if not sums.num_rows:
-            break
-        key, rows = sums["key"].to_numpy(), np.stack([sums[f"s{k}"].to_numpy() for k in range(STATES)], 1)
-        emissions, rest = np.zeros((counts.symbols, STATES)), np.zeros((STATES + 1, STATES))
-        emissions[key[key >= 0]], rest[-1 - key[key < 0]] = rows[key >= 0], rows[key < 0]
-        model.learn(emissions, rest[:STATES], rest[STATES])
-    return model
+        sent = spark.sparkContext.broadcast(model)
+        found = _with_weights(training, rest).drop("row").coalesce(tasks).mapInArrow(_expected(sent), f"own boolean, word long, {weights}")
+        with _short_shuffles(spark):
+            sums = stored(found.groupBy("own", "word").agg(*[F.sum(w).alias(w) for w in WEIGHTS]).mapInArrow(_packed, PACKED))
+        sent.unpersist()
+        discard(rest)
+        own, rest = sums.where("own").toArrow(), sums.where("NOT own").select("word", "w")
+        key, rows = own["word"].to_numpy(), np.frombuffer(b"".join(own["w"].to_pylist())).reshape(-1, STATES)
+        emissions, more = np.zeros((len(counts.word), STATES)), np.zeros((STATES + 2, STATES))
+        emissions[key[key >= 0]], more[-1 - key[key < 0]] = rows[key >= 0], rows[key < 0]
+        model.learn(emissions, more[:STATES], more[STATES], more[STATES + 1], counts.words - len(counts.word) + 1)
+    return model, rest
 
 
 def scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
@@ -271,21 +372,20 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     d = docs.select("doc_id", (remainder(F.col("doc_id"), folds) == held).alias("held_out"), "text")
-    counts = stored(d.where("NOT held_out").select("text").mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    with _short_shuffles(spark):
+        counts = stored(d.where("NOT held_out").select("text").mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     table = Counts(counts)
-    columns = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, inner double, symbols binary, rare array<long>"
+    columns = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, symbols binary, rare array<long>"
     encoded = stored(d.mapInArrow(_encoded(spark.sparkContext.broadcast(table)), columns).withColumn("row", F.monotonically_increasing_id()))
-    model = train(encoded, table)
+    model, rest = train(encoded, table)
     rare = encoded.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
     count = F.coalesce("n", F.lit(0))
-    total = F.element_at(F.array(*[F.lit(float(x)) for x in table.class_total]), (F.col("word").bitwiseAND(F.lit(CLASSES - 1)) + 1).cast("int"))
-    rare = rare.groupBy("row").agg(F.sum(F.when(count > 0, 1).otherwise(0)).alias("more_known"), F.sum(F.log10(count + 1)).alias("more_base"), F.sum(F.log10((count + 1) / total)).alias("more_inner"))
-    part = encoded.select("doc_id", "held_out", "n_tokens", "n_known", "base", "inner", "row", "symbols")
-    kinds = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, inner double, row long, model double"
+    rare = rare.groupBy("row").agg(F.sum(F.when(count > 0, 1).otherwise(0)).alias("more_known"), F.sum(F.log10(count + 1)).alias("more_base"))
+    kinds = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, row long, model double"
+    part = _with_weights(encoded.select("doc_id", "held_out", "n_tokens", "n_known", "base", "row", "symbols", "rare"), rest)
     out = part.mapInArrow(_scored(spark.sparkContext.broadcast(model)), kinds).join(rare, "row", "left")
-    more = {c: F.coalesce(c, F.lit(0)) for c in ("more_known", "more_base", "more_inner")}
+    more = {c: F.coalesce(c, F.lit(0)) for c in ("more_known", "more_base")}
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + more["more_known"]).alias("n_known"), F.lit(table.total).cast("long").alias("train_tokens"),
-        (F.col("base") + more["more_base"] - F.col("n_tokens") * F.lit(math.log10(table.total + table.words + 1))).alias("base_score"),
-        (F.col("model") + F.col("inner") + more["more_inner"]).alias("score"),
+        (F.col("base") + more["more_base"] - F.col("n_tokens") * F.lit(math.log10(table.total + table.words + 1))).alias("base_score"), F.col("model").alias("score"),
     )

@@ -32,6 +32,15 @@ def test_base_and_model(spark, monkeypatch, own, table):
         assert r.base_score == pytest.approx(score, rel=1e-9) and r.score < 0
 
 
+def test_every_training_word_has_its_emissions(spark, monkeypatch):
+    """Where the broadcast is cut changes no score: words outside it have emissions of their own, too."""
+    got = []
+    for own in (30_000, 10, 0):
+        monkeypatch.setattr(lm_score, "MODEL_WORDS", own)
+        got.append({r.doc_id: r.score for r in lm_score.scores(documents(spark)).collect()})
+    assert got[1] == pytest.approx(got[0], rel=1e-6) and got[2] == pytest.approx(got[0], rel=1e-6)  # they are stored as floats
+
+
 def forward(model, symbols):
     """The plain forward recursion of one text, scaled token by token."""
     state, total = model.start, 0.0
