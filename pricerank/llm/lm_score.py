@@ -3,7 +3,8 @@
 Words are counted over all training documents, and each of them is a symbol of the model with emissions of its own. Words that training lacks share the
 smoothing alone. Emissions of the most frequent words (at most MODEL_WORDS and TABLE_WORDS) go out by broadcast; those of all others are a stored table keyed by
 word, joined to the documents for each iteration, so that the bound is one of memory and not of the model.
-Baum-Welch runs over all training documents: each task adds up the expected counts of its segments, a grouped sum adds the tasks'.
+Baum-Welch runs over all training documents: each task adds up the expected counts of its texts, a grouped sum adds the tasks'. Texts
+are run as segments side by side, whose transfer matrices carry the messages from one to the next in both directions.
 Scoring multiplies scaled transfer matrices of segments, which is the forward recursion of the whole text, exactly.
 """
 
@@ -152,14 +153,14 @@ def noise(words: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """start (STATES), move (STATES x STATES), emit (symbols + 1 for padding, STATES), use: how often each state is in use.
+    """start (STATES), move (STATES x STATES), emit (symbols + 1 for padding, STATES).
 
     The symbols are the words of the broadcast. `total` is what the weights of all words add up to, so that emissions of others follow from theirs (extra).
     """
 
     def __init__(self, share: np.ndarray, words: np.ndarray | None = None, rest: np.ndarray | float = 0.0):
         """share: the symbols' counts, of any scale; words: their hashes; rest: the sum of the other words' first weights."""
-        self.start = self.use = np.full(STATES, 1 / STATES)
+        self.start = np.full(STATES, 1 / STATES)
         self.move = np.full((STATES, STATES), 0.05 / (STATES - 1)) + np.eye(STATES) * (0.95 - 0.05 / (STATES - 1))
         self._emit(share[:, None] * noise(np.arange(len(share)) if words is None else words), rest, 0, 0.0)
 
@@ -175,28 +176,30 @@ class Model:
         return self.emit if extra is None or not len(extra) else np.vstack([self.emit[:-1], extra, self.emit[-1:]])
 
     def expected(self, symbols: Texts, extra: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected emissions (symbols x STATES), moves and starts of the texts. Segments after a text's first start from the mean use of states.
-        Symbols beyond the broadcast's have their emissions in `extra`."""
+        """Expected emissions (symbols x STATES), moves and starts of the texts. Segments of a text get what stands before
+        and after them by the transfer matrices of the others, so that the expectations are those of whole texts. Symbols beyond the broadcast's have their emissions in `extra`."""
         emit = self._with(extra)
         pad = len(emit) - 1
-        rows, text, _ = _segments(symbols, pad)
+        rows, text, size = _segments(symbols, pad)
         emissions, moves, starts = np.zeros((pad + 1, STATES)), np.zeros((STATES, STATES)), np.zeros(STATES)
         first = np.concatenate([[True], np.diff(text) != 0])
+        before, after = self._messages(emit, rows, first, size)
         for at in range(0, len(rows), 2048):
-            part, begin = rows[at : at + 2048].T, first[at : at + 2048]
+            part, begin, left = rows[at : at + 2048].T, first[at : at + 2048], before[at : at + 2048]
             b = emit[part]
             forward, scale = np.empty_like(b), np.empty(part.shape)
             for t in range(SEGMENT):
-                a = (forward[t - 1] @ self.move if t else np.where(begin[:, None], self.start, self.use)) * b[t]
+                a = (forward[t - 1] @ self.move if t else np.where(begin[:, None], self.start, left @ self.move)) * b[t]
                 scale[t] = a.sum(axis=1)
                 forward[t] = a / scale[t][:, None]
-            back = np.ones_like(b[0])
+            back = after[at : at + 2048] / (forward[-1] * after[at : at + 2048]).sum(axis=1)[:, None]
             for t in range(SEGMENT - 1, 0, -1):
                 forward[t] *= back  # from here on the posterior of the states
                 weighted = b[t] * back / scale[t][:, None]
                 live = part[t] != pad
                 moves += (forward[t - 1] * live[:, None]).T @ weighted
                 back = weighted @ self.move.T
+            moves += left[~begin].T @ (b[0] * back / scale[0][:, None])[~begin]  # over the cuts
             forward[0] *= back
             starts += forward[0][begin].sum(axis=0)
             for k in range(STATES):
@@ -208,14 +211,9 @@ class Model:
         self._emit(emissions, rest, others, SMOOTH)
         self.move = (moves + 0.5) / (moves + 0.5).sum(axis=1, keepdims=True)
         self.start = (starts + 0.5) / (starts + 0.5).sum()
-        use = emissions.sum(axis=0) + rest + 0.5
-        self.use = use / use.sum()
 
-    def log10(self, symbols: Texts, extra: np.ndarray | None = None) -> np.ndarray:
-        """The texts' log10 probabilities: each segment's transfer matrix, all segments side by side, then the product along each text."""
-        emit = self._with(extra)
-        rows, text, size = _segments(symbols, len(emit) - 1)
-        first = np.concatenate([[True], np.diff(text) != 0])
+    def _transfer(self, emit: np.ndarray, rows: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each segment's transfer matrix, all segments side by side, and the logarithm of its scale."""
         matrix, logs = np.empty((len(rows), STATES, STATES)), np.zeros(len(rows))
         order = np.argsort(-size, kind="stable")
         for at in range(0, len(rows), 2048):
@@ -228,6 +226,33 @@ class Model:
                 m[:live] /= scale[:, None, None]
                 logs[some[:live]] += np.log(scale)
             matrix[some] = m
+        return matrix, logs
+
+    def _messages(self, emit: np.ndarray, rows: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each segment the states at the end of the text's segments before it, and the scaled likelihood of those after it by the state at its end."""
+        before, after = np.ones((len(rows), STATES)), np.ones((len(rows), STATES))
+        begin = np.flatnonzero(first)
+        count = np.diff(np.append(begin, len(rows)))
+        many = np.flatnonzero(np.repeat(count > 1, count))
+        matrix = np.empty((len(rows), STATES, STATES))
+        matrix[many] = self._transfer(emit, rows[many], first[many], size[many])[0]
+        most = int(count.max()) if len(count) else 0
+        for rank in range(1, most):
+            row = begin[count > rank] + rank
+            v = np.einsum("dk,dkj->dj", before[row - 1] if rank > 1 else np.tile(self.start, (len(row), 1)), matrix[row - 1])
+            before[row] = v / v.sum(axis=1)[:, None]
+        for rank in range(most - 1, 0, -1):
+            row = begin[count > rank] + rank
+            v = np.einsum("dkj,dj->dk", matrix[row], after[row])
+            after[row - 1] = v / v.sum(axis=1)[:, None]
+        return before, after
+
+    def log10(self, symbols: Texts, extra: np.ndarray | None = None) -> np.ndarray:
+        """The texts' log10 probabilities: the product of the transfer matrices along each text."""
+        emit = self._with(extra)
+        rows, text, size = _segments(symbols, len(emit) - 1)
+        first = np.concatenate([[True], np.diff(text) != 0])
+        matrix, logs = self._transfer(emit, rows, first, size)
         total, state = np.zeros(len(symbols)), np.tile(self.start, (len(symbols), 1))
         begin = np.flatnonzero(first)
         count = np.diff(np.append(begin, len(rows)))

@@ -67,6 +67,31 @@ def test_exact_forward_and_expectations():
     assert emissions.sum(axis=1) == pytest.approx(np.bincount(np.concatenate(texts), minlength=50))
 
 
+def test_expectations_cross_segments():
+    """Against the plain forward and backward recursion over whole texts."""
+    m, rng = model(), np.random.default_rng(6)
+    texts = [rng.integers(0, 50, n).astype(np.uint16) for n in (3, 128, 129, 300, 1000)]
+    emissions, moves, starts = np.zeros((50, lm_score.STATES)), np.zeros((lm_score.STATES,) * 2), np.zeros(lm_score.STATES)
+    for text in texts:
+        b = m.emit[text]
+        a = [m.start * b[0] / (m.start * b[0]).sum()]
+        for t in range(1, len(text)):
+            v = a[-1] @ m.move * b[t]
+            a.append(v / v.sum())
+        back = np.ones(lm_score.STATES)
+        for t in range(len(text) - 1, -1, -1):
+            state = a[t] * back / (a[t] * back).sum()
+            emissions[text[t]] += state
+            if t:
+                x = a[t - 1][:, None] * m.move * (b[t] * back)[None, :]
+                moves += x / x.sum()
+                back = m.move @ (b[t] * back)
+                back /= back.sum()
+        starts += state
+    got = m.expected([t.tobytes() for t in texts])
+    assert all(np.allclose(x, y, rtol=1e-9) for x, y in zip(got, (emissions, moves, starts)))
+
+
 def test_learning_raises_likelihood():
     rng = np.random.default_rng(5)
     texts = [(rng.integers(0, 20, 60) + 20 * (k % 2)).astype(np.uint16).tobytes() for k in range(40)]
