@@ -55,8 +55,8 @@ def basket_status(tables: Tables, baskets: DataFrame, lines: DataFrame) -> DataF
 
 
 def basket_summary(baskets: DataFrame, lines: DataFrame) -> DataFrame:
-    """basket_id, n_lines, product_ids in line order, empty. Lines beyond the limit of a basket are counted, but no longer listed."""
-    listed = lines.groupBy("basket_id").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.when(F.col("line_no") <= 100, F.struct("line_no", "product_id")))), lambda x: x["product_id"]).alias("product_ids"))
+    """basket_id, n_lines, product_ids of all lines in line order, empty. A basket is one row, also one too long to be ranked."""
+    listed = lines.groupBy("basket_id").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("line_no", "product_id"))), lambda x: x["product_id"]).alias("product_ids"))
     n = F.coalesce("n", F.lit(0))
     return baskets.select("basket_id").join(listed, "basket_id", "left").select("basket_id", n.alias("n_lines"), F.coalesce("product_ids", F.array().cast(listed.schema["product_ids"].dataType)).alias("product_ids"), (n == 0).alias("empty"))
 

@@ -93,3 +93,11 @@ def test_overflow_gives_no_ranking(spark, t):
     dear = {**t, "precio": t["precio"].withColumn("precio", F.lit(Decimal("999999999999.99")))}
     lines = seed.lines(spark, ("A", {p: 999999999.0 for p in seed.PRODUCTS}))
     assert ranking.rank_baskets(dear, seed.baskets(spark, ("A", "CR", *DEFAULT)), lines).count() == 0
+
+
+def test_summary_lists_every_line(spark):
+    baskets = spark.createDataFrame([("long",), ("none",)], "basket_id string")
+    lines = spark.createDataFrame([("long", n, 1000 - n) for n in range(250, 0, -1)], "basket_id string, line_no int, product_id long")
+    found = {r.basket_id: r for r in ranking.basket_summary(baskets, lines).collect()}
+    assert found["long"].n_lines == 250 and found["long"].product_ids == [1000 - n for n in range(1, 251)] and not found["long"].empty
+    assert found["none"].product_ids == [] and found["none"].empty
