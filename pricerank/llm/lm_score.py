@@ -1,9 +1,11 @@
 """LM scoring with a hidden Markov language model.
 
 Words are counted over all training documents, and each of them is a symbol of the model with emissions of its own. Words that training lacks share the
-smoothing alone. Emissions of the most frequent words (at most MODEL_WORDS and TABLE_WORDS) go out by broadcast; those of all others are a stored table keyed by
+smoothing alone. Emissions of the most frequent words (at most MODEL_WORDS and TABLE_WORDS) go out by broadcast; those of others are a stored table keyed by
 word, joined to the documents for each iteration, so that the bound is one of memory and not of the model.
-Baum-Welch runs over all training documents: each task adds up the expected counts of its texts, a grouped sum adds the tasks'. Texts
+Baum-Welch runs over all training documents: each task adds up the expected counts of its texts, a grouped sum adds the tasks'. A word seen fewer
+than LATE times tells the states nothing at first: up to the last iteration its emission is its share of the tokens in every state (which leaves the states' posteriors as
+they are), and the last iteration learns it from its expected counts like all others. The rule goes by a word's count, whatever the size of the corpus. Texts
 are run as segments side by side, whose transfer matrices carry the messages from one to the next in both directions.
 Scoring multiplies scaled transfer matrices of segments, which is the forward recursion of the whole text, exactly.
 """
@@ -13,60 +15,79 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricerank.llm.common import WordHashes, byte_lists, discard, mix64, pieces, remainder, stored
+from pricerank.llm.common import byte_lists, discard, mix64, pieces, remainder, stored
 
 STATES, ITERATIONS, SEGMENT = 6, 6, 128
+#: Texts of more segments are run as segments side by side; all others step by step, each beside the others.
+LOCKSTEP = 16
 #: Words whose emissions and counts are broadcast, at most; where the two are cut changes no result.
 MODEL_WORDS, TABLE_WORDS = 400_000, 400_000
+#: Words seen less often are learned in the last iteration only.
+LATE = 16
 #: Added to a word's expected emissions in each state.
 SMOOTH = 0.05
-#: Training tokens of a task, about: each task sends a row for each of its words.
+#: Training tokens of a task, about: each task sends the sums of all its words.
 TASK_TOKENS = 8_000_000
+#: Symbols whose sums travel as one row, and tokens of the corpus for each bucket of the words outside the broadcast.
+CHUNK, BUCKET_TOKENS = 1024, 500_000
+#: Tokens of the texts that are run beside each other, about.
+BESIDE = 1_500_000
 #: Bins of a power of two of the count, by which the tables are cut.
 BINS = 16
-COUNTED_AT_ONCE = 3_000_000
+#: Words that a task numbers at once.
+KNOWN_WORDS = 300_000
 WEIGHTS = [f"s{k}" for k in range(STATES)]
 
 
-def token_ids(texts: list[bytes | None], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """All tokens of the texts (words, then an end each: the empty word, which no text has) and where each text begins."""
-    each = [known.of([*(t or b"").lower().split(), b""]) for t in texts]
-    size = np.array([len(x) for x in each], np.int64)
-    return (np.concatenate(each) if each else np.zeros(0, np.uint64)), np.cumsum(size) - size
+class Numbers(dict):
+    """word -> a number by first appearance, for the words of some texts; hashes() has their 64-bit hashes."""
 
+    def __init__(self):
+        self.words: list[bytes] = []
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, held, size = WordHashes(), [], 0
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self.words)
+        self.words.append(word)
+        return value
+
+    def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All tokens of the texts (words, then an end each: the empty word, which no text has) and where each text begins."""
+        each = [[*(t or b"").lower().split(), b""] for t in texts]
+        size = np.array([len(x) for x in each], np.int64)
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(each)), np.int64, size.sum()), np.cumsum(size) - size
 
-    def out() -> pa.RecordBatch:
-        word, n = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+    def hashes(self, first: int = 0) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, islice(self.words, first, None)), np.uint64, len(self.words) - first)
 
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known, counts = Numbers(), np.zeros(0, np.int64)
     for batch in pieces(batches, 1_000):
-        ids, _ = token_ids(byte_lists(batch), known)
-        held.append(ids)
-        size += len(ids)
-        if size >= COUNTED_AT_ONCE:
-            yield out()
-            size = 0
-    if held:
-        yield out()
+        more = np.bincount(known.of(byte_lists(batch))[0], minlength=len(counts))
+        more[: len(counts)] += counts
+        counts = more
+        if len(known) > KNOWN_WORDS:
+            yield pa.RecordBatch.from_arrays([pa.array(known.hashes().view(np.int64)), pa.array(counts)], names=["word", "n"])
+            known, counts = Numbers(), np.zeros(0, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(known.hashes().view(np.int64)), pa.array(counts)], names=["word", "n"])
 
 
 class Counts:
-    """What one broadcast holds of the counts: words with a count above a bound, by their number; `rest` is the table of all others."""
+    """What one broadcast holds of the counts: words with a count above a bound, by their number; `others` is the table of those below it that are seen LATE times at least."""
 
     def __init__(self, counts: DataFrame):
         bin_of = F.floor(F.log2("n") * BINS).cast("int")
         bins = sorted(((r.bin, r.words) for r in counts.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("words")).collect()), reverse=True)
-        low = _lowest(bins, min(MODEL_WORDS, TABLE_WORDS))
+        low = max(_lowest(bins, min(MODEL_WORDS, TABLE_WORDS)), math.ceil(math.log2(LATE) * BINS))
         rows = counts.where(bin_of >= low).select("word", "n").toArrow()
         word = rows["word"].to_numpy().view(np.uint64)
         order = np.argsort(word)
@@ -76,7 +97,8 @@ class Counts:
         self.symbol[self.often] = np.arange(len(word), dtype=np.int32)
         totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("words")).first()
         self.total, self.words = totals.n, totals.words
-        self.rest = counts.where(bin_of < low)
+        self.others = counts.where(bin_of < low).where(F.col("n") >= LATE).select("word", "n")
+        self.n_others = self.others.count()
 
     def __getstate__(self) -> dict:
         return {"word": self.word, "n": self.n, "symbol": self.symbol}
@@ -103,13 +125,20 @@ def _lowest(bins: list[tuple[int, int]], most: int) -> int:
 
 def _encoded(counts) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, known = counts.value, WordHashes()
+        c, known = counts.value, None
         for batch in pieces(batches, 1_000):
-            ids, start = token_ids(byte_lists(batch), known)
-            at = np.minimum(np.searchsorted(c.word, ids), max(0, len(c.word) - 1))
-            found = c.word[at] == ids if len(c.word) else np.zeros(len(ids), bool)
-            n = np.where(found, c.n[at], 0) if len(c.word) else np.zeros(len(ids), np.int64)
-            symbol = np.where(found, c.symbol[at], len(c.word)).astype(np.int32) if len(c.word) else np.zeros(len(ids), np.int32)
+            if known is None or len(known) > KNOWN_WORDS:
+                known, word, symbol_of, base_of = Numbers(), np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0)
+            ids, start = known.of(byte_lists(batch))
+            if len(known) > len(word):
+                new = known.hashes(len(word))
+                at = np.minimum(np.searchsorted(c.word, new), max(0, len(c.word) - 1))
+                there = c.word[at] == new if len(c.word) else np.zeros(len(new), bool)
+                word = np.concatenate([word, new])
+                symbol_of = np.concatenate([symbol_of, np.where(there, c.symbol[at], len(c.word)) if len(c.word) else np.zeros(len(new))]).astype(np.int32)
+                base_of = np.concatenate([base_of, np.where(there, np.log10(c.n[at] + 1), 0.0) if len(c.word) else np.zeros(len(new))])
+            symbol = symbol_of[ids]
+            found = symbol < len(c.word)
             size = np.diff(np.append(start, len(ids)))
             rare = np.add.reduceat((~found).astype(np.int64), start)
             ends = np.cumsum(size)
@@ -119,9 +148,9 @@ def _encoded(counts) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                     batch.column(1),
                     pa.array(size),
                     pa.array(np.add.reduceat(found.astype(np.int64), start)),
-                    pa.array(np.add.reduceat(np.where(found, np.log10(n + 1), 0.0), start)),
+                    pa.array(np.add.reduceat(base_of[ids], start)),
                     pa.array([_planes(symbol[a:b]) for a, b in zip(start, ends)], pa.binary()),
-                    pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(rare)]).astype(np.int32), ids[~found].view(np.int64)),
+                    pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(rare)]).astype(np.int32), word[ids[~found]].view(np.int64)),
                 ],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "base", "symbols", "rare"],
             )
@@ -175,36 +204,82 @@ class Model:
     def _with(self, extra: np.ndarray | None) -> np.ndarray:
         return self.emit if extra is None or not len(extra) else np.vstack([self.emit[:-1], extra, self.emit[-1:]])
 
+    def _forward(self, b: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scaled forward recursion of segments side by side, by their emissions (places x segments x STATES); `left` is the states' prior at their first place."""
+        forward, scale, ones = np.empty(b.shape), np.empty(b.shape[:2]), np.ones(STATES)
+        for t in range(len(b)):
+            a = forward[t]
+            if t:
+                np.matmul(forward[t - 1], self.move, out=a)
+            else:
+                a[:] = left
+            a *= b[t]
+            np.matmul(a, ones, out=scale[t])
+            a *= (1 / scale[t])[:, None]
+        return forward, scale
+
+    def _backward(self, b: np.ndarray, live: np.ndarray, forward: np.ndarray, scale: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Turns `forward` into the states' posteriors; the expected moves within the segments (without the factor move), and the likelihood of each
+        segment and what follows by the state at its first place, scaled. `live` are the places that hold a token."""
+        moves, full, back_move = np.zeros((STATES, STATES)), live.all(axis=1), np.ascontiguousarray(self.move.T)
+        back = after / (forward[-1] * after).sum(axis=1)[:, None]
+        for t in range(len(b) - 1, 0, -1):
+            forward[t] *= back
+            back *= b[t]
+            back *= (1 / scale[t])[:, None]
+            moves += forward[t - 1].T @ back if full[t] else forward[t - 1][live[t]].T @ back[live[t]]
+            back = back @ back_move
+        forward[0] *= back
+        return moves, b[0] * back / scale[0][:, None]
+
+    def _by_steps(self, emit: np.ndarray, rows: np.ndarray, begin: np.ndarray, count: np.ndarray, size: np.ndarray, found: list) -> None:
+        """Adds to `found` the symbols with their posteriors, the moves and the starts of texts of few segments: forward from segment to segment, and back."""
+        done: list[tuple] = []
+        for rank in range(int(count.max()) if len(count) else 0):
+            texts = np.flatnonzero(count > rank)
+            row = begin[texts] + rank
+            part = rows[row, : int(size[row].max())].T
+            left = done[-1][1][-1][count[done[-1][3]] > rank] if rank else None
+            forward, scale = self._forward(np.take(emit, part, axis=0), left @ self.move if rank else np.tile(self.start, (len(row), 1)))
+            done.append((part, forward, scale, texts, left))
+        message = np.zeros((0, STATES))
+        while done:
+            part, forward, scale, texts, left = done.pop()
+            after = np.ones((len(texts), STATES))
+            after[count[texts] > len(done) + 1] = message
+            moves, at_first = self._backward(np.take(emit, part, axis=0), part != len(emit) - 1, forward, scale, after)
+            if left is not None:
+                moves += left.T @ at_first  # over the cut
+                message = at_first @ self.move.T
+            found.append((part, forward, moves, forward[0].sum(axis=0) if left is None else 0))
+
+    def _by_segments(self, emit: np.ndarray, rows: np.ndarray, first: np.ndarray, size: np.ndarray, found: list) -> None:
+        """The same for texts of many segments, side by side."""
+        before, after = self._messages(emit, rows, first, size)
+        for at in range(0, len(rows), 2048):
+            part, begin, left = rows[at : at + 2048].T, first[at : at + 2048], before[at : at + 2048]
+            b = np.take(emit, part, axis=0)
+            forward, scale = self._forward(b, np.where(begin[:, None], self.start, left @ self.move))
+            moves, at_first = self._backward(b, part != len(emit) - 1, forward, scale, after[at : at + 2048])
+            found.append((part, forward, moves + left[~begin].T @ at_first[~begin], forward[0][begin].sum(axis=0)))
+
     def expected(self, symbols: Texts, extra: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected emissions (symbols x STATES), moves and starts of the texts. Segments of a text get what stands before
-        and after them by the transfer matrices of the others, so that the expectations are those of whole texts. Symbols beyond the broadcast's have their emissions in `extra`."""
+        """Expected emissions (symbols x STATES), moves and starts of the texts, over all cuts between segments. Symbols beyond the
+        broadcast's have their emissions in `extra`."""
         emit = self._with(extra)
         pad = len(emit) - 1
         rows, text, size = _segments(symbols, pad)
-        emissions, moves, starts = np.zeros((pad + 1, STATES)), np.zeros((STATES, STATES)), np.zeros(STATES)
-        first = np.concatenate([[True], np.diff(text) != 0])
-        before, after = self._messages(emit, rows, first, size)
-        for at in range(0, len(rows), 2048):
-            part, begin, left = rows[at : at + 2048].T, first[at : at + 2048], before[at : at + 2048]
-            b = emit[part]
-            forward, scale = np.empty_like(b), np.empty(part.shape)
-            for t in range(SEGMENT):
-                a = (forward[t - 1] @ self.move if t else np.where(begin[:, None], self.start, left @ self.move)) * b[t]
-                scale[t] = a.sum(axis=1)
-                forward[t] = a / scale[t][:, None]
-            back = after[at : at + 2048] / (forward[-1] * after[at : at + 2048]).sum(axis=1)[:, None]
-            for t in range(SEGMENT - 1, 0, -1):
-                forward[t] *= back  # from here on the posterior of the states
-                weighted = b[t] * back / scale[t][:, None]
-                live = part[t] != pad
-                moves += (forward[t - 1] * live[:, None]).T @ weighted
-                back = weighted @ self.move.T
-            moves += left[~begin].T @ (b[0] * back / scale[0][:, None])[~begin]  # over the cuts
-            forward[0] *= back
-            starts += forward[0][begin].sum(axis=0)
-            for k in range(STATES):
-                emissions[:, k] += np.bincount(part.ravel(), forward[:, :, k].ravel(), pad + 1)
-        return emissions[:pad], moves * self.move, starts
+        first = np.concatenate([[True], np.diff(text) != 0])[: len(text)]
+        begin = np.flatnonzero(first)
+        count = np.diff(np.append(begin, len(rows)))
+        few, found = count <= LOCKSTEP, []
+        self._by_steps(emit, rows, begin[few], count[few], size, found)
+        if not few.all():
+            many = np.repeat(~few, count)
+            self._by_segments(emit, rows[many], first[many], size[many], found)
+        symbol = np.concatenate([part.ravel() for part, *_ in found])
+        emissions = np.stack([np.bincount(symbol, np.concatenate([f[:, :, k].ravel() for _, f, *_ in found]), pad + 1)[:pad] for k in range(STATES)], 1)
+        return emissions, sum(moves for *_, moves, _ in found) * self.move, sum(starts for *_, starts in found)
 
     def learn(self, emissions: np.ndarray, moves: np.ndarray, starts: np.ndarray, rest: np.ndarray | float = 0.0, others: int = 0) -> None:
         """rest: the sum of the expected emissions of other words; others: how many more words are smoothed."""
@@ -248,16 +323,28 @@ class Model:
         return before, after
 
     def log10(self, symbols: Texts, extra: np.ndarray | None = None) -> np.ndarray:
-        """The texts' log10 probabilities: the product of the transfer matrices along each text."""
+        """The texts' log10 probabilities: the scaled forward recursion from segment to segment, or the product of the transfer matrices along long texts."""
         emit = self._with(extra)
         rows, text, size = _segments(symbols, len(emit) - 1)
-        first = np.concatenate([[True], np.diff(text) != 0])
-        matrix, logs = self._transfer(emit, rows, first, size)
-        total, state = np.zeros(len(symbols)), np.tile(self.start, (len(symbols), 1))
+        first = np.concatenate([[True], np.diff(text) != 0])[: len(text)]
         begin = np.flatnonzero(first)
         count = np.diff(np.append(begin, len(rows)))
-        for rank in range(int(count.max()) if len(count) else 0):
-            texts = np.flatnonzero(count > rank)
+        total, state, few = np.zeros(len(symbols)), np.tile(self.start, (len(symbols), 1)), count <= LOCKSTEP
+        for rank in range(int(count[few].max()) if few.any() else 0):
+            texts = np.flatnonzero(few & (count > rank))
+            row = begin[texts] + rank
+            part = rows[row, : int(size[row].max())].T
+            forward, scale = self._forward(np.take(emit, part, axis=0), state[texts] @ self.move if rank else state[texts])
+            live = np.arange(len(part))[:, None] < size[row]
+            total[texts] += np.where(live, np.log(scale), 0).sum(axis=0)
+            state[texts] = forward[-1]
+        if few.all():
+            return total / math.log(10)
+        many = np.flatnonzero(np.repeat(~few, count))
+        matrix, logs = np.empty((len(rows), STATES, STATES)), np.empty(len(rows))
+        matrix[many], logs[many] = self._transfer(emit, rows[many], first[many], size[many])
+        for rank in range(int(count.max())):
+            texts = np.flatnonzero(~few & (count > rank))
             row = begin[texts] + rank
             v = np.einsum("dk,dkj->dj", state[texts], matrix[row])
             scale = v.sum(axis=1)
@@ -266,37 +353,81 @@ class Model:
         return total / math.log(10)
 
 
-def _local(model: Model, batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The texts' symbols, in which the words outside the broadcast are numbered after its own; these words and their emissions."""
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about BESIDE tokens, as short batches leave the recursion's steps narrow."""
+    held, size = [], 0
+    for batch in pieces(batches, 200):
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column("symbols"))).as_py() or 0
+        if size >= 4 * BESIDE:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _local(model: Model, batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' symbols, in which the words outside the broadcast are numbered after its own; these words, their weights (0 if `found` lacks them),
+    how often training has them, and the places of the words of `found`. Without the column `rare` they are one word of no weights."""
     n = len(model.emit) - 1
     flat = [_symbols(x) for x in batch.column("symbols").to_pylist()]
     ends = np.cumsum([len(x) for x in flat])
     flat = np.concatenate(flat)
+    if "rare" not in batch.schema.names:
+        return np.split(flat, ends[:-1]), np.zeros(1, np.int64), np.zeros((1, STATES)), np.zeros(1, np.int64), np.zeros(0, np.int64)
     rare = batch.column("rare").flatten().to_numpy(zero_copy_only=False)
     words, number = np.unique(rare, return_inverse=True)
     flat[flat == n] = n + number
-    weight, found = np.zeros((len(words), STATES)), batch.column("found").flatten()
-    at = np.searchsorted(words, found.field("word").to_numpy(zero_copy_only=False))
-    weight[at] = np.frombuffer(b"".join(found.field("w").to_pylist()), np.float32).reshape(-1, STATES)
-    return np.split(flat, ends[:-1]), words, model.extra(weight)
+    weight, count, at = np.zeros((len(words), STATES)), np.zeros(len(words), np.int64), np.zeros(0, np.int64)
+    if "found" in batch.schema.names and len(found := batch.column("found").flatten()):
+        at = np.searchsorted(words, found.field("word").to_numpy(zero_copy_only=False))
+        rows = np.frombuffer(b"".join(found.field("w").to_pylist()), WEIGHT)
+        weight[at], count[at] = rows["w"], rows["n"]
+    return np.split(flat, ends[:-1]), words, weight, count, np.unique(at)
+
+
+#: A word's row in the table of weights.
+WEIGHT = np.dtype([("n", np.int64), ("w", np.float32, STATES)])
+SUMS = "own boolean, bucket long, keys binary, sums binary"
 
 
-def _rows(own: bool, key: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), own)), pa.array(key.astype(np.int64)), *[pa.array(rows[:, k]) for k in range(STATES)]], names=["own", "word", *WEIGHTS])
+def _sums(own: bool, keys: np.ndarray, rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of sums, one for each bucket: of symbols CHUNK neighbours (bucket -1: the moves, the start and the rest), of other words those of one remainder."""
+    bucket = np.where(keys < 0, -1, keys // CHUNK) if own else (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    keys, rows, bucket = keys[order], rows[order], bucket[order]
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
+    parts = list(zip(edge[:-1], edge[1:]))
+    for at in range(0, len(parts), 1_000):
+        some = parts[at : at + 1_000]
+        yield pa.RecordBatch.from_arrays([pa.array([own] * len(some)), pa.array([int(bucket[a]) for a, _ in some], pa.int64()), pa.array([keys[a:b].tobytes() for a, b in some], pa.binary()), pa.array([rows[a:b].tobytes() for a, b in some], pa.binary())], names=["own", "bucket", "keys", "sums"])
 
 
-def _expected(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sums over the task: a row for each symbol (own), and with the numbers below 0 for the moves, the start and the sum of the other words; a batch's sums for each of these (not own)."""
+def _added(table: pa.Table) -> pa.Table:
+    """The sums of a bucket over all tasks."""
+    keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.int64)
+    rows = np.frombuffer(b"".join(table["sums"].to_pylist())).reshape(-1, STATES)
+    keys, place = np.unique(keys, return_inverse=True)
+    total = np.stack([np.bincount(place, rows[:, k], len(keys)) for k in range(STATES)], 1)
+    return pa.table({"own": table["own"][:1], "bucket": table["bucket"][:1], "keys": pa.array([keys.tobytes()], pa.binary()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def _expected(model, buckets: int, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums over the task for each symbol and, with numbers below 0, for the moves, the start and the other words that are learned; a batch's sums for each of these.
+    Words without weights take part in every state alike, and are learned if this is the last iteration."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, total = model.value, None
         n = len(m.emit) - 1
-        for batch in pieces(batches, 1_000):
-            symbols, words, extra = _local(m, batch)
+        for batch in _beside(batches):
+            symbols, words, weight, _, at = _local(m, batch)
+            extra = np.ones((len(words), STATES))
+            extra[at] = m.extra(weight[at])
             emissions, *others = m.expected(symbols, extra)
-            if len(words):
-                yield _rows(False, words, emissions[n:])
-            found = [emissions[:n], *others, emissions[n:].sum(axis=0)]
+            learned = np.arange(len(words)) if last else at
+            if len(learned):
+                yield from _sums(False, words[learned], emissions[n + learned], buckets)
+            found = [emissions[:n], *others, emissions[n + learned].sum(axis=0)]
             if total is None:
                 total = found
             else:
@@ -305,44 +436,54 @@ def _expected(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
         if total is not None:
             emissions, moves, starts, rest = total
             some = np.flatnonzero(emissions.any(axis=1))
-            yield _rows(True, np.concatenate([some, -1 - np.arange(STATES + 2)]), np.vstack([emissions[some], moves, starts[None, :], rest[None, :]]))
+            yield from _sums(True, np.concatenate([some, -1 - np.arange(STATES + 2)]), np.vstack([emissions[some], moves, starts[None, :], rest[None, :]]), buckets)
 
     return run
 
 
 def _scored(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1_000):
-            symbols, _, extra = _local(model.value, batch)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(model.value.log10(symbols, extra))], names=[*batch.schema.names[:-3], "model"])
+        m = model.value
+        for batch in _beside(batches):
+            symbols, _, weight, count, _ = _local(m, batch)
+            owner, word = np.repeat(np.arange(len(symbols)), [len(s) for s in symbols]), np.concatenate(symbols) - (len(m.emit) - 1)
+            times = count[word[word >= 0]]
+            known, more = (np.bincount(owner[word >= 0], x, len(symbols)) for x in (times > 0, np.log10(times + 1)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), batch.column("n_tokens"), pa.array(batch.column("n_known").to_numpy() + known.astype(np.int64)), pa.array(batch.column("base").to_numpy() + more), pa.array(m.log10(symbols, m.extra(weight)))],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "model"],
+            )
 
     return run
 
 
 def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first weights of words outside the broadcast, as a row of the table of weights and as numbers."""
     for batch in batches:
-        weight = batch.column(1).to_numpy()[:, None] * noise(batch.column(0).to_numpy().view(np.uint64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(weight[:, k]) for k in range(STATES)]], names=["word", *WEIGHTS])
+        word, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        weight = n[:, None] * noise(word.view(np.uint64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_weights(n, weight), pa.binary()), *[pa.array(weight[:, k]) for k in range(STATES)]], names=["word", "w", *WEIGHTS])
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The weights as one binary column: doubles where own, else floats, as these are most of the disk."""
-    for batch in batches:
-        own = batch.column("own").to_numpy(zero_copy_only=False)
-        rows = np.stack([batch.column(w).to_numpy(zero_copy_only=False) for w in WEIGHTS], 1)
-        packed = [r.tobytes() if o else f.tobytes() for o, r, f in zip(own, rows, rows.astype(np.float32))]
-        yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("word"), pa.array(packed, pa.binary())], names=["own", "word", "w"])
+def _weights(n: np.ndarray, weight: np.ndarray) -> list[bytes]:
+    rows = np.empty(len(n), WEIGHT)
+    rows["n"], rows["w"] = n, weight
+    return [r.tobytes() for r in rows]
 
 
-PACKED = "own boolean, word long, w binary"
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The table of weights out of the buckets' sums. What a word's expected emissions add up to is how often training has it."""
+    for batch in batches:
+        for keys, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            weight = np.frombuffer(sums).reshape(-1, STATES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(_weights(np.rint(weight.sum(axis=1)).astype(np.int64), weight), pa.binary())], names=["word", "w"])
 
 
-def _with_weights(docs: DataFrame, rest: DataFrame) -> DataFrame:
-    """The documents with `found`: the words outside the broadcast with their weights, as far as training has them."""
+def _with_weights(docs: DataFrame, weights: DataFrame) -> DataFrame:
+    """The documents with `found`: the words outside the broadcast with their weights, as far as the table has them."""
     need = docs.select("row", F.explode(F.array_distinct("rare")).alias("word"))
-    found = need.join(rest, "word").groupBy("row").agg(F.collect_list(F.struct("word", "w")).alias("found"))
-    columns = [c for c in docs.columns if c not in ("symbols", "rare")]
-    return docs.join(found, "row", "left").select(*columns, "symbols", "rare", F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
+    found = need.join(weights, "word").groupBy("row").agg(F.collect_list(F.struct("word", "w")).alias("found"))
+    return docs.join(found, "row", "left").select(*docs.columns, F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
 
 
 @contextmanager
@@ -358,32 +499,35 @@ def _short_shuffles(spark: SparkSession) -> Iterator[None]:
 
 
 def train(docs: DataFrame, counts: Counts) -> tuple[Model, DataFrame]:
-    """Baum-Welch over all training rows: the model and the table of the weights of words outside its broadcast. What returns to the driver is bounded by the broadcast's words."""
+    """Baum-Welch over all training rows: the model and the table of the weights of all words outside its broadcast. What returns to the driver is bounded by the broadcast's words."""
     spark = docs.sparkSession
+    start = counts.others.mapInArrow(_first, "word long, w binary, " + ", ".join(f"{w} double" for w in WEIGHTS))
+    weights = stored(start.select("word", "w"))
     if not counts.words:
         model = Model(np.ones(1))
         model.learn(np.zeros((0, STATES)), np.zeros((STATES, STATES)), np.zeros(STATES), others=1)
-        return model, counts.rest.select("word", F.lit(b"").alias("w"))
-    weights = ", ".join(f"{w} double" for w in WEIGHTS)
-    start = counts.rest.mapInArrow(_first, f"word long, {weights}")
+        return model, weights
     first = start.agg(*[F.coalesce(F.sum(w), F.lit(0.0)).alias(w) for w in WEIGHTS]).first()
-    rest = stored(start.select(F.lit(False).alias("own"), "*").mapInArrow(_packed, PACKED).drop("own"))
     model = Model(counts.n[counts.often], counts.word[counts.often], np.array([first[w] for w in WEIGHTS]))
-    tasks = max(spark.sparkContext.defaultParallelism, counts.total // TASK_TOKENS)
+    tasks, buckets = max(spark.sparkContext.defaultParallelism, counts.total // TASK_TOKENS), counts.total // BUCKET_TOKENS + 1
     training = docs.where("NOT held_out").select("row", "symbols", "rare")
-    for _ in range(ITERATIONS):
-        sent = spark.sparkContext.broadcast(model)
-        found = _with_weights(training, rest).drop("row").coalesce(tasks).mapInArrow(_expected(sent), f"own boolean, word long, {weights}")
+    for k in range(ITERATIONS):
+        last, sent = k == ITERATIONS - 1, spark.sparkContext.broadcast(model)
+        given = _with_weights(training, weights) if counts.n_others else training if last else training.drop("rare")
+        found = given.drop("row").coalesce(tasks).mapInArrow(_expected(sent, buckets, last), SUMS)
         with _short_shuffles(spark):
-            sums = stored(found.groupBy("own", "word").agg(*[F.sum(w).alias(w) for w in WEIGHTS]).mapInArrow(_packed, PACKED))
+            sums = stored(found.groupBy("own", "bucket").applyInArrow(_added, SUMS))
         sent.unpersist()
-        discard(rest)
-        own, rest = sums.where("own").toArrow(), sums.where("NOT own").select("word", "w")
-        key, rows = own["word"].to_numpy(), np.frombuffer(b"".join(own["w"].to_pylist())).reshape(-1, STATES)
+        own = sums.where("own").select("keys", "sums").toArrow()
+        key, rows = np.frombuffer(b"".join(own["keys"].to_pylist()), np.int64), np.frombuffer(b"".join(own["sums"].to_pylist())).reshape(-1, STATES)
         emissions, more = np.zeros((len(counts.word), STATES)), np.zeros((STATES + 2, STATES))
         emissions[key[key >= 0]], more[-1 - key[key < 0]] = rows[key >= 0], rows[key < 0]
-        model.learn(emissions, more[:STATES], more[STATES], more[STATES + 1], counts.words - len(counts.word) + 1)
-    return model, rest
+        others = counts.words - len(counts.word) + 1 if last else counts.n_others
+        model.learn(emissions, more[:STATES], more[STATES], more[STATES + 1], others)
+        discard(weights)
+        weights = stored(sums.where("NOT own").select("keys", "sums").mapInArrow(_words, "word long, w binary"))
+        discard(sums)
+    return model, weights
 
 
 def scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
@@ -402,15 +546,9 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     table = Counts(counts)
     columns = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, symbols binary, rare array<long>"
     encoded = stored(d.mapInArrow(_encoded(spark.sparkContext.broadcast(table)), columns).withColumn("row", F.monotonically_increasing_id()))
-    model, rest = train(encoded, table)
-    rare = encoded.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
-    count = F.coalesce("n", F.lit(0))
-    rare = rare.groupBy("row").agg(F.sum(F.when(count > 0, 1).otherwise(0)).alias("more_known"), F.sum(F.log10(count + 1)).alias("more_base"))
-    kinds = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, row long, model double"
-    part = _with_weights(encoded.select("doc_id", "held_out", "n_tokens", "n_known", "base", "row", "symbols", "rare"), rest)
-    out = part.mapInArrow(_scored(spark.sparkContext.broadcast(model)), kinds).join(rare, "row", "left")
-    more = {c: F.coalesce(c, F.lit(0)) for c in ("more_known", "more_base")}
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + more["more_known"]).alias("n_known"), F.lit(table.total).cast("long").alias("train_tokens"),
-        (F.col("base") + more["more_base"] - F.col("n_tokens") * F.lit(math.log10(table.total + table.words + 1))).alias("base_score"), F.col("model").alias("score"),
+    model, weights = train(encoded, table)
+    part = _with_weights(encoded, weights).mapInArrow(_scored(spark.sparkContext.broadcast(model)), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, model double")
+    return part.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(table.total).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * F.lit(math.log10(table.total + table.words + 1))).alias("base_score"), F.col("model").alias("score"),
     )
