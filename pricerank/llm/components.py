@@ -11,14 +11,15 @@ from pricerank.llm.common import stored
 def connected_components(links: DataFrame) -> DataFrame:
     """node, component (least node reachable) for every node of the links (a, b); nulls and loops count for nothing.
 
-    Each step hangs nodes on the least neighbour; every edge set is stored, so no lineage grows. A star, as leaders make it, is done at once.
+    Each step hangs nodes on the least neighbour; every edge set is stored, so no lineage grows. A star, as leaders make it, is done at once. What is joined to the edges
+    of a node is stored as well, so that Spark may split the edges of a node that has many.
     """
     edges = stored(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     while seen != (state := _state(edges)):
         seen = state
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", "m"))

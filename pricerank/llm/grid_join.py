@@ -4,7 +4,7 @@ Unit vectors are at most sqrt(2 - 2 cos) apart if they link. They are put in the
 CELL_AXES leading principal axes, and the sequence of each label is cut into blocks of about BLOCK rows. Intervals of blocks, then blocks, then halves of blocks are joined recursively; any
 two whose bounding boxes on BOX_AXES principal axes are further apart than a link are skipped. What is left is compared in full.
 
-A task takes one pair of blocks and returns link counts and a spanning forest, never the pairs. The axes are fitted on a
+Equal vectors of a label are one row with their number first, so that many copies cost no more than one. A task takes one pair of blocks and returns link counts and a spanning forest, never the pairs. The axes are fitted on a
 sample of SAMPLE_ROWS vectors by hash of the id; they steer only the skipping, so that any axes give the same links.
 """
 
@@ -23,6 +23,8 @@ from pricerank.llm.components import connected_components
 
 BLOCK, INTERVAL, LEAF = 2048, 16, 256
 CELL_AXES, BOX_AXES, SAMPLE_ROWS = 4, 16, 5_000
+#: Tasks that share the pairs of intervals of a label.
+SALTS = 32
 SLACK = 1e-9
 
 
@@ -61,7 +63,7 @@ def _packed(axes: np.ndarray, dtype: str) -> Callable[[pd.DataFrame], pd.DataFra
         p = p.assign(cell=p["cell"].map(tuple)).sort_values(["cell", "vec_id"])
         x = np.stack(p["v"].to_numpy()).astype(dtype)
         at = _projected(axes, x.astype(np.float64))
-        return pd.DataFrame({"label": p["label"].iloc[:1], "size": p["size"].iloc[:1], "block": p["block"].iloc[:1], "low": [at.min(axis=0)], "high": [at.max(axis=0)], "ids": [p["vec_id"].to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()]})
+        return pd.DataFrame({"label": p["label"].iloc[:1], "size": p["size"].iloc[:1], "block": p["block"].iloc[:1], "low": [at.min(axis=0)], "high": [at.max(axis=0)], "ids": [p["vec_id"].to_numpy(np.int64).tobytes()], "copies": [p["copies"].to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()]})
 
     return run
 
@@ -111,14 +113,16 @@ def _forest(i: np.ndarray, j: np.ndarray, rank: np.ndarray) -> np.ndarray:
 def _linked(axes: np.ndarray, dtype: str, cosine: float, eps: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(pair: pd.DataFrame) -> pd.DataFrame:
         pair = pair.sort_values("side")
-        ids = [np.frombuffer(b, np.int64) for b in pair["ids"]]
+        ids, copies = ([np.frombuffer(b, np.int64) for b in pair[c]] for c in ("ids", "copies"))
         x = [np.frombuffer(b, dtype).astype(np.float64).reshape(len(k), -1) for b, k in zip(pair["vectors"], ids)]
         p = [_projected(axes, v) for v in x]
         same = len(pair) == 1
         i, j = joined_sequences(x[0], x[-1], p[0], p[-1], same, cosine, eps)
-        every = ids[0] if same else np.concatenate(ids)
+        every, times = (x[0] if same else np.concatenate(x) for x in (ids, copies))
         j = j if same else j + len(ids[0])
-        links = np.bincount(i, minlength=len(every)) + np.bincount(j, minlength=len(every))
+        links = np.zeros(len(every), np.int64)
+        np.add.at(links, i, times[j])
+        np.add.at(links, j, times[i])
         root = _forest(i, j, every.copy()) if len(i) else every
         some = np.flatnonzero(links)
         return pd.DataFrame({"vec_id": every[some], "links": links[some], "root": root[some]})
@@ -148,13 +152,14 @@ def components(embeddings: DataFrame, cosine: float = 0.93) -> DataFrame:
     valid = stored(embeddings.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite).select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.size("embedding").alias("size"), v.alias("v")).dropDuplicates(["vec_id", "label", "v"]))
     label = valid.schema["label"].dataType.simpleString()
     axes = principal_axes(valid)
-    celled = stored(valid.mapInPandas(_cells(axes, eps, label), f"vec_id long, label {label}, size int, v array<double>, cell array<int>"))
+    classes = stored(valid.groupBy("label", F.xxhash64("v").alias("hash"), "v").agg(F.first("size").alias("size"), F.min("vec_id").alias("first"), F.count("*").alias("copies")))
+    celled = stored(classes.select(F.col("first").alias("vec_id"), "label", "size", "v", "copies").mapInPandas(_cells(axes, eps, label), f"vec_id long, label {label}, size int, v array<double>, copies long, cell array<int>"))
     # one row per cell, at most (2 / eps + 2)^CELL_AXES of them a label: where the cell begins in its label's sequence
     before = Window.partitionBy("label", "size").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cells = celled.groupBy("label", "size", "cell").agg(F.count("*").alias("rows")).withColumn("first", F.sum("rows").over(before) - F.col("rows"))
     place = F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("rows"))
     blocked = celled.join(cells, ["label", "size", "cell"]).withColumn("block", F.floor(place / BLOCK))
-    blocks = stored(blocked.select("vec_id", "label", "size", "v", "cell", "block").groupBy("label", "size", "block").applyInPandas(_packed(axes, dtype), f"label {label}, size int, block long, low array<double>, high array<double>, ids binary, vectors binary"))
+    blocks = stored(blocked.select("vec_id", "label", "size", "v", "copies", "cell", "block").groupBy("label", "size", "block").applyInPandas(_packed(axes, dtype), f"label {label}, size int, block long, low array<double>, high array<double>, ids binary, copies binary, vectors binary"))
     boxes = blocks.select("label", "size", "block", "low", "high", F.floor(F.col("block") / INTERVAL).alias("interval"))
     wide = boxes.groupBy("label", "size", "interval").agg(F.array(*[F.min(F.get("low", F.lit(k))) for k in range(BOX_AXES)]).alias("low"), F.array(*[F.max(F.get("high", F.lit(k))) for k in range(BOX_AXES)]).alias("high"))
     wide = wide.withColumns({c: F.filter(c, lambda x: x.isNotNull()) for c in ("low", "high")})
@@ -162,15 +167,22 @@ def components(embeddings: DataFrame, cosine: float = 0.93) -> DataFrame:
     intervals = _near_pairs(wide, wide, "interval", near).select("label", "size", "interval", "interval2")
     pairs = intervals.join(boxes, ["label", "size", "interval"]).join(boxes.select("label", "size", F.col("interval").alias("interval2"), F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2")), ["label", "size", "interval2"])
     pairs = pairs.where((F.col("block") <= F.col("block2")) & near(None)).select("label", "size", F.col("block").alias("a"), F.col("block2").alias("b"))
-    sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("a", "b")))).join(blocks.select("label", "size", "block", "ids", "vectors"), ["label", "size", "block"])
-    found = stored(sides.select("label", "size", "a", "b", F.col("block").alias("side"), "ids", "vectors").groupBy("label", "size", "a", "b").applyInPandas(_linked(axes, dtype, cosine, eps), "vec_id long, links long, root long"))
+    sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("a", "b")))).join(blocks.select("label", "size", "block", "ids", "copies", "vectors"), ["label", "size", "block"])
+    found = stored(sides.select("label", "size", "a", "b", F.col("block").alias("side"), "ids", "copies", "vectors").groupBy("label", "size", "a", "b").applyInPandas(_linked(axes, dtype, cosine, eps), "vec_id long, links long, root long"))
     counted = found.groupBy(F.col("vec_id").alias("id")).agg(F.sum("links").alias("links"))
     component = connected_components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    out = embeddings.select("vec_id").join(counted, F.col("vec_id") == F.col("id"), "left").join(component, F.col("vec_id") == F.col("node"), "left")
+    several = stored(classes.where("copies > 1").select("label", "hash", "v", "first"))
+    copies = valid.select("vec_id", "label", F.xxhash64("v").alias("hash"), "v").join(several, ["label", "hash", "v"]).select("vec_id", "first")
+    known = classes.select("first", "copies").join(counted, F.col("first") == F.col("id"), "left").join(component, F.col("first") == F.col("node"), "left")
+    known = known.select("first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "first").alias("component"))
+    of = stored(copies.union(classes.where("copies = 1").select("first", "first")).toDF("id", "_first"))
+    each = of.join(stored(known), F.col("_first") == F.col("first")).select("id", "links", "component")
+    out = embeddings.select("vec_id").join(each, F.col("vec_id") == F.col("id"), "left")
     component_id = F.coalesce("component", F.col("vec_id").cast("long"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), F.coalesce(F.col("vec_id") == component_id, F.lit(True)).alias("kept"))
 
 
 def _near_pairs(x: DataFrame, y: DataFrame, key: str, near: Callable) -> DataFrame:
-    other = y.select("label", "size", *[F.col(c).alias(f"{c}2") for c in (key, "low", "high")])
-    return x.join(other, ["label", "size"]).where((F.col(key) <= F.col(f"{key}2")) & near(None))
+    """Pairs of a label's rows whose boxes are near. A label's rows on one side are dealt over SALTS tasks, each of which has all rows of the other."""
+    other = y.select("label", "size", *[F.col(c).alias(f"{c}2") for c in (key, "low", "high")], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return x.withColumn("salt", (F.col(key) % SALTS).cast("int")).join(other, ["label", "size", "salt"]).where((F.col(key) <= F.col(f"{key}2")) & near(None))

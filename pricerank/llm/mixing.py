@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricerank.llm.common import n_words
+from pricerank.llm.common import n_words, stored
 
 #: Leading hex digits of a key that name its range: 4,096 ranges a source.
 RANGE_DIGITS = 3
@@ -45,19 +45,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
 
     `size` counts the words of `text` (null: 0); `taken` is what the mix takes of the document: `epochs` whole passes over its source and,
     where the source's remaining budget ends inside or after it, that many words more. A source's taken words
-    add up to its target rounded down, so reruns agree. Documents are ordered by the md5 of their id, ties by id and size, so
-    repeated rows are taken one after another. A null source is a source of its own; a null id counts as the empty text. Empty
+    add up to its target rounded down, so reruns agree. Documents are ordered by the md5 of their id, ties by id, size and a hash of the text, so
+    repeated rows are taken one after another. Sizes and keys are stored, so that the words of a text are counted once (twice with_row). A null source is a source of its own; a null id counts as the empty text. Empty
     tables give no rows. Other columns are not read, unless with_row.
     """
-    size = docs.select("doc_id", F.col("source"), n_words(F.col("text")).alias("size"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if with_row else []))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if with_row else []
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    d = size.withColumn("_s", _non_null(F.col("source"))).withColumn("_key", key).withColumn("_range", F.substring("_key", 1, RANGE_DIGITS))
-    ranges = d.groupBy("_s", "_range").agg(F.sum("size").alias("_range_size"), F.first("source").alias("source"))
+    d = docs.select("doc_id", F.col("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_text"), *row)
+    d = d.withColumn("_s", _non_null(F.col("source"))).withColumn("_key", key).withColumn("_range", F.substring("_key", 1, RANGE_DIGITS))
+    d = d if with_row else stored(d)
+    ranges = stored(d.groupBy("_s", "_range").agg(F.sum("size").alias("_range_size"), F.first("source").alias("source")))
     sources = ranges.groupBy("_s").agg(F.sum("_range_size").alias("source_size"), F.first("source").alias("source"))
     targets = source_targets(sources, weights, share, max_repeats).drop("source")
     up_to = Window.partitionBy("_s").orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = ranges.withColumn("_before", F.sum("_range_size").over(up_to) - F.col("_range_size")).join(targets, "_s").drop("source", "_range_size")
-    running = Window.partitionBy("_s", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = Window.partitionBy("_s", "_range").orderBy("_key", "doc_id", "size", "_text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("_running", F.sum("size").over(running) - F.col("size")).join(offsets, ["_s", "_range"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     d = d.withColumn("epochs", epochs)

@@ -7,7 +7,8 @@ differ. Candidates whose sketches differ in more bits than links at the threshol
 Equal sets become one class first. Inside a bucket of a band, members are paired with the bucket's least id only, not with each other; the links found give
 components. What is left are pairs of one bucket in different components. In buckets of up to SMALL members they are listed; for larger ones, tasks compare
 the members outside the bucket's main component with all members, block by block, and return links only. So every proposed pair is either
-confirmed, refuted, or inside one component already, and the pairs written out grow with the documents, not with the square of a group. A pair
+confirmed, refuted, or inside one component already. The pairs written out grow with the documents; what is compared inside tasks grows with
+members times members outside the main component, which is little in a group of copies and much in one of many texts that are just not similar enough. A pair
 at similarity 0.8 shares no band with a chance of (1 - 0.8^6)^46 = 8e-7.
 """
 
@@ -241,6 +242,9 @@ def components(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame
 
 
 def dedup(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The documents that components() keeps: of each component the one of least id."""
-    dropped = stored(components(docs, n, threshold).where("NOT kept").select(F.col("doc_id").alias("id")).distinct())
-    return restricted(docs, dropped, "left_anti")
+    """The documents that components() keeps: of each component the one of least id, and of rows that repeat whole one. Rows with a null id and
+    documents without shingles all stay; empty tables give no rows."""
+    found = stored(components(docs, n, threshold).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.bool_and("kept").alias("kept"), F.count("*").alias("rows")).where("NOT kept OR rows > 1"))
+    left = restricted(docs, stored(found.where("NOT kept").select("id")), "left_anti")
+    twice = stored(found.where("kept").select("id"))
+    return restricted(left, twice, "left_anti").union(restricted(left, twice).dropDuplicates())

@@ -1,9 +1,10 @@
 """Quality classifier: hierarchical empirical Bayes over documents, hosts and paths.
 
-A logistic classifier on shape features gives each document a probability of good quality. Grouped sums of these give every host
+A logistic classifier on shape features gives each document a probability of good quality. What is believed of a document is its label where it has one for
+training, else this probability. Grouped sums of these beliefs give every host
 a posterior rate, shrunk towards the global rate, and every path of a host one shrunk towards its host's; how strongly is estimated from the spread
 between the groups (method of moments). A document's score combines its own evidence with the rate of its path, from which its own share is
-taken out, so that a lone document rests on its host and a new host on the whole corpus.
+taken out, so that a lone document rests on its host and a new host on the whole corpus, and no label decides its own document's score.
 """
 
 from __future__ import annotations
@@ -73,16 +74,15 @@ def scores(docs: DataFrame, labels: DataFrame, levels: tuple[str, str] = ("sourc
     """Per document: doc_id, held_out, evidence (log odds of its own text), host_rate, path_rate, score (0 to 1), kept (score >= 0.5).
 
     levels name the columns of host and path. Labels (quality 0 or 1) are learned from only where crc32(doc_id as text) mod `folds` is not 0; an id labelled twice counts as good if any label
-    says so; without labels of both classes the evidence is 0 and all rates are a half. Null hosts and paths are groups of their own. Null and empty texts have all
+    says so; an id that repeats in docs is one row of the sample; without labels of both classes the evidence is 0 and unlabelled documents count as a half. Null and unknown ids have no label. Null hosts and paths are groups of their own. Null and empty texts have all
     features 0. Repeated rows get a row each; empty tables give none; other columns are not read.
     """
     host, path = levels
     kinds = {"doc_id": docs.schema["doc_id"].dataType.simpleString(), "host": docs.schema[host].dataType.simpleString(), "path": docs.schema[path].dataType.simpleString()}
-    named = docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), "text").mapInArrow(_described, ", ".join(f"{k} {v}" for k, v in kinds.items()) + f", features {FEATURE_LIST}")
-    chosen = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), folds) != 0))
-    chosen = chosen.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_ROWS)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_described, f"doc_id {kinds['doc_id']}, quality int, features {FEATURE_LIST}")
-    sample = texts.select("features", "quality").toPandas()
+    named = stored(docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), "text").mapInArrow(_described, ", ".join(f"{k} {v}" for k, v in kinds.items()) + f", features {FEATURE_LIST}"))
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), folds) != 0)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_ROWS)
+    sample = named.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), F.max("quality").alias("quality")).select("features", "quality").toPandas()
     log_odds, prior = F.lit(0.0), 0.5
     if sample["quality"].nunique() == 2:
         x, y = np.stack(sample["features"].to_numpy()).astype(np.float64), sample["quality"].to_numpy(np.float64)
@@ -93,11 +93,11 @@ def scores(docs: DataFrame, labels: DataFrame, levels: tuple[str, str] = ("sourc
         log_odds = sum((float(w[1 + i]) * z[i] + float(w[1 + k + i]) * z[i] * z[i] for i in range(k)), F.lit(float(w[0])))
     base = float(np.log(prior / (1 - prior)))
     bounded = F.greatest(F.least(log_odds, F.lit(20.0)), F.lit(-20.0))
-    d = named.select("doc_id", "host", "path", bounded.alias("log_odds")).withColumn("p", 1 / (1 + F.exp(-F.col("log_odds"))))
+    d = named.join(known, "doc_id", "left").select("doc_id", "host", "path", bounded.alias("log_odds"), "quality")
+    d = d.withColumn("p", F.coalesce(F.col("quality").cast("double"), 1 / (1 + F.exp(-F.col("log_odds")))))
     d = d.withColumn("key", F.struct(F.coalesce(F.col("host").cast("string"), F.lit("")).alias("h"), F.col("host").isNull().alias("n"))).withColumn("sub", F.struct(F.coalesce(F.col("path").cast("string"), F.lit("")).alias("p"), F.col("path").isNull().alias("n")))
     sums = [F.sum("p").alias("good"), F.sum(F.col("p") ** 2).alias("squares"), F.count("*").alias("n")]
-    paths = d.groupBy("key", "sub").agg(*sums)
-    paths = stored(paths)
+    paths = stored(d.groupBy("key", "sub").agg(*sums))
     hosts = paths.groupBy("key").agg(F.sum("good").alias("good"), F.sum("squares").alias("squares"), F.sum("n").alias("n"))
     everything = hosts.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
     rate = (everything.good + 1) / (everything.n + 2) if everything.n else 0.5

@@ -16,7 +16,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricerank.llm.common import pieces
+from pricerank.llm.common import pieces, stored
 
 #: The vocabulary's file and the pattern that parts its texts.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -50,8 +50,8 @@ def histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 def suffix_sums(hist: DataFrame) -> DataFrame:
     """For each length that occurs: n_docs, docs_at_least and tokens_at_least (of that length or more), truncated_total (tokens left if
     every document is cut to it), share_up_to (share of documents no longer). truncated_total and share_up_to are the answers at any limit
-    up to the next length that occurs, the former plus (limit - length) for each longer document."""
-    h = hist.withColumn("block", F.floor(F.col("length") / BLOCK)).withColumn("tokens", F.col("length") * F.col("n_docs"))
+    up to the next length that occurs, the former plus (limit - length) for each longer document. The histogram is stored first, so that texts are encoded once."""
+    h = stored(hist).withColumn("block", F.floor(F.col("length") / BLOCK)).withColumn("tokens", F.col("length") * F.col("n_docs"))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
     later, everything = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(1))
     blocks = blocks.select("block", *[F.coalesce(F.sum(f"block_{c}").over(later), F.lit(0)).alias(f"later_{c}") for c in ("docs", "tokens")], *[F.sum(f"block_{c}").over(everything).alias(f"all_{c}") for c in ("docs", "tokens")])

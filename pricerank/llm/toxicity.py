@@ -3,12 +3,13 @@
 A word is the mean of the vectors of its byte n-grams (with word edges) and of the word itself, hashed into BUCKETS; a text is the mean
 of its words; a softmax over two classes stands on top. A text holds few telling words among hundreds, so each bucket enters the mean weighted by its evidence: the log ratio of the
 shares of toxic and other training texts it occurs in, shrunk by DOUBT standard errors (most become 0). Vectors and softmax are trained jointly in numpy, by Adagrad, on a
-bounded sample of labelled rows (MOST_ROWS by hash of the id, none above MOST_BYTES). Once trained, the model is linear in the words, so scoring needs one number a
+bounded sample of labelled rows (MOST_ROWS by hash of the id), each sent as its distinct words and their counts, so that a long text costs no more than its vocabulary. Once trained, the model is linear in the words, so scoring needs one number a
 bucket, which is broadcast (BUCKETS * 4 bytes); a misspelt word takes the numbers of the n-grams it shares.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from pricerank.llm.common import byte_lists, mix64, numbered, pieces, remainder
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 20, 8, (3, 4, 5)
-#: The training sample's bounds.
-MOST_ROWS, MOST_BYTES = 5_000, 200_000
+#: The training sample's bound.
+MOST_ROWS = 5_000
 EPOCHS, BATCH, RATE, SCALE, DOUBT = 8, 32, 0.2, 50.0, 2.0
 #: Words whose numbers a task keeps.
 KNOWN_WORDS = 150_000
@@ -56,22 +57,29 @@ def _powers(n: int, inverse: bool = False) -> np.ndarray:
         return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(0, n - 1), base, np.uint64))])
 
 
-def _bags(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each text's buckets and their weights, which add up to 1."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each text, joined by one space, and their counts."""
+    for batch in pieces(batches, 300):
+        each = [Counter((t or b"").lower().split()) for t in byte_lists(batch)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b" ".join(c) for c in each], pa.binary()), pa.array([list(c.values()) for c in each], pa.list_(pa.int32()))], names=["doc_id", "toxic", "words", "counts"])
+
+
+def _bags(texts: list[tuple[bytes, list[int]]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Buckets and their weights, which add up to 1, of each text, given as its distinct words and their counts."""
     bags = []
-    for t in texts:
-        words = t.lower().split()
+    for text, times in texts:
+        words, times = text.split(), np.array(times, np.float64)
         if not words:
             bags.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
             continue
         ids, count = subwords(words)
-        weight = np.repeat(1 / (count * len(words)), count)
+        weight = np.repeat(times / (count * times.sum()), count)
         distinct, place = np.unique(ids, return_inverse=True)
         bags.append((distinct, np.bincount(place, weight).astype(np.float32)))
     return bags
 
 
-def train(texts: list[bytes], toxic: np.ndarray, seed: int = 10) -> tuple[np.ndarray, float]:
+def train(texts: list[tuple[bytes, list[int]]], toxic: np.ndarray, seed: int = 10) -> tuple[np.ndarray, float]:
     """A number for each bucket and the bias: the margin of the toxic class. Without both classes, a constant: 0 for none toxic, else 1 for all."""
     if not len(texts) or toxic.min() == toxic.max():
         return np.zeros(BUCKETS, np.float32), 30.0 if len(texts) and toxic[0] else -30.0
@@ -79,7 +87,7 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 10) -> tuple[np.nda
     bags = _bags(texts)
     evidence = SCALE * _evidence(bags, toxic)
     bags = [(ids[some], weight[some] * evidence[ids[some]]) for ids, weight in bags for some in [evidence[ids] != 0]]
-    vectors = np.tile(rng.uniform(-0.1, 0.1, DIMENSIONS).astype(np.float32), (BUCKETS, 1))
+    vectors = rng.uniform(-0.1, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     top = rng.uniform(-1, 1, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.log(np.bincount(toxic, minlength=2) / len(toxic)).astype(np.float32)
     seen, seen_top, seen_bias = np.full_like(vectors, 1e-3), np.full_like(top, 1e-6), np.full_like(bias, 1e-6)
@@ -135,13 +143,13 @@ def _scorer(model, text: str, keep: list[str]) -> Callable[[Iterator[pa.RecordBa
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> tuple[np.ndarray, float]:
-    """The model of the labelled rows whose crc32(doc_id as text) mod `folds` is not 0. An id labelled twice is toxic if either label says so."""
+    """The model of the labelled rows whose crc32(doc_id as text) mod `folds` is not 0. An id labelled twice is toxic if either label says so; one that repeats in docs counts once."""
     chosen = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), folds) != 0))
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_ROWS)
-    rows = docs.where(F.octet_length("text") <= MOST_BYTES).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "doc_id").toArrow()
-    order = np.lexsort((rows["toxic"].to_numpy(), rows["doc_id"].to_numpy()))  # reruns agree
-    texts = rows["text"].cast(pa.large_binary()).to_pylist()
-    return train([texts[i] for i in order], rows["toxic"].to_numpy()[order].astype(np.int64))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    words = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_counted, f"doc_id {kind}, toxic int, words binary, counts array<int>")
+    rows = words.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct("words", "counts")).alias("text")).orderBy("doc_id").toArrow()  # in order, so that reruns agree
+    return train([(t["words"], t["counts"]) for t in rows["text"].to_pylist()], rows["toxic"].to_numpy().astype(np.int64))
 
 
 def _scores(docs: DataFrame, text: str, keep: list[str], model: tuple[np.ndarray, float]) -> DataFrame:
