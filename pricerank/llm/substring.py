@@ -2,13 +2,17 @@
 
 A word goes if a window of `n` words that covers it starts earlier too. Sending every document past an automaton of every shard would
 grow with the square of the corpus, so windows are routed: each has one anchor, its k-gram of least hash, and equal windows have equal anchors. Runs of
-windows with the same anchor position form fragments of at most 2n - k words. Anchors that occur once need no work. Of equal fragments
-the first is the reference and the others go whole. Where an anchor has several different fragments, the references are dealt into shards by
-anchor; each shard streams them in order of document and place past the suffix automaton of those before, and windows whose matching
-statistic reaches n go. An anchor with too many fragments for a shard is dealt by whole windows instead.
+windows with the same anchor position form fragments of at most 2n - k words. Anchors that occur once need no work. Equal fragments form a class, whose first one is the
+reference. Reference shards are suffix automata of such references, and a range of words goes where the matching statistic of a fragment reaches n:
+
+* references of one anchor meet in one shard, are streamed in order of document and place past the automaton of those before, and are added to it;
+* the other fragments of a class are sent, without their words, to a shard that has their reference, where its words are streamed past the automaton for all of them;
+* references of an anchor with over ANCHOR_MOST classes would make one task, so they are cut into single windows first, which form classes and shards in the same way.
+
+A class with many members is dealt over several shards, each with its reference.
 
 Rows with a null doc_id are neither references nor judged. Ids must otherwise be distinct, except for rows that repeat whole: those count
-as one document and get the same result. Null and empty texts have no words. Extra columns are not read by spans().
+as one document and get the same result. Null and empty texts have no words, empty tables no rows. Extra columns are not read by spans().
 """
 
 from __future__ import annotations
@@ -24,8 +28,10 @@ from pyspark.sql import functions as F
 
 from pricerank.llm.common import WordHashes, byte_lists, mix64, numbered, pieces, stored
 
-#: Words of an anchor; fragments of one anchor, and of a shard, that an automaton takes.
-K, ANCHOR_MOST, SHARD_FRAGMENTS = 8, 1_000, 4_000
+#: Words of an anchor; classes of one anchor that meet in one shard; references of a shard, about; members of a class that one shard takes.
+K, ANCHOR_MOST, SHARD_FRAGMENTS, PART_ROWS = 8, 1_000, 4_000, 5_000
+#: Classes broadcast at most (20 bytes each); more are joined by shuffle.
+BROADCAST_CLASSES = 500_000
 ROLL, ROLL2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -137,7 +143,7 @@ def _fragments(n: int, located: bool) -> Callable[[Iterator[pa.RecordBatch]], It
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in pieces(batches, 500):
-            f = fragments(*word_hashes(byte_lists(batch), known), n)
+            f = fragments(*word_hashes(byte_lists(batch), known), n, min(K, n))
             if not located:
                 anchor, count = np.unique(f["anchor"], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(count.astype(np.int32))], names=["anchor", "n"])
@@ -153,83 +159,128 @@ def _words_of(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in pieces(batches, 500):
-            rows: dict[str, list] = {c: [] for c in ("anchor", "doc_id", "start", "n", "words")}
+        kinds = {"anchor": pa.int64(), "content": pa.int64(), "copies": pa.int64(), "start": pa.int32(), "n": pa.int32()}
+        for batch in pieces(batches, 200):
+            ids, words, rows = [], [], {c: [] for c in kinds}
             for doc, text, listed in zip(batch.column(0).to_pylist(), byte_lists(batch), batch.column(2).to_pylist()):
                 h = known.of((text or b"").split())
                 for f in listed:
-                    for c, x in (("anchor", f["anchor"]), ("doc_id", doc), ("start", f["start"]), ("n", f["n"]), ("words", h[f["start"] : f["start"] + f["n"] + n - 1].tobytes())):
-                        rows[c].append(x)
-            kinds = {"anchor": pa.int64(), "doc_id": batch.schema.field(0).type, "start": pa.int32(), "n": pa.int32(), "words": pa.binary()}
-            yield pa.RecordBatch.from_arrays([pa.array(rows[c], kinds[c]) for c in rows], names=list(rows))
+                    for c in kinds:
+                        rows[c].append(f[c])
+                    ids.append(doc)
+                    words.append(h[f["start"] : f["start"] + f["n"] + n - 1].tobytes())
+            yield pa.RecordBatch.from_arrays([*[pa.array(rows[c], kinds[c]) for c in kinds], pa.array(ids, batch.schema.field(0).type), pa.array(words, pa.binary())], names=[*kinds, "doc_id", "words"])
 
     return run
 
 
 def _matched(n: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """A shard: references in order, each streamed past the automaton of those before it."""
+    """A shard. References (rows with words) in order are added to the automaton; those to be judged are streamed past it before. Then the
+    words of each class are streamed past it for its other members (rows without words)."""
+
+    def ranges(automaton: SuffixAutomaton, symbols: list[int]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for end, m in enumerate(automaton.matching_statistics(symbols), 1):
+            if m >= n:
+                if out and end - n <= out[-1][1]:
+                    out[-1][1] = end
+                else:
+                    out.append([end - n, end])
+        return out
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.drop_duplicates(["doc_id", "start", "anchor"]).sort_values(["doc_id", "start"], kind="stable")
-        left = shard.groupby("anchor")["start"].count().to_dict()
-        automaton, seen, out = SuffixAutomaton(), set(), []
-        for r in shard.itertuples():
+        has_words = shard["words"].notna()
+        references = shard[has_words].sort_values(["doc_id", "start"], kind="stable")
+        left = references.groupby("anchor")["start"].count().to_dict()
+        automaton, seen, words, out = SuffixAutomaton(), set(), {}, []
+        for r in references.itertuples():
             symbols = np.frombuffer(r.words, np.uint64).tolist()
-            ends = [e for e, m in enumerate(automaton.matching_statistics(symbols)) if m >= n] if r.anchor in seen else []
-            for e in ends:
-                if out and out[-1][0] == r.doc_id and out[-1][1] <= r.start + e - n + 1 <= out[-1][2]:
-                    out[-1][2] = r.start + e + 1
-                else:
-                    out.append([r.doc_id, r.start + e - n + 1, r.start + e + 1])
+            found = ranges(automaton, symbols) if r.judged and r.anchor in seen else []
+            out += [(r.doc_id, r.start + a, r.start + b) for a, b in found]
             left[r.anchor] -= 1
-            if left[r.anchor] and len(ends) < r.n:
+            if not r.judged:
+                words[r.content] = symbols
+            if not r.judged or left[r.anchor] and found != [[0, len(symbols)]]:
                 automaton.add_text(symbols)
                 seen.add(r.anchor)
-        return pd.DataFrame(out, columns=["doc_id", "start", "end"])
+        parts = [pd.DataFrame(out, columns=["doc_id", "start", "end"])]
+        for content, rows in shard[~has_words].groupby("content", sort=False):
+            for a, b in ranges(automaton, words[content]):
+                parts.append(pd.DataFrame({"doc_id": rows["doc_id"], "start": rows["start"] + a, "end": rows["start"] + b}))
+        return pd.concat([p for p in parts if len(p)]) if any(map(len, parts)) else parts[0]
 
     return run
 
 
 def _windows(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each window of a fragment by the hash of its words."""
+    """Each window of a fragment as a fragment of its own: two hashes of its words (anchor, content) and the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, at, keys, keys2 = [], [], [], []
-            for k, (start, words) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4).to_pylist())):
+        for batch in pieces(batches, 1_000):
+            ids, at, keys, keys2, each = [], [], [], [], []
+            for k, (start, words) in enumerate(zip(batch.column("start").to_pylist(), batch.column("words").to_pylist())):
                 h = np.frombuffer(words, np.uint64)
                 a, b = rolled(h, n, ROLL), rolled(h, n, ROLL2)
                 ids += [k] * len(a)
                 at += range(start, start + len(a))
                 keys.append(a.view(np.int64))
                 keys2.append(b.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(ids, pa.int32())), pa.array(at, pa.int32()), pa.array(np.concatenate(keys)), pa.array(np.concatenate(keys2))], names=["doc_id", "start", "key", "key2"])
+                each += [words[8 * i : 8 * (i + n)] for i in range(len(a))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(keys2)), batch.column("doc_id").take(pa.array(ids, pa.int32())), pa.array(at, pa.int32()), pa.array(np.ones(len(ids), np.int32)), pa.array(each, pa.binary())], names=["anchor", "content", "doc_id", "start", "n", "words"])
 
     return run
 
 
+SHARD_COLUMNS = ["shard", "part", "anchor", "content", "doc_id", "start", "judged", "words"]
+
+
+def _classes(members: DataFrame) -> DataFrame:
+    """anchor, content, copies, first, n of each class."""
+    return stored(members.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "start")).alias("first"), F.first("n").alias("n")))
+
+
+def _copies(members: DataFrame, classes: DataFrame, worded: DataFrame, n: int, kind: str) -> DataFrame:
+    """Ranges of all members of the classes but the first ones, by matching statistics against shards of the references (worded: those with copies)."""
+    size = classes.agg(F.count_if(F.col("copies") > 1).alias("several"), F.coalesce(F.sum("copies"), F.lit(0)).alias("members")).first()
+    shards = int(size.several // SHARD_FRAGMENTS + size.members // (8 * SHARD_FRAGMENTS)) + 1
+    shard = F.pmod(F.xxhash64("anchor", "content"), F.lit(shards)).alias("shard")
+    parts = F.ceil(F.col("copies") / PART_ROWS).cast("int")
+    large = stored(classes.where(F.col("copies") > PART_ROWS).select("anchor", "content", parts.alias("parts")))
+    # a member is the reference if its document and place are: joined by these, no class is a hot key
+    first = classes.select("first.*")
+    others = members.join(first, ["doc_id", "start"], "left_anti")
+    others = others.join(F.broadcast(large) if large.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES else large, ["anchor", "content"], "left")
+    no_words = F.lit(None).cast("binary").alias("words")
+    others = others.select(shard, F.pmod(F.xxhash64("doc_id", "start"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "anchor", "content", "doc_id", "start", F.lit(False).alias("judged"), no_words)
+    references = worded.where("copies > 1").select(shard, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "anchor", "content", "doc_id", "start", F.lit(False).alias("judged"), "words")
+    return references.unionByName(others).groupBy("shard", "part").applyInPandas(_matched(n), f"doc_id {kind}, start int, end int")
+
+
 def spans(docs: DataFrame, n: int = 20) -> DataFrame:
     """doc_id, start, end: ranges of words (from 0, end excluded, they may overlap) that windows with an earlier equal cover."""
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     # stored, so that the join below has exchanges of its own on both sides, and Spark may split a hot anchor's rows
     repeated = stored(texts.mapInArrow(_fragments(n, False), "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))
     every = texts.mapInArrow(_fragments(n, True), f"doc_id {kind}, start int, n int, anchor long, content long")
     several = stored(every.join(repeated, "anchor"))
-    references = stored(several.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "start")).alias("first"), F.first("n").alias("n")))
-    copied = references.where("copies > 1").select("anchor", "content", "first")
-    later = several.join(copied, ["anchor", "content"]).where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", (F.col("start") + F.col("n") + n - 1).alias("end"))
-    contested = references.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1")
-    todo = references.join(contested, "anchor").select("anchor", "contents", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "n")
-    listed = todo.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("listed"))
-    worded = stored(texts.join(listed, "doc_id").mapInArrow(_words_of(n), f"anchor long, doc_id {kind}, start int, n int, words binary").join(contested, "anchor"))
-    shards = int(worded.count() // SHARD_FRAGMENTS) + 1
-    matched = worded.where(F.col("contents") <= ANCHOR_MOST).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(_matched(n), f"doc_id {kind}, start int, end int")
-    windows = worded.where(F.col("contents") > ANCHOR_MOST).select("anchor", "doc_id", "start", "n", "words").mapInArrow(_windows(n), f"doc_id {kind}, start int, key long, key2 long")
-    firsts = windows.groupBy("key", "key2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    crowded = windows.join(firsts, ["key", "key2"]).where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", (F.col("start") + n).alias("end"))
-    return later.unionByName(matched).unionByName(crowded)
+    classes = _classes(several)
+    contested = stored(classes.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1"))
+    fragment = F.struct("anchor", "content", "copies", F.col("first.start").alias("start"), "n")
+    listed = stored(classes.select(F.col("first.doc_id").alias("doc_id"), fragment.alias("f")).groupBy("doc_id").agg(F.collect_list("f").alias("listed")))
+    worded = texts.join(listed, "doc_id").mapInArrow(_words_of(n), f"anchor long, content long, copies long, start int, n int, doc_id {kind}, words binary")
+    worded = stored(worded.dropDuplicates(["anchor", "content"]).join(contested, "anchor", "left"))  # a repeated row gives its references again
+    shards = int(worded.where("contents > 1").count() // SHARD_FRAGMENTS) + 1
+    judged = worded.where(F.col("contents").between(2, ANCHOR_MOST)).select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), F.lit(0).alias("part"), "anchor", "content", "doc_id", "start", F.lit(True).alias("judged"), "words")
+    matched = judged.groupBy("shard").applyInPandas(_matched(n), f"doc_id {kind}, start int, end int")
+    found = _copies(several, classes, worded, n, kind).unionByName(matched)
+    crowded = worded.where(F.col("contents") > ANCHOR_MOST)
+    if crowded.isEmpty():
+        return found
+    windows = stored(crowded.select("doc_id", "start", "words").mapInArrow(_windows(n), f"anchor long, content long, doc_id {kind}, start int, n int, words binary"))
+    classes = _classes(windows.drop("words"))
+    worded = windows.join(classes.where("copies > 1").select("first.*", "copies"), ["doc_id", "start"]).dropDuplicates(["anchor", "content"])
+    return found.unionByName(_copies(windows.drop("words"), classes, worded, n, kind))
 
 
 def _with_spans(docs: DataFrame, n: int) -> DataFrame:
@@ -263,7 +314,7 @@ def report(docs: DataFrame, n: int = 20) -> DataFrame:
 
 def clean(docs: DataFrame, n: int = 20) -> DataFrame:
     """The documents without the removed words: texts that lose words become the kept ones joined by one space, others stay as they are.
-    All rows and columns stay; n_chars is counted anew where it exists."""
+    All rows and columns stay, those of a null id unchanged; rows that repeat whole get the same text; n_chars is counted anew where it exists."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
