@@ -159,7 +159,7 @@ def _words_of(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        kinds = {"anchor": pa.int64(), "content": pa.int64(), "copies": pa.int64(), "start": pa.int32(), "n": pa.int32()}
+        kinds = {"anchor": pa.int64(), "content": pa.int64(), "copies": pa.int64(), "contents": pa.int64(), "start": pa.int32(), "n": pa.int32()}
         for batch in pieces(batches, 200):
             ids, words, rows = [], [], {c: [] for c in kinds}
             for doc, text, listed in zip(batch.column(0).to_pylist(), byte_lists(batch), batch.column(2).to_pylist()):
@@ -190,24 +190,23 @@ def _matched(n: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         has_words = shard["words"].notna()
-        references = shard[has_words].sort_values(["doc_id", "start"], kind="stable")
+        references = shard[has_words].drop_duplicates(["anchor", "content"]).sort_values(["doc_id", "start"], kind="stable")  # a repeated row gives its references again
         left = references.groupby("anchor")["start"].count().to_dict()
         automaton, seen, words, out = SuffixAutomaton(), set(), {}, []
-        for r in references.itertuples():
-            symbols = np.frombuffer(r.words, np.uint64).tolist()
-            found = ranges(automaton, symbols) if r.judged and r.anchor in seen else []
-            out += [(r.doc_id, r.start + a, r.start + b) for a, b in found]
-            left[r.anchor] -= 1
-            if not r.judged:
-                words[r.content] = symbols
-            if not r.judged or left[r.anchor] and found != [[0, len(symbols)]]:
+        for doc_id, start, anchor, content, judged, binary in zip(*(references[c].tolist() for c in ("doc_id", "start", "anchor", "content", "judged", "words"))):
+            symbols = np.frombuffer(binary, np.uint64).tolist()
+            found = ranges(automaton, symbols) if judged and anchor in seen else []
+            out += [(doc_id, start + a, start + b) for a, b in found]
+            left[anchor] -= 1
+            if not judged:
+                words[anchor, content] = symbols
+            if not judged or left[anchor] and found != [[0, len(symbols)]]:
                 automaton.add_text(symbols)
-                seen.add(r.anchor)
-        parts = [pd.DataFrame(out, columns=["doc_id", "start", "end"])]
-        for content, rows in shard[~has_words].groupby("content", sort=False):
-            for a, b in ranges(automaton, words[content]):
-                parts.append(pd.DataFrame({"doc_id": rows["doc_id"], "start": rows["start"] + a, "end": rows["start"] + b}))
-        return pd.concat([p for p in parts if len(p)]) if any(map(len, parts)) else parts[0]
+                seen.add(anchor)
+        others = shard[~has_words].merge(pd.DataFrame([(*key, a, b) for key, symbols in words.items() for a, b in ranges(automaton, symbols)], columns=["anchor", "content", "a", "b"]), on=["anchor", "content"])
+        others = pd.DataFrame({"doc_id": others["doc_id"], "start": others["start"] + others["a"], "end": others["start"] + others["b"]})
+        own = pd.DataFrame(out, columns=["doc_id", "start", "end"])
+        return pd.concat([own, others]) if len(own) and len(others) else own if len(own) else others
 
     return run
 
@@ -265,11 +264,10 @@ def spans(docs: DataFrame, n: int = 20) -> DataFrame:
     every = texts.mapInArrow(_fragments(n, True), f"doc_id {kind}, start int, n int, anchor long, content long")
     several = stored(every.join(repeated, "anchor"))
     classes = _classes(several)
-    contested = stored(classes.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1"))
-    fragment = F.struct("anchor", "content", "copies", F.col("first.start").alias("start"), "n")
-    listed = stored(classes.select(F.col("first.doc_id").alias("doc_id"), fragment.alias("f")).groupBy("doc_id").agg(F.collect_list("f").alias("listed")))
-    worded = texts.join(listed, "doc_id").mapInArrow(_words_of(n), f"anchor long, content long, copies long, start int, n int, doc_id {kind}, words binary")
-    worded = stored(worded.dropDuplicates(["anchor", "content"]).join(contested, "anchor", "left"))  # a repeated row gives its references again
+    contested = stored(classes.groupBy("anchor").agg(F.count("*").alias("contents")))
+    fragment = F.struct("anchor", "content", "copies", "contents", F.col("first.start").alias("start"), "n")
+    listed = stored(classes.join(contested, "anchor").where("copies > 1 OR contents > 1").select(F.col("first.doc_id").alias("doc_id"), fragment.alias("f")).groupBy("doc_id").agg(F.collect_list("f").alias("listed")))
+    worded = stored(texts.join(listed, "doc_id").mapInArrow(_words_of(n), f"anchor long, content long, copies long, contents long, start int, n int, doc_id {kind}, words binary"))
     shards = int(worded.where("contents > 1").count() // SHARD_FRAGMENTS) + 1
     judged = worded.where(F.col("contents").between(2, ANCHOR_MOST)).select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), F.lit(0).alias("part"), "anchor", "content", "doc_id", "start", F.lit(True).alias("judged"), "words")
     matched = judged.groupBy("shard").applyInPandas(_matched(n), f"doc_id {kind}, start int, end int")
