@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def strip(text: Column) -> Column:
-    """Without white space of any kind at either end; trim() removes plain spaces only."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at either end, the separators U+001C to U+001F included; trim() removes plain spaces only."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
 
 
 def ilike_pattern(query: str) -> str:

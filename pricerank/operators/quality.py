@@ -43,11 +43,18 @@ def table_rules(table: str) -> dict[str, Column]:
 
 
 def rules_of(df: DataFrame, table: str) -> dict[str, Column]:
-    """The table's rules over those of its columns that the frame has."""
+    """The table's rules over those of its columns that the frame has; absent columns are told by missing_columns()."""
     here = lambda name: {"latitud", "longitud"} <= set(df.columns) if name == "check:coordinates" else name.split(":")[1] in df.columns
     return {name: broken for name, broken in table_rules(table).items() if here(name)}
 
 
+def missing_columns(df: DataFrame, table: str) -> DataFrame:
+    """A violation (row_key null) for each column that must hold a value, or is part of a key, and that the frame lacks."""
+    needed = [c for c in SCHEMAS[table].names if c not in LIMITS[table].nullable or c in FOREIGN_KEYS.get(table, {}) or any(c in key for key in UNIQUE_KEYS[table])]
+    rows = [(table, None, f"missing:{c}", None) for c in needed if c not in df.columns]
+    return df.sparkSession.createDataFrame(rows, "table string, row_key string, rule string, detail string")
+
+
 def broken_rules(rules: Mapping[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()]), lambda name: name.isNotNull())
 
@@ -71,7 +78,7 @@ def unique_violations(df: DataFrame, table: str) -> DataFrame:
             continue
         counted = df.dropna(subset=list(key)).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
         parts.append(counted.select(F.lit(table).alias("table"), F.concat_ws("|", *[F.col(k).cast("string") for k in key]).alias("row_key"), F.lit("unique:" + ",".join(key)).alias("rule"), F.col("n").cast("string").alias("detail")))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts) if parts else df.sparkSession.createDataFrame([], "table string, row_key string, rule string, detail string")
 
 
 def reference_violations(tables: Mapping[str, DataFrame], table: str) -> DataFrame | None:
@@ -87,10 +94,11 @@ def reference_violations(tables: Mapping[str, DataFrame], table: str) -> DataFra
 
 
 def violations(tables: Mapping[str, DataFrame], names: list[str] | None = None, families: tuple[str, ...] = ("row", "unique", "reference")) -> DataFrame:
+    """Violations of the tables (all, or those named). The family "row" includes missing_columns()."""
     parts = []
     for table in names or list(tables):
         if "row" in families:
-            parts.append(row_violations(tables[table], table))
+            parts += [missing_columns(tables[table], table), row_violations(tables[table], table)]
         if "unique" in families:
             parts.append(unique_violations(tables[table], table))
         if "reference" in families:

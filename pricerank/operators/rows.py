@@ -7,15 +7,6 @@ from pyspark.sql import functions as F
 
 from pricerank.functions.text import contains, strip
 
-#: Rows of a key table that are broadcast at most; larger ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it has at most BROADCAST_ROWS rows; else as it is."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def lookup(df: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose key is in `keys` (a column of the same name). Null keys find nothing."""
     return df.join(keys.select(key), key, "left_semi")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricerank.functions.text import external_code
@@ -21,17 +22,18 @@ def latest_by(df: DataFrame, keys: list[str], seq: Column | str, first: bool = F
 
 def upsert(base: DataFrame, updates: DataFrame, key: str = "id", seq: str | None = None, keep_if_null: tuple[str, ...] = ("created_at",)) -> DataFrame:
     """Rows of base overwritten by updates of equal key, nulls included, plus the new ones. Columns in keep_if_null keep their old
-    value where the update has none, and take the current time where neither has. With seq, a column of updates only, the last
-    update of a key wins."""
-    if seq is not None:
-        updates = latest_by(updates, [key], seq).drop(seq)
+    value where the update has none, and take the current time where neither has. Of several updates of a key one wins: the last by seq, a column of
+    updates only, or without it the greatest row by its columns in order. Null keys match nothing, so each update with one is a new row."""
     columns = base.columns
+    unkeyed = updates.where(F.col(key).isNull()).select(*columns)
+    last = latest_by(updates.where(F.col(key).isNotNull()).select(*columns, *([seq] if seq else [])), [key], seq or F.lit(0)).select(*columns)
+    updates = last.unionByName(unkeyed)
     b, u = base.select(F.struct(*columns).alias("b"), F.col(key).alias("_b")), updates.select(F.struct(*columns).alias("u"), F.col(key).alias("_u"))
 
     def merged(c: str) -> Column:
         if c in keep_if_null:
             return F.coalesce(F.col(f"u.{c}"), F.col(f"b.{c}"), F.current_timestamp())
-        return F.when(F.col("_u").isNotNull(), F.col(f"u.{c}")).otherwise(F.col(f"b.{c}"))
+        return F.when(F.col("u").isNotNull(), F.col(f"u.{c}")).otherwise(F.col(f"b.{c}"))
 
     return b.join(u, F.col("_b") == F.col("_u"), "full").select(*[merged(c).alias(c) for c in columns])
 
@@ -59,8 +61,8 @@ def stable_id(*key: str) -> Column:
 
 def expand_listings(products: DataFrame, chains: DataFrame) -> DataFrame:
     """A listing of every product at every chain: products (id, normalized_name, source_suffix, source_names map of chain name to name), chains
-    (id, nombre, prefix). The chains are few, so the product is broadcast by their side."""
-    both = products.select(F.col("id").alias("producto_id"), "normalized_name", "source_suffix", "source_names").crossJoin(F.broadcast(chains.select(F.col("id").alias("supermercado_id"), F.col("nombre").alias("chain"), "prefix")))
+    (id, nombre, prefix). The result is products times chains."""
+    both = products.select(F.col("id").alias("producto_id"), "normalized_name", "source_suffix", "source_names").crossJoin(chains.select(F.col("id").alias("supermercado_id"), F.col("nombre").alias("chain"), "prefix"))
     return both.select("producto_id", "supermercado_id", F.coalesce(F.try_element_at("source_names", "chain"), "normalized_name").alias("nombre_original"), external_code(F.col("prefix"), F.col("source_suffix")).alias("codigo_externo"))
 
 
@@ -91,25 +93,49 @@ def mark_prices(base: DataFrame, ids: DataFrame, available: bool | None = None,
 
 
 def ingest(tables: Mapping[str, DataFrame], listings: DataFrame, prices: DataFrame, seq: str = "seq") -> tuple[dict[str, DataFrame], DataFrame]:
-    """Listings, then prices, upserted with defaults after the checks; (new tables, rejected rows with their rule). A price whose listing
-    is rejected is rejected too, as its reference fails."""
-    from pricerank.operators.quality import rules_of, split_valid, violations
-
+    """Listings, then prices, upserted with defaults after the checks; (new tables, rejected rows: table, row_key, rule). A price whose listing
+    is rejected is rejected too, as its reference fails. Of rows with one id the last by seq counts, the others are no part of the batch. Rows whose unique key stands
+    in the base under another id are rejected, and so are, of several rows with one key that pass all other checks, all but the least id."""
     out, rejected = dict(tables), None
     for table, rows in (("producto_fuente", listings), ("precio", prices)):
-        full = with_defaults(rows, table)
-        full = full.select(*[F.col(c) if c in full.columns else F.lit(None).cast(tables[table].schema[c].dataType).alias(c) for c in tables[table].columns], seq)
-        good, bad = split_valid(full, rules_of(full, table))
-        trial = {**out, table: good.drop(seq)}
-        broken = violations(trial, [table], families=("reference",)).select(F.col("row_key").alias("_key"), "rule").distinct()
-        orphans = good.join(broken, good["id"].cast("string") == F.col("_key"))
-        good = good.join(broken, good["id"].cast("string") == F.col("_key"), "left_anti")
-        reasons = bad.select(F.lit(table).alias("table"), F.col("id").cast("string").alias("row_key"), F.explode("rules").alias("rule")).unionByName(orphans.select(F.lit(table).alias("table"), F.col("_key").alias("row_key"), "rule"))
+        out[table], reasons = ingest_rows(out, table, rows, seq)
         rejected = reasons if rejected is None else rejected.unionByName(reasons)
-        out[table] = upsert(out[table], good, seq=seq)
     return out, rejected
 
 
+def ingest_rows(tables: Mapping[str, DataFrame], table: str, rows: DataFrame, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """ingest() of one table: (the table with the rows that pass all checks, the reasons of the others). Each check adds to a list of broken rules of the row, so that the
+    batch is read along one chain of joins."""
+    from pricerank.operators.quality import broken_rules, rules_of
+    from pricerank.sources.schema import FOREIGN_KEYS, UNIQUE_KEYS
+
+    base = tables[table]
+    full = with_defaults(rows, table)
+    missing = [F.lit(None).cast(base.schema[c].dataType).alias(c) for c in base.columns if c not in full.columns]
+    full = full.select("*", *missing).select(*base.columns, seq)
+    full = latest_by(full.where("id IS NOT NULL"), ["id"], seq).unionByName(full.where("id IS NULL"))
+    marked = full.withColumn("_rules", broken_rules(rules_of(full, table)))
+    also = lambda name, broken: F.concat("_rules", F.when(F.coalesce(broken, F.lit(False)), F.array(F.lit(name))).otherwise(F.array().cast("array<string>")))
+    for column, parent in FOREIGN_KEYS.get(table, {}).items():
+        ids = tables[parent].select(F.col("id").alias("_id"))
+        ids = (ids.union(full.select("id")) if parent == table else ids).distinct().withColumn("_there", F.lit(True))
+        marked = marked.join(ids, F.col(column) == F.col("_id"), "left").withColumn("_rules", also(f"reference:{column}", F.col(column).isNotNull() & F.col("_there").isNull())).drop("_id", "_there")
+    passes = F.size("_rules") == 0
+    for key in UNIQUE_KEYS[table]:
+        if key == ("id",) or not set(key) <= set(base.columns):
+            continue
+        # a base row that the batch itself gives another key no longer holds the old one
+        held = base.join(full.select("id"), "id", "left_anti").select(*[F.col(k).alias(f"_{k}") for k in key]).distinct().withColumn("_held", F.lit(True))
+        whole = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in key])
+        least = F.min(F.when(passes, F.col("id"))).over(Window.partitionBy(*key, F.when(~whole, F.col("id"))))
+        equal = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"_{k}") for k in key])
+        marked = marked.withColumn("_least", least).join(held, equal, "left")
+        broken = whole & passes & (F.coalesce("_held", F.lit(False)) | (F.col("id") > F.col("_least")))
+        marked = marked.withColumn("_rules", also("unique:" + ",".join(key), broken)).drop("_least", "_held", *[f"_{k}" for k in key])
+    reasons = marked.select(F.lit(table).alias("table"), F.col("id").cast("string").alias("row_key"), F.explode("_rules").alias("rule"))
+    return upsert(base, marked.where(passes).drop("_rules"), seq=seq), reasons
+
+
 def load_all(base: Mapping[str, DataFrame], new: Mapping[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
     """get_or_create() for every table of `new` by its natural key, and the reports of all."""
     out, report = dict(base), None

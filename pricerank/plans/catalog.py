@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricerank.functions.text import plain
-from pricerank.operators.rows import active, matching, small, where_given
+from pricerank.operators.rows import active, matching, where_given
 
 
 def search_products(tables: Mapping[str, DataFrame], q: str | None = None, category_id=None) -> DataFrame:
     """Active products, with brand and category where they have one."""
     products = where_given(matching(active(tables["producto"]), "nombre_normalizado", q), categoria_id=category_id)
-    brands, categories = (small(tables[t].select(F.col("id").alias(key), F.col("nombre").alias(name))) for t, key, name in (("marca", "marca_id", "marca"), ("categoria_producto", "categoria_id", "categoria")))
+    brands, categories = (tables[t].select(F.col("id").alias(key), F.col("nombre").alias(name)) for t, key, name in (("marca", "marca_id", "marca"), ("categoria_producto", "categoria_id", "categoria")))
     joined = products.join(brands, "marca_id", "left").join(categories, "categoria_id", "left")
     return joined.select("id", F.col("nombre_normalizado").alias("nombre"), "marca", "categoria", "unidad_medida", plain(F.col("contenido_neto")).alias("contenido_neto"), "codigo_interno")
 
@@ -28,14 +28,14 @@ def supermarkets(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def cities(tables: Mapping[str, DataFrame]) -> DataFrame:
-    provinces = small(tables["provincia"].select(F.col("id").alias("provincia_id"), F.col("nombre").alias("provincia")))
+    provinces = tables["provincia"].select(F.col("id").alias("provincia_id"), F.col("nombre").alias("provincia"))
     return tables["ciudad"].join(provinces, "provincia_id").select("id", "nombre", "provincia", F.col("latitud").cast("double").alias("latitud"), F.col("longitud").cast("double").alias("longitud")).orderBy("nombre", "id")
 
 
 def branches(tables: Mapping[str, DataFrame], city_id=None, supermarket_id=None) -> DataFrame:
     """Active branches with the names of their chain and city; the chain itself need not be active."""
     rows = where_given(active(tables["sucursal"]), ciudad_id=city_id, supermercado_id=supermarket_id)
-    chains, places = (small(tables[t].select(F.col("id").alias(key), F.col("nombre").alias(t))) for t, key in (("supermercado", "supermercado_id"), ("ciudad", "ciudad_id")))
+    chains, places = (tables[t].select(F.col("id").alias(key), F.col("nombre").alias(t)) for t, key in (("supermercado", "supermercado_id"), ("ciudad", "ciudad_id")))
     return rows.join(chains, "supermercado_id").join(places, "ciudad_id").select("id", "nombre", "direccion", "supermercado", "ciudad", F.col("latitud").cast("double").alias("latitud"), F.col("longitud").cast("double").alias("longitud"))
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricerank.functions.text import fixed, iso_time
-from pricerank.operators.rows import restrict, small, where_given
+from pricerank.operators.rows import restrict, where_given
 
 
 def latest_prices(prices: DataFrame, also_by: tuple[str, ...] = ()) -> DataFrame:
@@ -32,14 +32,14 @@ def current_prices(tables: Mapping[str, DataFrame], product=None, city=None, bra
     if product is not None:
         prices = prices.join(listings.select(F.col("id").alias("producto_fuente_id")), "producto_fuente_id", "left_semi")
     if branch is not None or city is not None or chain is not None:
-        prices = prices.join(small(branches.select(F.col("id").alias("sucursal_id"))), "sucursal_id", "left_semi")
+        prices = prices.join(branches.select(F.col("id").alias("sucursal_id")), "sucursal_id", "left_semi")
     latest = latest_prices(prices)
     return (
         latest.join(listings.select(F.col("id").alias("producto_fuente_id"), "producto_id", F.col("nombre_original").alias("producto_fuente")), "producto_fuente_id")
         .join(tables["producto"].select(F.col("id").alias("producto_id"), F.col("nombre_normalizado").alias("producto")), "producto_id")
-        .join(small(branches.select(F.col("id").alias("sucursal_id"), F.col("nombre").alias("sucursal"), "direccion", "supermercado_id", "ciudad_id")), "sucursal_id")
-        .join(small(tables["supermercado"].select(F.col("id").alias("supermercado_id"), F.col("nombre").alias("supermercado"))), "supermercado_id")
-        .join(small(tables["ciudad"].select(F.col("id").alias("ciudad_id"), F.col("nombre").alias("ciudad"))), "ciudad_id")
+        .join(branches.select(F.col("id").alias("sucursal_id"), F.col("nombre").alias("sucursal"), "direccion", "supermercado_id", "ciudad_id"), "sucursal_id")
+        .join(tables["supermercado"].select(F.col("id").alias("supermercado_id"), F.col("nombre").alias("supermercado")), "supermercado_id")
+        .join(tables["ciudad"].select(F.col("id").alias("ciudad_id"), F.col("nombre").alias("ciudad")), "ciudad_id")
         .select("id", "producto", "producto_fuente", "sucursal", "direccion", "supermercado", "ciudad", fixed(F.col("precio"), 2).alias("precio"), "moneda", iso_time(F.col("fecha_relevamiento")).alias("fecha_relevamiento"), "disponible", "promocion")
     )
 
@@ -47,6 +47,10 @@ def current_prices(tables: Mapping[str, DataFrame], product=None, city=None, bra
 CURRENT_ORDER = ["producto", "supermercado", "sucursal", "id"]
 
 
+def recency() -> list[Column]:
+    return [F.col("fecha_relevamiento").desc(), F.col("id")]
+
+
 def _of_products(prices: DataFrame, listings: DataFrame, products: DataFrame | list | None) -> DataFrame:
     if products is None:
         return prices
@@ -57,18 +61,18 @@ def _of_products(prices: DataFrame, listings: DataFrame, products: DataFrame | l
 def available_prices(prices: DataFrame, listings: DataFrame, source=None, branch=None, products: DataFrame | list | None = None) -> DataFrame:
     """All available rows (not only the newest) of a listing, a branch or some products, newest first. An empty product list gives no rows."""
     chosen = where_given(available(prices), producto_fuente_id=source, sucursal_id=branch)
-    return _of_products(chosen, listings, products).orderBy(F.col("fecha_relevamiento").desc(), "id")
+    return _of_products(chosen, listings, products).orderBy(*recency())
 
 
 def prices_for_basket(prices: DataFrame, listings: DataFrame, products: DataFrame | list, branches: DataFrame | list | None = None) -> DataFrame:
     """All available rows of the products at the branches (None: everywhere), by branch, newest first. Empty lists give no rows."""
     chosen = restrict(_of_products(available(prices), listings, products), "sucursal_id", branches)
-    return chosen.orderBy("sucursal_id", F.col("fecha_relevamiento").desc(), "id")
+    return chosen.orderBy("sucursal_id", *recency())
 
 
 def price_history(prices: DataFrame, source, branch=None) -> DataFrame:
     """All rows of a listing (at a branch, or everywhere), unavailable ones too, newest first."""
-    return where_given(prices, producto_fuente_id=source, sucursal_id=branch).orderBy(F.col("fecha_relevamiento").desc(), "id")
+    return where_given(prices, producto_fuente_id=source, sucursal_id=branch).orderBy(*recency())
 
 
 def branch_product_prices(prices: DataFrame, listings: DataFrame, branches: DataFrame, products: DataFrame | None = None) -> DataFrame:
@@ -79,7 +83,7 @@ def branch_product_prices(prices: DataFrame, listings: DataFrame, branches: Data
     if products is not None:
         listing = listing.join(products.select("producto_id"), "producto_id", "left_semi")
     rows = prices.select("id", "producto_fuente_id", "sucursal_id", "precio", "fecha_relevamiento", "disponible", "created_at")
-    rows = rows.join(small(branches.select("sucursal_id")), "sucursal_id", "left_semi").join(listing, "producto_fuente_id").repartition("producto_id", "sucursal_id")
+    rows = rows.join(branches.select("sucursal_id"), "sucursal_id", "left_semi").join(listing, "producto_fuente_id").repartition("producto_id", "sucursal_id")
     current = available(latest_prices(rows, also_by=("producto_id",)))
     best = Window.partitionBy("producto_id", "sucursal_id").orderBy(F.col("fecha_relevamiento").desc(), "precio", "id")
     return current.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("sucursal_id", "producto_id", "precio", "fecha_relevamiento")

@@ -2,7 +2,7 @@
 
 Only (basket, branch) pairs that share a product ever exist here, so the work follows the matched lines, not baskets times branches.
 incomplete_branches() is the exception, since its result is of that size. The joined lines are dealt by basket once; cost, windows and
-ranks all use that dealing.
+ranks all use that dealing. No function here runs a job: whether a table is broadcast is left to Spark, by its size.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pricerank.functions.geo import haversine_km
 from pricerank.functions.scores import benefit_score, cost_score
 from pricerank.functions.text import fixed, iso_time
 from pricerank.operators.quality import basket_checks
-from pricerank.operators.rows import active, small
+from pricerank.operators.rows import active
 from pricerank.plans.prices import branch_product_prices
 
 Tables = Mapping[str, DataFrame]
@@ -24,8 +24,8 @@ Tables = Mapping[str, DataFrame]
 
 def active_branches(tables: Tables) -> DataFrame:
     """Active branches of active chains: sucursal_id, names, address, place."""
-    chains = small(active(tables["supermercado"]).select(F.col("id").alias("supermercado_id"), F.col("nombre").alias("supermercado")))
-    places = small(tables["ciudad"].select(F.col("id").alias("ciudad_id"), F.col("nombre").alias("ciudad")))
+    chains = active(tables["supermercado"]).select(F.col("id").alias("supermercado_id"), F.col("nombre").alias("supermercado"))
+    places = tables["ciudad"].select(F.col("id").alias("ciudad_id"), F.col("nombre").alias("ciudad"))
     rows = active(tables["sucursal"]).join(chains, "supermercado_id").join(places, "ciudad_id")
     return rows.select(F.col("id").alias("sucursal_id"), F.col("nombre").alias("sucursal"), "direccion", "supermercado", "ciudad", "latitud", "longitud")
 
@@ -39,19 +39,20 @@ def basket_status(tables: Tables, baskets: DataFrame, lines: DataFrame) -> DataF
     """baskets with n_lines and status, the first failure of: INVALID_BASKET, INVALID_WEIGHTS, CITY_NOT_FOUND, CITY_WITHOUT_COORDINATES, PRODUCT_NOT_FOUND,
     NO_ACTIVE_BRANCHES; else OK."""
     checked = basket_checks(baskets, lines)
-    places = small(tables["ciudad"].select(F.col("id").alias("city_id"), F.lit(True).alias("known_city"), (F.col("latitud").isNotNull() & F.col("longitud").isNotNull()).alias("located")))
+    places = tables["ciudad"].select(F.col("id").alias("city_id"), F.lit(True).alias("known_city"), (F.col("latitud").isNotNull() & F.col("longitud").isNotNull()).alias("located"))
     missing = unknown_products(tables, lines).select("basket_id").distinct().withColumn("unknown_product", F.lit(True))
-    no_branch = active_branches(tables).isEmpty()
+    # a global aggregate, so the join is with exactly one row
+    branches = active_branches(tables).agg((F.count("*") == 0).alias("no_branch"))
     status = (
         F.when(F.col("bad_size") | F.col("bad_quantity") | F.col("duplicate_product"), "INVALID_BASKET")
         .when(F.col("bad_weights"), "INVALID_WEIGHTS")
         .when(F.col("known_city").isNull(), "CITY_NOT_FOUND")
         .when(~F.col("located"), "CITY_WITHOUT_COORDINATES")
         .when(F.col("unknown_product"), "PRODUCT_NOT_FOUND")
-        .when(F.lit(no_branch), "NO_ACTIVE_BRANCHES")
+        .when(F.col("no_branch"), "NO_ACTIVE_BRANCHES")
         .otherwise("OK")
     )
-    return checked.join(places, "city_id", "left").join(missing, "basket_id", "left").select(*baskets.columns, "n_lines", status.alias("status"))
+    return checked.join(places, "city_id", "left").join(missing, "basket_id", "left").crossJoin(branches).select(*baskets.columns, "n_lines", status.alias("status"))
 
 
 def basket_summary(baskets: DataFrame, lines: DataFrame) -> DataFrame:
@@ -96,10 +97,10 @@ def candidates(tables: Tables, baskets: DataFrame, lines: DataFrame) -> DataFram
     """Complete branches of the baskets of status OK, with cost, distance and saving."""
     ok = basket_status(tables, baskets, lines).where("status = 'OK'")
     costs = basket_costs(matched_lines(tables, ok, lines))
-    places = small(tables["ciudad"].select(F.col("id").alias("city_id"), F.col("latitud").alias("_lat"), F.col("longitud").alias("_lon")))
+    places = tables["ciudad"].select(F.col("id").alias("city_id"), F.col("latitud").alias("_lat"), F.col("longitud").alias("_lon"))
     complete = costs.join(ok.select("basket_id", "city_id", "n_lines", "w_price", "w_distance", "w_saving"), "basket_id")
     complete = complete.where("n_matched >= n_lines")  # as equality it would become a join key and undo the dealing by basket
-    located = complete.join(small(active_branches(tables)), "sucursal_id").join(places, "city_id")
+    located = complete.join(active_branches(tables), "sucursal_id").join(places, "city_id")
     over = Window.partitionBy("basket_id")
     rows = located.withColumn("distance_km", haversine_km(F.col("_lat"), F.col("_lon"), F.col("latitud"), F.col("longitud")))
     rows = rows.withColumn("_overflow", F.max(F.col("total_cost").isNull()).over(over)).where("NOT _overflow")
@@ -118,18 +119,21 @@ def rank_baskets(tables: Tables, baskets: DataFrame, lines: DataFrame) -> DataFr
 
 def incomplete_branches(tables: Tables, baskets: DataFrame, lines: DataFrame) -> DataFrame:
     """Active branches that lack products of a basket of status OK: n_missing and the products, in line order. Its size is that of baskets times branches,
-    as every such branch is reported, also those without any price; the branches are the small side."""
+    as every such branch is reported, also those without any price. What a product lacks is told by two lists of branch ids, all and those that have it,
+    so no product is paired with a branch that has it; a list is as long as the branches."""
     ok = basket_status(tables, baskets, lines).where("status = 'OK'").select("basket_id")
-    wanted = lines.join(ok, "basket_id", "left_semi")
+    wanted = lines.join(ok, "basket_id", "left_semi").select("basket_id", "line_no", "product_id")
     products = wanted.select(F.col("product_id").alias("producto_id")).distinct()
     branches = active_branches(tables).select("sucursal_id", "sucursal", "supermercado", "ciudad")
-    prices = branch_product_prices(tables["precio"], tables["producto_fuente"], branches, products).select("sucursal_id", F.col("producto_id").alias("product_id"))
-    # products lacking at a branch, once per (product, branch), then joined to the lines that want them
-    lacking = products.withColumnRenamed("producto_id", "product_id").crossJoin(small(branches)).join(prices, ["product_id", "sucursal_id"], "left_anti")
-    named = lacking.join(tables["producto"].select(F.col("id").alias("product_id"), F.col("nombre_normalizado").alias("product_name")), "product_id")
-    missing = wanted.select("basket_id", "line_no", "product_id").join(named, "product_id")
-    found = missing.groupBy("basket_id", "sucursal_id").agg(F.first("sucursal").alias("sucursal"), F.first("supermercado").alias("supermercado"), F.first("ciudad").alias("ciudad"), F.count("*").alias("n_missing"), F.array_sort(F.collect_list(F.struct("line_no", "product_id", "product_name"))).alias("_missing"))
-    return found.select("basket_id", "sucursal_id", "sucursal", "supermercado", "ciudad", "n_missing", F.transform("_missing", lambda x: F.struct(x["product_id"].alias("product_id"), x["product_name"].alias("product_name"))).alias("productos_faltantes"))
+    prices = branch_product_prices(tables["precio"], tables["producto_fuente"], branches, products)
+    having = prices.groupBy("producto_id").agg(F.collect_set("sucursal_id").alias("having"))
+    every = branches.agg(F.collect_set("sucursal_id").alias("every"))  # one row
+    named = products.join(tables["producto"].select(F.col("id").alias("producto_id"), F.col("nombre_normalizado").alias("product_name")), "producto_id").join(having, "producto_id", "left").crossJoin(every)
+    lacking = named.select(F.col("producto_id").alias("product_id"), "product_name", F.when(F.col("having").isNull(), F.col("every")).otherwise(F.array_except("every", "having")).alias("lacking"))
+    missing = wanted.join(lacking.where(F.size("lacking") > 0), "product_id").select("basket_id", "line_no", "product_id", "product_name", F.explode("lacking").alias("sucursal_id"))
+    found = missing.groupBy("basket_id", "sucursal_id").agg(F.count("*").alias("n_missing"), F.array_sort(F.collect_list(F.struct("line_no", "product_id", "product_name"))).alias("_missing"))
+    listed = F.transform("_missing", lambda x: F.struct(x["product_id"].alias("product_id"), x["product_name"].alias("product_name")))
+    return found.join(branches, "sucursal_id").select("basket_id", "sucursal_id", "sucursal", "supermercado", "ciudad", "n_missing", listed.alias("productos_faltantes"))
 
 
 INCOMPLETE_ORDER = ["basket_id", "n_missing", "supermercado", "sucursal", "sucursal_id"]

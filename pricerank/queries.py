@@ -105,6 +105,19 @@ def _(t):
     return out["precio"].groupBy("sucursal_id").agg(F.count("*").alias("n"), F.sum("precio").alias("total"))
 
 
+@query("s5_ingest_rejected", "SELECT 'precio' AS \"table\", concat('I-', id) AS row_key, 'check:precio' AS rule FROM precio WHERE promocion AND precio < 1000 UNION ALL SELECT 'producto_fuente', concat('T-', CAST(id AS STRING)), 'unique:supermercado_id,codigo_externo' FROM producto_fuente WHERE supermercado_id = 1 UNION ALL SELECT 'producto_fuente', concat('O-', CAST(id AS STRING)), 'reference:producto_id' FROM producto_fuente WHERE supermercado_id = 2 UNION ALL SELECT 'precio', concat('O-', id), 'reference:producto_fuente_id' FROM precio WHERE NOT disponible", "precio", "producto_fuente", "producto", "supermercado", "sucursal", "ciudad", "provincia")
+def _(t):
+    """Listings whose key is taken (T-) or whose product is unknown (O-), and prices that are negative (I-) or refer to such a listing (O-)."""
+    t = {**t, "producto_fuente": t["producto_fuente"].withColumn("id", F.col("id").cast("string")), "precio": t["precio"].withColumn("producto_fuente_id", F.col("producto_fuente_id").cast("string"))}
+    f, p = t["producto_fuente"], t["precio"]
+    taken = f.where("supermercado_id = 1").withColumn("id", F.concat(F.lit("T-"), "id"))
+    orphans = f.where("supermercado_id = 2").withColumns({"id": F.concat(F.lit("O-"), "id"), "producto_id": -F.col("producto_id") - 1, "codigo_externo": F.concat(F.lit("O-"), "codigo_externo")})
+    cheap = p.where("promocion").withColumns({"id": F.concat(F.lit("I-"), "id"), "precio": F.when(F.col("precio") < 1000, F.lit(-1)).otherwise(F.col("precio")).cast("decimal(14,2)")})
+    lost = p.where("NOT disponible").withColumns({"id": F.concat(F.lit("O-"), "id"), "producto_fuente_id": F.lit("O-nothing")})
+    seq = F.lit(1).alias("seq")
+    return upsert.ingest(t, taken.unionByName(orphans).select("*", seq), cheap.unionByName(lost).select("*", seq))[1]
+
+
 NEW = "SELECT producto_fuente_id, sucursal_id, CAST(fecha_relevamiento + INTERVAL 1 DAY AS TIMESTAMP) AS fecha_relevamiento, precio, id FROM precio WHERE disponible UNION ALL SELECT producto_fuente_id, sucursal_id, fecha_relevamiento, precio, concat('Z-', id) FROM precio WHERE NOT disponible"
 FRESH = f"SELECT producto_fuente_id, sucursal_id, fecha_relevamiento, min(id) AS id FROM ({NEW}) n WHERE NOT EXISTS (SELECT 1 FROM precio p WHERE p.producto_fuente_id = n.producto_fuente_id AND p.sucursal_id = n.sucursal_id AND p.fecha_relevamiento = n.fecha_relevamiento) GROUP BY ALL"
 
@@ -141,7 +154,7 @@ def _(t):
 @query("s7_expand_prices", f"SELECT s.id AS sucursal_id, e.codigo_externo, CAST(p.contenido_neto + s.id AS DECIMAL(14,2)) AS precio FROM sucursal s JOIN ({EXPANDED}) e ON e.supermercado_id = s.supermercado_id JOIN producto p ON p.id = e.producto_id", "producto", "supermercado", "sucursal", money=("precio",))
 def _(t):
     price = (F.col("p.contenido_neto") + F.col("s.id")).cast("decimal(14,2)")
-    matrix = t["producto"].alias("p").join(F.broadcast(t["sucursal"].alias("s"))).select(F.col("s.id").alias("sucursal_id"), F.create_map("p.id", price).alias("prices"))
+    matrix = t["producto"].alias("p").crossJoin(t["sucursal"].alias("s")).select(F.col("s.id").alias("sucursal_id"), F.create_map("p.id", price).alias("prices"))
     listings = _expanded(t).withColumn("id", F.col("codigo_externo"))
     return upsert.expand_prices(matrix, listings, t["sucursal"]).select("sucursal_id", F.col("producto_fuente_id").alias("codigo_externo"), "precio")
 
@@ -323,9 +336,11 @@ def _(t):
 
 
 # orders and pages
-@query("l1_listing_order", "SELECT id, row_number() OVER (ORDER BY supermercado, nombre, id) AS pos FROM (SELECT s.id, c.nombre AS supermercado, s.nombre FROM sucursal s JOIN supermercado c ON s.supermercado_id = c.id WHERE s.activo)", "sucursal", "supermercado", "ciudad")
+@query("l1_listing_order", "SELECT provincia_id, string_agg(nombre, ';' ORDER BY supermercado, nombre, id) AS branches FROM (SELECT s.id, c.nombre AS supermercado, s.nombre, ci.provincia_id FROM sucursal s JOIN supermercado c ON s.supermercado_id = c.id JOIN ciudad ci ON s.ciudad_id = ci.id WHERE s.activo) GROUP BY provincia_id", "sucursal", "supermercado", "ciudad")
 def _(t):
-    return catalog.branches(t).select("id", F.row_number().over(Window.orderBy(*catalog.BRANCH_ORDER)).alias("pos"))
+    listed = catalog.branches(t).join(t["sucursal"].join(t["ciudad"].select(F.col("id").alias("ciudad_id"), "provincia_id"), "ciudad_id").select("id", "provincia_id"), "id")
+    order = F.array_sort(F.collect_list(F.struct(*catalog.BRANCH_ORDER)))
+    return listed.groupBy("provincia_id").agg(F.array_join(F.transform(order, lambda x: x["nombre"]), ";").alias("branches"))
 
 
 @query("l2_page", "SELECT id, nombre FROM (SELECT id, nombre_normalizado AS nombre FROM producto WHERE activo ORDER BY nombre, id LIMIT 20 OFFSET 40)", "producto", "marca", "categoria_producto")
@@ -333,14 +348,38 @@ def _(t):
     return rows.page(catalog.search_products(t), ["nombre", "id"], number=3, size=20)[0].select("id", "nombre")
 
 
+PAGED = "SELECT id, CAST((SELECT count(*) FROM r) AS BIGINT) AS total FROM (SELECT id FROM r ORDER BY {order} LIMIT 20 OFFSET 20)"
+
+
+def _paged(df: DataFrame, order: list[str]) -> DataFrame:
+    found, total = rows.page(df, order, number=2, size=20)
+    return found.select("id", F.lit(total).cast("long").alias("total"))
+
+
+@query("k1_page", f"SELECT * FROM (WITH r AS (SELECT id, nombre_normalizado FROM producto WHERE activo AND nombre_normalizado ILIKE '%a%') {PAGED.format(order='nombre_normalizado, id')})", "producto", "marca", "categoria_producto")
+def _(t):
+    return _paged(catalog.search_products(t, q="a"), ["nombre", "id"])
+
+
+@query("k5_page", f"SELECT * FROM (WITH r AS (SELECT s.id, s.nombre, c.nombre AS supermercado FROM sucursal s JOIN supermercado c ON s.supermercado_id = c.id WHERE s.activo) {PAGED.format(order='supermercado, nombre, id')})", "sucursal", "supermercado", "ciudad")
+def _(t):
+    return _paged(catalog.branches(t), catalog.BRANCH_ORDER)
+
+
+@query("k6_page", f"SELECT * FROM (WITH r AS ({CURRENT} WHERE s.supermercado_id = 2) {PAGED.format(order='producto, supermercado, sucursal, id')})")
+def _(t):
+    return _paged(prices.current_prices(t, chain=2), prices.CURRENT_ORDER)
+
+
 @query("l3_limit_offset", "SELECT id FROM (SELECT id FROM producto WHERE activo ORDER BY nombre_normalizado, id LIMIT 100 OFFSET 50)", "producto")
 def _(t):
     return rows.listing(rows.active(t["producto"]), 100, 50, "nombre_normalizado").select("id")
 
 
-@query("l4_recency_order", f"SELECT {PRICE} FROM precio WHERE disponible AND sucursal_id = 5", "precio", "producto_fuente", money=("precio",))
+@query("l4_recency_order", "SELECT sucursal_id, id, row_number() OVER (PARTITION BY sucursal_id ORDER BY fecha_relevamiento DESC, id) AS pos FROM precio WHERE disponible", "precio", "producto_fuente")
 def _(t):
-    return prices.available_prices(t["precio"], t["producto_fuente"], branch=5).select(PRICE_COLUMNS)
+    found = prices.available_prices(t["precio"], t["producto_fuente"])
+    return found.select("sucursal_id", "id", F.row_number().over(Window.partitionBy("sucursal_id").orderBy(*prices.recency())).alias("pos"))
 
 
 @query("l5_incomplete_order", f"SELECT basket_id, sucursal_id, row_number() OVER (PARTITION BY basket_id ORDER BY n, supermercado, sucursal, sucursal_id) AS pos FROM (SELECT basket_id, sucursal_id, count(*) AS n FROM ({LACKING}) GROUP BY ALL) JOIN ab USING (sucursal_id)")
@@ -361,11 +400,15 @@ def _(t):
 
 
 # scalar functions
-@query("c1_haversine", "SELECT c.id AS ciudad_id, s.id AS sucursal_id, round(2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(CAST(s.latitud - c.latitud AS DOUBLE)) / 2), 2) + cos(radians(CAST(c.latitud AS DOUBLE))) * cos(radians(CAST(s.latitud AS DOUBLE))) * pow(sin(radians(CAST(s.longitud - c.longitud AS DOUBLE)) / 2), 2)))), 6) AS km FROM ciudad c JOIN sucursal s ON s.ciudad_id <> c.id", "ciudad", "sucursal")
+HAVERSINE = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(CAST(s.latitud - c.latitud AS DOUBLE)) / 2), 2) + cos(radians(CAST(c.latitud AS DOUBLE))) * cos(radians(CAST(s.latitud AS DOUBLE))) * pow(sin(radians(CAST(s.longitud - c.longitud AS DOUBLE)) / 2), 2))))"
+
+
+@query("c1_haversine", f"SELECT b.basket_id, s.id AS sucursal_id, round({HAVERSINE}, 6) AS km FROM baskets b JOIN ciudad c ON b.city_id = c.id JOIN ciudad h ON h.provincia_id = c.provincia_id JOIN sucursal s ON s.ciudad_id = h.id", "baskets", "ciudad", "sucursal")
 def _(t):
-    c, s = t["ciudad"].alias("c"), t["sucursal"].alias("s")
-    km = geo.haversine_km(F.col("c.latitud"), F.col("c.longitud"), F.col("s.latitud"), F.col("s.longitud"))
-    return c.join(F.broadcast(s), F.col("s.ciudad_id") != F.col("c.id")).select(F.col("c.id").alias("ciudad_id"), F.col("s.id").alias("sucursal_id"), F.round(km, 6).alias("km"))
+    home = t["ciudad"].select(F.col("id").alias("city_id"), "provincia_id", F.col("latitud").alias("lat"), F.col("longitud").alias("lon"))
+    places = t["sucursal"].join(t["ciudad"].select(F.col("id").alias("ciudad_id"), "provincia_id"), "ciudad_id").select("provincia_id", F.col("id").alias("sucursal_id"), "latitud", "longitud")
+    near = home.join(places, "provincia_id").select("city_id", "sucursal_id", F.round(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("latitud"), F.col("longitud")), 6).alias("km"))
+    return t["baskets"].select("basket_id", "city_id").join(near, "city_id").select("basket_id", "sucursal_id", "km")
 
 
 @query("c2_c3_normalization", "SELECT id, round(CASE WHEN max(precio) OVER w = min(precio) OVER w THEN 1.0 ELSE CAST(max(precio) OVER w - precio AS DOUBLE) / CAST(max(precio) OVER w - min(precio) OVER w AS DOUBLE) END, 6) AS cost, round(CASE WHEN max(precio) OVER w = min(precio) OVER w THEN 1.0 ELSE CAST(precio - min(precio) OVER w AS DOUBLE) / CAST(max(precio) OVER w - min(precio) OVER w AS DOUBLE) END, 6) AS benefit FROM latest WINDOW w AS (PARTITION BY producto_fuente_id)", "precio")
@@ -396,8 +439,9 @@ def _(t):
 
 @query("c8_strip", "SELECT id, nombre_normalizado AS nombre FROM producto", "producto")
 def _(t):
-    padded = t["producto"].select("id", F.concat(F.lit("\t  "), "nombre_normalizado", F.lit("  \n")).alias("nombre"))
-    return rows.stripped(padded, "nombre")
+    around = F.array(*[F.lit(x) for x in ("\t  ", "  \n", "\u00a0", "\x1c\x1d", "\x1e\u2003\x1f", "")])  # a pair for each row, in turn
+    pick = lambda k: F.element_at(around, ((F.col("id") + k) % 6 + 1).cast("int"))
+    return rows.stripped(t["producto"].select("id", F.concat(pick(0), "nombre_normalizado", pick(2)).alias("nombre")), "nombre")
 
 
 @query("c9_external_code", "SELECT id, concat('C', CAST(supermercado_id AS STRING), '-', codigo_externo) AS code FROM producto_fuente", "producto_fuente")
@@ -440,6 +484,37 @@ def _(t):
     return quality.reference_violations(fewer, "precio").select("row_key", "rule")
 
 
+#: For each table a text that must not be blank and a reference that is broken below.
+BLANKED = {"provincia": "nombre", "ciudad": "nombre", "supermercado": "nombre", "sucursal": "direccion", "categoria_producto": "nombre", "marca": "nombre", "producto": "nombre_normalizado", "producto_fuente": "nombre_original", "precio": "moneda"}
+BROKEN = {"ciudad": "provincia_id", "sucursal": "ciudad_id", "producto": "categoria_id", "producto_fuente": "supermercado_id", "precio": "sucursal_id"}
+
+
+def _blank_sql(table: str, column: str) -> str:
+    """Every row of the table has a blank text here."""
+    also = " UNION ALL SELECT 'precio', CAST(id AS VARCHAR), 'check:moneda' FROM precio" if table == "precio" else ""
+    return f"SELECT '{table}' AS \"table\", CAST(id AS VARCHAR) AS row_key, 'blank:{column}' AS rule FROM {table}{also}"
+
+
+@query("q1_all_tables", " UNION ALL ".join(_blank_sql(x, c) for x, c in BLANKED.items()))
+def _(t):
+    t = {x: t[x].withColumn(c, F.lit("  ")) for x, c in BLANKED.items()}
+    return quality.violations(t, families=("row",)).where(~F.col("rule").startswith("missing:") & (F.col("rule") != "not_null:unidad_medida")).select("table", "row_key", "rule")
+
+
+@query("q2_all_keys", " UNION ALL ".join(f"SELECT '{x}' AS \"table\", CAST(id AS VARCHAR) AS row_key, 'unique:id' AS rule, '2' AS detail FROM {x}" for x in BLANKED))
+def _(t):
+    doubled = {x: t[x].unionByName(t[x]) for x in BLANKED}
+    return quality.violations(doubled, families=("unique",)).where("rule = 'unique:id'")
+
+
+@query("q3_all_references", " UNION ALL ".join(f"SELECT '{x}' AS \"table\", CAST(id AS VARCHAR) AS row_key, 'reference:{c}' AS rule FROM {x}" for x, c in BROKEN.items()))
+def _(t):
+    broken = {x: t[x].withColumn(BROKEN[x], F.concat(F.lit("?"), F.col(BROKEN[x]).cast("string"))) if x in BROKEN else t[x] for x in BLANKED}
+    broken |= {x: broken[x].withColumn("id", F.col("id").cast("string")) for x in BROKEN.values() for x in (x.removesuffix("_id"),) if x in broken}
+    named = {**broken, "categoria_producto": t["categoria_producto"].withColumn("id", F.col("id").cast("string"))}
+    return quality.violations(named, list(BROKEN), families=("reference",)).where(F.col("rule").isin([f"reference:{c}" for c in BROKEN.values()])).select("table", "row_key", "rule")
+
+
 @query("q5_baskets", "SELECT basket_id, count(product_id) AS n_lines, count(product_id) = 0 OR count(product_id) > 100 AS bad_size, coalesce(max(CASE WHEN quantity <= 0 THEN 1 ELSE 0 END), 0) = 1 AS bad_quantity, count(product_id) > count(DISTINCT product_id) AS duplicate_product FROM baskets LEFT JOIN raw_lines USING (basket_id) GROUP BY basket_id", "baskets", "raw_lines")
 def _(t):
     return quality.basket_checks(t["baskets"], t["raw_lines"]).select("basket_id", "n_lines", "bad_size", "bad_quantity", "duplicate_product")
@@ -451,10 +526,12 @@ def _(t):
     return t["baskets"].withColumn("w_price", w).select("basket_id", quality.bad_weights("w_price", "w_distance", "w_saving").alias("bad_weights"))
 
 
-@query("q7_result_checks", "SELECT basket_id, sucursal_id AS branch_id, 'saving' AS rule FROM scored WHERE saving > 0")
+@query("q7_result_checks", "SELECT basket_id, sucursal_id AS branch_id, unnest(list_filter(['total_cost', CASE WHEN km > 0 THEN 'distance_km' END, CASE WHEN saving > 0 THEN 'saving' END, 'missing_products_count', 'supermarket_name', 'branch_name', 'score', 'position'], lambda r: r IS NOT NULL)) AS rule FROM scored")
 def _(t):
+    """All eight promises of a ranking broken at once."""
     ranked = ranking.rank_alternatives(ranking.candidates(t, t["baskets"], t["basket_lines"]))
-    return quality.result_violations(ranked.withColumn("saving", -F.col("saving")))  # all other promises hold
+    broken = {c: -F.col(c) for c in ("total_cost", "distance_km", "saving")} | {"missing_products_count": F.lit(-1), "supermarket_name": F.lit(" "), "branch_name": F.lit(""), "score": F.col("score") + 2, "position": F.lit(0)}
+    return quality.result_violations(ranked.withColumns(broken))
 
 
 @query("q8_chain_mismatch", "SELECT p.id, f.supermercado_id AS listing_chain, s.supermercado_id AS branch_chain FROM precio p JOIN producto_fuente f ON p.producto_fuente_id = f.id JOIN (SELECT id, CASE WHEN NOT activo THEN (supermercado_id + 1) % 4 ELSE supermercado_id END AS supermercado_id FROM sucursal) s ON p.sucursal_id = s.id WHERE f.supermercado_id <> s.supermercado_id", "precio", "producto_fuente", "sucursal")

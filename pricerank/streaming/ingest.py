@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from pricerank.operators.upsert import upsert
+from pricerank.operators.upsert import ingest_rows, upsert
 from pricerank.sources.tables import save, with_defaults
 
 
-def upsert_stream(updates: DataFrame, current: Callable[[], DataFrame], snapshot_path: Callable[[int], str], checkpoint: str, seq: str = "seq", table: str = "precio", **trigger) -> StreamingQuery:
-    """Each micro-batch is upserted into current() and written as the snapshot of its number. A batch that is run again after a failure finds its path taken
+def upsert_stream(updates: DataFrame, current: Callable[[], DataFrame], snapshot_path: Callable[[int], str], checkpoint: str, seq: str = "seq", table: str = "precio", tables: Callable[[], Mapping[str, DataFrame]] | None = None, rejected_path: Callable[[int], str] | None = None, **trigger) -> StreamingQuery:
+    """Each micro-batch is upserted into current() and written as the snapshot of its number, which is a whole table. With tables (the others that rows refer to), a batch goes through
+    the checks of ingest_rows() first, and what they reject is written to rejected_path. A batch that is run again after a failure finds its path taken
     only if it was finished, and then has nothing left to do."""
 
     def write(batch: DataFrame, number: int) -> None:
         path, base = snapshot_path(number), current()
-        if not _exists(batch, path):
+        if _exists(batch, path):
+            return
+        if tables is None:
             save(upsert(base, with_defaults(batch, table), seq=seq), path)
+            return
+        new, reasons = ingest_rows({**tables(), table: base}, table, batch, seq)
+        if rejected_path is not None and not _exists(batch, rejected_path(number)):
+            reasons.write.mode("overwrite").parquet(rejected_path(number))
+        save(new, path)
 
     return updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -1,4 +1,4 @@
-"""The small survey whose rankings are known: two cities, four chains, four branches, five products."""
+"""The small survey whose rankings are known: two cities, four chains, four branches, five products. Its names, places and prices are fixed values, as the rankings rest on them."""
 
 from decimal import Decimal
 

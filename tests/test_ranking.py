@@ -101,3 +101,13 @@ def test_summary_lists_every_line(spark):
     found = {r.basket_id: r for r in ranking.basket_summary(baskets, lines).collect()}
     assert found["long"].n_lines == 250 and found["long"].product_ids == [1000 - n for n in range(1, 251)] and not found["long"].empty
     assert found["none"].product_ids == [] and found["none"].empty
+
+
+def test_plans_run_no_job_while_they_are_built(spark, t):
+    b, lines = seed.baskets(spark, ("A", "CR", *DEFAULT)), seed.lines(spark, ("A", seed.all_of()))
+    spark.sparkContext.setJobGroup("building", "")
+    try:
+        ranking.rank_baskets(t, b, lines), ranking.incomplete_branches(t, b, lines), ranking.rank_alternatives(ranking.candidates(t, b, lines))
+        assert spark.sparkContext.statusTracker().getJobIdsForGroup("building") == []
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()

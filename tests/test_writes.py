@@ -93,3 +93,36 @@ def test_stream(spark, t, tmp_path):
         upsert_stream(updates, lambda: t["precio"], lambda n: f"{tmp_path}/out-{n}", f"{tmp_path}/checkpoint").awaitTermination()
     out = spark.read.parquet(f"{tmp_path}/out-0")
     assert out.count() == 20 and out.where("precio = 7").count() == 2
+
+
+def test_upsert_of_odd_keys(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string").withColumn("created_at", F.current_timestamp())
+    new = spark.createDataFrame([(None, "n"), (None, "m"), (2, "x"), (2, "y"), (3, "c")], "id int, v string").withColumn("created_at", F.lit(None).cast("timestamp"))
+    out = upsert.upsert(base, new)
+    assert sorted((r.id or 0, r.v) for r in out.collect()) == [(0, "m"), (0, "n"), (1, "a"), (2, "y"), (3, "c")]
+
+
+def test_ingest_checks_uniqueness(spark, t):
+    listing = t["producto_fuente"].where("id = 'LA-LAV-001'")
+    one = lambda i, code, name="x", seq=1: listing.withColumns({"id": F.lit(i), "codigo_externo": F.lit(code).cast("string"), "nombre_original": F.lit(name), "seq": F.lit(seq)})
+    new = one("taken", "LA-LAV-001").unionByName(one("a", "fresh")).unionByName(one("b", "fresh")).unionByName(one("n1", None)).unionByName(one("n2", None)).unionByName(one("LA-LAV-001", "moved", "old", 1)).unionByName(one("LA-LAV-001", "moved", "new", 2))
+    out, rejected = upsert.ingest(t, new, t["precio"].limit(0).withColumn("seq", F.lit(1)))
+    assert [(r.row_key, r.rule) for r in rejected.orderBy("row_key").collect()] == [("b", "unique:supermercado_id,codigo_externo")]
+    assert quality.violations(out, ["producto_fuente"]).count() == 0 and out["producto_fuente"].where("id = 'LA-LAV-001'").first().nombre_original == "new"
+    kept = new.where("id <> 'LA-LAV-001'")  # then the old key is still held
+    assert {r.row_key for r in upsert.ingest(t, kept, t["precio"].limit(0).withColumn("seq", F.lit(1)))[1].collect()} == {"b", "taken"}
+
+
+def test_missing_columns(spark, t):
+    bare = t["precio"].select("id", "precio")
+    assert {r.rule for r in quality.violations({**t, "precio": bare}, ["precio"]).collect()} == {f"missing:{c}" for c in ("producto_fuente_id", "sucursal_id", "moneda", "fecha_relevamiento", "disponible", "promocion", "created_at")}
+
+
+def test_stream_with_checks(spark, t, tmp_path):
+    good = t["precio"].limit(2).withColumns({"seq": F.lit(1), "precio": F.lit(7).cast("decimal(14,2)")})
+    good.unionByName(good.limit(1).withColumns({"id": F.lit("odd"), "sucursal_id": F.lit("nowhere")})).write.parquet(f"{tmp_path}/in")
+    updates = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+    upsert_stream(updates, lambda: t["precio"], lambda n: f"{tmp_path}/out-{n}", f"{tmp_path}/checkpoint", tables=lambda: t, rejected_path=lambda n: f"{tmp_path}/rejected-{n}").awaitTermination()
+    out = spark.read.parquet(f"{tmp_path}/out-0")
+    assert out.count() == 20 and out.where("precio = 7").count() == 2
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/rejected-0").collect()] == [("precio", "odd", "reference:sucursal_id")]
