@@ -86,8 +86,12 @@ def train(texts: list[tuple[bytes, list[int]]], toxic: np.ndarray, seed: int = 1
     rng = np.random.default_rng(seed)
     bags = _bags(texts)
     evidence = SCALE * _evidence(bags, toxic)
-    bags = [(ids[some], weight[some] * evidence[ids[some]]) for ids, weight in bags for some in [evidence[ids] != 0]]
-    vectors = rng.uniform(-0.1, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
+    active = np.flatnonzero(evidence)  # only these have vectors, as all others weigh nothing
+    number = np.cumsum(evidence != 0, dtype=np.int32) - 1
+    for k, (ids, weight) in enumerate(bags):
+        some = evidence[ids] != 0
+        bags[k] = number[ids[some]], weight[some] * evidence[ids[some]]
+    vectors = rng.uniform(-0.1, 0.1, (len(active), DIMENSIONS)).astype(np.float32)
     top = rng.uniform(-1, 1, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.log(np.bincount(toxic, minlength=2) / len(toxic)).astype(np.float32)
     seen, seen_top, seen_bias = np.full_like(vectors, 1e-3), np.full_like(top, 1e-6), np.full_like(bias, 1e-6)
@@ -109,15 +113,19 @@ def train(texts: list[tuple[bytes, list[int]]], toxic: np.ndarray, seed: int = 1
             for value, slope, total in ((top, x.T @ p, seen_top), (bias, p.sum(axis=0), seen_bias)):
                 total += slope * slope
                 value -= rate * slope / np.sqrt(total)
-    return (evidence * (vectors @ (top[:, 1] - top[:, 0]))).astype(np.float32), float(bias[1] - bias[0])
+    value = np.zeros(BUCKETS, np.float32)
+    value[active] = evidence[active] * (vectors @ (top[:, 1] - top[:, 0]))
+    return value, float(bias[1] - bias[0])
 
 
 def _evidence(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.ndarray:
     """Each bucket's log ratio of the smoothed shares of toxic and other texts that hold it, shrunk towards 0."""
-    held = [np.bincount(np.concatenate([ids for (ids, _), t in zip(bags, toxic) if t == c]), minlength=BUCKETS) + 1 for c in (0, 1)]
+    held = np.ones((2, BUCKETS), np.float32)
+    for (ids, _), t in zip(bags, toxic):
+        held[t][ids] += 1
     texts = np.bincount(toxic, minlength=2) + 2
-    ratio = np.log(held[1] / texts[1]) - np.log(held[0] / texts[0])
-    return (np.sign(ratio) * np.maximum(np.abs(ratio) - DOUBT * np.sqrt(1 / held[0] + 1 / held[1]), 0)).astype(np.float32)
+    ratio = np.log(held[1] / np.float32(texts[1])) - np.log(held[0] / np.float32(texts[0]))
+    return np.sign(ratio) * np.maximum(np.abs(ratio) - np.float32(DOUBT) * np.sqrt(1 / held[0] + 1 / held[1]), 0)
 
 
 def _summed(owner: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
