@@ -35,7 +35,7 @@ LATE = 16
 #: Added to a word's expected emissions in each state.
 SMOOTH = 0.05
 #: Training tokens of a task, about: each task sends the sums of all its words.
-TASK_TOKENS = 8_000_000
+TASK_TOKENS = 16_000_000
 #: Symbols whose sums travel as one row, and tokens of the corpus for each bucket of the words outside the broadcast.
 CHUNK, BUCKET_TOKENS = 1024, 500_000
 #: Tokens of the texts that are run beside each other, about.
