@@ -40,6 +40,14 @@ def test_pairs_that_part_early(spark, monkeypatch):
     assert got[2, 0].prompt == "" and got[2, 0].chosen != ""
 
 
+def test_a_pair_is_one_row_whatever_its_turn_numbers(spark):
+    schema = "pair_id long, turn long, role string, text string"
+    turns = [(1, n, "user", f"q{n}") for n in (3, 510, 511, 512)]
+    a, b = (spark.createDataFrame([*turns, (1, 9000, "assistant", x)], schema) for x in ("yes", "no"))
+    r = preference.format_pairs(a, b).collect()
+    assert len(r) == 1 and r[0].chunk == 0 and r[0].n_prompt_turns == 4 and r[0].prompt.count("<|user|>") == 4 and "yes" in r[0].chosen and "no" in r[0].rejected
+
+
 def test_token_counts(spark):
     encoder = token_counts.encoding()
     lengths = sorted(len(encoder.encode_ordinary(t)) if t else 0 for _, t, *_ in values())
@@ -112,6 +120,29 @@ def test_sparse_sites_lean_on_the_whole(spark):
     assert rate["big"] > rate["site200"] > rate["junk"] and abs(rate["site200"] - 2 / 3) < 0.1
 
 
+def test_site_rates_by_hand(spark):
+    """Beliefs are training labels or the classifier's probabilities; own parts are left out."""
+    docs, labels = labelled(spark)
+    labels = labels.where("doc_id % 3 <> 0")
+    got = quality.scores(docs, labels, levels=("source", "lang")).join(docs.select("doc_id", "source"), "doc_id").join(labels.select("doc_id", "quality"), "doc_id", "left").collect()
+    base = np.mean([r.quality for r in got if r.quality is not None and not r.held_out])
+    base = np.log(base / (1 - base))
+    belief = {r.doc_id: float(r.quality) if r.quality is not None and not r.held_out else 1 / (1 + np.exp(-(r.evidence + base))) for r in got}
+    rate = (sum(belief.values()) + 1) / (len(got) + 2)
+    for source in ("s0", "s1", "s2"):
+        rows = [r for r in got if r.source == source]
+        good, n = sum(belief[r.doc_id] for r in rows), len(rows)
+        strength = {round((good - belief[r.doc_id] - (n - 1) * r.host_rate) / (r.host_rate - rate), 3) for r in rows if abs(r.host_rate - rate) > 1e-4}
+        assert len({x for x in strength if not 0.99 < x < 1e4 * 1.01}) == 0 and max(strength, default=1) - min(strength, default=1) <= 0.02 * max(strength, default=1)
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    docs, labels = labelled(spark)
+    long = docs.withColumn("text", F.concat_ws(" ", F.array_repeat("text", F.when(F.col("doc_id") % 5 == 0, 400).otherwise(1))))  # all toxic texts are beyond 200,000 bytes or near it
+    got = toxicity.report(long, labels).join(labels, "doc_id").collect()
+    assert np.mean([r.predicted == r.toxic for r in got if r.held_out]) >= 0.9
+
+
 def test_quality_odd_tables(spark):
     docs, labels = documents(spark, odd=True), labelled(spark)[1]
     assert quality.scores(docs.limit(0), labels).count() == 0

@@ -1,11 +1,14 @@
 import os
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pricerank.llm import decontaminate, near_dup
 from pricerank.llm.queries import ORACLE_SQL, QUERIES
-from tests.llm import test_substring
+from tests.llm import test_near_dup, test_substring
+from tests.llm.helpers import documents
 from tests.test_oracle import FOLDER, normal
 
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -44,3 +47,26 @@ def test_query_against_sql(spark, name):
     columns = [d[0] for d in want.description]
     assert sorted(columns) == sorted(got.columns)
     assert normal(map(tuple, got.collect()), got.columns) == normal(want.fetchall(), columns)
+
+
+def test_run_on_odd_documents(spark, tmp_path):
+    """Null ids, null and empty texts, rows that repeat whole, clashing column names; and an empty table."""
+    odd = documents(spark, odd=True)
+    docs = odd.unionByName(odd.where("doc_id = 20")).unionByName(odd.where("doc_id IN (21, 22)").withColumn("doc_id", F.lit(None).cast("long")))
+    for name, table in (("odd", docs), ("none", docs.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(k, 1, 0) for k in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([(1, "never seen words at all here or there")], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert {"doc_id", "text", "epoch", "a.b"} <= set(out.columns)
+        rows = out.collect()
+        assert bool(rows) == (name == "odd") and all(len((r.text or "").split()) == r.taken for r in rows)
+        assert max([0, *Counter((r.doc_id, r.epoch) for r in rows if r.doc_id is not None).values()]) <= 1
+
+
+@needs_tables
+def test_near_dup_finds_all_pairs_at_the_threshold(spark):
+    """Five-word shingles at similarity 0.8, against all pairs."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    want = test_near_dup.brute([tuple(r) for r in docs.collect()], 5)
+    assert test_near_dup.found(near_dup.components(docs)) == want
