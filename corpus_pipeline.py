@@ -14,22 +14,27 @@ from pricerank.llm.common import read, stored
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. Null and empty texts stay, as their score is that of the bias; without labels of both classes nothing is learned."""
     return toxicity.clean(docs, read(spark, sf_dir, "labels"))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, and one of rows that repeat whole. Rows with a null id all stay."""
     return near_dup.dedup(docs)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated windows of 20 words are cut out of all texts but the first. Rows with a null id stay as they are."""
     return substring.clean(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark are cut out; every document stays."""
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per document and epoch, each source cut at its target. Documents without words give none."""
     return mixing.mixed_texts(docs)
 
 
@@ -44,7 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again."""
+    """All stages over documents, each written as Parquet and read again. An empty table gives no rows; columns of any name are carried on."""
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
