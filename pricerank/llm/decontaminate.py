@@ -22,8 +22,11 @@ from pricerank.llm.common import byte_lists, numbered, pieces, stored
 
 #: Words: runs of ASCII letters and digits and of all characters beyond ASCII; A-Z in lower case.
 KEPT_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-#: Symbols of a shard's index, and words of the benchmark broadcast at once; a larger benchmark is searched in slices of this size.
-SHARD, SLICE_WORDS = 400_000, 2_000_000
+#: The same separators as a pattern.
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Symbols of a shard's index, words of the benchmark broadcast at once (a larger benchmark is searched in slices of about this size), and first words of
+#: windows in a piece of an item, so that slices of pieces differ little in size.
+SHARD, SLICE_WORDS, PIECE_WORDS = 400_000, 2_000_000, 10_000
 SAMPLE = 16
 SPANS = "array<struct<start:int,end:int>>"
 
@@ -31,12 +34,12 @@ SPANS = "array<struct<start:int,end:int>>"
 class Windows:
     """Windows of the benchmark: for each length a matrix of symbols; symbols from 2, 0 for unknown words, 1 the separator."""
 
-    def __init__(self, items: list[tuple[str | None, bytes | None]], n: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], n: int):
         self.symbol: dict[bytes, int] = {}
         rows: dict[tuple[int, ...], set[str]] = {}
         pairs: set[tuple[int, int]] = set()
         for item, text in items:
-            words = (text or b"").translate(KEPT_BYTES).split()
+            words = text.translate(KEPT_BYTES).split()
             ids = tuple(self.symbol.setdefault(w, len(self.symbol) + 2) for w in words)
             pairs.update(zip(ids, ids[1:]))
             for at in range(max(1, len(ids) - n + 1) if ids else 0):
@@ -210,24 +213,32 @@ def _shards(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordB
             yield batch.slice(a, b - a)
 
 
+def _item_pieces(benchmark: DataFrame, n: int) -> DataFrame:
+    """item, text, size: distinct pieces of the items, which overlap by n - 1 words so that each window of an item is a window of a piece. Items without words have none."""
+    words = benchmark.select(F.col("item_id").cast("string").alias("item"), F.filter(F.split("text", SEPARATORS), lambda w: w != "").alias("w")).where(F.size("w") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0)), F.lit(PIECE_WORDS))
+    cut = words.withColumn("at", F.explode(starts)).select("item", F.slice("w", F.col("at") + 1, F.lit(PIECE_WORDS + n - 1)).alias("w"))
+    return cut.select("item", F.array_join("w", " ").alias("text"), F.size("w").alias("size")).distinct()
+
+
 def find_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns `keep` of each document with n_words, spans (merged, of hit words: start, end) and items (distinct ids as text).
 
     A window is n consecutive words of an item, or a shorter item's whole sequence. Null and empty texts have no words, as documents and as items; a
     null item id marks words but is listed nowhere; equal items are all listed. Repeated documents give a row each, empty
-    tables none or no hits. Columns outside `keep` are not read. The benchmark is broadcast in slices of about SLICE_WORDS words (by item,
-    after a sum of its size); each further slice is a further pass over the documents, which adds its spans.
+    tables none or no hits. Columns outside `keep` are not read. The benchmark is cut into pieces, of which equal ones count once, and broadcast in slices of about SLICE_WORDS words (by hash of the
+    piece, after a sum of their sizes); each further slice is a further pass over the documents, which adds its spans.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text"))
-    total = items.agg(F.sum(F.octet_length("text") / 4)).first()[0] or 0
+    items = stored(_item_pieces(benchmark, n))
+    total = items.agg(F.sum("size")).first()[0] or 0
     slices = int(total // SLICE_WORDS) + 1
     own = text in keep  # then the text is carried on anyway, else up to the last pass
     place = f"k{keep.index(text)}" if own else "text"
     state = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], *([] if own else [F.col(text).alias("text")]), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(SPANS).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
     for k in range(slices):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k)
-        windows = spark.sparkContext.broadcast(Windows([(r.item, r.text.encode() if r.text is not None else None) for r in part.collect()], n))
+        windows = spark.sparkContext.broadcast(Windows([(r.item, r.text.encode()) for r in part.collect()], n))
         last = k == slices - 1
         out = state.drop("text") if last else state
         state = state.mapInArrow(_finder(windows, place, out.columns[:-3]), out.schema)

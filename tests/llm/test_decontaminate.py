@@ -48,6 +48,18 @@ def test_against_brute_force(spark, monkeypatch, limit):
         assert got == want
 
 
+@pytest.mark.parametrize("piece", [1, 7, 10_000])
+def test_pieces_hold_all_windows(spark, monkeypatch, piece):
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", piece)
+    rows = values()
+    items = benchmark(rows) + [(12, rows[12][1]), (12, rows[12][1]), (13, "one -- Two\u00a0\u00e9")]  # a long item, twice
+    want = brute(rows, items)
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.report(documents(spark), spark.createDataFrame(items, ITEMS)).collect()}
+    assert got == want
+    pieces = decontaminate._item_pieces(spark.createDataFrame(items, ITEMS), 10)
+    assert pieces.agg({"size": "max"}).first()[0] <= piece + 9 and pieces.count() == pieces.distinct().count()
+
+
 def test_empty_tables(spark):
     docs, none = documents(spark), spark.createDataFrame([], ITEMS)
     assert decontaminate.report(docs, none).where("contaminated").count() == 0
