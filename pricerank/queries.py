@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pricerank.functions import geo, scores, text
 from pricerank.operators import quality, rows, upsert
 from pricerank.plans import catalog, prices, ranking
+from pricerank.sources.schema import NATURAL_KEYS
 from pricerank.sources.tables import ADAPTER, adapted, to_domain, to_storage, with_defaults
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,6 +140,20 @@ def _(t):
     return upsert.get_or_create(t["precio"], _new(t["precio"]), ("producto_fuente_id", "sucursal_id", "fecha_relevamiento"), "precio")[1]
 
 
+#: For each table a text of its natural key, which new rows change.
+RENAMED = {"provincia": "nombre", "ciudad": "nombre", "supermercado": "nombre", "sucursal": "direccion", "categoria_producto": "nombre", "marca": "nombre", "producto": "codigo_interno", "producto_fuente": "codigo_externo", "precio": "producto_fuente_id"}
+
+
+@query("s6_load_all", " UNION ALL ".join(f"SELECT '{x}' AS resource, count(*) + count(DISTINCT ({', '.join(NATURAL_KEYS[x])},)) AS n, count(DISTINCT ({', '.join(NATURAL_KEYS[x])},)) AS created, 2 * count(*) - count(DISTINCT ({', '.join(NATURAL_KEYS[x])},)) AS found FROM {x}" for x in RENAMED))
+def _(t):
+    """Every row once as it stands, which is found, and once with a new key, of which the first row is created."""
+    t = {x: t[x].withColumns({"id": F.col("id").cast("string"), c: F.col(c).cast("string")}) for x, c in RENAMED.items()}
+    new = {x: t[x].unionByName(t[x].withColumns({c: F.concat(F.lit("new "), c), "id": F.concat(F.lit("N-"), "id")})) for x, c in RENAMED.items()}
+    merged, report = upsert.load_all(t, new)
+    sizes = [df.agg(F.count("*").alias("n")).select(F.lit(x).alias("resource"), "n") for x, df in merged.items()]
+    return report.join(reduce(DataFrame.unionByName, sizes), "resource").select("resource", "n", "created", "found")
+
+
 EXPANDED = "SELECT p.id AS producto_id, s.id AS supermercado_id, CASE WHEN s.nombre = 'CHAIN_1' THEN concat('Own ', nombre_normalizado) ELSE nombre_normalizado END AS nombre_original, concat('C', CAST(s.id AS STRING), '-', codigo_interno) AS codigo_externo FROM producto p, supermercado s"
 
 
@@ -457,6 +473,20 @@ def _(t):
     return upsert.apply_changes(t["producto"], changed.unionByName(earlier)).select("id", "activo")
 
 
+#: The kinds of rows that can be switched on and off.
+SWITCHED = ("producto", "marca", "categoria_producto", "producto_fuente", "supermercado", "sucursal")
+
+
+@query("m1_all_kinds", " UNION ALL ".join(f"SELECT '{x}' AS \"table\", CAST(id AS VARCHAR) AS row_key, CASE WHEN right(CAST(id AS VARCHAR), 1) IN ('0', '1', '2', 'L') THEN true WHEN right(CAST(id AS VARCHAR), 1) IN ('3', '4', '5', 'N') THEN false ELSE activo END AS activo FROM {x}" for x in SWITCHED))
+def _(t):
+    def switched(x: str) -> DataFrame:
+        last = F.substring(F.col("id").cast("string"), -1, 1)
+        on = upsert.activate(t[x], t[x].where(last.isin("0", "1", "2", "L")))
+        return upsert.activate(on, t[x].where(last.isin("3", "4", "5", "N")), False).select(F.lit(x).alias("table"), F.col("id").cast("string").alias("row_key"), "activo")
+
+    return reduce(DataFrame.unionByName, map(switched, SWITCHED))
+
+
 @query("m2_price_flags", "SELECT id, CASE WHEN promocion THEN false ELSE disponible END AS disponible, promocion OR NOT disponible AS promocion FROM precio", "precio")
 def _(t):
     p = t["precio"]
