@@ -3,7 +3,8 @@
 A word is the mean of the vectors of its byte n-grams (with word edges) and of the word itself, hashed into BUCKETS; a text is the mean
 of its words; a softmax over two classes stands on top. A text holds few telling words among hundreds, so each bucket enters the mean weighted by its evidence: the log ratio of the
 shares of toxic and other training texts it occurs in, shrunk by DOUBT standard errors (most become 0). Vectors and softmax are trained jointly in numpy, by Adagrad, on a
-bounded sample of labelled rows (MOST_ROWS by hash of the id), each sent as its distinct words and their counts, so that a long text costs no more than its vocabulary. Once trained, the model is linear in the words, so scoring needs one number a
+bounded sample of labelled rows (MOST_ROWS by hash of the id), each kept as its distinct words and their counts, so that a long text costs no more than its vocabulary. The evidence is a
+grouped count over the sample, and the driver gets a text's buckets with evidence only. Once trained, the model is linear in the words, so scoring needs one number a
 bucket, which is broadcast (BUCKETS * 4 bytes); a misspelt word takes the numbers of the n-grams it shares.
 """
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricerank.llm.common import byte_lists, mix64, numbered, pieces, remainder
+from pricerank.llm.common import byte_lists, mix64, numbered, pieces, remainder, stored
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 20, 8, (3, 4, 5)
 #: The training sample's bound.
@@ -64,34 +65,56 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b" ".join(c) for c in each], pa.binary()), pa.array([list(c.values()) for c in each], pa.list_(pa.int32()))], names=["doc_id", "toxic", "words", "counts"])
 
 
-def _bags(texts: list[tuple[bytes, list[int]]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Buckets and their weights, which add up to 1, of each text, given as its distinct words and their counts."""
-    bags = []
-    for text, times in texts:
-        words, times = text.split(), np.array(times, np.float64)
-        if not words:
-            bags.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
-            continue
-        ids, count = subwords(words)
-        weight = np.repeat(times / (count * times.sum()), count)
-        distinct, place = np.unique(ids, return_inverse=True)
-        bags.append((distinct, np.bincount(place, weight).astype(np.float32)))
-    return bags
-
-
-def train(texts: list[tuple[bytes, list[int]]], toxic: np.ndarray, seed: int = 10) -> tuple[np.ndarray, float]:
-    """A number for each bucket and the bias: the margin of the toxic class. Without both classes, a constant: 0 for none toxic, else 1 for all."""
-    if not len(texts) or toxic.min() == toxic.max():
-        return np.zeros(BUCKETS, np.float32), 30.0 if len(texts) and toxic[0] else -30.0
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a task's texts of each class hold a bucket."""
+    held = np.zeros((2, BUCKETS), np.int32)
+    for batch in pieces(batches, 300):
+        for toxic, text in zip(batch["toxic"].to_pylist(), batch["words"].to_pylist()):
+            if text:
+                held[toxic][np.unique(subwords(text.split())[0])] += 1
+    for toxic in (0, 1):
+        buckets = np.flatnonzero(held[toxic])
+        yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(np.full(len(buckets), toxic, np.int32)), pa.array(held[toxic][buckets])], names=["bucket", "toxic", "n"])
+
+
+def _evidence(sample: DataFrame, others: int, toxic: int) -> DataFrame:
+    """bucket, evidence: the log ratio of the smoothed shares of toxic and other texts that hold it, shrunk towards 0. Buckets without evidence are left out."""
+    of = lambda kind: (F.coalesce(F.sum(F.when(F.col("toxic") == kind, F.col("n"))), F.lit(0)) + 1).cast("double")
+    held = sample.select("toxic", "words").mapInArrow(_held, "bucket int, toxic int, n int").groupBy("bucket").agg(of(1).alias("toxic"), of(0).alias("others"))
+    ratio = F.log(F.col("toxic") / (toxic + 2)) - F.log(F.col("others") / (others + 2))
+    sure = F.abs(ratio) - DOUBT * F.sqrt(1 / F.col("toxic") + 1 / F.col("others"))
+    return held.where(sure > 0).select("bucket", (F.signum(ratio) * sure).cast("float").alias("evidence"))
+
+
+def _bags(evidence) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each text's buckets with evidence and their weights: the share of the bucket in the text (its words count alike) times SCALE and the evidence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, values = evidence.value
+        telling = np.zeros(BUCKETS, np.float32)
+        telling[buckets] = SCALE * values
+        for batch in pieces(batches, 300):
+            ids, weights = [], []
+            for text, times in zip(batch["words"].to_pylist(), batch["counts"].to_pylist()):
+                distinct, weight = np.zeros(0, np.int32), np.zeros(0, np.float32)
+                if text:
+                    places, count = subwords(text.split())
+                    times = np.array(times, np.float64)
+                    part = np.repeat(times / (count * times.sum()), count)
+                    some = telling[places] != 0
+                    distinct, place = np.unique(places[some], return_inverse=True)
+                    weight = (np.bincount(place, part[some], len(distinct)) * telling[distinct]).astype(np.float32)
+                ids.append(distinct)
+                weights.append(weight)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(ids, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], names=["doc_id", "toxic", "ids", "weights"])
+
+    return run
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, buckets: np.ndarray, evidence: np.ndarray, seed: int = 10) -> tuple[np.ndarray, float]:
+    """A number for each bucket and the bias: the margin of the toxic class. Bags are buckets and weights, the former by their place in the sorted `buckets`; all other buckets weigh nothing and have no vectors."""
     rng = np.random.default_rng(seed)
-    bags = _bags(texts)
-    evidence = SCALE * _evidence(bags, toxic)
-    active = np.flatnonzero(evidence)  # only these have vectors, as all others weigh nothing
-    number = np.cumsum(evidence != 0, dtype=np.int32) - 1
-    for k, (ids, weight) in enumerate(bags):
-        some = evidence[ids] != 0
-        bags[k] = number[ids[some]], weight[some] * evidence[ids[some]]
-    vectors = rng.uniform(-0.1, 0.1, (len(active), DIMENSIONS)).astype(np.float32)
+    vectors = rng.uniform(-0.1, 0.1, (len(buckets), DIMENSIONS)).astype(np.float32)
     top = rng.uniform(-1, 1, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.log(np.bincount(toxic, minlength=2) / len(toxic)).astype(np.float32)
     seen, seen_top, seen_bias = np.full_like(vectors, 1e-3), np.full_like(top, 1e-6), np.full_like(bias, 1e-6)
@@ -114,20 +137,10 @@ def train(texts: list[tuple[bytes, list[int]]], toxic: np.ndarray, seed: int = 1
                 total += slope * slope
                 value -= rate * slope / np.sqrt(total)
     value = np.zeros(BUCKETS, np.float32)
-    value[active] = evidence[active] * (vectors @ (top[:, 1] - top[:, 0]))
+    value[buckets] = SCALE * evidence * (vectors @ (top[:, 1] - top[:, 0]))
     return value, float(bias[1] - bias[0])
 
 
-def _evidence(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.ndarray:
-    """Each bucket's log ratio of the smoothed shares of toxic and other texts that hold it, shrunk towards 0."""
-    held = np.ones((2, BUCKETS), np.float32)
-    for (ids, _), t in zip(bags, toxic):
-        held[t][ids] += 1
-    texts = np.bincount(toxic, minlength=2) + 2
-    ratio = np.log(held[1] / np.float32(texts[1])) - np.log(held[0] / np.float32(texts[0]))
-    return np.sign(ratio) * np.maximum(np.abs(ratio) - np.float32(DOUBT) * np.sqrt(1 / held[0] + 1 / held[1]), 0)
-
-
 def _summed(owner: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(owner, rows[:, d], n) for d in range(rows.shape[1])], 1).astype(np.float32)
 
@@ -156,8 +169,18 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> tuple[np.ndarray,
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_ROWS)
     kind = docs.schema["doc_id"].dataType.simpleString()
     words = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_counted, f"doc_id {kind}, toxic int, words binary, counts array<int>")
-    rows = words.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct("words", "counts")).alias("text")).orderBy("doc_id").toArrow()  # in order, so that reruns agree
-    return train([(t["words"], t["counts"]) for t in rows["text"].to_pylist()], rows["toxic"].to_numpy().astype(np.int64))
+    sample = stored(words.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct("words", "counts")).alias("text")).select("doc_id", "toxic", "text.*"))
+    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if len(n) < 2:  # without both classes, a constant
+        return np.zeros(BUCKETS, np.float32), 30.0 if 1 in n else -30.0
+    found = _evidence(sample, n[0], n[1]).orderBy("bucket").toArrow()
+    buckets, evidence = found["bucket"].to_numpy(), found["evidence"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast((buckets, evidence))
+    rows = sample.mapInArrow(_bags(shared), f"doc_id {kind}, toxic int, ids array<int>, weights array<float>").orderBy("doc_id").select("toxic", "ids", "weights").toArrow()  # in order, so that reruns agree
+    places = np.searchsorted(buckets, rows["ids"].combine_chunks().flatten().to_numpy()).astype(np.int32)
+    ends = np.cumsum(rows["ids"].combine_chunks().value_lengths().to_numpy())[:-1]
+    bags = list(zip(np.split(places, ends), np.split(rows["weights"].combine_chunks().flatten().to_numpy(), ends)))
+    return train(bags, rows["toxic"].to_numpy().astype(np.int64), buckets, evidence)
 
 
 def _scores(docs: DataFrame, text: str, keep: list[str], model: tuple[np.ndarray, float]) -> DataFrame:
