@@ -1,0 +1,79 @@
+import hashlib
+import random
+import zlib
+
+import numpy as np
+
+from pricerank.llm import runs
+from tests.llm.helpers import DOCS, documents, values, words
+
+
+def edited(doc_id, w):
+    """The words of the query's contract."""
+    n, h = len(w), zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return w
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[a + (i - a) % p] if i >= a else w[i] for i in range(n)]
+
+
+def row(w):
+    found = runs.brute_force(w)
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    sha = lambda text: hashlib.sha256(text).hexdigest()
+    best = min(found, key=lambda r: (-r[1], r[0], r[2]), default=None)
+    return (len(found), *(best or (None,) * 3), best and 1000 * best[1] // best[2], sha("".join(f"{s},{n},{q}\n" for s, n, q in found).encode()), sha(b" ".join(x for i, x in enumerate(w) if i not in gone)))
+
+
+def test_against_brute_force():
+    rng = random.Random(5)
+    texts = []
+    for _ in range(600):
+        t = [b"%d" % rng.randrange(rng.choice([1, 2, 3, 9])) for _ in range(rng.randrange(70))]
+        if t and rng.random() < 0.5:
+            u = t[-rng.randrange(1, 9) :]
+            t += u * rng.randrange(2, 9) + u[: rng.randrange(len(u))] + t[:20]
+        texts.append(t)
+    together = [x for k in range(0, len(texts), 40) for x in runs.find(texts[k : k + 40])]
+    assert together == [runs.brute_force(t) for t in texts] and sum(map(len, together)) > 300
+    assert together == [runs.find([t])[0] for t in texts]  # what stands in a batch beside a text doesn't matter
+
+
+def test_grammar_derives_the_words():
+    rng = random.Random(6)
+    texts = [[rng.randrange(4) for _ in range(rng.randrange(1, 90))] for _ in range(30)] + [[0] * 1000]
+    flat, doc = np.array([x for t in texts for x in t]), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    grammar = runs.repair(flat, doc)
+    expand = lambda s: [s] if s < grammar.terminals else expand(grammar.left[s - grammar.terminals]) + expand(grammar.right[s - grammar.terminals])
+    assert [w for s in grammar.start[0].tolist() for w in expand(s)] == flat.tolist()
+    symbols = grammar.start[0]
+    pairs = [(d, a, b) for d, a, b, e in zip(doc[grammar.start[1]], symbols, symbols[1:], doc[grammar.start[1]][1:]) if d == e and a != b]
+    assert len(pairs) == len(set(pairs)) and len(grammar.left) > 50  # no pair of a document is left twice
+    for k, at in enumerate(grammar.first):
+        assert expand(grammar.terminals + k) == flat[at : at + grammar.size[grammar.terminals + k]].tolist()
+
+
+def test_long_texts():
+    rng = random.Random(7)
+    one = [b"a"] * 50_000
+    two = [b"%d" % rng.randrange(2) for _ in range(20_000)]
+    passage = [b"%d" % rng.randrange(5_000) for _ in range(9_000)]
+    found = runs.find([one, two, passage * 4 + passage[:500]])
+    assert found[0] == [(0, 50_000, 1)] and found[2] == [(0, 36_500, 9_000)] and len(found[1]) > 100
+    assert [r for r in found[1] if r[0] + r[1] <= 400] == [r for r in runs.brute_force(two[:500]) if r[0] + r[1] <= 400]
+
+
+def test_query(spark, monkeypatch):
+    monkeypatch.setattr(runs, "BATCH_WORDS", 700)
+    docs = documents(spark, odd=True)
+    extra = [(1000 + k, " ".join(["x", "Y", "é"] * k), None, None, None) for k in range(60)] + [(None, "b " * 9, None, None, None), (None, None, None, None, None)]
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(extra, DOCS))
+    docs = docs.union(docs.where("doc_id = 1010"))
+    got = runs.report(runs.with_periodic_tails(docs)).collect()
+    want = [(d, *row(edited(d, words(t)))) for d, t, *_ in values() + extra if d is not None]
+    want += [(1010, *row(edited(1010, words(dict((d, t) for d, t, *_ in extra)[1010])))), (None, *row([b"b"] * 9)), (None, *row([]))]
+    assert sorted((tuple(r)[:-1] for r in got), key=repr) == sorted(want, key=repr)
+    assert sum(r.n_runs > 0 for r in got) > 50
+    assert runs.report(docs.limit(0)).count() == 0 and runs.find_runs(documents(spark, odd=True)).count() == 60
