@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricerank.llm import decontaminate, grid_join, lm_score, mixing, near_dup, preference, quality, runs, search, substring, token_counts, toxicity
+from pricerank.llm import decontaminate, fingerprint, grid_join, lm_score, mixing, near_dup, preference, quality, runs, search, substring, token_counts, toxicity
 from pricerank.llm.common import read
 
 
@@ -173,6 +173,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.report(read(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.report(runs.with_periodic_tails(read(spark, sf_dir, "documents")))
 
@@ -213,6 +217,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_token_lengths": op9_token_lengths,
     "op10_toxicity": op10_toxicity,
+    "op11_fingerprints": op11_fingerprints,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_ranked_search": op13_ranked_search,
 }
