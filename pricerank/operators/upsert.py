@@ -94,8 +94,9 @@ def mark_prices(base: DataFrame, ids: DataFrame, available: bool | None = None,
 
 def ingest(tables: Mapping[str, DataFrame], listings: DataFrame, prices: DataFrame, seq: str = "seq") -> tuple[dict[str, DataFrame], DataFrame]:
     """Listings, then prices, upserted with defaults after the checks; (new tables, rejected rows: table, row_key, rule). A price whose listing
-    is rejected is rejected too, as its reference fails. Of rows with one id the last by seq counts, the others are no part of the batch. Rows whose unique key stands
-    in the base under another id are rejected, and so are, of several rows with one key that pass all other checks, all but the least id."""
+    is rejected is rejected too, as its reference fails. Of rows with one id the last by seq counts, the others are no part of the batch. Of several rows
+    with one unique key that pass the other checks only one is taken: the row that has the key in the base, or else the least id. A row whose key stands in the base under another id is rejected,
+    unless the batch gives that other row another key by an update that is taken without any base row giving way. So no result has a key twice if the base had none."""
     out, rejected = dict(tables), None
     for table, rows in (("producto_fuente", listings), ("precio", prices)):
         out[table], reasons = ingest_rows(out, table, rows, seq)
@@ -120,22 +121,45 @@ def ingest_rows(tables: Mapping[str, DataFrame], table: str, rows: DataFrame, se
         ids = tables[parent].select(F.col("id").alias("_id"))
         ids = (ids.union(full.select("id")) if parent == table else ids).distinct().withColumn("_there", F.lit(True))
         marked = marked.join(ids, F.col(column) == F.col("_id"), "left").withColumn("_rules", also(f"reference:{column}", F.col(column).isNotNull() & F.col("_there").isNull())).drop("_id", "_there")
+    keys = [key for key in UNIQUE_KEYS[table] if key != ("id",) and set(key) <= set(base.columns)]
+    if keys:
+        marked = _with_taken_keys(base, marked, keys)
     passes = F.size("_rules") == 0
-    for key in UNIQUE_KEYS[table]:
-        if key == ("id",) or not set(key) <= set(base.columns):
-            continue
-        # a base row that the batch itself gives another key no longer holds the old one
-        held = base.join(full.select("id"), "id", "left_anti").select(*[F.col(k).alias(f"_{k}") for k in key]).distinct().withColumn("_held", F.lit(True))
-        whole = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in key])
-        least = F.min(F.when(passes, F.col("id"))).over(Window.partitionBy(*key, F.when(~whole, F.col("id"))))
-        equal = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"_{k}") for k in key])
-        marked = marked.withColumn("_least", least).join(held, equal, "left")
-        broken = whole & passes & (F.coalesce("_held", F.lit(False)) | (F.col("id") > F.col("_least")))
-        marked = marked.withColumn("_rules", also("unique:" + ",".join(key), broken)).drop("_least", "_held", *[f"_{k}" for k in key])
     reasons = marked.select(F.lit(table).alias("table"), F.col("id").cast("string").alias("row_key"), F.explode("_rules").alias("rule"))
     return upsert(base, marked.where(passes).drop("_rules"), seq=seq), reasons
 
 
+def _with_taken_keys(base: DataFrame, rows: DataFrame, keys: list[tuple[str, ...]]) -> DataFrame:
+    """rows with `unique:...` added to _rules for each key that a row may not take. A base row gives up its key only to an update that is certain to be taken: it passes all
+    checks, no other base row has its new key, and it comes before all other rows of the batch with that key."""
+    spread = sorted({c for key in keys for c in key})
+    old = base.select(F.col("id").alias("_id"), F.lit(True).alias("_known"), *[F.col(c).alias(f"_old_{c}") for c in spread])
+    rows = rows.join(old, F.col("id") == F.col("_id"), "left").withColumn("_passes", F.size("_rules") == 0)
+    every = lambda terms: reduce(lambda x, y: x & y, terms)
+    whole = {key: every([F.col(c).isNotNull() for c in key]) for key in keys}
+    own = {key: F.coalesce(F.col("_known") & every([F.col(c).eqNullSafe(F.col(f"_old_{c}")) for c in key]), F.lit(False)) for key in keys}
+    certain = F.col("_passes")
+    for k, key in enumerate(keys):
+        holders = base.dropna(subset=list(key)).groupBy(*[F.col(c).alias(f"_key_{c}") for c in key]).agg(F.count("*").alias(f"_holders{k}"))
+        equal = every([F.col(c) == F.col(f"_key_{c}") for c in key])
+        rows = rows.join(holders, equal, "left").drop(*[f"_key_{c}" for c in key])
+        # rows without a whole key take no part, so they are dealt by their id
+        claims = Window.partitionBy(*key, F.when(~whole[key], F.col("id")))
+        rows = rows.withColumn(f"_first{k}", F.min(F.when(F.col("_passes"), F.struct((~own[key]).alias("other"), F.col("id")))).over(claims))
+        rows = rows.withColumn(f"_others{k}", F.coalesce(f"_holders{k}", F.lit(0)) - own[key].cast("int"))
+        certain = certain & (~whole[key] | (F.col(f"_others{k}") == 0) & (F.col(f"_first{k}.id") == F.col("id")))
+    rows = rows.withColumn("_certain", certain)
+    for k, key in enumerate(keys):
+        moved = rows.where(F.col("_certain") & F.col("_known") & ~own[key]).dropna(subset=[f"_old_{c}" for c in key])
+        freed = moved.groupBy(*[F.col(f"_old_{c}").alias(f"_key_{c}") for c in key]).agg(F.count("*").alias(f"_freed{k}"))
+        rows = rows.join(freed, every([F.col(c) == F.col(f"_key_{c}") for c in key]), "left").drop(*[f"_key_{c}" for c in key])
+        taken = (F.col(f"_others{k}") > F.coalesce(f"_freed{k}", F.lit(0))) | (F.col(f"_first{k}.id") != F.col("id"))
+        broken = whole[key] & F.col("_passes") & taken
+        rows = rows.withColumn("_rules", F.when(F.coalesce(broken, F.lit(False)), F.array_append("_rules", F.lit("unique:" + ",".join(key)))).otherwise(F.col("_rules")))
+    extra = [f"_{x}{k}" for k in range(len(keys)) for x in ("holders", "first", "others", "freed")]
+    return rows.drop("_id", "_known", "_passes", "_certain", *[f"_old_{c}" for c in spread], *extra)
+
+
 def load_all(base: Mapping[str, DataFrame], new: Mapping[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
     """get_or_create() for every table of `new` by its natural key, and the reports of all."""
     out, report = dict(base), None

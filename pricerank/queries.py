@@ -120,6 +120,16 @@ def _(t):
     return upsert.ingest(t, taken.unionByName(orphans).select("*", seq), cheap.unionByName(lost).select("*", seq))[1]
 
 
+@query("s5_ingest_keys", "SELECT 'row' AS kind, CAST(id AS STRING) AS id, CASE WHEN supermercado_id IN (0, 2) THEN concat('M-', codigo_externo) ELSE codigo_externo END AS value FROM producto_fuente UNION ALL SELECT 'row', concat('N-', CAST(id AS STRING)), codigo_externo FROM producto_fuente WHERE supermercado_id IN (0, 2) UNION ALL SELECT 'rejected', CAST(id AS STRING), 'check:confianza_match' FROM producto_fuente WHERE supermercado_id = 3 UNION ALL SELECT 'rejected', concat('N-', CAST(id AS STRING)), 'unique:supermercado_id,codigo_externo' FROM producto_fuente WHERE supermercado_id IN (1, 3)", "producto_fuente", "producto", "supermercado")
+def _(t):
+    """New listings (N-) ask for the keys of others: chains 0 and 2 give theirs up by updates that are taken, 1 by none, 3 by updates that break a check."""
+    f = t["producto_fuente"].withColumns({"id": F.col("id").cast("string"), "confianza_match": F.lit(1).cast("decimal(4,3)")})
+    moved = f.where("supermercado_id <> 1").withColumns({"codigo_externo": F.concat(F.lit("M-"), "codigo_externo"), "confianza_match": F.when(F.col("supermercado_id") == 3, 5).otherwise(1).cast("decimal(4,3)")})
+    asked = f.withColumn("id", F.concat(F.lit("N-"), "id"))
+    out, rejected = upsert.ingest_rows({**t, "producto_fuente": f}, "producto_fuente", moved.unionByName(asked).withColumn("seq", F.lit(1)))
+    return out.select(F.lit("row").alias("kind"), "id", F.col("codigo_externo").alias("value")).union(rejected.select(F.lit("rejected"), "row_key", "rule"))
+
+
 NEW = "SELECT producto_fuente_id, sucursal_id, CAST(fecha_relevamiento + INTERVAL 1 DAY AS TIMESTAMP) AS fecha_relevamiento, precio, id FROM precio WHERE disponible UNION ALL SELECT producto_fuente_id, sucursal_id, fecha_relevamiento, precio, concat('Z-', id) FROM precio WHERE NOT disponible"
 FRESH = f"SELECT producto_fuente_id, sucursal_id, fecha_relevamiento, min(id) AS id FROM ({NEW}) n WHERE NOT EXISTS (SELECT 1 FROM precio p WHERE p.producto_fuente_id = n.producto_fuente_id AND p.sucursal_id = n.sucursal_id AND p.fecha_relevamiento = n.fecha_relevamiento) GROUP BY ALL"
 

@@ -1,3 +1,4 @@
+import random
 from decimal import Decimal
 
 import pytest
@@ -126,3 +127,48 @@ def test_stream_with_checks(spark, t, tmp_path):
     out = spark.read.parquet(f"{tmp_path}/out-0")
     assert out.count() == 20 and out.where("precio = 7").count() == 2
     assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/rejected-0").collect()] == [("precio", "odd", "reference:sucursal_id")]
+
+
+KEY = "unique:supermercado_id,codigo_externo"
+
+
+def ingested(spark, t, base, batch):
+    """({id: code} after the batch, {(id, rule)} of what was rejected) of listings (id, code, confidence)."""
+    one = t["producto_fuente"].limit(1).drop("id", "codigo_externo", "confianza_match")
+    made = lambda rows: spark.createDataFrame(rows, "id string, codigo_externo string, confianza_match decimal(4,3)").crossJoin(one)
+    tables = {**t, "producto_fuente": made(base).select(t["producto_fuente"].columns)}
+    out, rejected = upsert.ingest_rows(tables, "producto_fuente", made(batch).withColumn("seq", F.lit(1)))
+    out = out.select("id", "supermercado_id", "codigo_externo").cache()
+    assert quality.unique_violations(out, "producto_fuente").count() == 0
+    return {r.id: r.codigo_externo for r in out.collect()}, {(r.row_key, r.rule) for r in rejected.collect()}
+
+
+def test_a_rejected_update_keeps_its_key(spark, t):
+    """Cases apart, told by the first letter of ids and codes: base, batch, what stands afterwards, ids that are rejected for their key."""
+    cases = {
+        "a": ({"A": "x", "C": "z"}, {"A": ("new", 5), "N": ("x", None)}, {"A": "x", "C": "z"}, {"N"}),  # the update breaks a check
+        "b": ({"A": "x"}, {"A": ("new", 1), "N": ("x", None)}, {"A": "new", "N": "x"}, set()),
+        "c": ({"A": "x", "B": "y", "C": "z"}, {"B": ("z", None), "N": ("y", None)}, {"A": "x", "B": "y", "C": "z"}, {"B", "N"}),  # B may not have what C has, so y isn't free
+        "d": ({"A": "x"}, {"0": ("x", None), "A": ("x", None)}, {"A": "x"}, {"0"}),  # an update that keeps its key comes before a lesser id
+        "e": ({"A": "x", "B": "y"}, {"A": ("y", None), "B": ("x", None)}, {"A": "x", "B": "y"}, {"A", "B"}),  # an exchange needs a step between
+        "f": ({"A": "x"}, {"A": (None, None), "M": (None, None), "N": ("x", None)}, {"A": None, "M": None, "N": "x"}, set()),
+        "g": ({}, {"A": ("x", None), "B": ("x", None), "0": ("x", 5)}, {"A": "x"}, {"B"}),
+    }
+    base = [(k + i, k + c, None) for k, (rows, *_) in cases.items() for i, c in rows.items()]
+    batch = [(k + i, c and k + c, m and Decimal(m)) for k, (_, rows, *_) in cases.items() for i, (c, m) in rows.items()]
+    rows, rejected = ingested(spark, t, base, batch)
+    assert rows == {k + i: c and k + c for k, (*_, after, _) in cases.items() for i, c in after.items()}
+    assert rejected == {(k + i, KEY) for k, (*_, bad) in cases.items() for i in bad} | {("aA", "check:confianza_match"), ("g0", "check:confianza_match")}
+
+
+def test_keys_stay_unique_after_any_batch(spark, t):
+    rng = random.Random(11)
+    base, batch = [], []
+    for k in range(60):  # so many small worlds in one batch
+        own = [(f"{k}b{c}", f"{k}{c}", None) for c in "abcde" if rng.random() < 0.7]
+        base += own
+        batch += [(i, rng.choice([None, *(f"{k}{c}" for c in "abcdefg")]), rng.choice([None, Decimal(1), Decimal(5)])) for i in rng.sample([i for i, *_ in own] + [f"{k}{x}{n}" for x in "an" for n in range(4)], 7)]
+    rows, rejected = ingested(spark, t, base, batch)
+    bad, before = {k for k, _ in rejected}, {i: c for i, c, _ in base}
+    assert all(rows[i] == c for i, c, _ in batch if i not in bad) and all(rows.get(i) == before.get(i) for i in bad)
+    assert len(bad) < len(batch) * 0.8 and all((i in rows) == (i in before) for i in bad)
