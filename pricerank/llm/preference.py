@@ -2,19 +2,16 @@
 
 A pair has a chosen and a rejected conversation. Their turns are joined by number, the least number at which they differ ends the longest common prefix, the prefix is
 rendered once as the prompt and each rest as a completion, in which only the assistant's turns are trained on. All of it is
-joins and grouped sums. A pair is one row, whatever its turn numbers; only a pair of more than CHUNK turns takes several, so that no group is larger than CHUNK turns.
+joins and grouped sums. A pair is one row, however many turns it has and however they are numbered; who has pairs too long for a row sets most_turns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricerank.llm.common import stored
 
-#: Turns of a pair that is one row; a longer pair takes a row for each span of so many turn numbers.
-CHUNK = 512
-
 
 def rendered(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), F.coalesce(role, F.lit("")), F.lit("|>\n"), F.coalesce(text, F.lit("")), F.lit("<|end|>\n"))
@@ -26,20 +23,21 @@ def _sides(turns: DataFrame, side: str) -> DataFrame:
     return turns.where("pair_id IS NOT NULL AND turn IS NOT NULL").groupBy("pair_id", "turn").agg(said.alias(side))
 
 
-def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
+def format_pairs(chosen: DataFrame, rejected: DataFrame, most_turns: int | None = None) -> DataFrame:
     """pair_id, chunk, n_prompt_turns, prompt, chosen, rejected, chosen_spans, rejected_spans of turns (pair_id, turn, role, text).
 
     n_prompt_turns counts the common turns of the whole pair. Spans (start, end in characters of the completion) are what is trained on. Null roles and texts count as empty; rows without pair or
-    turn number are left out. A pair with only one side has no prompt and an empty other completion; equal sides are all prompt. Empty tables give no rows. chunk is 0
-    for pairs of up to CHUNK turns; a longer one has a row for each span of CHUNK turn numbers, chunk being the span's number: its prompt and completions
-    are those of its rows, joined in order of chunk. All rows of one turn number are one group. Extra columns are not read.
+    turn number are left out. A pair with only one side has no prompt and an empty other completion; equal sides are all prompt. Empty tables give no rows. chunk is 0;
+    with most_turns a pair has a row for each so many of its turns in order, chunk counting them, and its prompt and completions are those of its rows, joined in order of chunk. Extra columns are not read.
     """
     both = _sides(chosen, "chosen").join(_sides(rejected, "rejected"), ["pair_id", "turn"], "full")
     both = stored(both.select("*", F.coalesce(F.size("chosen"), F.lit(0)).alias("n"), (~F.col("chosen").eqNullSafe(F.col("rejected"))).alias("differs")))
-    ends = both.groupBy("pair_id").agg(F.min(F.when(F.col("differs"), F.col("turn"))).alias("end"), F.count("*").alias("turns"))
+    ends = both.groupBy("pair_id").agg(F.min(F.when(F.col("differs"), F.col("turn"))).alias("end"))
     common = (F.col("turn") < F.col("end")) | F.col("end").isNull()
-    counted = both.select("pair_id", "turn", "n").join(ends, "pair_id").groupBy("pair_id", "end", "turns").agg(F.sum(F.when(common, F.col("n")).otherwise(0)).alias("n_prompt_turns"))
-    placed = both.join(counted, "pair_id").withColumn("chunk", F.when(F.col("turns") > CHUNK, F.floor(F.col("turn") / CHUNK)).otherwise(0))
+    counted = both.select("pair_id", "turn", "n").join(ends, "pair_id").groupBy("pair_id", "end").agg(F.sum(F.when(common, F.col("n")).otherwise(0)).alias("n_prompt_turns"))
+    number = F.row_number().over(Window.partitionBy("pair_id").orderBy("turn")) - 1
+    chunk = F.lit(0) if most_turns is None else F.floor(number / most_turns)
+    placed = both.join(counted, "pair_id").withColumn("chunk", chunk.cast("long"))
     listed = lambda when, side: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(when & F.col(side).isNotNull(), F.struct("turn", F.col(side).alias("said"))))), lambda x: x["said"]))
     rows = placed.groupBy("pair_id", "chunk").agg(F.first("n_prompt_turns").alias("n_prompt_turns"), listed(common, "chosen").alias("p"), listed(~common, "chosen").alias("c"), listed(~common, "rejected").alias("r"))
     text = lambda said: F.array_join(F.transform(said, lambda x: rendered(x["role"], x["text"])), "")

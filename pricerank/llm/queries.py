@@ -85,13 +85,13 @@ WITH t AS (
 ), m AS (
   SELECT c.*, d IS NULL OR turn < d AS common, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS said, '<|' || role || '|>' || chr(10) || rtext || '<|end|>' || chr(10) AS rsaid FROM c JOIN d USING (pair_id)
 )
-SELECT pair_id, CASE WHEN turns > 512 THEN CAST(floor(turn / 512) AS BIGINT) ELSE 0 END AS chunk, count(*) FILTER (WHERE common) AS n_prompt_turns,
+SELECT pair_id, CAST(0 AS BIGINT) AS chunk, count(*) FILTER (WHERE common) AS n_prompt_turns,
   sha256(coalesce(string_agg(said, '' ORDER BY turn, role, text) FILTER (WHERE common), '')) AS prompt_sha256,
   sha256(coalesce(string_agg(said, '' ORDER BY turn, role, text) FILTER (WHERE NOT common), '')) AS chosen_sha256,
   sha256(coalesce(string_agg(rsaid, '' ORDER BY turn, role, rtext) FILTER (WHERE NOT common), '')) AS rejected_sha256,
   CAST(coalesce(sum(length(text) + 8) FILTER (WHERE NOT common AND role = 'assistant'), 0) AS BIGINT) AS chosen_trained,
   CAST(coalesce(sum(length(rtext) + 8) FILTER (WHERE NOT common AND role = 'assistant'), 0) AS BIGINT) AS rejected_trained
-FROM m JOIN (SELECT pair_id, count(DISTINCT turn) AS turns FROM c GROUP BY pair_id) USING (pair_id) GROUP BY ALL
+FROM m GROUP BY ALL
 """
 
 

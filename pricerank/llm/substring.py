@@ -2,14 +2,13 @@
 
 A word goes if a window of `n` words that covers it starts earlier too. Sending every document past an automaton of every shard would
 grow with the square of the corpus, so windows are routed: each has one anchor, its k-gram of least hash, and equal windows have equal anchors. Runs of
-windows with the same anchor position form fragments of at most 2n - k words. Anchors that occur once need no work. Equal fragments form a class, whose first one is the
-reference. Reference shards are suffix automata of such references, and a range of words goes where the matching statistic of a fragment reaches n:
+windows with the same anchor position form fragments of at most 2n - k words. Anchors that occur once need no work. Then
 
-* references of one anchor meet in one shard, are streamed in order of document and place past the automaton of those before, and are added to it;
-* the other fragments of a class are sent, without their words, to a shard that has their reference, where its words are streamed past the automaton for all of them;
-* references of an anchor with over ANCHOR_MOST classes would make one task, so they are cut into single windows first, which form classes and shards in the same way.
-
-A class with many members is dealt over several shards, each with its reference.
+* fragments that are equal as a whole, by two 64-bit hashes of their words, form a class. All of its members but the first go, which takes no automaton: their matching statistic against the
+  first is their length. Members are told from the first by document and place, so no class is a hot key, and their words travel nowhere;
+* the first members of the classes of one anchor, different fragments that may share windows, meet in one reference shard. They are streamed in order of document and place past the suffix
+  automaton of those before, a range of words goes where the matching statistic reaches n, and they are added to it;
+* anchors with over ANCHOR_MOST classes would make one task, so their fragments are cut into single windows, which form classes as above.
 
 Rows with a null doc_id are neither references nor judged. Ids must otherwise be distinct, except for rows that repeat whole: those count
 as one document and get the same result. Null and empty texts have no words, empty tables no rows. Extra columns are not read by spans().
@@ -28,10 +27,8 @@ from pyspark.sql import functions as F
 
 from pricerank.llm.common import WordHashes, byte_lists, mix64, numbered, pieces, stored
 
-#: Words of an anchor; classes of one anchor that meet in one shard; references of a shard, about; members of a class that one shard takes.
-K, ANCHOR_MOST, SHARD_FRAGMENTS, PART_ROWS = 8, 1_000, 4_000, 5_000
-#: Classes broadcast at most (20 bytes each); more are joined by shuffle.
-BROADCAST_CLASSES = 500_000
+#: Words of an anchor; classes of one anchor that meet in one shard; references of a shard, about.
+K, ANCHOR_MOST, SHARD_FRAGMENTS = 8, 1_000, 4_000
 ROLL, ROLL2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -159,7 +156,7 @@ def _words_of(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        kinds = {"anchor": pa.int64(), "content": pa.int64(), "copies": pa.int64(), "contents": pa.int64(), "start": pa.int32(), "n": pa.int32()}
+        kinds = {"anchor": pa.int64(), "content": pa.int64(), "contents": pa.int64(), "start": pa.int32(), "n": pa.int32()}
         for batch in pieces(batches, 200):
             ids, words, rows = [], [], {c: [] for c in kinds}
             for doc, text, listed in zip(batch.column(0).to_pylist(), byte_lists(batch), batch.column(2).to_pylist()):
@@ -174,49 +171,44 @@ def _words_of(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
+def _ranges(automaton: SuffixAutomaton, symbols: list[int], n: int) -> list[list[int]]:
+    """The maximal ranges of words that windows of the automaton's texts cover."""
+    out: list[list[int]] = []
+    for end, m in enumerate(automaton.matching_statistics(symbols), 1):
+        if m >= n:
+            if out and end - n <= out[-1][1]:
+                out[-1][1] = end
+            else:
+                out.append([end - n, end])
+    return out
+
+
 def _matched(n: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """A shard. References (rows with words) in order are added to the automaton; those to be judged are streamed past it before. Then the
-    words of each class are streamed past it for its other members (rows without words)."""
-
-    def ranges(automaton: SuffixAutomaton, symbols: list[int]) -> list[list[int]]:
-        out: list[list[int]] = []
-        for end, m in enumerate(automaton.matching_statistics(symbols), 1):
-            if m >= n:
-                if out and end - n <= out[-1][1]:
-                    out[-1][1] = end
-                else:
-                    out.append([end - n, end])
-        return out
+    """A shard: references in order are streamed past the automaton of those before and added to it."""
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
-        has_words = shard["words"].notna()
-        references = shard[has_words].drop_duplicates(["anchor", "content"]).sort_values(["doc_id", "start"], kind="stable")  # a repeated row gives its references again
+        references = shard.drop_duplicates(["anchor", "content"]).sort_values(["doc_id", "start"], kind="stable")  # a repeated row gives its references again
         left = references.groupby("anchor")["start"].count().to_dict()
-        automaton, seen, words, out = SuffixAutomaton(), set(), {}, []
-        for doc_id, start, anchor, content, judged, binary in zip(*(references[c].tolist() for c in ("doc_id", "start", "anchor", "content", "judged", "words"))):
+        automaton, seen, out = SuffixAutomaton(), set(), []
+        for doc_id, start, anchor, binary in zip(*(references[c].tolist() for c in ("doc_id", "start", "anchor", "words"))):
             symbols = np.frombuffer(binary, np.uint64).tolist()
-            found = ranges(automaton, symbols) if judged and anchor in seen else []
+            found = _ranges(automaton, symbols, n) if anchor in seen else []
             out += [(doc_id, start + a, start + b) for a, b in found]
             left[anchor] -= 1
-            if not judged:
-                words[anchor, content] = symbols
-            if not judged or left[anchor] and found != [[0, len(symbols)]]:
+            if left[anchor] and found != [[0, len(symbols)]]:
                 automaton.add_text(symbols)
                 seen.add(anchor)
-        others = shard[~has_words].merge(pd.DataFrame([(*key, a, b) for key, symbols in words.items() for a, b in ranges(automaton, symbols)], columns=["anchor", "content", "a", "b"]), on=["anchor", "content"])
-        others = pd.DataFrame({"doc_id": others["doc_id"], "start": others["start"] + others["a"], "end": others["start"] + others["b"]})
-        own = pd.DataFrame(out, columns=["doc_id", "start", "end"])
-        return pd.concat([own, others]) if len(own) and len(others) else own if len(own) else others
+        return pd.DataFrame(out, columns=["doc_id", "start", "end"])
 
     return run
 
 
 def _windows(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each window of a fragment as a fragment of its own: two hashes of its words (anchor, content) and the words."""
+    """Each window of a fragment as a fragment of its own: two hashes of its words (anchor, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1_000):
-            ids, at, keys, keys2, each = [], [], [], [], []
+            ids, at, keys, keys2 = [], [], [], []
             for k, (start, words) in enumerate(zip(batch.column("start").to_pylist(), batch.column("words").to_pylist())):
                 h = np.frombuffer(words, np.uint64)
                 a, b = rolled(h, n, ROLL), rolled(h, n, ROLL2)
@@ -224,35 +216,20 @@ def _windows(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 at += range(start, start + len(a))
                 keys.append(a.view(np.int64))
                 keys2.append(b.view(np.int64))
-                each += [words[8 * i : 8 * (i + n)] for i in range(len(a))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(keys2)), batch.column("doc_id").take(pa.array(ids, pa.int32())), pa.array(at, pa.int32()), pa.array(np.ones(len(ids), np.int32)), pa.array(each, pa.binary())], names=["anchor", "content", "doc_id", "start", "n", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(keys2)), batch.column("doc_id").take(pa.array(ids, pa.int32())), pa.array(at, pa.int32()), pa.array(np.ones(len(ids), np.int32))], names=["anchor", "content", "doc_id", "start", "n"])
 
     return run
 
 
-SHARD_COLUMNS = ["shard", "part", "anchor", "content", "doc_id", "start", "judged", "words"]
-
-
 def _classes(members: DataFrame) -> DataFrame:
     """anchor, content, copies, first, n of each class."""
     return stored(members.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "start")).alias("first"), F.first("n").alias("n")))
 
 
-def _copies(members: DataFrame, classes: DataFrame, worded: DataFrame, n: int, kind: str) -> DataFrame:
-    """Ranges of all members of the classes but the first ones, by matching statistics against shards of the references (worded: those with copies)."""
-    size = classes.agg(F.count_if(F.col("copies") > 1).alias("several"), F.coalesce(F.sum("copies"), F.lit(0)).alias("members")).first()
-    shards = int(size.several // SHARD_FRAGMENTS + size.members // (8 * SHARD_FRAGMENTS)) + 1
-    shard = F.pmod(F.xxhash64("anchor", "content"), F.lit(shards)).alias("shard")
-    parts = F.ceil(F.col("copies") / PART_ROWS).cast("int")
-    large = stored(classes.where(F.col("copies") > PART_ROWS).select("anchor", "content", parts.alias("parts")))
-    # a member is the reference if its document and place are: joined by these, no class is a hot key
-    first = classes.select("first.*")
-    others = members.join(first, ["doc_id", "start"], "left_anti")
-    others = others.join(F.broadcast(large) if large.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES else large, ["anchor", "content"], "left")
-    no_words = F.lit(None).cast("binary").alias("words")
-    others = others.select(shard, F.pmod(F.xxhash64("doc_id", "start"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "anchor", "content", "doc_id", "start", F.lit(False).alias("judged"), no_words)
-    references = worded.where("copies > 1").select(shard, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "anchor", "content", "doc_id", "start", F.lit(False).alias("judged"), "words")
-    return references.unionByName(others).groupBy("shard", "part").applyInPandas(_matched(n), f"doc_id {kind}, start int, end int")
+def _but_first(members: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """Ranges of all members of the classes but the first ones. A member is the first if its document and place are."""
+    others = members.join(classes.select("first.*"), ["doc_id", "start"], "left_anti")
+    return others.select("doc_id", "start", (F.col("start") + F.col("n") + (n - 1)).alias("end"))
 
 
 def spans(docs: DataFrame, n: int = 20) -> DataFrame:
@@ -264,21 +241,20 @@ def spans(docs: DataFrame, n: int = 20) -> DataFrame:
     every = texts.mapInArrow(_fragments(n, True), f"doc_id {kind}, start int, n int, anchor long, content long")
     several = stored(every.join(repeated, "anchor"))
     classes = _classes(several)
-    contested = stored(classes.groupBy("anchor").agg(F.count("*").alias("contents")))
-    fragment = F.struct("anchor", "content", "copies", "contents", F.col("first.start").alias("start"), "n")
-    listed = stored(classes.join(contested, "anchor").where("copies > 1 OR contents > 1").select(F.col("first.doc_id").alias("doc_id"), fragment.alias("f")).groupBy("doc_id").agg(F.collect_list("f").alias("listed")))
-    worded = stored(texts.join(listed, "doc_id").mapInArrow(_words_of(n), f"anchor long, content long, copies long, contents long, start int, n int, doc_id {kind}, words binary"))
-    shards = int(worded.where("contents > 1").count() // SHARD_FRAGMENTS) + 1
-    judged = worded.where(F.col("contents").between(2, ANCHOR_MOST)).select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), F.lit(0).alias("part"), "anchor", "content", "doc_id", "start", F.lit(True).alias("judged"), "words")
+    contested = stored(classes.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1"))
+    fragment = F.struct("anchor", "content", "contents", F.col("first.start").alias("start"), "n")
+    listed = stored(classes.join(contested, "anchor").select(F.col("first.doc_id").alias("doc_id"), fragment.alias("f")).groupBy("doc_id").agg(F.collect_list("f").alias("listed")))
+    worded = stored(texts.join(listed, "doc_id").mapInArrow(_words_of(n), f"anchor long, content long, contents long, start int, n int, doc_id {kind}, words binary"))
+    few = worded.where(F.col("contents") <= ANCHOR_MOST)
+    shards = int(few.count() // SHARD_FRAGMENTS) + 1
+    judged = few.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "content", "doc_id", "start", "words")
     matched = judged.groupBy("shard").applyInPandas(_matched(n), f"doc_id {kind}, start int, end int")
-    found = _copies(several, classes, worded, n, kind).unionByName(matched)
+    found = _but_first(several, classes, n).unionByName(matched)
     crowded = worded.where(F.col("contents") > ANCHOR_MOST)
     if crowded.isEmpty():
         return found
-    windows = stored(crowded.select("doc_id", "start", "words").mapInArrow(_windows(n), f"anchor long, content long, doc_id {kind}, start int, n int, words binary"))
-    classes = _classes(windows.drop("words"))
-    worded = windows.join(classes.where("copies > 1").select("first.*", "copies"), ["doc_id", "start"]).dropDuplicates(["anchor", "content"])
-    return found.unionByName(_copies(windows.drop("words"), classes, worded, n, kind))
+    windows = stored(crowded.select("doc_id", "start", "words").mapInArrow(_windows(n), f"anchor long, content long, doc_id {kind}, start int, n int"))
+    return found.unionByName(_but_first(windows, _classes(windows), n))
 
 
 def _with_spans(docs: DataFrame, n: int) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricerank.llm.common import byte_lists, mix64, numbered, pieces, remainder, stored
+from pricerank.llm.common import byte_lists, mix64, n_words, numbered, pieces, remainder, stored
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 20, 8, (3, 4, 5)
 #: The training sample's bound.
@@ -205,7 +205,10 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents with a score below the threshold, with their columns."""
-    own = numbered(docs)
-    kept = _scores(own, f"c{docs.columns.index('text')}", own.columns, fit(docs, labels)).where(F.col("score") < threshold)
+    """The documents with a score below the threshold, and all without words, with their columns. Where no weights are learned (labels of one class, or texts that tell nothing), all documents stay."""
+    model = fit(docs, labels)
+    if not model[0].any():
+        return docs
+    own, text = numbered(docs), f"c{docs.columns.index('text')}"
+    kept = _scores(own, text, own.columns, model).where((F.col("score") < threshold) | (n_words(F.col(text)) == 0))
     return kept.drop("score").toDF(*docs.columns)

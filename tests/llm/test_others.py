@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -28,24 +30,52 @@ def test_preference_pairs(spark):
     assert sorted(preference.report(turns.union(turns)).collect()) == sorted(preference.report(turns).collect())
 
 
-def test_pairs_that_part_early(spark, monkeypatch):
-    monkeypatch.setattr(preference, "CHUNK", 2)
+def test_pairs_in_chunks(spark):
     schema = "pair_id long, turn long, role string, text string, end long"
     a = spark.createDataFrame([(1, 0, "user", "hi", 0), (1, 1, "assistant", "yes", 0), (1, 2, "user", "so", 0), (1, 3, "assistant", "é", 0), (2, 0, "user", "only chosen", 0)], schema)
     b = spark.createDataFrame([(1, 0, "user", "hi", 0), (1, 1, "assistant", "no", 0)], schema)
-    got = {(r.pair_id, r.chunk): r for r in preference.format_pairs(a, b).collect()}
+    got = {(r.pair_id, r.chunk): r for r in preference.format_pairs(a, b, most_turns=2).collect()}
     assert sorted(got) == [(1, 0), (1, 1), (2, 0)] and got[1, 0].n_prompt_turns == got[1, 1].n_prompt_turns == 1
     assert got[1, 0].rejected.endswith("no<|end|>\n") and got[1, 1].rejected == "" and got[1, 1].prompt == ""
     assert [got[1, 1].chosen[s.start : s.end] for s in got[1, 1].chosen_spans] == ["é<|end|>\n"]
     assert got[2, 0].prompt == "" and got[2, 0].chosen != ""
+    whole = {r.pair_id: r for r in preference.format_pairs(a, b).collect()}
+    assert sorted(whole) == [1, 2] and whole[1].chosen == got[1, 0].chosen + got[1, 1].chosen
 
 
-def test_a_pair_is_one_row_whatever_its_turn_numbers(spark):
+@pytest.mark.parametrize("step", [1, 1_000, 10**12])
+def test_a_pair_is_one_row_whatever_its_turn_numbers(spark, step):
     schema = "pair_id long, turn long, role string, text string"
-    turns = [(1, n, "user", f"q{n}") for n in (3, 510, 511, 512)]
-    a, b = (spark.createDataFrame([*turns, (1, 9000, "assistant", x)], schema) for x in ("yes", "no"))
-    r = preference.format_pairs(a, b).collect()
-    assert len(r) == 1 and r[0].chunk == 0 and r[0].n_prompt_turns == 4 and r[0].prompt.count("<|user|>") == 4 and "yes" in r[0].chosen and "no" in r[0].rejected
+    turns = [(p, step * n, "user" if n % 2 else "assistant", f"t{n}") for p in (1, 2) for n in range(600)]
+    a, b = (spark.createDataFrame([*turns, (1, 9000 * step, "assistant", x)], schema) for x in ("yes", "no"))
+    rows = {r.pair_id: r for r in preference.format_pairs(a, b).collect()}
+    assert len(rows) == 2 and all(r.chunk == 0 and r.n_prompt_turns == 600 and r.prompt.count("<|user|>") == 300 for r in rows.values())
+    assert "yes" in rows[1].chosen and "no" in rows[1].rejected and rows[2].chosen == rows[2].rejected == ""
+
+
+def formatted(a, b):
+    """The definition, pair by pair: prompt turns, prompt, completions."""
+    render = lambda turns: "".join(f"<|{r}|>\n{t}<|end|>\n" for _, said in sorted(turns.items()) for r, t in sorted(said))
+    end = min((n for n in a.keys() | b.keys() if a.get(n) != b.get(n)), default=10**9)
+    before, after = (lambda turns: {n: x for n, x in turns.items() if n < end}), (lambda turns: {n: x for n, x in turns.items() if n >= end})
+    return sum(map(len, before(a).values())), render(before(a)), render(after(a)), render(after(b))
+
+
+def test_random_pairs_by_definition(spark):
+    rng, sides = random.Random(8), ([], [])
+    want = {}
+    for p in range(150):
+        shared = {rng.randrange(5_000): {(rng.choice(["user", "assistant"]), rng.choice(["x", "é", ""])) for _ in range(rng.choice([1, 1, 2]))} for _ in range(rng.randrange(6))}
+        pair = [dict(shared), dict(shared)]
+        for side in pair:
+            for _ in range(rng.randrange(3)):
+                side[rng.randrange(5_000)] = {("assistant", rng.choice("ab"))}
+        for side, turns in zip(sides, pair):
+            side += [(p, n, r, t) for n, said in turns.items() for r, t in said]
+        if pair[0] or pair[1]:
+            want[p] = formatted(*pair)
+    made = preference.format_pairs(*[spark.createDataFrame(side, "pair_id long, turn long, role string, text string") for side in sides])
+    assert {r.pair_id: (r.n_prompt_turns, r.prompt, r.chosen, r.rejected) for r in made.collect()} == want
 
 
 def test_token_counts(spark):

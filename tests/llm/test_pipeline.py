@@ -70,3 +70,16 @@ def test_near_dup_finds_all_pairs_at_the_threshold(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     want = test_near_dup.brute([tuple(r) for r in docs.collect()], 5)
     assert test_near_dup.found(near_dup.components(docs)) == want
+
+
+@pytest.mark.parametrize("toxic", [{1}, {0}, {0, 1}])
+def test_toxicity_stage_keeps_what_it_cannot_judge(spark, tmp_path, toxic):
+    """Labels of one class teach nothing, so all stay; with a toxic majority texts without words stay by rule."""
+    texts = [None if k == 8 else "" if k == 9 else " \t" if k == 10 else f"a kind word for every reader number {k}" if k % 10 == 0 else f"awful nasty insults thrown at all {k}" for k in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "4 AS score", "12 AS `a.b`")
+    marks = [(k, 1, 1 if toxic == {1} else 0 if toxic == {0} else int(k % 10 > 0)) for k in range(200)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.toxicity_stage(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert ids == ({8, 9} | set(range(0, 200, 10)) if len(toxic) == 2 else set(range(200)))

@@ -1,5 +1,7 @@
 import hashlib
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from pricerank.llm import substring
@@ -70,3 +72,14 @@ def test_automaton():
     a.add_text(list("abcab"))
     a.add_text(list("bcd"))
     assert a.matching_statistics(list("xabcdab")) == [0, 1, 2, 3, 3, 1, 2]
+
+
+def test_the_automaton_decides_among_fragments_of_an_anchor(monkeypatch):
+    """Of fragments of one anchor just the words go that windows of earlier ones cover; with an automaton that finds everything the result is another."""
+    fragment = lambda doc, start, symbols, content: {"doc_id": doc, "start": start, "anchor": 7, "content": content, "words": np.array(symbols, np.uint64).tobytes()}
+    shared = list(range(100, 120))
+    shard = pd.DataFrame([fragment(3, 5, [1, *shared, 2], 3), fragment(1, 0, [*shared, 9], 1), fragment(2, 0, [4, 5, *shared[:19], 6, 7], 2), fragment(4, 0, [*shared, 9, 8], 4)])
+    found = lambda: sorted(substring._matched(20)(shard).itertuples(index=False, name=None))
+    assert found() == [(3, 6, 26), (4, 0, 21)]
+    monkeypatch.setattr(substring, "_ranges", lambda automaton, symbols, n: [[0, len(symbols)]])
+    assert found() == [(2, 0, 23), (3, 5, 27), (4, 0, 22)]
