@@ -14,7 +14,7 @@ from pricerank.llm.common import read, stored
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. Null and empty texts stay, as their score is that of the bias; without labels of both classes nothing is learned."""
+    """Documents that the classifier rejects go. Texts without words stay; without labels of both classes nothing is learned and all documents stay."""
     return toxicity.clean(docs, read(spark, sf_dir, "labels"))
 
 
