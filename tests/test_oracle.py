@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import pricerank.queries_storage  # noqa: F401
 from pricerank.queries import ORACLE_SQL, QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
