@@ -125,13 +125,19 @@ def basket_checks(baskets: DataFrame, lines: DataFrame) -> DataFrame:
     """Per basket: n_lines and flags bad_size (not 1 to 100 lines), bad_quantity (null, <= 0, or beyond 12 digits with 3 decimals), duplicate_product, bad_weights
     (null, negative, or a sum other than exactly 1)."""
     # one row per line first: a product that repeats in a basket shows as a count above 1, without collecting the lines
-    per_product = lines.groupBy("basket_id", "product_id").agg(F.count("*").alias("n"), F.max((F.col("quantity").isNull() | (F.col("quantity") <= 0) | F.col("quantity").try_cast("decimal(12,3)").isNull() | (F.col("quantity") != F.col("quantity").try_cast("decimal(12,3)"))).cast("int")).alias("bad"))
+    per_product = lines.groupBy("basket_id", "product_id").agg(F.count("*").alias("n"), F.max(bad_quantity("quantity").cast("int")).alias("bad"))
     per_basket = per_product.groupBy("basket_id").agg(F.sum("n").alias("n"), F.max(F.coalesce("bad", F.lit(1))).alias("bad"), F.max((F.col("n") > 1).cast("int")).alias("twice"))
     n = F.coalesce("n", F.lit(0)).cast("long")
     flags = baskets.join(per_basket, "basket_id", "left")
     return flags.select(*baskets.columns, n.alias("n_lines"), (~n.between(1, MOST_LINES)).alias("bad_size"), (F.coalesce("bad", F.lit(0)) == 1).alias("bad_quantity"), (F.coalesce("twice", F.lit(0)) == 1).alias("duplicate_product"), bad_weights("w_price", "w_distance", "w_saving").alias("bad_weights"))
 
 
+def bad_quantity(column: str) -> Column:
+    """Null, not above 0, or beyond 12 digits with 3 decimals."""
+    q, fits = F.col(column), F.col(column).try_cast("decimal(12,3)")
+    return F.coalesce(q.isNull() | (q <= 0) | fits.isNull() | (q != fits), F.lit(True))
+
+
 def bad_weights(*weights: str) -> Column:
     """Compared as decimals, so that 0.6 + 0.3 + 0.1 is 1."""
     w = [F.col(c).cast("decimal(18,8)") for c in weights]

@@ -77,13 +77,14 @@ def price_history(prices: DataFrame, source, branch=None) -> DataFrame:
 
 def branch_product_prices(prices: DataFrame, listings: DataFrame, branches: DataFrame, products: DataFrame | None = None) -> DataFrame:
     """One current price per (branch, product): the newest row of each listing at the branch, dropped if it is unavailable (no older row takes its
-    place), then of a product's listings the newest, cheapest, least id. branches (sucursal_id) and products (producto_id) are applied before the
+    place), then of a product's listings the newest, cheapest, least id. branches (sucursal_id, one row each, whose other columns are kept) and products (producto_id) are applied before the
     newest rows are picked. All of it is one shuffle by (product, branch), since a listing has one product."""
     listing = listings.select(F.col("id").alias("producto_fuente_id"), "producto_id")
     if products is not None:
         listing = listing.join(products.select("producto_id"), "producto_id", "left_semi")
     rows = prices.select("id", "producto_fuente_id", "sucursal_id", "precio", "fecha_relevamiento", "disponible", "created_at")
-    rows = rows.join(branches.select("sucursal_id"), "sucursal_id", "left_semi").join(listing, "producto_fuente_id").repartition("producto_id", "sucursal_id")
+    kept = [c for c in branches.columns if c != "sucursal_id"]
+    rows = rows.join(branches, "sucursal_id", "inner" if kept else "left_semi").join(listing, "producto_fuente_id").repartition("producto_id", "sucursal_id")
     current = available(latest_prices(rows, also_by=("producto_id",)))
     best = Window.partitionBy("producto_id", "sucursal_id").orderBy(F.col("fecha_relevamiento").desc(), "precio", "id")
-    return current.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("sucursal_id", "producto_id", "precio", "fecha_relevamiento")
+    return current.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("sucursal_id", "producto_id", "precio", "fecha_relevamiento", *kept)

@@ -1,8 +1,8 @@
 """Costing and ranking of many baskets in one job.
 
 Only (basket, branch) pairs that share a product ever exist here, so the work follows the matched lines, not baskets times branches.
-incomplete_branches() is the exception, since its result is of that size. The joined lines are dealt by basket once; cost, windows and
-ranks all use that dealing. No function here runs a job: whether a table is broadcast is left to Spark, by its size.
+incomplete_branches() is the exception, since its result is of that size. The lines are dealt by basket for the checks, by product to meet the prices, and with these by basket again; cost, windows and
+ranks all use that last dealing. No function here runs a job: whether a table is broadcast is left to Spark, by its size.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pricerank.functions.geo import haversine_km
 from pricerank.functions.scores import benefit_score, cost_score
 from pricerank.functions.text import fixed, iso_time
-from pricerank.operators.quality import basket_checks
+from pricerank.operators.quality import MOST_LINES, bad_quantity, bad_weights, basket_checks
 from pricerank.operators.rows import active
 from pricerank.plans.prices import branch_product_prices
 
@@ -30,6 +30,21 @@ def active_branches(tables: Tables) -> DataFrame:
     return rows.select(F.col("id").alias("sucursal_id"), F.col("nombre").alias("sucursal"), "direccion", "supermercado", "ciudad", "latitud", "longitud")
 
 
+def active_branch_ids(tables: Tables) -> DataFrame:
+    """sucursal_id of active_branches(), by semi-joins, so that Spark knows it to be no larger than the branches and may broadcast it."""
+    chains = active(tables["supermercado"]).select(F.col("id").alias("supermercado_id"))
+    places = tables["ciudad"].select(F.col("id").alias("ciudad_id"))
+    return active(tables["sucursal"]).join(chains, "supermercado_id", "left_semi").join(places, "ciudad_id", "left_semi").select(F.col("id").alias("sucursal_id"))
+
+
+def with_branch_names(rows: DataFrame, tables: Tables) -> DataFrame:
+    """rows with a sucursal_id of active_branch_ids(), joined to the branch, its chain and its city one after the other, each of which Spark may broadcast."""
+    branch = tables["sucursal"].select(F.col("id").alias("sucursal_id"), F.col("nombre").alias("sucursal"), "direccion", "latitud", "longitud", "supermercado_id", "ciudad_id")
+    chains = tables["supermercado"].select(F.col("id").alias("supermercado_id"), F.col("nombre").alias("supermercado"))
+    places = tables["ciudad"].select(F.col("id").alias("ciudad_id"), F.col("nombre").alias("ciudad"))
+    return rows.join(branch, "sucursal_id").join(chains, "supermercado_id").join(places, "ciudad_id").drop("supermercado_id", "ciudad_id")
+
+
 def unknown_products(tables: Tables, lines: DataFrame) -> DataFrame:
     """Lines whose product isn't an active one."""
     return lines.join(active(tables["producto"]).select(F.col("id").alias("product_id")), "product_id", "left_anti")
@@ -62,12 +77,32 @@ def basket_summary(baskets: DataFrame, lines: DataFrame) -> DataFrame:
     return baskets.select("basket_id").join(listed, "basket_id", "left").select("basket_id", n.alias("n_lines"), F.coalesce("product_ids", F.array().cast(listed.schema["product_ids"].dataType)).alias("product_ids"), (n == 0).alias("empty"))
 
 
+def checked_lines(tables: Tables, baskets: DataFrame, lines: DataFrame) -> DataFrame:
+    """The lines of the baskets that nothing keeps from being ranked (of status OK, or NO_ACTIVE_BRANCHES), with product_name, n_lines, the basket's weights and the city's place.
+
+    Each table is read once, and the lines are dealt by basket once, for all checks; a product that repeats, a bad line or an unknown product tells on all lines of its basket."""
+    products = active(tables["producto"]).select(F.col("id").alias("product_id"), F.col("nombre_normalizado").alias("product_name"), F.lit(True).alias("_known"))
+    places = tables["ciudad"].where("latitud IS NOT NULL AND longitud IS NOT NULL").select(F.col("id").alias("city_id"), F.col("latitud").alias("city_lat"), F.col("longitud").alias("city_lon"))
+    good = baskets.where(~bad_weights("w_price", "w_distance", "w_saving")).select("basket_id", "city_id", "w_price", "w_distance", "w_saving").join(places, "city_id").drop("city_id")
+    dealt = lines.select("basket_id", "line_no", "product_id", "quantity").join(products, "product_id", "left").repartition("basket_id")
+    again = F.row_number().over(Window.partitionBy("basket_id", "product_id").orderBy("line_no")) > 1
+    marked = dealt.withColumn("_bad", again | bad_quantity("quantity") | F.col("_known").isNull())
+    whole = Window.partitionBy("basket_id")
+    told = marked.withColumns({"n_lines": F.count("*").over(whole), "_bad": F.max("_bad").over(whole)})
+    return told.where(~F.col("_bad") & F.col("n_lines").between(1, MOST_LINES)).drop("_bad", "_known").join(good, "basket_id")
+
+
+def _prices_of(tables: Tables, lines: DataFrame, branches: DataFrame | None = None) -> DataFrame:
+    """branch_product_prices() of the products of the lines at active branches (those given)."""
+    products = lines.select(F.col("product_id").alias("producto_id")).distinct()
+    found = branch_product_prices(tables["precio"], tables["producto_fuente"], active_branch_ids(tables) if branches is None else branches, products)
+    return found.withColumnRenamed("producto_id", "product_id")
+
+
 def matched_lines(tables: Tables, baskets: DataFrame, lines: DataFrame) -> DataFrame:
     """Lines of the baskets (those of status OK) with every active branch's current price of the product."""
     wanted = lines.join(baskets.select("basket_id"), "basket_id", "left_semi")
-    products = wanted.select(F.col("product_id").alias("producto_id")).distinct()
-    prices = branch_product_prices(tables["precio"], tables["producto_fuente"], active_branches(tables), products)
-    return wanted.select("basket_id", "line_no", "product_id", "quantity").join(prices.withColumnRenamed("producto_id", "product_id"), "product_id")
+    return wanted.select("basket_id", "line_no", "product_id", "quantity").join(_prices_of(tables, wanted), "product_id")
 
 
 def basket_costs(matched: DataFrame) -> DataFrame:
@@ -94,18 +129,18 @@ def rank_alternatives(df: DataFrame, weights: tuple = ("w_price", "w_distance",
 
 
 def candidates(tables: Tables, baskets: DataFrame, lines: DataFrame) -> DataFrame:
-    """Complete branches of the baskets of status OK, with cost, distance and saving."""
-    ok = basket_status(tables, baskets, lines).where("status = 'OK'")
-    costs = basket_costs(matched_lines(tables, ok, lines))
-    places = tables["ciudad"].select(F.col("id").alias("city_id"), F.col("latitud").alias("_lat"), F.col("longitud").alias("_lon"))
-    complete = costs.join(ok.select("basket_id", "city_id", "n_lines", "w_price", "w_distance", "w_saving"), "basket_id")
-    complete = complete.where("n_matched >= n_lines")  # as equality it would become a join key and undo the dealing by basket
-    located = complete.join(active_branches(tables), "sucursal_id").join(places, "city_id")
-    over = Window.partitionBy("basket_id")
-    rows = located.withColumn("distance_km", haversine_km(F.col("_lat"), F.col("_lon"), F.col("latitud"), F.col("longitud")))
-    rows = rows.withColumn("_overflow", F.max(F.col("total_cost").isNull()).over(over)).where("NOT _overflow")
-    rows = rows.withColumn("saving", F.coalesce(F.max("total_cost").over(over), F.lit(0)) - F.col("total_cost"))
-    return rows.select("basket_id", F.col("sucursal_id").alias("branch_id"), F.col("supermercado").alias("supermarket_name"), F.col("sucursal").alias("branch_name"), "direccion", "ciudad", "latitud", "longitud", "total_cost", "distance_km", F.col("saving").cast("decimal(24,5)").alias("saving"), F.lit(0).alias("missing_products_count"), "latest_observed", "w_price", "w_distance", "w_saving")
+    """Complete branches of the baskets of status OK, with cost, distance and saving. The baskets' attributes travel on their lines, so no table is joined to them again."""
+    carried = ["n_lines", "w_price", "w_distance", "w_saving", "city_lat", "city_lon"]
+    matched = checked_lines(tables, baskets, lines).drop("product_name").join(_prices_of(tables, lines), "product_id").repartition("basket_id")
+    cost = F.sum(F.col("precio") * F.col("quantity")).try_cast("decimal(24,5)")
+    costs = matched.groupBy("basket_id", "sucursal_id").agg(F.count("*").alias("n_matched"), cost.alias("total_cost"), F.max("fecha_relevamiento").alias("_observed"), *[F.first(c).alias(c) for c in carried])
+    over, complete = Window.partitionBy("basket_id"), F.col("n_matched") >= F.col("n_lines")
+    # one window: the newest observation is of all branches, the rest of the complete ones
+    told = costs.withColumns({"latest_observed": F.max("_observed").over(over), "_overflow": F.max(F.when(complete, F.col("total_cost").isNull())).over(over), "_dearest": F.max(F.when(complete, F.col("total_cost"))).over(over)})
+    located = with_branch_names(told.where(complete & ~F.col("_overflow")), tables)
+    saving = (F.col("_dearest") - F.col("total_cost")).cast("decimal(24,5)").alias("saving")
+    km = haversine_km(F.col("city_lat"), F.col("city_lon"), F.col("latitud"), F.col("longitud")).alias("distance_km")
+    return located.select("basket_id", F.col("sucursal_id").alias("branch_id"), F.col("supermercado").alias("supermarket_name"), F.col("sucursal").alias("branch_name"), "direccion", "ciudad", "latitud", "longitud", "total_cost", km, saving, F.lit(0).alias("missing_products_count"), "latest_observed", "w_price", "w_distance", "w_saving")
 
 
 def rank_baskets(tables: Tables, baskets: DataFrame, lines: DataFrame) -> DataFrame:
@@ -117,23 +152,33 @@ def rank_baskets(tables: Tables, baskets: DataFrame, lines: DataFrame) -> DataFr
     )
 
 
+#: Branches of a word of a product's bitmap.
+WORD_BITS = 64
+
+
+def branch_bitmaps(placed: DataFrame) -> DataFrame:
+    """product_id and having: the product's branches (number, from 0) as words of WORD_BITS bits."""
+    bit = F.expr(f"shiftleft(1L, number % {WORD_BITS})")
+    words = placed.groupBy("product_id", F.expr(f"number DIV {WORD_BITS}").cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    found = words.groupBy("product_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"), F.max("word").alias("last"))
+    return found.select("product_id", F.transform(F.sequence(F.lit(0), "last"), lambda word: F.coalesce(F.try_element_at("m", word), F.lit(0).cast("long"))).alias("having"))
+
+
 def incomplete_branches(tables: Tables, baskets: DataFrame, lines: DataFrame) -> DataFrame:
     """Active branches that lack products of a basket of status OK: n_missing and the products, in line order. Its size is that of baskets times branches,
-    as every such branch is reported, also those without any price. What a product lacks is told by two lists of branch ids, all and those that have it,
-    so no product is paired with a branch that has it; a list is as long as the branches."""
-    ok = basket_status(tables, baskets, lines).where("status = 'OK'").select("basket_id")
-    wanted = lines.join(ok, "basket_id", "left_semi").select("basket_id", "line_no", "product_id")
-    products = wanted.select(F.col("product_id").alias("producto_id")).distinct()
-    branches = active_branches(tables).select("sucursal_id", "sucursal", "supermercado", "ciudad")
-    prices = branch_product_prices(tables["precio"], tables["producto_fuente"], branches, products)
-    having = prices.groupBy("producto_id").agg(F.collect_set("sucursal_id").alias("having"))
-    every = branches.agg(F.collect_set("sucursal_id").alias("every"))  # one row
-    named = products.join(tables["producto"].select(F.col("id").alias("producto_id"), F.col("nombre_normalizado").alias("product_name")), "producto_id").join(having, "producto_id", "left").crossJoin(every)
-    lacking = named.select(F.col("producto_id").alias("product_id"), "product_name", F.when(F.col("having").isNull(), F.col("every")).otherwise(F.array_except("every", "having")).alias("lacking"))
-    missing = wanted.join(lacking.where(F.size("lacking") > 0), "product_id").select("basket_id", "line_no", "product_id", "product_name", F.explode("lacking").alias("sucursal_id"))
-    found = missing.groupBy("basket_id", "sucursal_id").agg(F.count("*").alias("n_missing"), F.array_sort(F.collect_list(F.struct("line_no", "product_id", "product_name"))).alias("_missing"))
-    listed = F.transform("_missing", lambda x: F.struct(x["product_id"].alias("product_id"), x["product_name"].alias("product_name")))
-    return found.join(branches, "sucursal_id").select("basket_id", "sucursal_id", "sucursal", "supermercado", "ciudad", "n_missing", listed.alias("productos_faltantes"))
+    as every such branch is reported, also those without any price. Branches are numbered, a product's branches are bits, and a basket, of MOST_LINES lines at most, is one row with
+    its lines' bits: what a branch lacks is read off there, so no pair of a line and a branch is ever dealt."""
+    # a row for each branch; the numbers need all of them in one place
+    numbered = active_branch_ids(tables).withColumn("number", (F.row_number().over(Window.orderBy("sucursal_id")) - 1).cast("int"))
+    having = branch_bitmaps(_prices_of(tables, lines, numbered).select("product_id", "number"))
+    wanted = checked_lines(tables, baskets, lines).select("basket_id", "line_no", "product_id", "product_name").join(having, "product_id", "left")
+    listed = wanted.groupBy("basket_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "product_id", "product_name", "having"))).alias("lines"))
+    last = numbered.agg(F.max("number").alias("last"))  # one row
+    each = listed.crossJoin(last).select("basket_id", "lines", F.explode(F.sequence(F.lit(0), "last")).alias("number"))
+    word, place = F.expr(f"CAST(number DIV {WORD_BITS} AS INT)"), F.expr(f"CAST(number % {WORD_BITS} AS INT)")
+    lacking = F.filter("lines", lambda x: F.getbit(F.coalesce(F.get(x["having"], word), F.lit(0).cast("long")), place) == 0)
+    found = each.select("basket_id", "number", F.transform(lacking, lambda x: F.struct(x["product_id"].alias("product_id"), x["product_name"].alias("product_name"))).alias("productos_faltantes")).where(F.size("productos_faltantes") > 0)
+    return with_branch_names(found.join(numbered, "number"), tables).select("basket_id", "sucursal_id", "sucursal", "supermercado", "ciudad", F.size("productos_faltantes").cast("long").alias("n_missing"), "productos_faltantes")
 
 
 INCOMPLETE_ORDER = ["basket_id", "n_missing", "supermercado", "sucursal", "sucursal_id"]

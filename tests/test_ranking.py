@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pricerank.operators.quality import basket_checks, result_violations
 from pricerank.plans import ranking
+from pricerank.sources.scratch import stored
 from tests import seed
 
 DEFAULT = ("0.6", "0.3", "0.1")
@@ -111,3 +112,24 @@ def test_plans_run_no_job_while_they_are_built(spark, t):
         assert spark.sparkContext.statusTracker().getJobIdsForGroup("building") == []
     finally:
         spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_plans_stay_small(spark, t):
+    """On stored tables each is read once or a few times, and rows are dealt a few times only."""
+    tables = {name: stored(df) for name, df in t.items()}
+    b, lines = stored(seed.baskets(spark, ("A", "CR", *DEFAULT))), stored(seed.lines(spark, ("A", seed.all_of())))
+    for plan, scans in ((ranking.rank_baskets(tables, b, lines), 13), (ranking.rank_alternatives(ranking.candidates(tables, b, lines)), 13), (ranking.incomplete_branches(tables, b, lines), 19)):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning") <= 8 and text.count("FileScan parquet") <= scans
+        assert text.count("fecha_relevamiento:timestamp") == 1 and text.count("quantity:decimal") == 1  # prices once, lines once and their products once
+
+
+def test_many_branches_in_bitmaps(spark, t):
+    """More branches than a word has bits, of which some have nothing."""
+    many = t["sucursal"].where("id = 'centro'").drop("id", "nombre").crossJoin(spark.range(150).selectExpr("concat('s', lpad(id, 3, '0')) AS id", "concat('S', id) AS nombre")).select(t["sucursal"].columns)
+    own = t["precio"].where("sucursal_id = 'centro'").drop("id", "sucursal_id").crossJoin(spark.range(0, 150, 3).selectExpr("concat('s', lpad(id, 3, '0')) AS sucursal_id"))
+    some = own.where("NOT (producto_fuente_id = 'LA-LAV-001' AND sucursal_id > 's100')").withColumn("id", F.concat_ws("/", "producto_fuente_id", "sucursal_id")).select(t["precio"].columns)
+    tables = {**t, "sucursal": many, "precio": some}
+    found = {r.sucursal_id: [x.product_id for x in r.productos_faltantes] for r in ranking.incomplete_branches(tables, seed.baskets(spark, ("A", "CR", *DEFAULT)), seed.lines(spark, ("A", seed.all_of()))).collect()}
+    every = list(seed.PRODUCTS)
+    assert found == {f"s{k:03}": every if k % 3 else ["LAV-001"] for k in range(150) if k % 3 or k > 100}
