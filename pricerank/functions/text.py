@@ -28,6 +28,12 @@ def contains(text: Column, query: str) -> Column:
     return text.ilike(ilike_pattern(query))
 
 
+def collated(column: str | Column, collation: str | None = None) -> Column:
+    """The column to order or compare by: as it is (by code points), or by one of Spark's collations (UNICODE, UNICODE_CI, UNICODE_CI_AI, UTF8_LCASE, es, ...)."""
+    text = F.col(column) if isinstance(column, str) else column
+    return text if collation is None else F.collate(text, collation)
+
+
 def fixed(value: Column, places: int) -> Column:
     """Decimal text with so many places, halves to the even digit; null stays null."""
     return F.bround(value, places).cast(f"decimal(38,{places})").cast("string")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricerank.functions.text import contains, strip
+from pricerank.functions.text import collated, contains, strip
+
 
 def lookup(df: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose key is in `keys` (a column of the same name). Null keys find nothing."""
@@ -45,9 +46,9 @@ def matching(df: DataFrame, column: str, query: str | None) -> DataFrame:
     return df.where(contains(F.col(column), stripped)) if stripped else df
 
 
-def search_by_name(df: DataFrame, query: str, limit: int = 20, column: str = "nombre_normalizado") -> DataFrame:
-    """Case-insensitive contains, inactive rows too, the first `limit` by name (then id)."""
-    return df.where(contains(F.col(column), query)).orderBy(column, "id").limit(limit)
+def search_by_name(df: DataFrame, query: str, limit: int = 20, column: str = "nombre_normalizado", collation: str | None = None) -> DataFrame:
+    """Case-insensitive contains, inactive rows too, the first `limit` by name (then id); names by code points, or by a collation."""
+    return df.where(contains(F.col(column), query)).orderBy(collated(column, collation), column, "id").limit(limit)
 
 
 def find_by_key(df: DataFrame, **key) -> DataFrame:
@@ -55,14 +56,14 @@ def find_by_key(df: DataFrame, **key) -> DataFrame:
     return where_given(df, **key)
 
 
-def children(df: DataFrame, foreign_key: str, value, order: str = "nombre") -> DataFrame:
+def children(df: DataFrame, foreign_key: str, value, order: str = "nombre", collation: str | None = None) -> DataFrame:
     """Rows of a parent, active or not, by name (then id)."""
-    return df.where(F.col(foreign_key) == F.lit(value)).orderBy(order, "id")
+    return df.where(F.col(foreign_key) == F.lit(value)).orderBy(collated(order, collation), order, "id")
 
 
-def listing(df: DataFrame, limit: int | None = None, offset: int = 0, order: str = "nombre") -> DataFrame:
-    """All rows by name (then id), or a slice of them."""
-    ordered = df.orderBy(order, "id")
+def listing(df: DataFrame, limit: int | None = None, offset: int = 0, order: str = "nombre", collation: str | None = None) -> DataFrame:
+    """All rows by name (then id), or a slice of them; names by code points, or by a collation and then by code points."""
+    ordered = df.orderBy(collated(order, collation), order, "id")
     return ordered if limit is None else ordered.offset(offset).limit(limit)
 
 

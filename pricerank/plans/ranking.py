@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pricerank.functions.geo import haversine_km
 from pricerank.functions.scores import benefit_score, cost_score
-from pricerank.functions.text import fixed, iso_time
+from pricerank.functions.text import collated, fixed, iso_time
 from pricerank.operators.quality import MOST_LINES, bad_quantity, bad_weights, basket_checks
 from pricerank.operators.rows import active
 from pricerank.plans.prices import branch_product_prices
@@ -118,13 +118,15 @@ def default_normalizer(by: str) -> tuple[Callable[[str], Column], Callable[[str]
     return (lambda value: cost_score(value, by)), (lambda value: benefit_score(value, by))
 
 
-def rank_alternatives(df: DataFrame, weights: tuple = ("w_price", "w_distance", "w_saving"), by: str = "basket_id", normalizer: Callable = default_normalizer, ties: tuple[str, ...] = ("supermarket_name", "branch_name", "branch_id")) -> DataFrame:
+def rank_alternatives(df: DataFrame, weights: tuple = ("w_price", "w_distance", "w_saving"), by: str = "basket_id", normalizer: Callable = default_normalizer, ties: tuple[str, ...] = ("supermarket_name", "branch_name", "branch_id"), collation: str | None = None) -> DataFrame:
     """Adds score and position (from 1, no shared ranks) to candidates with total_cost, distance_km and saving. Weights are columns or numbers; ties fall in the
-    order of `ties`; missing_products_count plays no part. No candidates give no rows."""
+    order of `ties`, texts among them by a collation if one is given and then by code points; missing_products_count plays no part. No candidates give no rows."""
     cost, benefit = normalizer(by)
     w = [F.col(x).cast("double") if isinstance(x, str) else F.lit(float(x)) for x in weights]
     scored = df.withColumn("score", w[0] * cost("total_cost") + w[1] * cost("distance_km") + w[2] * benefit("saving"))
-    order = Window.partitionBy(by).orderBy(F.col("score").desc(), *ties)
+    texts = {f.name for f in df.schema if f.dataType.typeName() == "string"}
+    chain = ties if collation is None else [x for tie in ties for x in ([collated(tie, collation), F.col(tie)] if tie in texts else [F.col(tie)])]
+    order = Window.partitionBy(by).orderBy(F.col("score").desc(), *chain)
     return scored.withColumn("position", F.row_number().over(order))
 
 

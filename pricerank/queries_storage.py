@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricerank.operators import pages
-from pricerank.plans import catalog, prices
+from pricerank.operators import observed, pages, rows, trigrams
+from pricerank.plans import catalog, prices, ranking
 from pricerank.plans.maintained import maintained_latest
-from pricerank.queries import CURRENT, UPDATES, UPSERTED, _updates, query
-from pricerank.sources import jdbc
+from pricerank.queries import CURRENT, FRESH, ORACLE_SQL, UPDATES, UPSERTED, _new, _updates, query
+from pricerank.sources import jdbc, layout
 from pricerank.sources.partitioned import PartitionedTable
 from pricerank.sources.scratch import new_path, stored
 
@@ -107,3 +107,56 @@ def _(t):
     now = stored(before.where("disponible").unionByName(changed))
     latest = stored(prices.latest_prices(before))
     return maintained_latest(latest, now, changed.select("id")).select("id", "producto_fuente_id", "sucursal_id", "precio", "disponible")
+
+
+@query("k7_rank_bucketed", "SELECT 1")
+def _(t):
+    """The ranking over prices stored in buckets, of which none is dealt anew."""
+    bucketed = layout.save_bucketed(t["precio"], t["producto_fuente"], f"prices_{uuid.uuid4().hex[:12]}", buckets=8)
+    return ranking.rank_baskets({**t, "precio": bucketed}, t["baskets"], t["basket_lines"])
+
+
+ORACLE_SQL["k7_rank_bucketed"] = ORACLE_SQL["k7_rank_baskets"]
+
+ASKED = "SELECT id AS query_id, CASE id % 5 WHEN 0 THEN substr(nombre_normalizado, 3, 2) WHEN 1 THEN concat(substr(nombre_normalizado, 1, 3), '%', substr(nombre_normalizado, 7, 3)) WHEN 2 THEN concat('_', upper(substr(nombre_normalizado, 4, 4))) ELSE substr(nombre_normalizado, 2, 6) END AS query FROM producto"
+
+
+@query("f5_search_many", f"SELECT query_id, count(*) AS n_hits, min(p.id) AS first_id FROM ({ASKED}) q JOIN producto p ON p.nombre_normalizado ILIKE concat('%', query, '%') GROUP BY query_id", "producto")
+def _(t):
+    """A search out of every product's name, short ones and wildcards among them, over all names."""
+    asked = t["producto"].sparkSession.sql(ASKED.replace("FROM producto", "FROM {p}"), p=t["producto"])
+    found = trigrams.search_many(t["producto"], asked, "nombre_normalizado")
+    return found.groupBy("query_id").agg(F.count("*").alias("n_hits"), F.min("id").alias("first_id"))
+
+
+@query("s2_point_lookup", "SELECT id, sucursal_id, precio FROM precio WHERE id IN (SELECT id FROM precio ORDER BY md5(id), id LIMIT 10)", "precio", money=("precio",))
+def _(t):
+    """Ten prices by id out of files with Bloom filters."""
+    path = new_path(t["precio"].sparkSession, "lookup")
+    layout.save_for_lookups(t["precio"], path, ["id"])
+    wanted = [r.id for r in t["precio"].orderBy(F.md5(F.col("id").cast("binary")), "id").limit(10).select("id").collect()]
+    return layout.lookup_few(t["precio"].sparkSession.read.parquet(path), wanted).select("id", "sucursal_id", "precio")
+
+
+@query("q1_observed", "SELECT 'rows' AS rule, count(*) AS n FROM precio UNION ALL SELECT 'check:precio', count(*) FILTER (WHERE NOT disponible AND precio > 0) FROM precio UNION ALL SELECT 'length:moneda', count(*) FILTER (WHERE promocion) FROM precio", "precio")
+def _(t):
+    """What q1_q4_row_checks lists, counted by the pass that writes the table."""
+    odd = t["precio"].withColumns({"precio": F.when(F.col("disponible"), F.col("precio")).otherwise(-F.col("precio")).cast("decimal(14,2)"), "moneda": F.when(F.col("promocion"), F.lit("MUCH TOO LONG")).otherwise(F.col("moneda"))})
+    spark = odd.sparkSession
+    return spark.createDataFrame(sorted(observed.observed_write(odd, "precio", new_path(spark)).items()), "rule string, n long")
+
+
+@query("a9_observed_load", f"SELECT (SELECT count(*) FROM ({FRESH})) AS created, (SELECT count(*) FROM precio) - (SELECT count(*) FROM ({FRESH})) AS found", "precio")
+def _(t):
+    """What a9_load_summary counts, by the pass that writes the load."""
+    spark = t["precio"].sparkSession
+    counts = observed.observed_get_or_create(t["precio"], _new(t["precio"]), ("producto_fuente_id", "sucursal_id", "fecha_relevamiento"), new_path(spark))
+    return spark.createDataFrame([(counts["created"], counts["found"])], "created long, found long")
+
+
+@query("l1_collated", "SELECT id, row_number() OVER (ORDER BY lower(nombre), nombre, id) AS number FROM (SELECT id, CASE WHEN id % 3 = 0 THEN upper(nombre_normalizado) ELSE nombre_normalizado END AS nombre FROM producto)", "producto")
+def _(t):
+    """All products by name without regard to case, as one of the collations orders them."""
+    mixed = t["producto"].withColumn("nombre", F.when(F.col("id") % 3 == 0, F.upper("nombre_normalizado")).otherwise(F.col("nombre_normalizado")))
+    ordered = rows.listing(mixed, collation="UTF8_LCASE").select("id", F.monotonically_increasing_id().alias("_place"))
+    return pages.number_rows(ordered, ["_place"]).select("id", "number")
