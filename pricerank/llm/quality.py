@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pricerank.llm.common import byte_lists, pieces, remainder, stored
 
-#: Bound of the classifier's training sample, by hash of the id.
+#: Default bound of the classifier's training sample, by hash of the id.
 MOST_ROWS = 20_000
 FEATURES = ("words", "word_bytes", "distinct_words", "repeated_lines", "digits", "symbols", "capitals", "lines", "shortness")
 UPPER, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
@@ -70,10 +70,10 @@ def _strength(groups: DataFrame, rate: Column) -> float:
     return float(min(max(r.spread / r.between - 1, 1.0), 1e4)) if r.between and r.between > 0 else 1e4
 
 
-def scores(docs: DataFrame, labels: DataFrame, levels: tuple[str, str] = ("source", "lang"), folds: int = 5) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, levels: tuple[str, str] = ("source", "lang"), folds: int = 5, most_rows: int = MOST_ROWS) -> DataFrame:
     """Per document: doc_id, held_out, evidence (log odds of its own text), host_rate, path_rate, score (0 to 1), kept (score >= 0.5).
 
-    levels name the columns of host and path. Labels (quality 0 or 1) are learned from only where crc32(doc_id as text) mod `folds` is not 0; an id labelled twice counts as good if any label
+    levels name the columns of host and path; at most most_rows labelled rows are learned from. Labels (quality 0 or 1) are learned from only where crc32(doc_id as text) mod `folds` is not 0; an id labelled twice counts as good if any label
     says so; an id that repeats in docs is one row of the sample; without labels of both classes the evidence is 0 and unlabelled documents count as a half. Null and unknown ids have no label. Null hosts and paths are groups of their own. Null and empty texts have all
     features 0. Repeated rows get a row each; empty tables give none; other columns are not read.
     """
@@ -81,7 +81,7 @@ def scores(docs: DataFrame, labels: DataFrame, levels: tuple[str, str] = ("sourc
     kinds = {"doc_id": docs.schema["doc_id"].dataType.simpleString(), "host": docs.schema[host].dataType.simpleString(), "path": docs.schema[path].dataType.simpleString()}
     named = stored(docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), "text").mapInArrow(_described, ", ".join(f"{k} {v}" for k, v in kinds.items()) + f", features {FEATURE_LIST}"))
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), folds) != 0)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_ROWS)
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     sample = named.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), F.max("quality").alias("quality")).select("features", "quality").toPandas()
     log_odds, prior = F.lit(0.0), 0.5
     if sample["quality"].nunique() == 2:
