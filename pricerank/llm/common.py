@@ -17,14 +17,16 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows of an Arrow batch at most: texts are long, and a batch is held whole on both sides, twice while its buffers grow.
-BATCH_ROWS = 1_000
+#: Rows and bytes of an Arrow batch at most: texts are long, and a batch is held whole on both sides, twice while its buffers grow. A longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to BATCH_ROWS rows, if they are larger."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Lowers the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes, if they are larger. This changes the caller's session, as Spark has no such option of a single query."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}")
+        if not now.rstrip("b").isdigit() or int(now.rstrip("b")) not in range(1, most + 1):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -95,7 +97,7 @@ def byte_lists(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None
 class WordHashes(dict):
     """word -> 64-bit hash, computed once; emptied when it holds too many words."""
 
-    def __init__(self, most: int = 200_000, seed: int = 0):
+    def __init__(self, most: int = 100_000, seed: int = 0):
         self.most, self.seed = most, seed
 
     def __missing__(self, word: bytes) -> int:

@@ -7,8 +7,9 @@ differ. Candidates whose sketches differ in more bits than links at the threshol
 Equal sets become one class first. Inside a bucket of a band, members are paired with the bucket's least id only, not with each other; the links found give
 components. What is left are pairs of one bucket in different components. In buckets of up to SMALL members they are listed; for larger ones, tasks compare
 the members outside the bucket's main component with all members, block by block, and return links only. So every proposed pair is either
-confirmed, refuted, or inside one component already. The pairs written out grow with the documents; what is compared inside tasks grows with
-members times members outside the main component, which is little in a group of copies and much in one of many texts that are just not similar enough. A pair
+confirmed, refuted, or inside one component already. In large buckets a member goes to as many block pairs as the other side has blocks of BLOCK members, with its set, so what is shipped there
+grows with members times members outside the main component over BLOCK / 2, and what is compared with their product: little in a group of copies, much in one of many texts that are just not similar enough, which takes
+texts that share a band (six minima) without being alike. No pair is written out but links. A pair
 at similarity 0.8 shares no band with a chance of (1 - 0.8^6)^46 = 8e-7.
 """
 

@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from pricerank.llm.common import byte_lists, mix64, n_words, numbered, pieces, remainder, stored
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 20, 8, (3, 4, 5)
-#: The training sample's bound.
+#: The training sample's bound, by default.
 MOST_ROWS = 5_000
 EPOCHS, BATCH, RATE, SCALE, DOUBT = 8, 32, 0.2, 50.0, 2.0
 #: Words whose numbers a task keeps.
-KNOWN_WORDS = 150_000
+KNOWN_WORDS = 60_000
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -154,8 +154,8 @@ def _scorer(model, text: str, keep: list[str]) -> Callable[[Iterator[pa.RecordBa
             if len(known) > KNOWN_WORDS:
                 known.clear()
             new = list(set().union(*each).difference(known))
-            for at in range(0, len(new), 20_000):
-                ids, count = subwords(part := new[at : at + 20_000])
+            for at in range(0, len(new), 5_000):
+                ids, count = subwords(part := new[at : at + 5_000])
                 known.update(zip(part, (np.add.reduceat(value[ids], np.cumsum(count) - count) / count).tolist()))
             margin = np.array([bias + (np.fromiter(map(known.__getitem__, w), np.float64, len(w)).mean() if w else 0.0) for w in each])
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(1 / (1 + np.exp(-np.clip(margin, -500, 500))))], names=[*keep, "score"])
@@ -163,10 +163,10 @@ def _scorer(model, text: str, keep: list[str]) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> tuple[np.ndarray, float]:
-    """The model of the labelled rows whose crc32(doc_id as text) mod `folds` is not 0. An id labelled twice is toxic if either label says so; one that repeats in docs counts once."""
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = MOST_ROWS) -> tuple[np.ndarray, float]:
+    """The model of the labelled rows whose crc32(doc_id as text) mod `folds` is not 0, most_rows of them at most, by hash of the id. An id labelled twice is toxic if either label says so; one that repeats in docs counts once."""
     chosen = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), folds) != 0))
-    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_ROWS)
+    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     kind = docs.schema["doc_id"].dataType.simpleString()
     words = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_counted, f"doc_id {kind}, toxic int, words binary, counts array<int>")
     sample = stored(words.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct("words", "counts")).alias("text")).select("doc_id", "toxic", "text.*"))
@@ -189,14 +189,14 @@ def _scores(docs: DataFrame, text: str, keep: list[str], model: tuple[np.ndarray
     return docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), text, keep), f"{kinds}, score double")
 
 
-def scores(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = MOST_ROWS) -> DataFrame:
     """Per document: doc_id and score (0 to 1, of its whole text).
 
     Labels, ids and all columns but the text are no inputs of a score. Null and empty texts get the score of the bias. Labels other than 0 and 1 or
     without an id are not learned from; without labels of both classes all scores are 0 (or 1, if all labels are toxic). Empty
     tables give no rows, repeated rows equal scores.
     """
-    return _scores(docs.select("doc_id", "text"), "text", ["doc_id"], fit(docs, labels, folds))
+    return _scores(docs.select("doc_id", "text"), "text", ["doc_id"], fit(docs, labels, folds, most_rows))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
