@@ -34,17 +34,18 @@ def _(t):
     return pages.number_rows(prices.current_prices(t), prices.CURRENT_ORDER).select("id", "number")
 
 
-@query("l2_deep_page", f"SELECT id, producto, precio FROM ({CURRENT}) ORDER BY {BY_PRODUCT} LIMIT 20 OFFSET 1980")
+@query("l2_deep_page", f"SELECT id, producto, precio FROM ({CURRENT}) ORDER BY {BY_PRODUCT} LIMIT 20 OFFSET 580")
 def _(t):
-    return pages.page_at(pages.number_rows(prices.current_prices(t), prices.CURRENT_ORDER), 100).select("id", "producto", "precio")
+    return pages.page_at(pages.number_rows(prices.current_prices(t), prices.CURRENT_ORDER), 30).select("id", "producto", "precio")
 
 
-@query("l2_seek", f"SELECT id, producto, precio FROM ({CURRENT}) ORDER BY {BY_PRODUCT} LIMIT 20 OFFSET 2001")
+@query("l2_seek", f"SELECT id, producto, precio FROM ({CURRENT}) ORDER BY {BY_PRODUCT} LIMIT 20 OFFSET 601")
 def _(t):
-    """What follows the first row of page 101, found by that row's values."""
+    """What follows the first row of page 31, found by that row's values; nothing if there is no such page."""
     current = stored(prices.current_prices(t))
-    token = pages.page_starts(pages.number_rows(current, prices.CURRENT_ORDER), prices.CURRENT_ORDER).where("page = 101").drop("page").first()
-    return pages.seek(current, prices.CURRENT_ORDER, token and token.asDict())[0].select("id", "producto", "precio")
+    token = pages.page_starts(pages.number_rows(current, prices.CURRENT_ORDER), prices.CURRENT_ORDER).where("page = 31").drop("page").first()
+    found = current.limit(0) if token is None else pages.seek(current, prices.CURRENT_ORDER, token.asDict())[0]
+    return found.select("id", "producto", "precio")
 
 
 LISTED = {
