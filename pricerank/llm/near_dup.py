@@ -6,10 +6,11 @@ differ. Candidates whose sketches differ in more bits than links at the threshol
 
 Equal sets become one class first. Inside a bucket of a band, members are paired with the bucket's least id only, not with each other; the links found give
 components. What is left are pairs of one bucket in different components. In buckets of up to SMALL members they are listed; for larger ones, tasks compare
-the members outside the bucket's main component with all members, block by block, and return links only. So every proposed pair is either
-confirmed, refuted, or inside one component already. In large buckets a member goes to as many block pairs as the other side has blocks of BLOCK members, with its set, so what is shipped there
-grows with members times members outside the main component over BLOCK / 2, and what is compared with their product: little in a group of copies, much in one of many texts that are just not similar enough, which takes
-texts that share a band (six minima) without being alike. No pair is written out but links. A pair
+the members outside the bucket's main component with all members and return links only. So every proposed pair is either confirmed, refuted, or inside one
+component already. Large buckets go in two steps. Sketches alone (128 bytes a member) meet in pairs of tiles of BLOCK * TILE members, so a member is sent once for
+each tile of the other side: a few times in a bucket of thousands. The members of those pairs of blocks in which a link is still open are then sent with their sets, block against
+block. Texts that share a band (six minima) without being alike end at the first step and no set of theirs moves; a group of copies has few members outside its main component. What stays
+quadratic is the comparing of sketches in a bucket of unlike texts, and the sending of sets among many texts whose similarity is within the sketch's error below the threshold. No pair is written out but links. A pair
 at similarity 0.8 shares no band with a chance of (1 - 0.8^6)^46 = 8e-7.
 """
 
@@ -31,8 +32,8 @@ BANDS, ROWS, BITS = 46, 6, 1024
 HASHES = BANDS * ROWS
 #: Ids broadcast at most (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Members of a bucket whose pairs are listed, and of a block of a larger one.
-SMALL, BLOCK = 16, 256
+#: Members of a bucket whose pairs are listed, members of a block of a larger one, and blocks of a tile.
+SMALL, BLOCK, TILE = 16, 256, 16
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(5)
 FACTORS = _random.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -138,22 +139,63 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, n: int, threshold: float) ->
     return both.where(F.lit(100).cast("long") * shared >= F.lit(hundredths) * union).select("a", "b")
 
 
-def _crowded(texts: DataFrame, placed: DataFrame, split: DataFrame, sketches: DataFrame, n: int, threshold: float, most: int) -> DataFrame:
-    """Links between components inside large buckets. All large buckets with the same main component are taken together: blocks of their
-    members outside it against blocks of all their members, so that a group is sent once and not once a band."""
-    members = placed.join(split.select("band", "main"), "band").select("main", "rep", "component").distinct()
-    members = stored(members.withColumn("outside", F.col("component") != F.col("main")))
+def dealt_tiles(members: DataFrame) -> DataFrame:
+    """The members (main, rep, component, outside, sketch) once for each pair of tiles in which they are compared: those outside the main component, by the column block, against all."""
     counts = members.groupBy("main").agg(F.count("*").alias("members"), F.count_if("outside").alias("others"))
     members = members.join(counts, "main")
-    pick = lambda total: F.pmod(F.xxhash64("rep"), F.ceil(F.col(total) / BLOCK))
-    every = lambda total: F.explode(F.sequence(F.lit(0), F.ceil(F.col(total) / BLOCK) - 1))
-    outside = members.where("outside").select("main", "rep", "component", "outside", pick("others").alias("i"), every("members").alias("j"))
-    inside = members.select("main", "rep", "component", F.lit(False).alias("outside"), every("others").alias("i"), pick("members").alias("j"))
-    dealt = stored(outside.union(inside))
-    ids = stored(dealt.select(F.col("rep").alias("id")).distinct())
-    kind = ids.schema["id"].dataType.simpleString()
+    block = lambda total: F.pmod(F.xxhash64("rep"), F.ceil(F.col(total) / BLOCK))
+    tile = lambda number: F.floor(number / TILE)
+    every = lambda total: F.explode(F.sequence(F.lit(0).cast("long"), tile(F.ceil(F.col(total) / BLOCK) - 1)))
+    cells = ["main", "rep", "component", "sketch"]
+    outside = members.where("outside").select(*cells, "outside", block("others").alias("block"), tile(block("others")).alias("tile_x"), every("members").alias("tile_y"))
+    return outside.union(members.select(*cells, F.lit(False), block("members"), every("others"), tile(block("members"))))
+
+
+def _crowded(texts: DataFrame, placed: DataFrame, split: DataFrame, sketches: DataFrame, n: int, threshold: float, most: int) -> DataFrame:
+    """Links between components inside large buckets. All large buckets with the same main component are taken together, so that a group is sent
+    once and not once a band."""
+    members = placed.join(split.select("band", "main"), "band").select("main", "rep", "component").distinct()
+    members = stored(members.withColumn("outside", F.col("component") != F.col("main")).join(sketches, F.col("rep") == F.col("id")).drop("id"))
+    kind = members.schema["rep"].dataType.simpleString()
+    still_open = dealt_tiles(members).groupBy("main", "tile_x", "tile_y").applyInPandas(_open_blocks(most), f"main {kind}, rep {kind}, component {kind}, i long, j long, outside boolean")
+    still_open = stored(still_open)
+    ids = stored(still_open.select(F.col("rep").alias("id")).distinct())
     sets = stored(restricted(texts, ids).mapInArrow(_sets(n), f"id {kind}, set array<long>").dropDuplicates(["id"]).join(sketches, "id"))
-    return stored(dealt.join(sets, F.col("rep") == F.col("id")).groupBy("main", "i", "j").applyInPandas(_linked(threshold, most), f"a {kind}, b {kind}"))
+    return stored(still_open.join(sets, F.col("rep") == F.col("id")).groupBy("main", "i", "j").applyInPandas(_linked(threshold, most), f"a {kind}, b {kind}"))
+
+
+def _sides(members: pd.DataFrame) -> list[pd.DataFrame]:
+    return [members[members["outside"]], members[~members["outside"]]]
+
+
+def _sketched(members: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """What open_pairs() compares: sketches and components."""
+    return np.stack(members["sketch"].to_numpy()).view(np.uint64), members["component"].to_numpy()
+
+
+def open_pairs(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], most: int) -> np.ndarray:
+    """Which pairs may be links by their sketches and are not in one component."""
+    differing = np.zeros((len(x[0]), len(y[0])), np.int32)
+    for k in range(BITS // 64):
+        differing += np.bitwise_count(x[0][:, k, None] ^ y[0][None, :, k])
+    return (differing <= most) & (x[1][:, None] != y[1][None, :])
+
+
+def _open_blocks(most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Of a pair of tiles: for each pair (i, j) of blocks the members that are in an open pair."""
+
+    def run(tiles: pd.DataFrame) -> pd.DataFrame:
+        columns = ["main", "rep", "component", "i", "j", "outside"]
+        found = [tiles.iloc[:0].assign(i=np.int64(0), j=np.int64(0))[columns]]
+        first, second = ([(number, block, _sketched(block)) for number, block in side.groupby("block")] for side in _sides(tiles))
+        for i, x, x_sketched in first:
+            for j, y, y_sketched in second:
+                pairs = open_pairs(x_sketched, y_sketched, most)
+                if pairs.any():
+                    found += [side[some].assign(i=i, j=j)[columns] for side, some in ((x, pairs.any(1)), (y, pairs.any(0)))]
+        return pd.concat(found)
+
+    return run
 
 
 def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -184,14 +226,11 @@ def _linked(threshold: float, most: int) -> Callable[[pd.DataFrame], pd.DataFram
     hundredths = round(threshold * 100)
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        x, y = block[block["outside"]], block[~block["outside"]]
+        x, y = _sides(block)
         nothing = pd.DataFrame({"a": block["rep"].iloc[:0], "b": block["rep"].iloc[:0]})
         if not len(x) or not len(y):
             return nothing
-        sketch = [np.stack(p["sketch"].to_numpy()).view(np.uint64) for p in (x, y)]
-        differing = sum(np.bitwise_count(sketch[0][:, k, None] ^ sketch[1][None, :, k]).astype(np.int32) for k in range(BITS // 64))
-        component = [p["component"].to_numpy() for p in (x, y)]
-        open_ = (differing <= most) & (component[0][:, None] != component[1][None, :])
+        open_ = open_pairs(_sketched(x), _sketched(y), most)
         rows, columns = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
         if not len(rows):
             return nothing
@@ -199,7 +238,7 @@ def _linked(threshold: float, most: int) -> Callable[[pd.DataFrame], pd.DataFram
         shared = shared_counts(*sets)
         union = np.array([len(s) for s in sets[0]])[:, None] + np.array([len(s) for s in sets[1]])[None, :] - shared
         i, j = np.nonzero((100 * shared >= hundredths * union) & open_[np.ix_(rows, columns)])
-        links = pd.DataFrame({"a": x["rep"].to_numpy()[rows[i]], "b": y["rep"].to_numpy()[columns[j]], "component": component[1][columns[j]]})
+        links = pd.DataFrame({"a": x["rep"].to_numpy()[rows[i]], "b": y["rep"].to_numpy()[columns[j]], "component": y["component"].to_numpy()[columns[j]]})
         return links.drop_duplicates(["a", "component"])[["a", "b"]]
 
     return run

@@ -37,9 +37,10 @@ def test_against_brute_force(spark, n):
     assert found(near_dup.components(documents(spark, odd=True), n=n)) == brute(values(), n)
 
 
-@pytest.mark.parametrize("small, block", [(16, 256), (2, 8)])
-def test_large_group_of_near_copies(spark, monkeypatch, small, block):
-    """Pairs on both sides of the threshold; 2 and 8: nearly every bucket is compared block by block."""
+@pytest.mark.parametrize("small, block, tile", [(16, 256, 16), (2, 8, 16), (2, 4, 2)])
+def test_large_group_of_near_copies(spark, monkeypatch, small, block, tile):
+    """Pairs on both sides of the threshold; 2, 8 and 4: nearly every bucket is compared block by block."""
+    monkeypatch.setattr(near_dup, "TILE", tile)
     monkeypatch.setattr(near_dup, "SMALL", small)
     monkeypatch.setattr(near_dup, "BLOCK", block)
     rng = random.Random(2)
@@ -54,6 +55,33 @@ def test_large_group_of_near_copies(spark, monkeypatch, small, block):
     assert found(near_dup.components(spark.createDataFrame(rows, DOCS), n=2)) == brute(rows, 2)
 
 
+def test_crowded_bucket_of_unlike_texts(spark, monkeypatch):
+    """Texts with a passage in common share bands without being alike: their sketches meet in tiles, and no set of theirs is sent."""
+    rng = random.Random(4)
+    passage = prose(rng, 60, [f"c{k}" for k in range(500)])
+    rows = [(k, passage + " " + prose(rng, 50, [f"u{k}" for k in range(20_000)]), "", "", 0) for k in range(5_000)]
+    sent = []
+    monkeypatch.setattr(near_dup, "dealt_tiles", lambda members, deal=near_dup.dealt_tiles: sent.append((members.count(), deal(members).count())) or deal(members))
+
+    def no_set_is_sent(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(near_dup, "shared_counts", no_set_is_sent)
+    got = near_dup.components(spark.createDataFrame(rows, DOCS), n=2)
+    assert got.where("component_id = doc_id AND kept").count() == 5_000
+    [(members, dealt)] = sent
+    assert members > 5_000 and dealt <= 2 * members
+
+
+def test_tiles_of_one_bucket(spark):
+    """5,000 members, none alike: each is sent twice for each of two tiles."""
+    members = spark.range(5_000).selectExpr("0L AS main", "id AS rep", "id AS component", "id <> 0 AS outside", "array(id) AS sketch")
+    dealt = near_dup.dealt_tiles(members)
+    assert dealt.count() <= 4 * 5_000
+    blocks = {(r.outside, r.block): r["count"] for r in dealt.where("tile_x = 0 AND outside OR tile_y = 0 AND NOT outside").groupBy("outside", "block").count().collect()}
+    assert max(blocks.values()) < 2 * 2 * near_dup.BLOCK
+
+
 def test_dedup(spark):
     docs = documents(spark, odd=True)
     out = near_dup.dedup(docs)
