@@ -45,14 +45,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
 
     `size` counts the words of `text` (null: 0); `taken` is what the mix takes of the document: `epochs` whole passes over its source and,
     where the source's remaining budget ends inside or after it, that many words more. A source's taken words
-    add up to its target rounded down, so reruns agree. Documents are ordered by the md5 of their id, ties by id, size and a hash of the text, so
-    repeated rows are taken one after another. Sizes and keys are stored, so that the words of a text are counted once (twice with_row). A null source is a source of its own; a null id counts as the empty text. Empty
+    add up to its target rounded down, so reruns agree. Documents are ordered by the md5 of their id, those without an id by that of their text, so that many of
+    them do not share a range; ties by id, size and a hash of the text, so repeated rows are taken one after another. Sizes and keys are stored, so that the words of a text are counted once (twice with_row). A null source is a source of its own. Empty
     tables give no rows. Other columns are not read, unless with_row.
     """
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if with_row else []
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    d = docs.select("doc_id", F.col("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_text"), *row)
-    d = d.withColumn("_s", _non_null(F.col("source"))).withColumn("_key", key).withColumn("_range", F.substring("_key", 1, RANGE_DIGITS))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary"))
+    d = docs.select("doc_id", F.col("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_text"), key.alias("_key"), *row)
+    d = d.withColumn("_s", _non_null(F.col("source"))).withColumn("_range", F.substring("_key", 1, RANGE_DIGITS))
     d = d if with_row else stored(d)
     ranges = stored(d.groupBy("_s", "_range").agg(F.sum("size").alias("_range_size"), F.first("source").alias("source")))
     sources = ranges.groupBy("_s").agg(F.sum("_range_size").alias("source_size"), F.first("source").alias("source"))

@@ -1,9 +1,10 @@
+import hashlib
 from fractions import Fraction
 
 import pytest
 
 from pricerank.llm import mixing
-from tests.llm.helpers import documents, values, words
+from tests.llm.helpers import DOCS, documents, values, words
 
 
 def brute_targets(sizes, weights=(5, 2, 1), share=1, most=3):
@@ -59,3 +60,15 @@ def test_empty_and_repeated(spark):
     twice = mixing.mix(docs.union(docs))
     assert twice.count() == 120 and twice.where("taken > 3 * size").count() == 0
     assert mixing.mix(docs.selectExpr("CAST(NULL AS LONG) AS doc_id", "text", "source")).count() == 60
+
+
+def test_null_ids_are_dealt_by_text(spark):
+    """Rows without an id come in the order of their texts' md5, which spreads them over the ranges."""
+    rows = [(None, text, "en", "a" if k % 3 else "b", 0) for k, (_, text, *_) in enumerate(values())]
+    got = {r.row.text: r for r in mixing.mix(spark.createDataFrame(rows, DOCS), with_row=True).collect()}
+    for source in "ab":
+        mine = sorted({t for _, t, _, s, _ in rows if s == source and t and words(t)}, key=lambda t: hashlib.md5(t.encode()).hexdigest())
+        rest = [got[t].taken - got[t].epochs * got[t]["size"] for t in mine if sum(x == t for _, x, *_ in rows) == 1]
+        full = [got[t]["size"] for t in mine if sum(x == t for _, x, *_ in rows) == 1]
+        at = next((k for k, (r, f) in enumerate(zip(rest, full)) if r < f), len(rest))
+        assert not any(rest[at + 1 :])  # whole documents, one that is cut, none
