@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -57,13 +57,42 @@ def short_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+#: The tables that stored() has written inside each open intermediate(), the innermost last.
+_written: list[list[DataFrame]] = []
+
+
+@contextmanager
+def intermediate() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that stored() writes inside are deleted at the end, also of a failed run, but for those given to the function that this yields: whatever is read later has to be given to it.
+    An intermediate() around this one deletes those in its turn. Not for several threads at once."""
+    tables, kept = [], []
+    _written.append(tables)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _written.pop()
+        for df in tables:
+            if not any(df is k for k in kept):
+                discard(df)
+            elif _written:
+                _written[-1].append(df)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: the rows as a Parquet table in the shared folder, so that a lost executor costs a reread only."""
+    """Cuts the lineage: the rows as a Parquet table in the shared folder, so that a lost executor costs a reread only. Inside intermediate() the table is deleted at its end."""
     bounded_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     with short_shuffles(df.sparkSession):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _written:
+        _written[-1].append(table)
+    return table
 
 
 def discard(df: DataFrame) -> None:

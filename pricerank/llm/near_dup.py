@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricerank.llm.common import WordHashes, byte_lists, mix64, pieces, stored
+from pricerank.llm.common import WordHashes, byte_lists, intermediate, mix64, pieces, stored
 from pricerank.llm.components import connected_components
 
 BANDS, ROWS, BITS = 46, 6, 1024
@@ -250,31 +250,32 @@ def components(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame
     A-Z are lower-cased; words are runs of characters other than ASCII white space. Null and empty texts have no shingles and no links. Rows with a null doc_id are linked with
     nothing: component_id is null and they are kept. Rows that repeat whole get the same result. Empty tables give no rows; extra columns are not read.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text")
-    signed = stored(texts.mapInArrow(_signatures(n), f"doc_id {kind}, n_shingles long, sum long, xor long, bands array<long>, sketch array<long>"))
-    linkable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stored(linkable.groupBy("n_shingles", "sum", "xor").agg(F.min("doc_id").alias("rep")))
-    classed = stored(linkable.select("doc_id", "n_shingles", "sum", "xor").join(classes, ["n_shingles", "sum", "xor"]).select("doc_id", "rep"))
-    reps = classed.where("doc_id = rep").select("rep").distinct()
-    banded = linkable.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1").drop("members")
-    members = stored(banded.join(buckets, "band"))
-    sketches = stored(linkable.join(members.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "sketch"))
-    most = most_differing_bits(threshold)
-    near = _differing(F.col("sketch_a"), F.col("sketch_b")) <= most
-    a, b = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b"))
-    led = members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = stored(_confirmed(texts, led.join(b, "b").join(a, "a").where(near).select("a", "b"), n, threshold))
-    component = connected_components(links)
-    placed = stored(members.where("rep != leader").join(component, members["rep"] == component["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("component")))
-    parts = placed.groupBy("band", "component").agg(F.count("*").alias("part"))
-    split = stored(parts.groupBy("band").agg(F.max_by("component", F.struct("part", "component")).alias("main"), F.max("part").alias("most"), F.sum("part").alias("members")).where("most < members"))
-    few = placed.join(split.where(F.col("members") <= SMALL).select("band"), "band").join(sketches, F.col("rep") == F.col("id")).select("band", "rep", "component", "sketch")
-    x, y = few.select("band", F.col("rep").alias("a"), F.col("component").alias("component_a"), F.col("sketch").alias("sketch_a")), few.select("band", F.col("rep").alias("b"), F.col("component").alias("component_b"), F.col("sketch").alias("sketch_b"))
-    crossing = x.join(y, (x["band"] == y["band"]) & (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & near).select("a", "b").distinct()
-    more = stored(_confirmed(texts, crossing, n, threshold)).union(_crowded(texts, placed, split.where(F.col("members") > SMALL), sketches, n, threshold, most))
-    component = connected_components(links.union(more))
+    with intermediate() as keep:
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        texts = docs.select("doc_id", "text")
+        signed = keep(stored(texts.mapInArrow(_signatures(n), f"doc_id {kind}, n_shingles long, sum long, xor long, bands array<long>, sketch array<long>")))
+        linkable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+        classes = stored(linkable.groupBy("n_shingles", "sum", "xor").agg(F.min("doc_id").alias("rep")))
+        classed = keep(stored(linkable.select("doc_id", "n_shingles", "sum", "xor").join(classes, ["n_shingles", "sum", "xor"]).select("doc_id", "rep")))
+        reps = classed.where("doc_id = rep").select("rep").distinct()
+        banded = linkable.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
+        buckets = banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1").drop("members")
+        members = stored(banded.join(buckets, "band"))
+        sketches = stored(linkable.join(members.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "sketch"))
+        most = most_differing_bits(threshold)
+        near = _differing(F.col("sketch_a"), F.col("sketch_b")) <= most
+        a, b = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b"))
+        led = members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+        links = stored(_confirmed(texts, led.join(b, "b").join(a, "a").where(near).select("a", "b"), n, threshold))
+        component = connected_components(links)
+        placed = stored(members.where("rep != leader").join(component, members["rep"] == component["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("component")))
+        parts = placed.groupBy("band", "component").agg(F.count("*").alias("part"))
+        split = stored(parts.groupBy("band").agg(F.max_by("component", F.struct("part", "component")).alias("main"), F.max("part").alias("most"), F.sum("part").alias("members")).where("most < members"))
+        few = placed.join(split.where(F.col("members") <= SMALL).select("band"), "band").join(sketches, F.col("rep") == F.col("id")).select("band", "rep", "component", "sketch")
+        x, y = few.select("band", F.col("rep").alias("a"), F.col("component").alias("component_a"), F.col("sketch").alias("sketch_a")), few.select("band", F.col("rep").alias("b"), F.col("component").alias("component_b"), F.col("sketch").alias("sketch_b"))
+        crossing = x.join(y, (x["band"] == y["band"]) & (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & near).select("a", "b").distinct()
+        more = stored(_confirmed(texts, crossing, n, threshold)).union(_crowded(texts, placed, split.where(F.col("members") > SMALL), sketches, n, threshold, most))
+        component = keep(connected_components(links.union(more)))
     found = classed.join(component, classed["rep"] == component["node"], "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component")).dropDuplicates(["id"])
     out = signed.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("id"), "left")
     component_id = F.coalesce("component", "doc_id")
