@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pricerank.llm import decontaminate, near_dup
+from pricerank.llm import decontaminate, grid_join, near_dup
+from pricerank.llm.common import intermediate, shared_dir, stored
 from pricerank.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm import test_near_dup, test_substring
 from tests.llm.helpers import documents
@@ -83,3 +84,28 @@ def test_toxicity_stage_keeps_what_it_cannot_judge(spark, tmp_path, toxic):
     assert kept.columns == docs.columns
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     assert ids == ({8, 9} | set(range(0, 200, 10)) if len(toxic) == 2 else set(range(200)))
+
+
+def test_intermediate_tables_go(spark):
+    """Kept tables stay until the intermediate() around them ends; others go, of a failed run all."""
+    folder = lambda df: df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    with intermediate() as keep_outer:
+        with intermediate() as keep:
+            one, two, three = stored(spark.range(3)), keep(stored(spark.range(4))), keep_outer(keep(stored(spark.range(5))))
+        assert [os.path.isdir(folder(t)) for t in (one, two, three)] == [False, True, True] and two.count() == 4
+    assert [os.path.isdir(folder(t)) for t in (two, three)] == [False, True] and three.count() == 5
+    with pytest.raises(ZeroDivisionError), intermediate():
+        four = stored(spark.range(3))
+        1 / 0
+    assert not os.path.isdir(folder(four)) and os.path.isdir(folder(stored(spark.range(1))))
+
+
+@pytest.mark.parametrize("components, columns", [(near_dup.components, "doc_id long, text string"), (grid_join.components, "vec_id long, label int, embedding array<float>")])
+def test_what_a_result_reads_is_all_that_stays(spark, components, columns):
+    folder = shared_dir(spark)
+    before = set(os.listdir(folder))
+    row = (1, "a b c d e f") if components is near_dup.components else (1, 0, [1.0, 2.0])
+    found = components(spark.createDataFrame([row, (2, *row[1:])], columns))
+    left = set(os.listdir(folder)) - before
+    assert {f.split("/")[-2] for f in found.inputFiles()} == left and len(left) <= 3
+    assert [r.component_id for r in found.collect()] == [1, 1]
