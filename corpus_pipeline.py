@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pricerank.llm import decontaminate, mixing, near_dup, substring, toxicity
-from pricerank.llm.common import read, stored
+from pricerank.llm.common import discard, intermediate, read, stored
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again. An empty table gives no rows; columns of any name are carried on."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over documents, each written as Parquet and read again; what a stage stores on its way goes when its result is written, and so does the result before. An empty table gives no rows; columns of any name are carried on."""
+    docs, last = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        with intermediate() as keep:
+            docs = keep(stored(stage(spark, docs, sf_dir)))
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
