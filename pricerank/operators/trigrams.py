@@ -68,3 +68,16 @@ def search_many(df: DataFrame, queries: DataFrame, column: str, key: str = "id",
     texts = df.select(F.col(key), F.col(column).alias("_text"))
     verified = both.select("query_id", key).join(queries, "query_id").join(texts, key)
     return verified.withColumn("_pattern", pattern(F.col("query"))).where(F.expr("_text ILIKE _pattern")).select("query_id", key)
+
+
+def count_many(df: DataFrame, queries: DataFrame, column: str, key: str = "id") -> DataFrame:
+    """query_id, n_hits and first_id (the least key) of what search_many() finds, for the queries that find a row.
+
+    Equal texts are searched as one, and so are equal queries, so that copies cost a grouping and no pair of a query and a row is formed for them."""
+    texts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_name")).agg(F.count("*").alias("_rows"), F.min(key).alias("_first"))
+    asked = queries.where("query IS NOT NULL").groupBy("query").agg(F.min("query_id").alias("query_id"))
+    found = search_many(texts, asked, "_name", "_first").join(texts.select("_first", "_rows"), "_first")
+    counted = found.groupBy("query_id").agg(F.sum("_rows").alias("n_hits"), F.min("_first").alias("first_id"))
+    # back to all queries of the text
+    known = asked.join(counted, "query_id").select("query", "n_hits", "first_id")
+    return queries.join(known, "query").select("query_id", "n_hits", "first_id")

@@ -51,6 +51,17 @@ def test_searches_by_index_are_those_of_all_pairs(spark):
     assert trigrams.search_many(df.limit(0), queries, "name").count() == 0 == trigrams.search_many(df, queries.limit(0), "name").count()
 
 
+def test_searches_of_copies_are_counted_once(spark):
+    """4,000 copies of each of 12 names and of 9 queries, of which each pair would be 1.7 billion rows."""
+    names, asked = ["", "red bolt", "Red Bolt", "blue gear", "old ring", "a%b", "ñandú", "hot plate", "cold plate", "plate", "bolt", None], ["", "bolt", "e_", "PLATE", r"\%", "d%o", "zz", "ñ", None]
+    copied = lambda values, name: spark.range(4_000 * len(values)).select(F.col("id").alias("n"), F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.col("id") % len(values) + 1).cast("int")).alias(name))
+    got = {r.query_id: (r.n_hits, r.first_id) for r in trigrams.count_many(copied(names, "name"), copied(asked, "query").withColumnRenamed("n", "query_id"), "name", "n").collect()}
+    few = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    hits = {k: [r.id for r in few.where(contains(F.col("name"), q)).collect()] for k, q in enumerate(asked) if q is not None}
+    assert got == {k: (4_000 * len(hits[k % len(asked)]), min(hits[k % len(asked)])) for k in range(4_000 * len(asked)) if hits.get(k % len(asked))}
+    assert len(got) == 4_000 * 7
+
+
 def test_lookups_read_a_fraction(spark, tmp_path):
     df = spark.range(400_000).select(F.sha2(F.col("id").cast("string"), 256).alias("id"), F.md5(F.col("id").cast("string")).alias("code"), F.col("id").alias("v"))
     layout.save_for_lookups(df, f"{tmp_path}/t", ["id", "code"], distinct=50_000, group_bytes=1 << 20)
