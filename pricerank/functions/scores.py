@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 def _share(value: str, by: str, flip: bool) -> Column:
     over = Window.partitionBy(by)
-    x, low, high = F.col(value).cast("double"), F.min(F.col(value).cast("double")).over(over), F.max(F.col(value).cast("double")).over(over)
-    part = (high - x) if flip else (x - low)
-    return F.when(low == high, F.lit(1.0)).otherwise(part / F.nullif(high - low, F.lit(0.0)))
+    x, low, high = F.col(value), F.min(value).over(over), F.max(value).over(over)
+    # decimals are subtracted as such, so that equal shares are equal doubles
+    part, whole = ((high - x) if flip else (x - low)).cast("double"), (high - low).cast("double")
+    return F.when(low == high, F.lit(1.0)).otherwise(part / F.nullif(whole, F.lit(0.0)))
 
 
 def cost_score(value: str, by: str) -> Column:

@@ -39,6 +39,11 @@ def fixed(value: Column, places: int) -> Column:
     return F.bround(value, places).cast(f"decimal(38,{places})").cast("string")
 
 
+def fixed_double(value: Column, places: int) -> Column:
+    """fixed() of a double: what is a half is told after the point has been moved, so that 0.23625000000000002, which moved by four digits is 2362.5, counts as one, as it does in SQL."""
+    return (F.rint(value * 10.0**places) / 10.0**places).cast(f"decimal(38,{places})").cast("string")
+
+
 def plain(value: Column) -> Column:
     """Decimal text at the value's own scale."""
     return value.cast("string")
