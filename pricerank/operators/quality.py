@@ -121,15 +121,16 @@ def duplicate_products(lines: DataFrame) -> DataFrame:
     return lines.groupBy("basket_id", "product_id").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def basket_checks(baskets: DataFrame, lines: DataFrame) -> DataFrame:
+def basket_checks(baskets: DataFrame, lines: DataFrame, also: Mapping[str, Column] | None = None) -> DataFrame:
     """Per basket: n_lines and flags bad_size (not 1 to 100 lines), bad_quantity (null, <= 0, or beyond 12 digits with 3 decimals), duplicate_product, bad_weights
-    (null, negative, or a sum other than exactly 1)."""
+    (null, negative, or a sum other than exactly 1). also: further flags, by conditions of which a line of the basket fulfils one (never null)."""
+    also = dict(also or {})
     # one row per line first: a product that repeats in a basket shows as a count above 1, without collecting the lines
-    per_product = lines.groupBy("basket_id", "product_id").agg(F.count("*").alias("n"), F.max(bad_quantity("quantity").cast("int")).alias("bad"))
-    per_basket = per_product.groupBy("basket_id").agg(F.sum("n").alias("n"), F.max(F.coalesce("bad", F.lit(1))).alias("bad"), F.max((F.col("n") > 1).cast("int")).alias("twice"))
+    per_product = lines.groupBy("basket_id", "product_id").agg(F.count("*").alias("n"), F.max(bad_quantity("quantity").cast("int")).alias("bad"), *[F.max(flag).alias(name) for name, flag in also.items()])
+    per_basket = per_product.groupBy("basket_id").agg(F.sum("n").alias("n"), F.max(F.coalesce("bad", F.lit(1))).alias("bad"), F.max((F.col("n") > 1).cast("int")).alias("twice"), *[F.max(name).alias(name) for name in also])
     n = F.coalesce("n", F.lit(0)).cast("long")
     flags = baskets.join(per_basket, "basket_id", "left")
-    return flags.select(*baskets.columns, n.alias("n_lines"), (~n.between(1, MOST_LINES)).alias("bad_size"), (F.coalesce("bad", F.lit(0)) == 1).alias("bad_quantity"), (F.coalesce("twice", F.lit(0)) == 1).alias("duplicate_product"), bad_weights("w_price", "w_distance", "w_saving").alias("bad_weights"))
+    return flags.select(*baskets.columns, n.alias("n_lines"), (~n.between(1, MOST_LINES)).alias("bad_size"), (F.coalesce("bad", F.lit(0)) == 1).alias("bad_quantity"), (F.coalesce("twice", F.lit(0)) == 1).alias("duplicate_product"), bad_weights("w_price", "w_distance", "w_saving").alias("bad_weights"), *[F.coalesce(name, F.lit(False)).alias(name) for name in also])
 
 
 def bad_quantity(column: str) -> Column:

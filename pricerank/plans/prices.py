@@ -78,7 +78,7 @@ def price_history(prices: DataFrame, source, branch=None) -> DataFrame:
 def branch_product_prices(prices: DataFrame, listings: DataFrame, branches: DataFrame, products: DataFrame | None = None) -> DataFrame:
     """One current price per (branch, product): the newest row of each listing at the branch, dropped if it is unavailable (no older row takes its
     place), then of a product's listings the newest, cheapest, least id. branches (sucursal_id, one row each, whose other columns are kept) and products (producto_id) are applied before the
-    newest rows are picked. All of it is one shuffle by (product, branch), since a listing has one product; none for prices that save_bucketed() stored, which have their producto_id."""
+    newest rows are picked. Prices meet their listing and lose all but the newest rows in one shuffle by listing, and what is left is dealt by (product, branch); none is dealt if save_bucketed() stored them with their producto_id."""
     wanted = ["id", "producto_fuente_id", "sucursal_id", "precio", "fecha_relevamiento", "disponible", "created_at"]
     kept = [c for c in branches.columns if c != "sucursal_id"]
     placed = lambda rows: rows.join(branches, "sucursal_id", "inner" if kept else "left_semi")
@@ -89,7 +89,9 @@ def branch_product_prices(prices: DataFrame, listings: DataFrame, branches: Data
         listing = listings.select(F.col("id").alias("producto_fuente_id"), "producto_id")
         if products is not None:
             listing = listing.join(products.select("producto_id"), "producto_id", "left_semi")
-        rows = placed(prices.select(*wanted)).join(listing, "producto_fuente_id").repartition("producto_id", "sucursal_id")
-    current = available(latest_prices(rows, also_by=("producto_id",)))
+        rows = placed(prices.select(*wanted)).join(listing, "producto_fuente_id")
+    current = available(latest_prices(rows, also_by=("producto_id",))).select("sucursal_id", "producto_id", "precio", "fecha_relevamiento", "id", *kept)
+    if "producto_id" not in prices.columns:
+        current = current.repartition("producto_id", "sucursal_id")
     best = Window.partitionBy("producto_id", "sucursal_id").orderBy(F.col("fecha_relevamiento").desc(), "precio", "id")
-    return current.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("sucursal_id", "producto_id", "precio", "fecha_relevamiento", *kept)
+    return current.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "id")
