@@ -125,6 +125,16 @@ def test_plans_stay_small(spark, t):
         assert len(re.findall(r"FileScan parquet \[[^\]]*fecha_relevamiento", text)) == 1 and len(re.findall(r"FileScan parquet \[[^\]]*line_no", text)) == 1  # prices once, lines once and their products once
 
 
+def test_status_reads_lines_once_and_ranking_ships_no_row_for_each_branch(spark, t):
+    tables = {name: stored(df) for name, df in t.items()}
+    b, lines = stored(seed.baskets(spark, ("A", "CR", *DEFAULT))), stored(seed.lines(spark, ("A", seed.all_of())))
+    text = ranking.basket_status(tables, b, lines)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan parquet \[[^\]]*basket_id#\d+,[^\]]*product_id", text)) == 1
+    text = ranking.rank_baskets(tables, b, lines)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(basket_id#\d+, \d+\), REPARTITION_BY_COL[^\n]*\n[^\n]*Project \[([^\n]*)", text)
+    assert len(dealt) == 1 and "branches" in dealt[0] and "sucursal_id" not in dealt[0]
+
+
 def test_many_branches_in_bitmaps(spark, t):
     """More branches than a word has bits, of which some have nothing."""
     many = t["sucursal"].where("id = 'centro'").drop("id", "nombre").crossJoin(spark.range(150).selectExpr("concat('s', lpad(id, 3, '0')) AS id", "concat('S', id) AS nombre")).select(t["sucursal"].columns)
