@@ -13,11 +13,19 @@ from pricerank.sources.schema import NATURAL_KEYS
 from pricerank.sources.tables import with_defaults
 
 
+#: Types of which equal values are the same value.
+EXACT = ("tinyint", "smallint", "int", "bigint", "string", "boolean", "date", "timestamp", "timestamp_ntz", "binary")
+
+
 def latest_by(df: DataFrame, keys: list[str], seq: Column | str, first: bool = False) -> DataFrame:
-    """One row per key, that of the greatest (or least) seq; ties by the whole row."""
-    row = F.struct(F.col(seq) if isinstance(seq, str) else seq, F.struct(*df.columns).alias("row"))
+    """One row per key, that of the greatest (or least) seq; ties by the whole row. The result is dealt by its keys, and keys travel once."""
+    # a key of which equal values can differ (doubles, collated texts) is taken from the row
+    same = [k for k in keys if df.schema[k].dataType.simpleString() in EXACT or df.schema[k].dataType.typeName() == "decimal"]
+    rest = [c for c in df.columns if c not in same] or df.columns
+    row = F.struct(F.col(seq) if isinstance(seq, str) else seq, F.struct(*rest).alias("row"))
     best = (F.min if first else F.max)(row)
-    return df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(best.alias("_best")).select("_best.row.*")
+    found = df.groupBy(*[F.col(k) if k in same else F.col(k).alias(f"_{k}") for k in keys]).agg(best.alias("_best"))
+    return found.select(*[F.col(f"_best.row.{c}").alias(c) if c in rest else F.col(c) for c in df.columns])
 
 
 def upsert(base: DataFrame, updates: DataFrame, key: str = "id", seq: str | None = None, keep_if_null: tuple[str, ...] = ("created_at",)) -> DataFrame:
@@ -44,9 +52,10 @@ def get_or_create(base: DataFrame, new: DataFrame, natural_key: tuple[str, ...],
     rows = new if "id" in new.columns else new.withColumn("id", stable_id(*natural_key))
     order = seq or "id"
     ranked = rows.where(" AND ".join(f"{k} IS NOT NULL" for k in natural_key))
+    # found rows go first, so that rows are dealt by their key once, and by nothing else where only their number is asked for
+    unknown = ranked.join(base.select(*natural_key), list(natural_key), "left_anti").select(*rows.columns)
     without_key = rows.where(" OR ".join(f"{k} IS NULL" for k in natural_key))
-    firsts = latest_by(ranked, list(natural_key), order, first=True)
-    fresh = firsts.join(base.select(*natural_key), list(natural_key), "left_anti").unionByName(without_key)
+    fresh = latest_by(unknown, list(natural_key), order, first=True).unionByName(without_key)
     created = fresh.select(*[c for c in base.columns])
     counted = rows.select(F.lit(0).alias("created")).unionByName(fresh.select(F.lit(1).alias("created")))
     made = F.coalesce(F.sum("created"), F.lit(0)).cast("long")
