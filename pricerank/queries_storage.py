@@ -102,10 +102,10 @@ CORRECTED = f"SELECT * REPLACE (CASE WHEN {EARLY} AND NOT disponible THEN fecha_
 @query("w1_maintained_latest", f"SELECT id, producto_fuente_id, sucursal_id, precio, disponible FROM ({CORRECTED}) QUALIFY row_number() OVER (PARTITION BY producto_fuente_id, sucursal_id ORDER BY fecha_relevamiento DESC, created_at DESC, id) = 1", "precio", money=("precio",))
 def _(t):
     """The latest prices of mid 1997, maintained by the later rows and by corrections that date unavailable ones 400 days back."""
-    before = stored(t["precio"].where(EARLY))
+    before = t["precio"].where(EARLY)
     corrected = before.where("NOT disponible").withColumn("fecha_relevamiento", F.col("fecha_relevamiento") - F.expr("INTERVAL 400 DAY"))
     changed = corrected.unionByName(t["precio"].where(f"NOT ({EARLY})"))
-    now = stored(before.where("disponible").unionByName(changed))
+    now = before.where("disponible").unionByName(changed)
     latest = stored(prices.latest_prices(before))
     return maintained_latest(latest, now, changed.select("id")).select("id", "producto_fuente_id", "sucursal_id", "precio", "disponible")
 

@@ -48,6 +48,25 @@ def test_counting_a_load_deals_keys_alone(spark, tmp_path):
     assert [tuple(r) for r in report.collect()] == [("", 0, 2000)]
 
 
+def test_maintained_rows_are_dealt_by_key_once(spark, tmp_path):
+    prices = survey(spark, tmp_path)["precio"]
+    latest = latest_prices(prices)
+    latest.write.parquet(f"{tmp_path}/latest")
+    shown = under(spark, PLAIN, lambda: plan(maintained_latest(spark.read.parquet(f"{tmp_path}/latest"), prices, prices.select("id"))))
+    # all that meets by key, the history by key, the keys of which it is read, and keys with a null part
+    assert shown.count("Exchange hashpartitioning(producto_fuente_id") + shown.count("Exchange hashpartitioning(sucursal_id") <= 4
+
+
+def test_maintained_latest_of_keys_with_a_null_part(spark):
+    def frame(rows):
+        return spark.createDataFrame([(id, "f", branch, 1, "ARS", datetime(2024, 1, day), True, False, None) for id, branch, day in rows], "id string, producto_fuente_id string, sucursal_id string, precio int, moneda string, fecha_relevamiento timestamp, disponible boolean, promocion boolean, created_at timestamp")
+
+    before = frame([("a", None, 5), ("b", None, 3), ("c", "x", 4)])
+    for now in ([("a", None, 1), ("b", None, 3), ("c", "x", 4)], [("a", None, 5), ("b", None, 6), ("c", "x", 4)]):
+        found = maintained_latest(latest_prices(before), frame(now), frame(now).where("id <> 'c'").select("id"))
+        assert sorted(r.id for r in found.collect()) == ["b", "c"]
+
+
 def test_last_rows_of_keys_that_are_equal_and_differ(spark):
     rows = spark.createDataFrame([(0.0, 1, "a"), (-0.0, 2, "b"), (1.0, 1, "c")], "k double, seq int, v string")
     found = sorted((repr(r.k), r.v) for r in upsert.latest_by(rows, ["k"], "seq").collect())
