@@ -128,7 +128,9 @@ def ingest_rows(tables: Mapping[str, DataFrame], table: str, rows: DataFrame, se
     also = lambda name, broken: F.concat("_rules", F.when(F.coalesce(broken, F.lit(False)), F.array(F.lit(name))).otherwise(F.array().cast("array<string>")))
     for column, parent in FOREIGN_KEYS.get(table, {}).items():
         ids = tables[parent].select(F.col("id").alias("_id"))
-        ids = (ids.union(full.select("id")) if parent == table else ids).distinct().withColumn("_there", F.lit(True))
+        ids = ids.union(full.select("id")) if parent == table else ids
+        # dealt anew after the grouping, as adaptive execution splits a key with many rows only between two plain dealings
+        ids = ids.groupBy(F.col("_id").alias("_each")).agg(F.max("_id").alias("_id")).select("_id", F.lit(True).alias("_there"))
         marked = marked.join(ids, F.col(column) == F.col("_id"), "left").withColumn("_rules", also(f"reference:{column}", F.col(column).isNotNull() & F.col("_there").isNull())).drop("_id", "_there")
     keys = [key for key in UNIQUE_KEYS[table] if key != ("id",) and set(key) <= set(base.columns)]
     if keys:

@@ -40,6 +40,20 @@ def survey(spark, tmp_path):
     return {name: spark.read.parquet(f"{tmp_path}/{name}") for name in ("precio", "producto_fuente", "sucursal")}
 
 
+def test_rows_of_one_unknown_key_are_split(spark, tmp_path):
+    tables = survey(spark, tmp_path)
+    price_rows(spark, 40000, F.when(F.col("id") % 10 == 0, F.col("id").cast("string")).otherwise("nothing")).repartition(8).withColumn("seq", F.lit(1)).write.parquet(f"{tmp_path}/new")
+    skew = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+
+    def run():
+        reasons = upsert.ingest_rows(tables, "precio", spark.read.parquet(f"{tmp_path}/new"))[1]
+        # an action on the frame's own plan, so that it is the one that ran
+        return len(reasons.collect()), plan(reasons)
+
+    n, ran = under(spark, skew, run)
+    assert n == 40000 - 200 and "skew=true" in ran
+
+
 def test_counting_a_load_deals_keys_alone(spark, tmp_path):
     base = survey(spark, tmp_path)["precio"]
     _, report = upsert.get_or_create(base, base.withColumn("id", F.concat(F.lit("N"), "id")), ("producto_fuente_id", "sucursal_id", "fecha_relevamiento"))
