@@ -35,7 +35,12 @@ def upsert(base: DataFrame, updates: DataFrame, key: str = "id", seq: str | None
     columns = base.columns
     unkeyed = updates.where(F.col(key).isNull()).select(*columns)
     last = latest_by(updates.where(F.col(key).isNotNull()).select(*columns, *([seq] if seq else [])), [key], seq or F.lit(0)).select(*columns)
-    updates = last.unionByName(unkeyed)
+    return overwritten(base, last.unionByName(unkeyed), key, keep_if_null)
+
+
+def overwritten(base: DataFrame, updates: DataFrame, key: str = "id", keep_if_null: tuple[str, ...] = ("created_at",)) -> DataFrame:
+    """upsert() of updates with one row for each key."""
+    columns = base.columns
     b, u = base.select(F.struct(*columns).alias("b"), F.col(key).alias("_b")), updates.select(F.struct(*columns).alias("u"), F.col(key).alias("_u"))
 
     def merged(c: str) -> Column:
@@ -123,8 +128,7 @@ def ingest_rows(tables: Mapping[str, DataFrame], table: str, rows: DataFrame, se
     full = with_defaults(rows, table)
     missing = [F.lit(None).cast(base.schema[c].dataType).alias(c) for c in base.columns if c not in full.columns]
     full = full.select("*", *missing).select(*base.columns, seq)
-    full = latest_by(full.where("id IS NOT NULL"), ["id"], seq).unionByName(full.where("id IS NULL"))
-    marked = full.withColumn("_rules", broken_rules(rules_of(full, table)))
+    marked = full.withColumn("_rules", F.array().cast("array<string>"))
     also = lambda name, broken: F.concat("_rules", F.when(F.coalesce(broken, F.lit(False)), F.array(F.lit(name))).otherwise(F.array().cast("array<string>")))
     for column, parent in FOREIGN_KEYS.get(table, {}).items():
         ids = tables[parent].select(F.col("id").alias("_id"))
@@ -132,12 +136,16 @@ def ingest_rows(tables: Mapping[str, DataFrame], table: str, rows: DataFrame, se
         # dealt anew after the grouping, as adaptive execution splits a key with many rows only between two plain dealings
         ids = ids.groupBy(F.col("_id").alias("_each")).agg(F.max("_id").alias("_id")).select("_id", F.lit(True).alias("_there"))
         marked = marked.join(ids, F.col(column) == F.col("_id"), "left").withColumn("_rules", also(f"reference:{column}", F.col(column).isNotNull() & F.col("_there").isNull())).drop("_id", "_there")
+    # references are told of all rows first, so that the last row of an id stays where it is dealt to meet its base row
+    told = lambda rows: rows.withColumn("_rules", F.concat(broken_rules(rules_of(full, table)), "_rules"))
+    last, unkeyed = told(latest_by(marked.where("id IS NOT NULL"), ["id"], seq)), told(marked.where("id IS NULL"))
     keys = [key for key in UNIQUE_KEYS[table] if key != ("id",) and set(key) <= set(base.columns)]
     if keys:
-        marked = _with_taken_keys(base, marked, keys)
-    passes = F.size("_rules") == 0
-    reasons = marked.select(F.lit(table).alias("table"), F.col("id").cast("string").alias("row_key"), F.explode("_rules").alias("rule"))
-    return upsert(base, marked.where(passes).drop("_rules"), seq=seq), reasons
+        last = _with_taken_keys(base, last, keys)
+    # a row without an id breaks a rule by that
+    reasons = last.unionByName(unkeyed).select(F.lit(table).alias("table"), F.col("id").cast("string").alias("row_key"), F.explode("_rules").alias("rule"))
+    taken = last.where(F.size("_rules") == 0).drop("_rules")
+    return upsert(base, taken, seq=seq) if keys else overwritten(base, taken.select(*base.columns)), reasons
 
 
 def _with_taken_keys(base: DataFrame, rows: DataFrame, keys: list[tuple[str, ...]]) -> DataFrame:

@@ -54,6 +54,14 @@ def test_rows_of_one_unknown_key_are_split(spark, tmp_path):
     assert n == 40000 - 200 and "skew=true" in ran
 
 
+def test_ingested_prices_are_dealt_by_reference_and_id_once(spark, tmp_path):
+    tables = survey(spark, tmp_path)
+    new = tables["precio"].withColumn("seq", F.lit(1))
+    dealt = under(spark, PLAIN, lambda: plan(upsert.ingest_rows(tables, "precio", new)[0]))
+    # listing and branch (rows and parents, parents grouped and plain), id (rows and base)
+    assert dealt.count("Exchange hashpartitioning") == 8
+
+
 def test_counting_a_load_deals_keys_alone(spark, tmp_path):
     base = survey(spark, tmp_path)["precio"]
     _, report = upsert.get_or_create(base, base.withColumn("id", F.concat(F.lit("N"), "id")), ("producto_fuente_id", "sucursal_id", "fecha_relevamiento"))
