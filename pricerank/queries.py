@@ -290,7 +290,7 @@ LACKING = "SELECT l.basket_id, ab.sucursal_id, l.line_no, l.product_id FROM bask
 
 @query("j7_missing_products", f"SELECT basket_id, sucursal_id, count(*) AS n_missing FROM ({LACKING}) GROUP BY ALL")
 def _(t):
-    return ranking.incomplete_branches(t, t["baskets"], t["basket_lines"]).select("basket_id", "sucursal_id", "n_missing")
+    return ranking.incomplete_branches(t, t["baskets"], t["basket_lines"], every_product=True).select("basket_id", "sucursal_id", "n_missing")
 
 
 @query("j8_unknown_products", "SELECT basket_id, product_id FROM basket_lines WHERE product_id NOT IN (SELECT id FROM producto WHERE activo)", "basket_lines", "producto")
@@ -300,7 +300,7 @@ def _(t):
 
 @query("j9_origin_distances", "SELECT basket_id, sucursal_id, round(km, 6) AS km FROM cand")
 def _(t):
-    return ranking.candidates(t, t["baskets"], t["basket_lines"]).select("basket_id", F.col("branch_id").alias("sucursal_id"), F.round("distance_km", 6).alias("km"))
+    return ranking.candidates(t, t["baskets"], t["basket_lines"].drop("line_no"), every_product=True).select("basket_id", F.col("branch_id").alias("sucursal_id"), F.round("distance_km", 6).alias("km"))
 
 
 # aggregates
@@ -317,7 +317,7 @@ def _(t):
 
 @query("a3_a4_savings", "SELECT basket_id, sucursal_id, total_cost + saving AS max_total, saving FROM cand", money=("max_total", "saving",))
 def _(t):
-    return ranking.candidates(t, t["baskets"], t["basket_lines"]).select("basket_id", F.col("branch_id").alias("sucursal_id"), (F.col("total_cost") + F.col("saving")).alias("max_total"), "saving")
+    return ranking.candidates(t, t["baskets"], t["basket_lines"].drop("line_no"), every_product=True).select("basket_id", F.col("branch_id").alias("sucursal_id"), (F.col("total_cost") + F.col("saving")).alias("max_total"), "saving")
 
 
 @query("a5_latest_observation", "SELECT DISTINCT basket_id, strftime(latest_observed, '%Y-%m-%d') AS latest FROM costs")
@@ -329,13 +329,13 @@ def _(t):
 
 @query("a6_missing_list", f"SELECT basket_id, sucursal_id, string_agg(CAST(product_id AS VARCHAR), ',' ORDER BY line_no) AS missing FROM ({LACKING}) GROUP BY basket_id, sucursal_id")
 def _(t):
-    found = ranking.incomplete_branches(t, t["baskets"], t["basket_lines"])
+    found = ranking.incomplete_branches(t, t["baskets"], t["basket_lines"], every_product=True)
     return found.select("basket_id", "sucursal_id", F.array_join(F.transform("productos_faltantes", lambda x: x["product_id"].cast("string")), ",").alias("missing"))
 
 
 @query("a7_extremes", "SELECT basket_id, min(total_cost) AS low, max(total_cost) AS high, round(min(km), 6) AS near, round(max(km), 6) AS far FROM cand GROUP BY basket_id", money=("low", "high",))
 def _(t):
-    return ranking.candidates(t, t["baskets"], t["basket_lines"]).groupBy("basket_id").agg(F.min("total_cost").alias("low"), F.max("total_cost").alias("high"), F.round(F.min("distance_km"), 6).alias("near"), F.round(F.max("distance_km"), 6).alias("far"))
+    return ranking.candidates(t, t["baskets"], t["basket_lines"].drop("line_no"), every_product=True).groupBy("basket_id").agg(F.min("total_cost").alias("low"), F.max("total_cost").alias("high"), F.round(F.min("distance_km"), 6).alias("near"), F.round(F.max("distance_km"), 6).alias("far"))
 
 
 @query("a8_basket_summary", "SELECT b.basket_id, count(product_id) AS n_lines, coalesce(string_agg(CAST(product_id AS VARCHAR), ',' ORDER BY line_no), '') AS products, count(product_id) = 0 AS empty FROM baskets b LEFT JOIN basket_lines l USING (basket_id) GROUP BY b.basket_id", "baskets", "basket_lines")
@@ -351,14 +351,14 @@ def _(t):
 
 @query("w2_normalized", "SELECT basket_id, sucursal_id, round(s1, 6) AS price_score, round(s2, 6) AS distance_score, round(s3, 6) AS saving_score FROM norm")
 def _(t):
-    c = ranking.candidates(t, t["baskets"], t["basket_lines"])
+    c = ranking.candidates(t, t["baskets"], t["basket_lines"].drop("line_no"), every_product=True)
     s = {"price_score": scores.cost_score("total_cost", "basket_id"), "distance_score": scores.cost_score("distance_km", "basket_id"), "saving_score": scores.benefit_score("saving", "basket_id")}
     return c.select("basket_id", F.col("branch_id").alias("sucursal_id"), *[F.round(v, 6).alias(k) for k, v in s.items()])
 
 
 @query("w3_positions", "SELECT basket_id, sucursal_id, row_number() OVER (PARTITION BY basket_id ORDER BY score DESC, supermercado, sucursal, sucursal_id) AS posicion FROM scored")
 def _(t):
-    return ranking.rank_baskets(t, t["baskets"], t["basket_lines"]).select("basket_id", "sucursal_id", "posicion")
+    return ranking.rank_baskets(t, t["baskets"], t["basket_lines"].drop("line_no"), every_product=True).select("basket_id", "sucursal_id", "posicion")
 
 
 # orders and pages
@@ -410,7 +410,7 @@ def _(t):
 
 @query("l5_incomplete_order", f"SELECT basket_id, sucursal_id, row_number() OVER (PARTITION BY basket_id ORDER BY n, supermercado, sucursal, sucursal_id) AS pos FROM (SELECT basket_id, sucursal_id, count(*) AS n FROM ({LACKING}) GROUP BY ALL) JOIN ab USING (sucursal_id)")
 def _(t):
-    found = ranking.incomplete_branches(t, t["baskets"], t["basket_lines"])
+    found = ranking.incomplete_branches(t, t["baskets"], t["basket_lines"], every_product=True)
     return found.select("basket_id", "sucursal_id", F.row_number().over(Window.partitionBy("basket_id").orderBy(*ranking.INCOMPLETE_ORDER[1:])).alias("pos"))
 
 
@@ -444,7 +444,7 @@ def _(t):
 
 @query("c4_weighted_sum", "SELECT basket_id, sucursal_id, round(score, 6) AS score FROM scored")
 def _(t):
-    ranked = ranking.rank_alternatives(ranking.candidates(t, t["baskets"], t["basket_lines"]))
+    ranked = ranking.rank_alternatives(ranking.candidates(t, t["baskets"], t["basket_lines"].drop("line_no"), every_product=True))
     return ranked.select("basket_id", F.col("branch_id").alias("sucursal_id"), F.round("score", 6).alias("score"))
 
 
@@ -455,7 +455,7 @@ def _(t):
 
 @query("c6_metres", "SELECT basket_id, sucursal_id, round(km * 1000, 3) AS m FROM cand")
 def _(t):
-    return ranking.candidates(t, t["baskets"], t["basket_lines"]).select("basket_id", F.col("branch_id").alias("sucursal_id"), F.round(geo.metres(F.col("distance_km")), 3).alias("m"))
+    return ranking.candidates(t, t["baskets"], t["basket_lines"].drop("line_no"), every_product=True).select("basket_id", F.col("branch_id").alias("sucursal_id"), F.round(geo.metres(F.col("distance_km")), 3).alias("m"))
 
 
 @query("c7_iso_time", f"SELECT id, {iso_sql('fecha_relevamiento')} AS at FROM precio", "precio")
@@ -569,7 +569,7 @@ def _(t):
 @query("q7_result_checks", "SELECT basket_id, sucursal_id AS branch_id, unnest(list_filter(['total_cost', CASE WHEN km > 0 THEN 'distance_km' END, CASE WHEN saving > 0 THEN 'saving' END, 'missing_products_count', 'supermarket_name', 'branch_name', 'score', 'position'], lambda r: r IS NOT NULL)) AS rule FROM scored")
 def _(t):
     """All eight promises of a ranking broken at once."""
-    ranked = ranking.rank_alternatives(ranking.candidates(t, t["baskets"], t["basket_lines"]))
+    ranked = ranking.rank_alternatives(ranking.candidates(t, t["baskets"], t["basket_lines"].drop("line_no"), every_product=True))
     broken = {c: -F.col(c) for c in ("total_cost", "distance_km", "saving")} | {"missing_products_count": F.lit(-1), "supermarket_name": F.lit(" "), "branch_name": F.lit(""), "score": F.col("score") + 2, "position": F.lit(0)}
     return quality.result_violations(ranked.withColumns(broken))
 
@@ -618,12 +618,12 @@ def _(t):
 
 @query("k7_rank_baskets", f"SELECT basket_id, row_number() OVER (PARTITION BY basket_id ORDER BY score DESC, supermercado, sucursal, sucursal_id) AS posicion, sucursal_id, sucursal, direccion, supermercado, ciudad, {fixed_sql('total_cost', 2)} AS total, {fixed_sql('km', 2)} AS distancia_km, {fixed_sql('saving', 2)} AS ahorro, {fixed_sql('score', 4)} AS puntaje, {iso_sql('latest_observed')} AS fecha_relevamiento FROM scored")
 def _(t):
-    return ranking.rank_baskets(t, t["baskets"], t["basket_lines"])
+    return ranking.rank_baskets(t, t["baskets"], t["basket_lines"].drop("line_no"), every_product=True)
 
 
 @query("k8_incomplete_branches", f"SELECT basket_id, sucursal_id, sucursal, supermercado, ciudad, count(*) AS n_missing, string_agg(concat(CAST(product_id AS VARCHAR), ':', nombre_normalizado), ';' ORDER BY line_no) AS faltantes FROM ({LACKING}) JOIN ab USING (sucursal_id) JOIN producto p ON p.id = product_id GROUP BY ALL")
 def _(t):
-    found = ranking.incomplete_branches(t, t["baskets"], t["basket_lines"])
+    found = ranking.incomplete_branches(t, t["baskets"], t["basket_lines"], every_product=True)
     named = F.transform("productos_faltantes", lambda x: F.concat_ws(":", x["product_id"].cast("string"), x["product_name"]))
     return found.withColumn("faltantes", F.array_join(named, ";")).drop("productos_faltantes")
 
@@ -646,5 +646,5 @@ def _(t):
 
 @query("k12_rank_alternatives", "SELECT basket_id, sucursal_id, row_number() OVER (PARTITION BY basket_id ORDER BY s1 DESC, supermercado, sucursal, sucursal_id) AS position FROM norm")
 def _(t):
-    c = ranking.candidates(t, t["baskets"], t["basket_lines"])
+    c = ranking.candidates(t, t["baskets"], t["basket_lines"].drop("line_no"), every_product=True)
     return ranking.rank_alternatives(c, (1, 0, 0)).select("basket_id", F.col("branch_id").alias("sucursal_id"), "position")

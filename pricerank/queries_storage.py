@@ -114,7 +114,7 @@ def _(t):
 def _(t):
     """The ranking over prices stored in buckets, of which none is dealt anew."""
     bucketed = layout.save_bucketed(t["precio"], t["producto_fuente"], f"prices_{uuid.uuid4().hex[:12]}", buckets=8)
-    return ranking.rank_baskets({**t, "precio": bucketed}, t["baskets"], t["basket_lines"])
+    return ranking.rank_baskets({**t, "precio": bucketed}, t["baskets"], t["basket_lines"].drop("line_no"), every_product=True)
 
 
 ORACLE_SQL["k7_rank_bucketed"] = ORACLE_SQL["k7_rank_baskets"]

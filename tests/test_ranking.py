@@ -144,3 +144,44 @@ def test_many_branches_in_bitmaps(spark, t):
     found = {r.sucursal_id: [x.product_id for x in r.productos_faltantes] for r in ranking.incomplete_branches(tables, seed.baskets(spark, ("A", "CR", *DEFAULT)), seed.lines(spark, ("A", seed.all_of()))).collect()}
     every = list(seed.PRODUCTS)
     assert found == {f"s{k:03}": every if k % 3 else ["LAV-001"] for k in range(150) if k % 3 or k > 100}
+
+
+PLAIN = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+
+
+def plan_of(spark, build):
+    old = {k: spark.conf.get(k) for k in PLAIN}
+    try:
+        for k, v in PLAIN.items():
+            spark.conf.set(k, v)
+        return build()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_lines_of_every_product_are_dealt_once_by_each_key_and_sorted_once_with_their_prices(spark, t):
+    """Prices of all products give the same ranking; the lines aren't read for their products, prices aren't dealt by product twice, costs are taken once, and no aggregate collects a basket's lines."""
+    tables = {name: stored(df) for name, df in t.items()}
+    b, lines = stored(seed.baskets(spark, ("A", "CR", *DEFAULT), ("B", "RT", *DEFAULT))), stored(seed.lines(spark, ("A", seed.all_of()), ("B", {"COCA-225": 2}))).drop("line_no")
+    few, every = (lambda e=e: ranking.rank_baskets(tables, b, lines, every_product=e) for e in (False, True))
+    assert sorted(every().collect()) == sorted(few().collect()) and every().count() == 8
+    text = plan_of(spark, every)
+    assert len(re.findall(r"FileScan parquet \[[^\]]*product_id#", text)) == 1 and not re.search(r"Exchange hashpartitioning\(producto_id#\d+, sucursal_id", text)
+    assert len(re.findall(r"Exchange hashpartitioning\(product_?o?_?id#\d+", text)) == 3  # prices, active products, lines
+    assert text.count("array_intersect") == 1 and not re.search(r"Aggregate\(keys=\[basket_id", text)
+    text = plan_of(spark, lambda: ranking.incomplete_branches(tables, b, stored(seed.lines(spark, ("A", seed.all_of()))), every_product=True))
+    assert not re.search(r"Aggregate\(keys=\[basket_id", text)
+
+
+def test_lines_that_keep_a_basket_from_being_ranked(spark, t):
+    """A null quantity or product, a product that repeats, an unknown or inactive one, too many lines, lines of no basket; without line numbers too."""
+    closed = t["producto"].withColumn("activo", F.col("id") != "LAV-001")
+    b = seed.baskets(spark, *[(name, "CR", *DEFAULT) for name in ("fine", "twice", "ghost", "closed", "null", "zero", "many", "empty")])
+    rows = [("fine", "COCA-225", 2), ("twice", "COCA-225", 2), ("twice", "COCA-225", 1), ("ghost", "COCA-225", 1), ("ghost", "GHOST", 1), ("closed", "COCA-225", 1), ("closed", "LAV-001", 1), ("null", "COCA-225", 1), ("null", None, 1), ("zero", "COCA-225", None), ("other", "COCA-225", 1), (None, "COCA-225", 1), *[("many", "COCA-225", 1)] * 101]
+    lines = spark.createDataFrame([(basket, n, product, None if q is None else Decimal(q)) for n, (basket, product, q) in enumerate(rows)], "basket_id string, line_no int, product_id string, quantity decimal(12,3)")
+    for given in (lines, lines.drop("line_no")):
+        for every in (False, True):
+            found = ranking.rank_baskets({**t, "producto": closed}, b, given, every_product=every).collect()
+            assert {r.basket_id for r in found} == {"fine"} and len(found) == 4
+    assert {r.basket_id for r in ranking.basket_status({**t, "producto": closed}, b, lines).where("status = 'OK'").collect()} == {"fine"}
