@@ -75,11 +75,9 @@ def price_history(prices: DataFrame, source, branch=None) -> DataFrame:
     return where_given(prices, producto_fuente_id=source, sucursal_id=branch).orderBy(*recency())
 
 
-def branch_product_prices(prices: DataFrame, listings: DataFrame, branches: DataFrame, products: DataFrame | None = None, by_product: bool = False) -> DataFrame:
-    """One current price per (branch, product): the newest row of each listing at the branch, dropped if it is unavailable (no older row takes its
-    place), then of a product's listings the newest, cheapest, least id. branches (sucursal_id, one row each, whose other columns are kept) and products (producto_id) are applied before the
-    newest rows are picked. Prices meet their listing and lose all but the newest rows in one shuffle by listing, and what is left is dealt by (product, branch), or by product alone, so that what is
-    gathered by product then isn't dealt again (for many products, as a few would fill a few tasks); none is dealt if save_bucketed() stored them with their producto_id."""
+def listing_prices(prices: DataFrame, listings: DataFrame, branches: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    """The newest row of each (listing, branch) with its producto_id, dropped if it is unavailable (no older row takes its place). branches (sucursal_id, one row each, whose other columns are kept) and
+    products (producto_id) are applied before the newest rows are picked. Prices meet their listing and lose all but the newest rows in one shuffle by listing, or in none if save_bucketed() stored them with their producto_id."""
     wanted = ["id", "producto_fuente_id", "sucursal_id", "precio", "fecha_relevamiento", "disponible", "created_at"]
     kept = [c for c in branches.columns if c != "sucursal_id"]
     placed = lambda rows: rows.join(branches, "sucursal_id", "inner" if kept else "left_semi")
@@ -91,8 +89,19 @@ def branch_product_prices(prices: DataFrame, listings: DataFrame, branches: Data
         if products is not None:
             listing = listing.join(products.select("producto_id"), "producto_id", "left_semi")
         rows = placed(prices.select(*wanted)).join(listing, "producto_fuente_id")
-    current = available(latest_prices(rows, also_by=("producto_id",))).select("sucursal_id", "producto_id", "precio", "fecha_relevamiento", "id", *kept)
+    return available(latest_prices(rows, also_by=("producto_id",))).select("sucursal_id", "producto_id", "precio", "fecha_relevamiento", "id", *kept)
+
+
+def branch_product_prices(prices: DataFrame, listings: DataFrame, branches: DataFrame, products: DataFrame | None = None, by_product: bool = False) -> DataFrame:
+    """One current price per (branch, product): of a product's listing_prices() the newest, cheapest, least id. These are dealt by (product, branch), or by product alone, so that what is
+    gathered by product then isn't dealt again (for many products, as a few would fill a few tasks); none is dealt if save_bucketed() stored them with their producto_id."""
+    current = listing_prices(prices, listings, branches, products)
     if "producto_id" not in prices.columns:
         current = current.repartition("producto_id", *(() if by_product else ("sucursal_id",)))
     best = Window.partitionBy("producto_id", "sucursal_id").orderBy(F.col("fecha_relevamiento").desc(), "precio", "id")
     return current.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "id")
+
+
+def newest_observations(prices: DataFrame, listings: DataFrame, branches: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    """producto_id and observed, the newest observation among its branch_product_prices(). As the newest of a product's listings stands for it, that is the newest of its listing_prices(), which are dealt as one row for each product and task."""
+    return listing_prices(prices, listings, branches, products).groupBy("producto_id").agg(F.max("fecha_relevamiento").alias("observed"))

@@ -322,9 +322,8 @@ def _(t):
 
 @query("a5_latest_observation", "SELECT DISTINCT basket_id, strftime(latest_observed, '%Y-%m-%d') AS latest FROM costs")
 def _(t):
-    ok = ranking.basket_status(t, t["baskets"], t["basket_lines"]).where("status = 'OK'")
-    costs = ranking.basket_costs(ranking.matched_lines(t, ok, t["basket_lines"], by_basket=True))
-    return costs.groupBy("basket_id").agg(F.date_format(F.max("latest_observed"), "yyyy-MM-dd").alias("latest"))
+    found = ranking.latest_observations(t, t["baskets"], t["basket_lines"].drop("line_no"), every_product=True)
+    return found.select("basket_id", F.date_format("latest_observed", "yyyy-MM-dd").alias("latest"))
 
 
 @query("a6_missing_list", f"SELECT basket_id, sucursal_id, string_agg(CAST(product_id AS VARCHAR), ',' ORDER BY line_no) AS missing FROM ({LACKING}) GROUP BY basket_id, sucursal_id")

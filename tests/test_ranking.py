@@ -1,3 +1,4 @@
+import os
 import re
 from decimal import Decimal
 
@@ -6,10 +7,12 @@ from pyspark.sql import functions as F
 
 from pricerank.operators.quality import basket_checks, result_violations
 from pricerank.plans import ranking
+from pricerank.queries import QUERIES
 from pricerank.sources.scratch import stored
 from tests import seed
 
 DEFAULT = ("0.6", "0.3", "0.1")
+SMALLEST = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
@@ -185,3 +188,37 @@ def test_lines_that_keep_a_basket_from_being_ranked(spark, t):
             found = ranking.rank_baskets({**t, "producto": closed}, b, given, every_product=every).collect()
             assert {r.basket_id for r in found} == {"fine"} and len(found) == 4
     assert {r.basket_id for r in ranking.basket_status({**t, "producto": closed}, b, lines).where("status = 'OK'").collect()} == {"fine"}
+
+
+def observed_later(t, newer):
+    """The tables with chango's COCA-225 observed again in its branch, a month later."""
+    again = t["precio"].where("sucursal_id = 'chango' AND producto_fuente_id = 'CHA-COCA-225'").withColumns({"id": F.lit("new"), "fecha_relevamiento": F.lit("2026-07-01 10:00:00").cast("timestamp"), **newer})
+    return {**t, "precio": t["precio"].where("NOT (sucursal_id = 'rada' AND producto_fuente_id = 'LA-LAV-001')").unionByName(again)}
+
+
+ODD = [("A", seed.all_of()), ("B", {"COCA-225": 2}), ("C", {"LAV-001": 1.5, "ARROZ-001": 1}), ("ghost", {"COCA-225": 1, "GHOST": 1}), ("zero", {"COCA-225": 0}), ("twice", {"COCA-225": 1}), ("twice", {"COCA-225": 2}), ("far", {"COCA-225": 1})]
+
+
+def test_latest_observation_of_a_basket(spark, t):
+    """The newest of its lines' current prices, at branches that lack other products too; an unavailable price counts nowhere, and baskets with no price or of another status than OK have no row."""
+    baskets = seed.baskets(spark, *[(name, "XX" if name == "far" else "CR", *DEFAULT) for name in ("A", "B", "C", "ghost", "zero", "twice", "far", "empty")])
+    lines = seed.lines(spark, *ODD)
+    june, july = "2026-06-01", "2026-07-01"
+    for newer, want in (({}, {"A": july, "B": july, "C": june}), ({"disponible": F.lit(False)}, {"A": june, "B": june, "C": june})):
+        tables = observed_later(t, newer)
+        for given, every in ((lines, False), (lines.drop("line_no"), True)):
+            found = ranking.latest_observations(tables, baskets, given, every_product=every).collect()
+            assert len(found) == len(want) and {r.basket_id: str(r.latest_observed.date()) for r in found} == want
+    gone = {**t, "precio": t["precio"].where("producto_fuente_id NOT LIKE '%COCA-225'")}
+    assert {r.basket_id for r in ranking.latest_observations(gone, baskets, lines).collect()} == {"A", "C"}
+    undated = {**t, "precio": t["precio"].withColumn("fecha_relevamiento", F.lit(None).cast("timestamp"))}
+    assert {tuple(r) for r in ranking.latest_observations(undated, baskets, lines).collect()} == {("A", None), ("B", None), ("C", None)}
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALLEST), reason="no test tables")
+def test_latest_observation_deals_no_prices_by_basket(spark):
+    """A line carries its product's newest observation; the lines are read once, and prices are dealt by listing alone, without their amounts."""
+    text = plan_of(spark, lambda: QUERIES["a5_latest_observation"](spark, SMALLEST))
+    assert len(re.findall(r"FileScan parquet \[[^\]]*l_quantity", text)) == 1
+    assert not re.search(r"collect_list\(struct\((?!product_id)", text) and "explode" not in text and not re.search(r"Exchange hashpartitioning\(producto_id#\d+, sucursal_id", text)
+    assert not re.search(r"hashpartitioning\(producto_fuente_id#\d+L?, \d+\)[^\n]*\n[^\n]*Project \[[^\n]*precio#", text)
