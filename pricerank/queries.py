@@ -311,8 +311,7 @@ def _(t):
 
 @query("a2_basket_totals", "SELECT basket_id, sucursal_id, n_matched, total_cost FROM costs", money=("total_cost",))
 def _(t):
-    ok = ranking.basket_status(t, t["baskets"], t["basket_lines"]).where("status = 'OK'")
-    return ranking.basket_costs(ranking.matched_lines(t, ok, t["basket_lines"], by_basket=True)).select("basket_id", "sucursal_id", "n_matched", "total_cost")
+    return ranking.basket_costs(t, t["baskets"], t["basket_lines"].drop("line_no"), every_product=True)
 
 
 @query("a3_a4_savings", "SELECT basket_id, sucursal_id, total_cost + saving AS max_total, saving FROM cand", money=("max_total", "saving",))

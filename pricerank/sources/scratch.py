@@ -23,9 +23,9 @@ def new_path(spark: SparkSession, name: str = "table") -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def dealt(df: DataFrame, *columns: str) -> DataFrame:
-    """The rows by hash in spark.sql.shuffle.partitions parts that adaptive execution leaves apart. It would put narrow rows, which compress well, together until the groups of one part fill a task's memory."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+def dealt(df: DataFrame, *columns: str, times: int = 1) -> DataFrame:
+    """The rows by hash in spark.sql.shuffle.partitions parts, or a multiple of these, that adaptive execution leaves apart. It would put narrow rows, which compress well, together until the groups of one part fill a task's memory."""
+    return df.repartition(times * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
 def stored(df: DataFrame) -> DataFrame:

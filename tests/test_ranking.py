@@ -222,3 +222,29 @@ def test_latest_observation_deals_no_prices_by_basket(spark):
     assert len(re.findall(r"FileScan parquet \[[^\]]*l_quantity", text)) == 1
     assert not re.search(r"collect_list\(struct\((?!product_id)", text) and "explode" not in text and not re.search(r"Exchange hashpartitioning\(producto_id#\d+, sucursal_id", text)
     assert not re.search(r"hashpartitioning\(producto_fuente_id#\d+L?, \d+\)[^\n]*\n[^\n]*Project \[[^\n]*precio#", text)
+
+
+def test_costs_at_every_branch(spark, t):
+    """Lines that a branch has and their cost, at branches that lack other products too, against a plain sum over the matched lines."""
+    baskets = seed.baskets(spark, *[(name, "XX" if name == "far" else "CR", *DEFAULT) for name in ("A", "B", "C", "ghost", "zero", "twice", "far", "empty")])
+    lines = seed.lines(spark, *ODD)
+    tables = observed_later(t, {"precio": F.lit(Decimal("7.25"))})
+    wanted = ranking.matched_lines(tables, baskets.where("basket_id IN ('A', 'B', 'C')"), lines).groupBy("basket_id", "sucursal_id").agg(F.count("*").alias("n"), F.sum(F.col("precio") * F.col("quantity")).alias("cost"))
+    want = {(r.basket_id, r.sucursal_id): (r.n, r.cost) for r in wanted.collect()}
+    assert len(want) == 12 and want["A", "rada"] == (4, Decimal("9430")) and want["B", "chango"] == (1, Decimal("14.5")) and want["C", "rada"] == (1, Decimal("1850"))
+    for given, every in ((lines, False), (lines.drop("line_no"), True)):
+        found = ranking.basket_costs(tables, baskets, given, every_product=every).collect()
+        assert len(found) == 12 and {(r.basket_id, r.sucursal_id): (r.n_matched, r.total_cost) for r in found} == want
+    dear = {**t, "precio": t["precio"].withColumn("precio", F.lit(Decimal("999999999999.99")))}
+    over = ranking.basket_costs(dear, baskets, seed.lines(spark, ("A", {p: 999999999.0 for p in seed.PRODUCTS}))).collect()
+    assert len(over) == 4 and {r.total_cost for r in over} == {None} and {r.n_matched for r in over} == {5}
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALLEST), reason="no test tables")
+def test_costs_read_lines_once_and_deal_them_by_basket_in_finer_parts(spark):
+    """Lines are read once; they carry prices by basket without their observation, in more parts than a shuffle has, as each part's sums are kept in memory."""
+    text = plan_of(spark, lambda: QUERIES["a2_basket_totals"](spark, SMALLEST))
+    assert len(re.findall(r"FileScan parquet \[[^\]]*l_quantity", text)) == 1
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    carried = re.findall(r"Exchange hashpartitioning\(basket_id#\d+L?, (\d+)\), REPARTITION_BY_\w+[^\n]*\n[^\n]*Project \[([^\n]*amounts[^\n]*)", text)
+    assert len(carried) == 1 and int(carried[0][0]) == 4 * parts and "observed" not in carried[0][1]
